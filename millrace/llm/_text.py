@@ -73,13 +73,13 @@ def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.nda
         yield a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~SPACE[raw]
+    word = ~separators[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)

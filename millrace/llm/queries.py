@@ -10,6 +10,66 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, item) where the document holds the item within the edit threshold."""
+    from .decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearvec import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS seen FROM v UNION SELECT r.id, p.b FROM r JOIN p ON r.seen = p.a),
+c AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*)::BIGINT AS n FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON e.vec_id = c.id LEFT JOIN n ON e.vec_id = n.a
+"""
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record in slot order within its shard, with the digest of its ids."""
+    from .tokens import digests, materialise
+
+    return digests(materialise(_table(spark, sf_dir, "documents")))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+OP7_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, k.i, k.line, r.key IS NOT NULL AND k.doc_id < r.last_doc AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -41,6 +101,12 @@ SELECT d.doc_id, d.size::BIGINT AS size, n.source_size, n.target,
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import rate
+
+    return rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 SHARD_LIMIT = 16 << 20
 
 
@@ -67,8 +133,18 @@ FROM d JOIN a USING (h) JOIN n ON n.depth = a.depth AND n.prefix = d.h >> (60 -
 
 
 def queries() -> dict:
-    return {"op8_mix": op8_mix, "op9_shard": op9_shard}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_near_vectors": op2_near_vectors,
+        "op3_tokens": op3_tokens,
+        "op4_language": op4_language,
+        "op5_jaccard": op5_jaccard,
+        "op7_lines": op7_lines,
+        "op8_mix": op8_mix,
+        "op9_shard": op9_shard,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": OP8_SQL, "op9_shard": OP9_SQL}
+    return {"op2_near_vectors": OP2_SQL, "op7_lines": OP7_SQL, "op8_mix": OP8_SQL, "op9_shard": OP9_SQL}
