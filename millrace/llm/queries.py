@@ -53,6 +53,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -139,6 +145,7 @@ def queries() -> dict:
         "op3_tokens": op3_tokens,
         "op4_language": op4_language,
         "op5_jaccard": op5_jaccard,
+        "op6_lm_score": op6_lm_score,
         "op7_lines": op7_lines,
         "op8_mix": op8_mix,
         "op9_shard": op9_shard,
