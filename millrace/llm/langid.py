@@ -89,6 +89,20 @@ class Model:
             pred[d], score[d] = self.langs[w], float(min(1.0, chosen[j, w]))
         return pred, score
 
+    def predict_all(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """predict() over slices of bounded size."""
+        pred, score, at = [], [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (size == 0 or size + len(texts[to]) <= SLICE):
+                size += len(texts[to]) + 1
+                to += 1
+            p, s = self.predict(texts[at:to])
+            pred += p
+            score += s.tolist()
+            at = to
+        return pred, score
+
 
 def _em(like, slot, bounds, words, mask, rounds):
     """Proportions by document under the allowed languages, and the log likelihood they reach."""
@@ -160,18 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            pred, score = [], []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (size == 0 or size + len(texts[to]) <= SLICE):
-                    size += len(texts[to]) + 1
-                    to += 1
-                p, s = model.predict(texts[at:to])
-                pred += p
-                score += s.tolist()
-                at = to
+            pred, score = model.predict_all([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, lang_score double")
@@ -185,5 +188,12 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.35, **options) -> DataFrame:
-    """Rows of ``docs`` (all columns) with a language: not ``und``, and of a proportion of at least ``least``."""
-    return predict(docs, fit(docs, **options)).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+    """Rows of ``docs`` (all columns, nothing added) with a language: not ``und``, and of a proportion of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
+
+    def run(batches):
+        for batch in batches:
+            pred, score = shared.value.predict_all([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

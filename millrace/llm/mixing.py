@@ -95,7 +95,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return joined.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size")).drop("mix_source", "mix_full", "mix_below", "mix_h")
 
 
-def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    times = mixed.where(F.col("mix_copies") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-    return times.select(*columns)
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` (all columns, nothing added) as often as it is taken."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"))
+    mixed = mix(packed, **options).where(F.col("mix_copies") > 0)
+    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
+    return mixed.select("mix_row", times).select("mix_row.*")
