@@ -47,7 +47,15 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str] | None = None, max
     if allowed is not None and (outside := gate.out_of_scope(spark, text, allowed)):
         return Execution(True, False, error=f"out_of_scope: {', '.join(outside)}", relations=used, normalized_sql=text)
     tag, sc = f"millrace-{uuid.uuid4().hex}", spark.sparkContext
-    watchdog = threading.Timer(timeout_ms / 1000, lambda: sc.cancelJobsWithTag(tag))
+    done = threading.Event()
+
+    def watch() -> None:
+        # again and again: at the deadline the query may still be planned, its jobs not yet begun
+        done.wait(timeout_ms / 1000)
+        while not done.wait(0.2):
+            sc.cancelJobsWithTag(tag)
+
+    watchdog = threading.Thread(target=watch, daemon=True)
     sc.addJobTag(tag)
     watchdog.start()
     try:
@@ -56,7 +64,7 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str] | None = None, max
     except Exception as e:  # analysis, runtime and cancellation errors alike
         return Execution(True, False, error=gate.sanitize(e), relations=used, normalized_sql=text)
     finally:
-        watchdog.cancel()
+        done.set()
         sc.removeJobTag(tag)
     return Execution(True, True, tuple(df.columns), tuple(tuple(r) for r in found[:max_rows]), len(found) > max_rows, None, used, text)
 
