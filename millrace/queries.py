@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import compare, corpus, sketch
+from .operators import compare, corpus, sketch, specs
 from .plans import analyze, gate
 from .sources.catalog import register
 
@@ -287,6 +287,12 @@ def sketch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ran.select(F.col("c_nationkey").alias("nation"), "executed", F.element_at(F.element_at("rows", 1), 1).alias("answer"))
 
 
+def spec_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specification families, expanded; each family's rows and distinct SQL texts."""
+    made = specs.expand(spark, specs.FAMILIES)
+    return made.groupBy("family", "tier").agg(F.count(F.lit(1)).alias("specs"), F.countDistinct("sql").alias("texts"))
+
+
 #: Fixed SQL texts for the analysis queries.
 TEXTS = (
     "SELECT count(*) FROM orders",
@@ -397,6 +403,10 @@ UNION ALL SELECT nation, 2, (SELECT min(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM
 SELECT nation, number, a || nation || z AS sql FROM n, q""",
     ),
     "sketch_candidates": (sketch_candidates, "SELECT c_nationkey AS nation, true AS executed, (count(*) FILTER (c_mktsegment = 'BUILDING'))::VARCHAR AS answer FROM customer GROUP BY 1"),
+    "spec_families": (
+        spec_families,
+        "SELECT family, tier, n::BIGINT AS specs, t::BIGINT AS texts FROM (VALUES ('count-filter', 'small', 12, 6), ('list-ordered', 'small', 2, 2), ('prefix', 'small', 5, 5), ('distinct-join', 'medium', 2, 2), ('left-join-count', 'medium', 2, 2), ('range-sum', 'small', 4, 4), ('top-k', 'medium', 3, 3), ('by-day', 'small', 2, 2), ('preaggregated', 'heavy', 2, 2)) f(family, tier, n, t)",
+    ),
     "sql_policy": (
         sql_policy,
         "SELECT * FROM (VALUES (0, true, NULL), (1, true, NULL), (2, true, NULL), (3, true, NULL), (4, false, 'not_a_read'), (5, false, 'write_verb:insert'), (6, false, 'function'), (7, false, 'multiple_statements'), (8, true, NULL), (9, false, 'not_a_read')) t(text_id, allowed, reason)",

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import session
-from millrace.operators import compare, corpus, creative, sketch
+from millrace.operators import compare, corpus, creative, sketch, specs
+from millrace.plans import execute
 from millrace.sources import files
 from millrace.sources.catalog import Catalog, compile_context, ddl, profile, register, table_schema
 
@@ -152,3 +153,23 @@ def test_session(spark, sf_dir):
         session.Session(spark, "q").submit("SELECT 1")
     with pytest.raises(ValueError):
         session.author_messages("q", "ddl", error="e")
+
+
+def test_specs_are_sound_and_run(spark, sf_dir):
+    register(spark, sf_dir, ["nation", "customer", "orders", "lineitem", "part"])
+    made = specs.expand(spark, specs.FAMILIES)
+    assert made.count() == 34 and specs.defects(made).isEmpty()
+    frozen = made.limit(1).select(F.upper("question").alias("question"))
+    assert specs.defects(made, frozen).first()["defect"] == "frozen_question"
+    ran = specs.executed(made, lambda sql: execute.run(spark, sql, timeout_ms=30_000))
+    assert ran.where("not executed").count() == 0
+
+
+def test_command_line(spark, sf_dir, capsys, tmp_path):
+    from millrace.__main__ import main
+
+    assert main(["check", "DELETE FROM x"]) == 1
+    assert main(["run", "SELECT count(*) AS n FROM region", "--data", sf_dir, "--tables", "region"]) == 0
+    assert '"rows": [[5]]' in capsys.readouterr().out
+    (tmp_path / "c.json").write_text(CATALOG)
+    assert main(["render", str(tmp_path / "c.json"), "sales"]) == 0
