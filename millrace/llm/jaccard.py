@@ -11,9 +11,10 @@ first ``n - ceil(t * n) + 1``.  The documents behind such a shingle are not pair
 with one another.  First each is compared with one hub of its shingle (the
 shortest); then components are formed, and only documents of different
 components that still share a prefix shingle are paired, if their lengths and
-their 512-bit parity sketches (whose Hamming distance never exceeds the number of
-shingles they differ in) leave a link possible.  Pairs inside a component need no
-test, as the result is components.
+their parity sketches (whose Hamming distance never exceeds the number of
+shingles they differ in) leave a link possible.  Of two components the closest
+pair is tested first, and all others only if that leaves the components apart.
+Pairs inside a component need no test, as the result is components.
 
 Documents of equal sets are one class and are compared once.
 
@@ -62,10 +63,32 @@ def parity(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def long_parity(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte bounds, bytes): parity sketches of about three bits a member, a power of two, for sets that outgrow 512 bits; else empty."""
+    size = np.diff(bounds)
+    bits = np.where(3 * size > 512, 1 << np.ceil(np.log2(np.maximum(3 * size, 1))).astype(np.int64), 0)
+    at = np.r_[0, np.cumsum(bits)]
+    row = np.repeat(np.arange(len(size)), size)
+    use = bits[row] > 0
+    slot = mix(values ^ U(0xC3C3C3C3)).astype(np.int64) & (bits[row] - 1)
+    flat = (np.bincount((at[row] + slot)[use], minlength=at[-1]) & 1).astype(np.uint8)
+    return at // 8, np.packbits(flat)
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two long sketches, the larger one folded down; never above the true set difference."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _scan(docs: DataFrame, k: int) -> DataFrame:
     """One pass: a row for each document (prints, size, parity) and, at the end of a task, its bucket counts."""
-    names = ["doc_id", "set_id", "check", "n", *[f"p{i}" for i in range(PARITY)], "chunk", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * PARITY, pa.int32(), pa.binary()]
+    names = ["doc_id", "set_id", "check", "n", *[f"p{i}" for i in range(PARITY)], "sketch", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * PARITY, pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         counts = np.zeros(_sketch.BUCKETS, np.uint32)
@@ -77,13 +100,13 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 m = len(bounds) - 1
                 one, two = prints(bounds, values)
                 par = parity(bounds, values)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(one), pa.array(two), pa.array(np.diff(bounds).astype(np.int32)), *[pa.array(par[:, i]) for i in range(PARITY)], pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(one), pa.array(two), pa.array(np.diff(bounds).astype(np.int32)), *[pa.array(par[:, i]) for i in range(PARITY)], binaries(*long_parity(bounds, values)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         rows = list(_sketch.chunk_rows(counts))
         m = len(rows)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in kinds[:-2]], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
     longs = ", ".join(f"p{i} long" for i in range(PARITY))
-    return _source(docs).mapInArrow(run, f"doc_id long, set_id long, check long, n int, {longs}, chunk int, counts binary")
+    return _source(docs).mapInArrow(run, f"doc_id long, set_id long, check long, n int, {longs}, sketch binary, chunk int, counts binary")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -231,24 +254,32 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     rows = scan.where(F.col("chunk").isNull()).drop("chunk", "counts")
     member = rows.select("doc_id", "set_id", "n")
     classes = rows.where("n > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("check2"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY)]
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("check2"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY)], F.first("sketch").alias("sketch")
     )
-    classes = cut(classes)
+    classes = stored(classes, "classes")
     if not classes.where("check != check2").isEmpty():
         raise ValueError("two different sets have one 64-bit print; change the salts in prints()")
     shared = cut(_shared(_prefixes(docs, k, percent, counts)))
     hubs = shared.where((F.col("set_id") != F.col("hub")) & _possible("n", "hub_n", percent)).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-    hubs = cut(_sketched(hubs, classes, percent))
+    hubs = cut(_measured(hubs, classes, percent).select("a", "b"))
     links = cut(_verified(docs, hubs, classes, k, percent, counts, pivots))
     comp = components(links)
     placed = shared.select("h", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-    open_rows = cut(placed.join(mixed, "h", "left_semi").join(classes.drop("doc_id", "check", "check2"), "set_id"))
+    open_rows = cut(placed.join(mixed, "h", "left_semi").join(classes.drop("doc_id", "check", "check2", "sketch"), "set_id"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _close(percent)
-    cross = x.join(y, met).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    more = _verified(docs, cut(cross), classes, k, percent, counts, pivots)
-    comp = components(links.unionByName(more))
+    cross = x.join(y, met).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct().join(hubs, ["a", "b"], "left_anti")
+    cross = cut(_measured(cross, classes, percent))
+    # of two components the closest pair first; only those that it leaves apart need all their pairs
+    best = cross.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    links = cut(links.unionByName(_verified(docs, best, classes, k, percent, counts, pivots)))
+    comp = cut(components(links))
+    ends = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    apart = cross.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if not apart.isEmpty():
+        comp = components(links.unionByName(_verified(docs, apart, classes, k, percent, counts, pivots)))
     named = comp.join(classes.select(F.col("set_id").alias("id"), "doc_id"), "id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_doc"))
     known = classes.select("set_id", "doc_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").join(least, "component", "left")
@@ -266,11 +297,21 @@ def _pivots(counts: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose parity sketches leave a link possible."""
-    s = classes.select("set_id", "n", *[f"p{i}" for i in range(PARITY)])
+def _measured(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ...) whose sketches leave a link possible, with ``room``: distance seen less distance allowed."""
+    names = list(pairs.columns)
+    s = classes.select("set_id", "n", *[f"p{i}" for i in range(PARITY)], "sketch")
     both = pairs.join(s.alias("x"), F.col("a") == F.col("x.set_id")).join(s.alias("y"), F.col("b") == F.col("y.set_id"))
-    return both.where(_close(percent)).select("a", "b")
+    both = both.where(_close(percent)).select(*names, (F.col("x.n") + F.col("y.n")).alias("size"), F.col("x.sketch").alias("sx"), F.col("y.sketch").alias("sy"))
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy().astype(np.int64)
+            room = np.array([sketch_distance(x, y) if x and y else 0 for x, y in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)], np.int64) * (100 + percent) - size * (100 - percent)
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(room)], [*names, "room"])
+            yield out.filter(pa.array(room <= 0))
+
+    return both.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "room"]))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, counts, pivots) -> DataFrame:
