@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .langid import held_out
 
 WINDOW, STRIDE, SPAN, DECAY, DIM = 15, 7, 6, 0.7, 1 << 17
-SLICE = 4 << 20
+SLICE = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -111,9 +111,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         more = more[size[more] - skip > WINDOW]
         skip += STRIDE
     at, n, doc, first = (np.concatenate(x) for x in (pieces_at, pieces_n, pieces_doc, pieces_first))
-    cols = np.arange(WINDOW)[None, :] - first[:, None]  # a whole word's window begins with a start mark
-    inside = (cols >= 0) & (cols < n[:, None])
-    out = np.where(inside, s[np.minimum(at[:, None] + np.maximum(cols, 0), len(s) - 1)], 0).astype(np.uint8)
+    out = np.zeros((len(at), WINDOW), np.uint8)
+    shift = first.astype(np.int64)  # a whole word's window begins with a start mark
+    for j in range(WINDOW):
+        col = j - shift
+        inside = (col >= 0) & (col < n)
+        out[inside, j] = s[at[inside] + col[inside]]
     out[first, 0] = 63
     if extra:
         more_rows = np.zeros((sum(max(1, -(-(len(e) + 1) // STRIDE)) for e in extra), WINDOW), np.uint8)
@@ -216,6 +219,28 @@ def _remember(known: dict, keys: np.ndarray, margin: np.ndarray, limit: int = 1
     known["keys"], known["margin"] = both[order], m[order]
 
 
+def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words of all texts, text and word of each occurrence, once a text); read in slices, so only distinct words are held."""
+    parts, at = [], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size + len(texts[to]) <= SLICE):
+            size += len(texts[to])
+            to += 1
+        rows, doc = words(texts[at:to])
+        if len(rows):
+            rows, keys, place = distinct(rows)
+            pair = np.unique(doc.astype(np.int64) * len(rows) + place)
+            parts.append((rows, keys, pair // len(rows) + at, keys[pair % len(rows)]))
+        at = to
+    if not parts:
+        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
+    rows = np.concatenate([p[0] for p in parts])[first]
+    doc, of = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    return rows, doc, np.searchsorted(keys, of)
+
+
 def learn(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int = 4, seed: int = 11) -> Model:
     """Multiple-instance SVM over words: witnesses of toxic texts against the worst words of clean ones."""
     base = float(toxic.mean()) if len(toxic) else 0.0
@@ -223,12 +248,9 @@ def learn(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int
     if not len(texts) or toxic.all() or not toxic.any():
         return flat
     rng = np.random.default_rng(seed)
-    rows, doc = words(texts)
+    rows, doc, place = _incidence(texts)
     if not len(rows):
         return flat
-    rows, _, place = distinct(rows)
-    pair = np.unique(doc.astype(np.int64) * len(rows) + place)
-    doc, place = pair // len(rows), pair % len(rows)
     bad = toxic[doc].astype(bool)
     t = np.bincount(place[bad], minlength=len(rows)).astype(float)
     f = np.bincount(place[~bad], minlength=len(rows)).astype(float)
