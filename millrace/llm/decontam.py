@@ -5,8 +5,9 @@ holds an item of n words if some run of its words is within ``floor((1 - s) * n)
 word edits of the item (items of fewer than five words: exactly).
 
 1. Every start in every document is a window of each item's size.  A window that
-   holds such a run shares at least ``n - 1 - 3k`` of the item's word pairs, so
-   windows with fewer pairs known from the items are passed over without loss.
+   holds such a run has at least ``n - 1 - 2k`` of the item's word pairs within k
+   places of where they stand in the item, so all other windows are passed over
+   without loss; of the rest those are taken that bring a pair to its place.
 2. The others are embedded by the CGK random walk (a shared pointer advances by a
    random bit of step and word), which turns edits into Hamming distance.
    ``BITS`` sampled positions of a walk form a key; as many repetitions are drawn
@@ -48,16 +49,22 @@ def least_pairs(n: np.ndarray | int, similarity: float):
     return np.maximum(np.minimum(1, np.asarray(n) - 1), np.asarray(n) - 1 - 3 * allowed(n, similarity))
 
 
-def walk(windows: np.ndarray, repeat: int, upto: int) -> np.ndarray:
-    """CGK: the first ``upto`` symbols of the random walk over each row (0 beyond its end)."""
+def kept_pairs(n: np.ndarray | int, similarity: float):
+    """Fewest word pairs of an item of n words that survive the edits allowed (each edit destroys two at most)."""
+    return np.maximum(np.minimum(1, np.asarray(n) - 1), np.asarray(n) - 1 - 2 * allowed(n, similarity))
+
+
+def walk(windows: np.ndarray, repeat: np.ndarray, upto: int) -> np.ndarray:
+    """CGK: the first ``upto`` symbols of the random walk over each row, by its repetition (0 beyond its end)."""
     at = np.zeros(len(windows), np.int64)
     padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
     rows, end = np.arange(len(windows)), windows.shape[1]
+    seed = repeat.astype(np.uint64) * U(0x85EBCA6B)
     out = np.empty((len(windows), upto), np.uint64)
     for j in range(upto):
         c = padded[rows, at]
         out[:, j] = c
-        at = np.minimum(end, at + (mix(c + U(j * 0x9E3779B1 + repeat * 0x85EBCA6B)) & U(1)).astype(np.int64))
+        at = np.minimum(end, at + (mix(c + seed + U(j * 0x9E3779B1)) & U(1)).astype(np.int64))
     return out
 
 
@@ -67,17 +74,21 @@ def sampled(n: int, repeats: int) -> np.ndarray:
     return np.stack([np.sort(rng.choice(max(BITS, 2 * n), BITS, replace=False)) for _ in range(repeats)])
 
 
-def keys(windows: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """One key a repetition for each window: (windows, repetitions)."""
-    n = windows.shape[1]
-    out = np.empty((len(windows), len(positions)), np.uint64)
-    for r, p in enumerate(positions):
-        steps = walk(windows, r, int(p[-1]) + 1)
-        acc = np.full(len(windows), U(r + 1 + (n << 8)))
-        for j in p:
-            acc = mix(acc * U(0x9FB21C651E98DF25) + steps[:, j])
-        out[:, r] = acc
-    return out
+def keys(windows: np.ndarray, n: np.ndarray, positions: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(window, key) for every repetition of every window; row i holds n[i] words, then 0."""
+    counts = np.array([len(positions[int(x)]) for x in n], np.int64)
+    row = np.repeat(np.arange(len(windows)), counts)
+    repeat = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(row):
+        return row, np.zeros(0, np.uint64)
+    at = np.concatenate([positions[int(x)] for x in n])
+    acc = mix(repeat.astype(np.uint64) + U(1) + (n[row].astype(np.uint64) << U(8)))
+    for a in range(0, len(row), 1 << 14):
+        b = slice(a, a + (1 << 14))
+        steps = walk(windows[row[b]], repeat[b], int(at[b].max()) + 1)
+        for j in range(BITS):
+            acc[b] = mix(acc[b] * U(0x9FB21C651E98DF25) + steps[np.arange(len(steps)), at[b, j]])
+    return row, acc
 
 
 def edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -100,8 +111,13 @@ class Index:
     ids: list[int]
     words: list[np.ndarray]
     similarity: float
-    groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # n -> items, sampled positions, sorted keys, item of each
-    known: np.ndarray
+    positions: dict[int, np.ndarray]  # positions sampled by each repetition, by number of words
+    table: np.ndarray  # sorted keys of all items
+    owner: np.ndarray  # the item of each key
+    known: np.ndarray  # sorted hashes of all word pairs of the items
+    first: np.ndarray  # bounds of each pair's places below
+    item: np.ndarray
+    offset: np.ndarray
     bitmap: np.ndarray
 
     @classmethod
@@ -113,54 +129,69 @@ class Index:
             if len(starts):
                 ids.append(item)
                 words.append(hashes(raw, starts, ends))
-        groups = {}
+        positions, found = {}, []
         sizes = np.array([len(w) for w in words], int)
         for n in np.unique(sizes):
             own = np.flatnonzero(sizes == n)
             table = np.stack([words[i] for i in own])
-            positions = sampled(int(n), repeats(table, similarity))
-            k = keys(table, positions)
-            flat, owner = k.ravel(), np.repeat(own, k.shape[1])
-            order = np.argsort(flat, kind="stable")
-            groups[int(n)] = (own, positions, flat[order], owner[order])
+            positions[int(n)] = sampled(int(n), repeats(table, similarity))
+            row, k = keys(table, np.full(len(table), n), positions)
+            found.append((k, own[row]))
+        flat = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+        owner = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        table, owner = flat[order], owner[order]
         pairs = [pair_hash(w) for w in words]
-        known = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        flat = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        offset = np.concatenate([np.arange(len(p)) for p in pairs]) if pairs else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        known, first = np.unique(flat[order], return_index=True)
         bitmap = np.zeros(1 << 22, bool)
         bitmap[(known & U((1 << 22) - 1)).astype(np.int64)] = True
-        return cls(ids, words, similarity, groups, known, bitmap)
+        return cls(ids, words, similarity, positions, table, owner, known, np.r_[first, len(flat)], item[order], offset[order], bitmap)
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item_id, start word, edits, item words): the best place of each item in each row."""
         starts, ends, rows = spans(raw, offsets, OTHER)
-        if not len(starts) or not self.groups:
+        if not len(starts) or not self.words:
             return []
         w = hashes(raw, starts, ends)
         last = np.searchsorted(rows, rows, "right") if len(rows) < 2 else np.repeat(np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) + 1, np.diff(np.r_[-1, np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])]))
         first = np.repeat(np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]), np.diff(np.r_[np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]), len(rows)]))
-        hit = np.zeros(len(w) + 1, bool)
-        if len(w) > 1:
-            p = pair_hash(w)
-            maybe = np.flatnonzero(self.bitmap[(p & U((1 << 22) - 1)).astype(np.int64)] & (rows[1:] == rows[:-1]))
-            spot = np.minimum(np.searchsorted(self.known, p[maybe]), max(0, len(self.known) - 1))
-            if len(self.known):
-                hit[maybe[self.known[spot] == p[maybe]]] = True
-        run = np.zeros(len(w) + 2, np.int32)
-        np.cumsum(hit, out=run[1:])
-        sizes = sorted(self.groups)
         found: dict[tuple[int, int], list[int]] = {}
-        at = 0
-        while at < len(sizes):
-            to = at
-            while to < len(sizes) and sizes[to] <= 1.4 * sizes[at] + 1:
-                to += 1
-            wide, few = sizes[to - 1], min(int(least_pairs(n, self.similarity)) for n in sizes[at:to])
-            start = np.arange(len(w))
-            near = np.flatnonzero(run[np.minimum(start + wide - 1, last - 1)] - run[start] >= few)
-            for n in sizes[at:to]:
-                own = near[run[np.minimum(near + n - 1, last[near] - 1)] - run[near] >= int(least_pairs(n, self.similarity))]
-                for a in range(0, len(own), 1 << 15):
-                    self._match(w, own[a : a + (1 << 15)], last, n, rows, found)
-            at = to
+        pos, pair = self._hits(w, rows)
+        for item in [i for i, x in enumerate(self.words) if len(x) == 1]:  # no pair: its word is its window
+            self._match(w, np.flatnonzero(w == self.words[item][0]), item, last, rows, found)
+        if len(pos):
+            # hits in runs that could hold the least demanding item, then each with its items
+            size = np.array([len(x) for x in self.words])
+            few = int(least_pairs(size[size > 1], self.similarity).min()) if (size > 1).any() else 1
+            ahead = np.searchsorted(pos, np.minimum(pos + size.max(), last[pos])) - np.arange(len(pos))
+            back = np.zeros(len(pos) + 1, np.int64)
+            np.add.at(back, np.flatnonzero(ahead >= few), 1)
+            ends = np.flatnonzero(ahead >= few)
+            np.add.at(back, np.minimum(len(pos), ends + ahead[ends]), -1)
+            use = np.cumsum(back[:-1]) > 0
+            pos, pair = pos[use], pair[use]
+            n_places = self.first[pair + 1] - self.first[pair]
+            at = np.repeat(self.first[pair], n_places) + (np.arange(n_places.sum()) - np.repeat(np.cumsum(n_places) - n_places, n_places))
+            place, item, offset = np.repeat(pos, n_places), self.item[at], self.offset[at]
+            # where the item would begin; the pairs of one occurrence lie within k places of another
+            begin = place - offset
+            key = item.astype(np.int64) * (2 * len(w) + size.max() + 1) + begin + size.max()
+            order = np.argsort(key, kind="stable")
+            key, place, item, begin = key[order], place[order], item[order], begin[order]
+            edits_of = allowed(size, self.similarity)
+            end = np.searchsorted(key, key + edits_of[item], "right")
+            g = np.flatnonzero(end - np.arange(len(key)) >= kept_pairs(size[item], self.similarity))
+            run = np.zeros(len(key) + 1, np.int64)
+            np.add.at(run, g, 1)
+            np.add.at(run, end[g], -1)
+            good = np.cumsum(run[:-1]) > 0
+            start, item = np.maximum(begin, first[place])[good], item[good]
+            pairs = np.unique(start * len(self.words) + item)
+            self._match(w, pairs // len(self.words), pairs % len(self.words), last, rows, found)
         out = []
         for (row, item), places in found.items():
             target = self.words[item]
@@ -175,21 +206,33 @@ class Index:
                 out.append((row, self.ids[item], int(best[1] - first[best[1]]), best[0], n))
         return out
 
-    def _match(self, w, own, last, n, rows, found) -> None:
-        _, positions, table, owner = self.groups[n]
-        if not len(own):
-            return
-        cols = own[:, None] + np.arange(n)[None, :]
-        windows = np.where(cols < last[own][:, None], w[np.minimum(cols, len(w) - 1)], U(0))
-        k = keys(windows, positions)
-        lo = np.searchsorted(table, k, "left")
-        for i, r in zip(*np.nonzero((lo < len(table)) & (table[np.minimum(lo, len(table) - 1)] == k)), strict=True):
-            j = lo[i, r]
-            while j < len(table) and table[j] == k[i, r]:
-                places = found.setdefault((int(rows[own[i]]), int(owner[j])), [])
-                if not places or places[-1] != own[i]:
-                    places.append(int(own[i]))
-                j += 1
+    def _hits(self, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number of its pair) where a pair of the items begins."""
+        if len(w) < 2 or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        p = pair_hash(w)
+        maybe = np.flatnonzero(self.bitmap[(p & U((1 << 22) - 1)).astype(np.int64)] & (rows[1:] == rows[:-1]))
+        spot = np.minimum(np.searchsorted(self.known, p[maybe]), len(self.known) - 1)
+        same = self.known[spot] == p[maybe]
+        return maybe[same], spot[same]
+
+    def _match(self, w, starts, items, last, rows, found) -> None:
+        """LSH over windows of each item's size at ``starts``: kept where some repetition gives a key of that item."""
+        size = np.array([len(x) for x in self.words])
+        items = np.broadcast_to(items, starts.shape)
+        for a in range(0, len(starts), 1 << 13):
+            own, item = starts[a : a + (1 << 13)], items[a : a + (1 << 13)]
+            n = size[item]
+            cols = own[:, None] + np.arange(n.max())[None, :]
+            inside = (cols < last[own][:, None]) & (np.arange(n.max())[None, :] < n[:, None])
+            windows = np.where(inside, w[np.minimum(cols, len(w) - 1)], U(0))
+            row, k = keys(windows, n, self.positions)
+            lo, hi = np.searchsorted(self.table, k, "left"), np.searchsorted(self.table, k, "right")
+            size_of = hi - lo
+            flat = np.repeat(lo, size_of) + (np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of))
+            of = np.repeat(row, size_of)
+            for i in np.unique(of[self.owner[flat] == item[of]]):
+                found.setdefault((int(rows[own[i]]), int(item[i])), []).append(int(own[i]))
 
 
 def _regions(places: list[int], n: int):
@@ -213,7 +256,7 @@ def repeats(table: np.ndarray, similarity: float, seed: int = 5) -> int:
     if not k:
         return 1
     rng = np.random.default_rng([seed, n])
-    base = table[rng.integers(0, len(table), 64)]
+    base = table[rng.integers(0, len(table), 48)]
     changed = np.zeros_like(base)
     for i, row in enumerate(base):
         s = list(row)
@@ -221,10 +264,10 @@ def repeats(table: np.ndarray, similarity: float, seed: int = 5) -> int:
             p, kind = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
             new = np.uint64(rng.integers(1, 1 << 62))
             s[p : p + (kind > 0)] = [] if kind == 1 else [new]
-        s = (s + [np.uint64(0)] * n)[:n]
-        changed[i] = s
-    positions = sampled(n, 24)
-    p = max(0.02, float((keys(base, positions) == keys(changed, positions)).mean()))
+        changed[i] = (s + [np.uint64(0)] * n)[:n]
+    tried = {n: sampled(n, 16)}
+    same = keys(base, np.full(len(base), n), tried)[1] == keys(changed, np.full(len(base), n), tried)[1]
+    p = max(0.02, float(same.mean()))
     return int(min(MAX_REPEATS, np.ceil(np.log(1 - RECALL) / np.log(1 - min(p, 0.99)))))
 
 
