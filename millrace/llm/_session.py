@@ -8,9 +8,9 @@ setting is absent (tests on one machine).
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,7 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan above it reads files every executor can open."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    _release(df.sparkSession)
+    return out
+
+
+_released = [0.0]
+
+
+def _release(spark: SparkSession, pause: float = 5.0) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more, at most every ``pause`` seconds.
+
+    Its cleaner follows the driver's garbage collection, which an idle heap puts
+    off, while loops of checkpoints leave dead shuffles behind.
+    """
+    if time.monotonic() - _released[0] > pause:
+        _released[0] = time.monotonic()
+        spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

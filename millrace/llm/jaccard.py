@@ -186,11 +186,11 @@ def _possible(a: str, b: str, percent: int):
     return low * 100 >= high * percent
 
 
-def _close(percent: int):
-    """The parity sketches of x and y leave the required similarity possible."""
+def _close(percent: int, near: float = 1.0):
+    """The parity sketches of x and y leave the required similarity possible (or are ``near`` times as far apart at most)."""
     distance = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
     # |x & y| >= t / (100 + t) * (nx + ny), hence |x ^ y| <= (nx + ny) * (100 - t) / (100 + t)
-    return distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    return distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent) * (F.lit(near) if near < 1 else F.lit(1))
 
 
 def _fragments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
@@ -263,18 +263,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     hubs = shared.where((F.col("set_id") != F.col("hub")) & _possible("n", "hub_n", percent)).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
     hubs = cut(_measured(hubs, classes, percent).select("a", "b"))
     links = cut(_verified(docs, hubs, classes, k, percent, counts, pivots))
-    comp = components(links)
-    placed = shared.select("h", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-    open_rows = cut(placed.join(mixed, "h", "left_semi").join(classes.drop("doc_id", "check", "check2", "sketch"), "set_id"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _close(percent)
-    cross = x.join(y, met).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct().join(hubs, ["a", "b"], "left_anti")
-    cross = cut(_measured(cross, classes, percent))
-    # of two components the closest pair first; only those that it leaves apart need all their pairs
-    best = cross.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-    links = cut(links.unionByName(_verified(docs, best, classes, k, percent, counts, pivots)))
     comp = cut(components(links))
+    tried = hubs
+    for near in (0.7, 1.0):  # clearly near pairs first: what they join needs no more pairs
+        cross = cut(_cross(shared, comp, classes, tried, percent, near))
+        # of two components the closest pair first; only those that it leaves apart need all their pairs
+        best = cut(cross.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair")).select("pair.a", "pair.b"))
+        links = cut(links.unionByName(_verified(docs, best, classes, k, percent, counts, pivots)))
+        comp = cut(components(links))
+        tried = tried.unionByName(best)
     ends = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = cross.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     apart = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
@@ -288,6 +285,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _cross(shared: DataFrame, comp: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, near: float) -> DataFrame:
+    """(a, b, ca, cb, room): untried pairs of different components that share a prefix shingle and that lengths and sketches leave possible.
+
+    ``near`` < 1 asks for sketches that much closer than the similarity does.
+    """
+    placed = shared.select("h", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
+    rows = cut(placed.join(mixed, "h", "left_semi").join(classes.drop("doc_id", "check", "check2", "sketch"), "set_id"))
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _close(percent, near)
+    pairs = x.join(y, met).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
+    return _measured(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent)
+
+
 def _pivots(counts: np.ndarray) -> np.ndarray:
     """Bucket counts that cut all occurrences into FRAGMENTS parts of about equal weight."""
     order = np.sort(counts)
