@@ -10,8 +10,8 @@ probability over 0.9995.
 
 A label of n distinct vectors uses cells of the signs of K further projections,
 K = log2(n / CELL) rounded up, in as many independent repetitions as a pair at the
-threshold needs to meet with probability ``RECALL``; up to CELL vectors that is
-one cell and no loss.  A cell larger than BLOCK is worked off in pairs of blocks.
+threshold needs to meet with probability ``RECALL``.  Where the repetitions would
+outweigh the smaller cells, and up to CELL vectors, there is one cell and no loss.  A cell larger than BLOCK is worked off in pairs of blocks.
 
 Equal vectors of one label are one class: they are compared once and counted as
 often as they occur.  Pairs stay inside a task, which hands on each class's
@@ -63,7 +63,8 @@ def cells(n: int, threshold: float) -> tuple[int, int]:
     if not bits:
         return 0, 1
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    repeats = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    return (bits, repeats) if repeats < 1 << bits else (0, 1)  # few bits cost more in repetitions than they save
 
 
 def collisions(a: np.ndarray, b: np.ndarray, directions: np.ndarray, width: float) -> np.ndarray:
