@@ -6,9 +6,10 @@ a language stays in its set only if the likelihood gained by it exceeds a
 penalty that grows with the logarithm of the number of words.  The prediction
 is the language of largest proportion, the score that proportion.
 
-The trigram tables are fitted on a bounded sample: at most ``per_lang`` training
-documents of each of at most ``max_langs`` languages, at most ``fit_chars``
-characters of each.  Prediction reads every text whole, in slices of documents.
+Every language with a labelled text is learned.  Its trigram table is fitted on a
+bounded sample: at most ``per_lang`` training documents of each language, at most
+``fit_chars`` characters of each, counted by the executors.  Prediction reads every
+text whole, in slices of documents that shrink as languages are added.
 
 Edge cases: a text that is null or has no letters is ``und`` with score 0; ties
 go to the language first by code point; a table without labelled rows predicts
@@ -67,7 +68,7 @@ class Model:
         h, starts, docs, has = letters(texts)
         if not len(starts):
             return pred, score
-        ll = np.add.reduceat(self.table[h], starts, axis=0).astype(np.float64)
+        ll = self._words(h, starts)
         top = ll.max(axis=1, keepdims=True)
         like = np.exp(np.maximum(ll - top, -60.0))
         live = np.flatnonzero(has)
@@ -89,12 +90,22 @@ class Model:
             pred[d], score[d] = self.langs[w], float(min(1.0, chosen[j, w]))
         return pred, score
 
+    def _words(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log likelihood of each word under each language, some words at a time."""
+        out = np.empty((len(starts), len(self.langs)))
+        cuts = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(h), max(1, 4 * SLICE // len(self.langs)))), len(starts)])
+        ends = np.r_[starts, len(h)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            out[a:b] = np.add.reduceat(self.table[h[ends[a] : ends[b]]], starts[a:b] - starts[a], axis=0)
+        return out
+
     def predict_all(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """predict() over slices of bounded size."""
         pred, score, at = [], [], 0
+        limit = 4 * SLICE // max(4, len(self.langs))
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and (size == 0 or size + len(texts[to]) <= SLICE):
+            while to < len(texts) and (size == 0 or size + len(texts[to]) <= limit):
                 size += len(texts[to]) + 1
                 to += 1
             p, s = self.predict(texts[at:to])
@@ -148,22 +159,42 @@ def held_out(doc_id, mod: int, rest: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def fit(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, fit_chars: int = 20_000, mod: int = 4, rest: int = 2) -> Model:
-    """Trigram tables from a bounded sample of the training documents with a language."""
-    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
-    order = F.xxhash64("doc_id", F.length("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = train.select("doc_id", "lang", order.alias("h")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang")
-    langs = picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    ids = picked.join(F.broadcast(langs), "lang", "left_semi").select("doc_id").distinct()
-    rows = train.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, fit_chars).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.limit(4 * per_lang * max_langs).collect()
-    names = sorted({r["lang"] for r in rows})
-    counts = np.full((BUCKETS, len(names)), 0.05)
+def _trigrams(batches):
+    """(lang, counts by trigram bucket) of rows sorted by language."""
+    now, total = None, None
+
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if lang != now:
+                if now is not None:
+                    yield flush()
+                now, total = lang, np.zeros(BUCKETS, np.int64)
+            total += np.bincount(letters([text])[0], minlength=BUCKETS)
+    if now is not None:
+        yield flush()
+
+
+def fit(docs: DataFrame, per_lang: int = 400, fit_chars: int = 20_000, mod: int = 4, rest: int = 2) -> Model:
+    """Trigram tables of every language from a bounded sample of its training documents."""
+    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), mod, rest) & F.col("text").isNotNull())
+    train = train.select("lang", F.substring("text", 1, fit_chars).alias("text"), F.xxhash64("doc_id", F.length("text")).alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = train.select("lang", "h", rank.alias("rank")).where(F.col("rank") <= per_lang).select("lang", "h").distinct()
+    rows = train.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "text")
+    summed = rows.repartition("lang").sortWithinPartitions("lang").mapInArrow(_trigrams, "lang string, counts binary")
+    counts: dict[str, np.ndarray] = {}
+    for r in summed.toLocalIterator():
+        part = np.frombuffer(bytes(r["counts"]), np.int64)
+        counts[r["lang"]] = counts[r["lang"]] + part if r["lang"] in counts else part
+    names = sorted(counts)
+    table = np.empty((BUCKETS, len(names)), np.float32)
     for i, name in enumerate(names):
-        h, *_ = letters([r["text"] for r in rows if r["lang"] == name])
-        counts[:, i] += np.bincount(h, minlength=BUCKETS)
-    return Model(names, np.log(counts / counts.sum(axis=0)).astype(np.float32) if names else np.zeros((BUCKETS, 0), np.float32))
+        smooth = counts[name] + 0.05
+        table[:, i] = np.log(smooth / smooth.sum())
+    return Model(names, table)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -208,6 +208,20 @@ def test_language_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_language(frame):
+    """No number of languages leaves any out, nor do null ids."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        for j in range(8):
+            text = " ".join("".join(chr(0x4E00 + 12 * i + rng.randrange(12)) for _ in range(5)) for _ in range(30))
+            rows.append((None if i == 7 and j else 8 * i + j, text, f"l{i:03d}"))
+    got = langid.identify(frame(rows, "doc_id long, text string, lang string"))
+    want = {r[0]: r[2] for r in rows if r[0] is not None}
+    wrong = [r for r in got.collect() if r["lang_pred"] != (want[r["doc_id"]] if r["doc_id"] is not None else "l007")]
+    assert not wrong
+
+
 # --- 5 Jaccard --------------------------------------------------------------------------------
 
 
