@@ -12,8 +12,10 @@ word edits of the item (items of fewer than five words: exactly).
    random bit of step and word), which turns edits into Hamming distance.
    ``BITS`` sampled positions of a walk form a key; as many repetitions are drawn
    as a simulation over the items with the most edits allowed needs for RECALL.
-3. Windows whose key equals an item's are verified by exact edit distance of the
-   item to the best run inside the window's surroundings.
+   Long items would need more than MAX_REPEATS; none are drawn for them.
+3. Windows whose key equals an item's, and all windows of long items, are verified
+   by exact edit distance of the item to the best run inside the window's
+   surroundings, so long items are found without loss.
 
 The items are taken in blocks of bounded size, one pass over the documents each,
 and only a block is ever broadcast.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._text import U, chunks, hashes, mix, spans
 
-SIMILARITY, BITS, RECALL, MAX_REPEATS = 0.8, 2, 0.99, 48
+SIMILARITY, BITS, RECALL, MAX_REPEATS, CASES = 0.8, 2, 0.99, 48, 200
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 OTHER = np.ones(256, bool)
 OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -70,6 +72,8 @@ def walk(windows: np.ndarray, repeat: np.ndarray, upto: int) -> np.ndarray:
 
 def sampled(n: int, repeats: int) -> np.ndarray:
     """Positions looked at by each repetition for items of n words."""
+    if not repeats:
+        return np.zeros((0, BITS), np.int64)
     rng = np.random.default_rng([n, 77])
     return np.stack([np.sort(rng.choice(max(BITS, 2 * n), BITS, replace=False)) for _ in range(repeats)])
 
@@ -220,6 +224,10 @@ class Index:
         """LSH over windows of each item's size at ``starts``: kept where some repetition gives a key of that item."""
         size = np.array([len(x) for x in self.words])
         items = np.broadcast_to(items, starts.shape)
+        direct = np.array([not len(self.positions[int(n)]) for n in size])[items]
+        for p, i in zip(starts[direct].tolist(), items[direct].tolist(), strict=True):
+            found.setdefault((int(rows[p]), i), []).append(p)
+        starts, items = starts[~direct], items[~direct]
         for a in range(0, len(starts), 1 << 13):
             own, item = starts[a : a + (1 << 13)], items[a : a + (1 << 13)]
             n = size[item]
@@ -250,25 +258,30 @@ def pair_hash(w: np.ndarray) -> np.ndarray:
 
 
 def repeats(table: np.ndarray, similarity: float, seed: int = 5) -> int:
-    """Repetitions that reach RECALL for windows with the most edits allowed, by simulation over the items."""
+    """Repetitions that find RECALL of the windows with the most edits allowed, by simulation over the items; 0 if MAX_REPEATS are too few."""
     n = table.shape[1]
     k = int(allowed(n, similarity))
     if not k:
         return 1
     rng = np.random.default_rng([seed, n])
-    base = table[rng.integers(0, len(table), 48)]
-    changed = np.zeros_like(base)
-    for i, row in enumerate(base):
-        s = list(row)
-        for _ in range(k):
-            p, kind = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
-            new = np.uint64(rng.integers(1, 1 << 62))
-            s[p : p + (kind > 0)] = [] if kind == 1 else [new]
-        changed[i] = (s + [np.uint64(0)] * n)[:n]
-    tried = {n: sampled(n, 16)}
-    same = keys(base, np.full(len(base), n), tried)[1] == keys(changed, np.full(len(base), n), tried)[1]
-    p = max(0.02, float(same.mean()))
-    return int(min(MAX_REPEATS, np.ceil(np.log(1 - RECALL) / np.log(1 - min(p, 0.99)))))
+    # few cases tell where MAX_REPEATS are far from enough
+    for cases in (24, CASES):
+        base = table[rng.integers(0, len(table), cases)]
+        changed = np.zeros_like(base)
+        for i, row in enumerate(base):
+            s = list(row)
+            for _ in range(k):
+                p, kind = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
+                new = np.uint64(rng.integers(1, 1 << 62))
+                s[p : p + (kind > 0)] = [] if kind == 1 else [new]
+            changed[i] = (s + [np.uint64(0)] * n)[:n]
+        tried = {n: sampled(n, MAX_REPEATS)}
+        same = (keys(base, np.full(cases, n), tried)[1] == keys(changed, np.full(cases, n), tried)[1]).reshape(cases, MAX_REPEATS)
+        first = np.sort(np.where(same.any(axis=1), same.argmax(axis=1) + 1, MAX_REPEATS + 1))
+        need = int(first[int(np.ceil(RECALL * cases)) - 1])
+        if (first > MAX_REPEATS).sum() > 1 or (cases == CASES and need > MAX_REPEATS):
+            return 0
+    return need
 
 
 def blocks(items: DataFrame):

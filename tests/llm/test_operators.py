@@ -94,6 +94,23 @@ def test_decontamination_finds_edited_copies_and_leaves_others(spark, frame):
     assert {r["doc_id"] for r in kept.collect()} == {100, 101, 102}
 
 
+def test_decontamination_finds_long_items(frame):
+    """Items of hundreds of words with all the edits allowed: nothing is given up."""
+    rng = random.Random(6)
+    items = [(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for n in (400, 800)]
+    docs = []
+    for n, text in items:
+        for j in range(24):
+            w = text.split()
+            for _ in range(n // 5):
+                p, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[p : p + (kind > 0)] = [] if kind == 1 else [f"z{rng.randrange(99999)}"]
+            docs.append((n + j, " ".join(["start", *w, "end"])))
+    docs.append((1, " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))))
+    got = decontam.contaminated(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(n + j, n) for n, _ in items for j in range(24)}
+
+
 def test_decontamination_odd_rows(odd, empty, frame):
     items = frame([(1, None), (2, ""), (3, "house by the sea")], "item_id long, text string")
     assert sorted((r["doc_id"] or 0, r["item_id"]) for r in decontam.contaminated(odd, items).collect()) == [(0, 3), (6, 3), (6, 3)]
