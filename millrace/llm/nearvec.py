@@ -4,14 +4,16 @@ Vectors of one label are dealt into cells; within a cell every vector is
 projected on ``PROJECTIONS`` fixed directions.  On each projection the values are
 sorted and every vector's window of half-width ``w`` around its own value is
 looked up; a pair is counted once for each window in which it meets.  Pairs with
-at least ``need`` counts are verified by their cosine in double precision.  Width
-and count are calibrated so that a pair exactly at the threshold passes with
-probability over 0.9995.
+at least ``need`` counts are verified by their cosine in double precision.
 
 A label of n distinct vectors uses cells of the signs of K further projections,
-K = log2(n / CELL) rounded up, in as many independent repetitions as a pair at the
-threshold needs to meet with probability ``RECALL``.  Where the repetitions would
-outweigh the smaller cells, and up to CELL vectors, there is one cell and no loss.  A cell larger than BLOCK is worked off in pairs of blocks.
+K = log2(n / CELL) rounded up, in independent repetitions.  Where the repetitions
+would outweigh the smaller cells, and up to CELL vectors, there is one cell.  A cell
+larger than BLOCK is worked off in pairs of blocks.
+
+One rule holds for labels of every size: a pair exactly at the threshold both meets
+in a cell and passes the count with probability ``RECALL`` at least.  What the count
+may miss is taken off first; the repetitions are as many as the rest asks for.
 
 Equal vectors of one label are one class: they are compared once and counted as
 often as they occur.  Pairs stay inside a task, which hands on each class's
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._session import cut, stored
 
-PROJECTIONS, CELL, BLOCK, RECALL, MAX_BITS = 24, 4096, 1024, 0.999, 24
+PROJECTIONS, CELL, BLOCK, RECALL, MAX_BITS = 24, 4096, 1024, 0.9995, 24
 BROADCAST_ROWS = 100_000
 
 
@@ -45,15 +47,15 @@ def _directions(dim: int, count: int, seed: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def window(dim: int, threshold: float) -> tuple[float, int]:
-    """Half-width of a window, and the least number of collisions that misses a pair at the threshold with under 0.0005."""
+def _below(count: int) -> float:
+    """Probability that a pair at the threshold meets in fewer than ``count`` windows."""
     p = math.erf(2.0 / math.sqrt(2))
-    tail, need = 0.0, 0
-    for c in range(PROJECTIONS + 1):
-        tail += math.comb(PROJECTIONS, c) * p**c * (1 - p) ** (PROJECTIONS - c)
-        if tail > 0.0005:
-            need = c
-            break
+    return sum(math.comb(PROJECTIONS, c) * p**c * (1 - p) ** (PROJECTIONS - c) for c in range(count))
+
+
+def window(dim: int, threshold: float) -> tuple[float, int]:
+    """Half-width of a window, and the largest number of collisions to ask for that misses a pair at the threshold with no more than 1 - RECALL."""
+    need = max(c for c in range(PROJECTIONS + 1) if _below(c) <= 1 - RECALL)
     return 2.0 * math.sqrt(max(0.0, 2 - 2 * threshold) / dim), need
 
 
@@ -63,7 +65,8 @@ def cells(n: int, threshold: float) -> tuple[int, int]:
     if not bits:
         return 0, 1
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    repeats = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    lost = 1 - RECALL / (1 - _below(window(1, threshold)[1]))
+    repeats = math.ceil(math.log(lost) / math.log(1 - meet))
     return (bits, repeats) if repeats < 1 << bits else (0, 1)  # few bits cost more in repetitions than they save
 
 

@@ -150,6 +150,34 @@ def test_near_vectors_against_brute_force(spark, frame, monkeypatch):
     assert got[None]["n_links"] == 0 and got[None]["component_id"] is None
 
 
+def test_near_vectors_have_one_recall_at_every_size():
+    p = math.erf(2 / math.sqrt(2))
+    need = nearvec.window(64, 0.93)[1]
+    counted = sum(math.comb(24, c) * p**c * (1 - p) ** (24 - c) for c in range(need, 25))
+    for n in [2, 5000, 16_384, 16_385, 40_000, 100_000, 10**6, 10**8]:
+        bits, repeats = nearvec.cells(n, 0.93)
+        met = 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** repeats
+        assert met * counted >= 0.9995, n
+
+
+def test_near_vectors_of_a_label_dealt_into_cells(spark):
+    """A label above 16,384 vectors against brute force, its pairs right at the threshold."""
+    rng = np.random.default_rng(4)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 8250, 32)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9301
+    v = np.concatenate([a, c * a + math.sqrt(1 - c * c) * b]).astype(np.float32)
+    assert nearvec.cells(len(v), 0.93)[0] > 0
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in nearvec.near_vectors(df).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[k : k + 2000] @ u.T >= 0.93).sum(axis=1) - 1 for k in range(0, len(u), 2000)])
+    links = np.array([got[i] for i in range(len(u))])
+    print("links", links.sum(), "of", want.sum())
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+
+
 # --- 3 tokens ---------------------------------------------------------------------------------
 
 
