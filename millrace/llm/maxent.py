@@ -13,9 +13,9 @@ feature), and both together.  Its weights are trained by distributed gradient
 updates: every task makes AdaGrad steps over its training texts in minibatches,
 and the tasks' weights are averaged, weighted by their tokens.
 
-Only two things are drawn from a bounded sample: the word clusters (at most
-``sample_docs`` training texts, ``sample_chars`` characters each).  The head, the
-class table and the feature weights have fixed sizes and are broadcast.  Counts
+Nothing is drawn from a sample: word clusters come from how often each head word
+stands near the most frequent words in all training texts, read whole.  The head,
+the class table and the feature weights have fixed sizes and are broadcast.  Counts
 of rare words reach the texts by a co-grouping of hash buckets.
 
 Edge cases: a null or empty text is one end; without training texts every word
@@ -37,7 +37,7 @@ from ._session import cut, stored
 from ._text import U, chunks, hashes, mix, spans
 from .langid import held_out
 
-HEAD, CLUSTERS, BINS = 1 << 16, 8, 3
+HEAD, ANCHORS, CLUSTERS, BINS = 1 << 16, 96, 8, 3
 CLASSES = CLUSTERS * BINS + 1
 RARE = CLASSES - 1
 ROWS_ONE, ROWS_SKIP, ROWS_TWO = 1 << 13, 1 << 13, 1 << 14
@@ -144,24 +144,50 @@ def _step(w: np.ndarray, g2: np.ndarray, f: np.ndarray, y: np.ndarray, rate: flo
         w[rows] -= rate * grad / (np.sqrt(g2[rows]) + 1e-3)
 
 
-def _clusters(sample: list[str], words: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Cluster of each head word by the most frequent words beside it (spherical k-means from fixed seeds)."""
-    n = len(words)
-    anchors = np.argsort(-count, kind="stable")[:96]
-    table = np.zeros((n, len(anchors)), np.float32)
-    slot = np.full(n, -1)
+def _anchors(count: np.ndarray) -> np.ndarray:
+    """Places of the most frequent head words."""
+    return np.argsort(-count, kind="stable")[:ANCHORS]
+
+
+def _add_near(flat: np.ndarray, t: np.ndarray, bounds: np.ndarray, words: np.ndarray, slot: np.ndarray) -> None:
+    """Count in ``flat`` (head word, anchor) each head word within three places of an anchor of its text."""
+    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
+    known = words[at] == t
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    width = int(slot.max()) + 1
+    for gap in (1, 2, 3):
+        a, b = at[:-gap], at[gap:]
+        ok = known[:-gap] & known[gap:] & (row[:-gap] == row[gap:])
+        for x, y in ((a, b), (b, a)):
+            hit = ok & (slot[y] >= 0)
+            np.add.at(flat, x[hit] * width + slot[y[hit]], 1)
+
+
+def _near(train: DataFrame, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(head words, anchors): how often they stand near each other in all training texts; ``words`` are sorted."""
+    anchors = _anchors(count)
+    slot = np.full(len(words), -1)
     slot[anchors] = np.arange(len(anchors))
-    for text in sample:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        t, _ = tokens(raw, np.array([0, len(raw)]))
-        at = np.minimum(np.searchsorted(words, t), n - 1)
-        known = words[at] == t
-        for gap in (1, 2, 3):
-            a, b = at[:-gap], at[gap:]
-            ok = known[:-gap] & known[gap:]
-            for x, y in ((a, b), (b, a)):
-                hit = ok & (slot[y] >= 0)
-                np.add.at(table, (x[hit], slot[y[hit]]), 1)
+    shared = train.sparkSession.sparkContext.broadcast((words, slot))
+    size = len(words) * len(anchors)
+
+    def run(batches):
+        words, slot = shared.value
+        flat = np.zeros(size, np.int32)
+        for batch in batches:
+            for _, raw, offsets in chunks(batch.column("text"), 1 << 20):
+                _add_near(flat, *tokens(raw, offsets), words, slot)
+        for c, data in _sketch.chunk_rows(flat):
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([data], pa.binary())], ["chunk", "counts"])
+
+    if not size:
+        return np.zeros((0, 0), np.int64)
+    return _sketch.add_up(train.select("text").mapInArrow(run, "chunk int, counts binary"), "int32", size).reshape(len(words), len(anchors))
+
+
+def _clusters(near: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Cluster of each head word by the most frequent words beside it (spherical k-means from fixed seeds)."""
+    anchors, table = _anchors(count), near.astype(np.float32)
     some = table.sum(axis=1) > 0
     scaled = np.sqrt(table)
     scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-9)
@@ -179,13 +205,22 @@ def _clusters(sample: list[str], words: np.ndarray, count: np.ndarray) -> np.nda
     return np.where(some, own, 0)
 
 
-def _shape(words: np.ndarray, count: np.ndarray, total: int, kinds: int, sample: list[str]) -> Shape:
+def _shape(words: np.ndarray, count: np.ndarray, total: int, kinds: int, texts: list[str], near: np.ndarray | None = None) -> Shape:
+    """The fixed tables; ``near`` has the rows of sorted ``words`` and is counted over ``texts`` if not given."""
     order = np.argsort(words)
     words, count = words[order], count[order]
     rare_words, rare_count = kinds - len(words), total - int(count.sum())
     kind, inside = np.zeros(len(words), np.int64), np.zeros(len(words))
     if len(words):
-        cluster = _clusters(sample, words, count)
+        if near is None:
+            anchors = _anchors(count)
+            slot = np.full(len(words), -1)
+            slot[anchors] = np.arange(len(anchors))
+            near = np.zeros((len(words), len(anchors)), np.int64)
+            for text in texts:
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                _add_near(near.reshape(-1), *tokens(raw, np.array([0, len(raw)])), words, slot)
+        cluster = _clusters(near, count)
         for k in range(CLUSTERS):
             own = np.flatnonzero(cluster == k)
             if not len(own):
@@ -293,7 +328,7 @@ def _rare_sums(key, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": texts["row"].to_numpy(), "known": np.add.reduceat(n > 0, bounds).astype("int64"), "logs": np.add.reduceat(np.log10(n + 1.0), bounds)})
 
 
-def score(docs: DataFrame, head: int = HEAD, rounds: int = 1, rate: float = 0.15, sample_docs: int = 3000, sample_chars: int = 4000, mod: int = 7, rest: int = 2) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, rounds: int = 1, rate: float = 0.15, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -301,9 +336,10 @@ def score(docs: DataFrame, head: int = HEAD, rounds: int = 1, rate: float = 0.15
     counts = stored(_counts(train), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = [r["text"] for r in train.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()]
-    shape = _shape(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(n), int(v), sample)
+    words, count = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    order = np.argsort(words)
+    words, count = words[order], count[order]
+    shape = _shape(words, count, int(n), int(v), [], _near(train, words, count))
     shape = _train(train, shape, rounds, rate)
     buckets = max(1, -(-int(v) // BUCKET_WORDS), -(-int(n) * 8 // BUCKET_BYTES))
     shared = spark.sparkContext.broadcast(shape)

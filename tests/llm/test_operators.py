@@ -375,6 +375,29 @@ def test_language_model_is_a_distribution():
     assert shape.rare_total == (20 - 14) + 3 + 1
 
 
+def test_language_model_clusters_words_that_occur_late(frame, monkeypatch):
+    """Words met only far into long texts are clustered by their neighbours like any others."""
+    rng = random.Random(2)
+
+    def run(kind, when, n):
+        near = {"a": "pa pb", "b": "ra rb"}[kind]
+        return " ".join(f"{near} {when}{kind}{rng.randrange(5)}" for _ in range(n))
+
+    texts = [" ".join(run(k, "early", 300) for k in ("a", "b")) + " " + " ".join(run(k, "late", 60) for k in ("a", "b")) for _ in range(6)]
+    assert all(t.index("late") > 4000 for t in texts)
+    shapes, train = [], maxent._train
+    monkeypatch.setattr(maxent, "_train", lambda t, shape, *rest: shapes.append(shape) or train(t, shape, *rest))
+    maxent.score(frame(list(enumerate(texts)), "doc_id long, text string")).count()
+
+    def cluster(word):
+        h = maxent.tokens(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))[0][0]
+        return int(shapes[0].kind[np.searchsorted(shapes[0].words, h)]) // maxent.BINS
+
+    early = {k: Counter(cluster(f"early{k}{i}") for i in range(5)) for k in "ab"}
+    late = {k: Counter(cluster(f"late{k}{i}") for i in range(5)) for k in "ab"}
+    assert not set(early["a"]) & set(early["b"]) and not set(late["a"]) & set(late["b"])
+
+
 def test_language_model_odd_rows(odd, empty):
     rows = maxent.score(odd, head=8).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
