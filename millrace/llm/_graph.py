@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut
+from ._session import cut, tidy
+
+EDGES = "a long, b long"
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the edges (x, y) that form a spanning forest."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (j := up.get(i, i)) != i:
+            up[i] = up.get(j, j)
+            i = j
+        return i
+
+    keep = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        i, j = find(a), find(b)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _thin(batches):
+    """Each batch's spanning forest: edges that say nothing new never reach a shuffle."""
+    for batch in batches:
+        keep = forest(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+        yield batch.take(pa.array(keep))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     n nodes takes O(log n) rounds and hubs only ever hand on one value.  Lineage
     is cut after each round.
     """
-    now = cut(_flat(edges.select("a", "b")))
+    now = cut(_flat(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(tidy(_thin), EDGES)))
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
@@ -30,6 +60,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def merged(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of ``known`` once ``edges`` (a, b) are added: only the edges between components are worked on."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(known.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    top = cut(components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b")))
+    nodes = known.unionByName(ends.select(F.col("a").alias("id"), F.col("ca").alias("component"))).unionByName(ends.select(F.col("b").alias("id"), F.col("cb").alias("component"))).distinct()
+    return nodes.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and the sum of their 64-bit hashes: equal for equal sets of edges."""
     found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -42,9 +83,10 @@ def _flat(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, from every larger neighbour of a node to the least node around it; some may come twice."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _flat(both.where("v > u").join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a")))
+    return both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -29,18 +29,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
-    return have[:n]
+_FAR = 64
+_PLACE = mix(np.arange(1, _FAR * 256 + 1, dtype=np.uint64) * U(_BASE))  # one random word for each byte value at each of the first places
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +85,26 @@ def spans(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
 
 
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, with A-Z lower-cased."""
+    """A 64-bit hash of each span, with A-Z lower-cased: the mixed sum of a random word for each byte at its place.
+
+    Every pair of place and byte has its own random word, so no structure of the
+    bytes (runs, periods, Thue-Morse words) makes sums meet.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     n = len(raw)
+    at = np.arange(n, dtype=np.int64)
+    first = np.zeros(n, np.int64)
+    first[starts] = starts
+    place = at - np.maximum.accumulate(first)
+    low = LOWER[raw]
+    value = _PLACE[((place & (_FAR - 1)) << 8) + low]
+    far = np.flatnonzero(place >= _FAR)
+    if len(far):
+        value[far] = mix((place[far].astype(np.uint64) * U(256) + low[far]) * U(_BASE) + U(0x632BE59BD9B4E019))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[LOWER[raw]] * _power("up", _BASE, n), out=total[1:])
-    down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    np.cumsum(value, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def chain(w: np.ndarray, k: int) -> np.ndarray:

@@ -7,20 +7,33 @@ in each fragment for itself and the partial counts are summed per pair, so no
 task ever needs two whole documents, and the link test is exact.
 
 Candidates: two sets of the required similarity share a shingle among their
-first ``n - ceil(t * n) + 1``.  The documents behind such a shingle are not paired
-with one another.  First each is compared with one hub of its shingle (the
-shortest); then components are formed, and only documents of different
-components that still share a prefix shingle are paired, if their lengths and
-their parity sketches (whose Hamming distance never exceeds the number of
-shingles they differ in) leave a link possible.  Of two components the closest
-pair is tested first, and all others only if that leaves the components apart.
-Pairs inside a component need no test, as the result is components.
+first ``n - ceil(t * n) + 1`` in the global order.  The sets behind one such
+shingle are a group; shingles with the same sets behind them are one group.  The
+sets of a group are not paired with one another.  As the result is components,
+candidates are proposed in rounds, and links found in a round are merged before
+the next:
+
+1. and 2.  every set proposes the nearest set of another component that it meets
+   among some 256 of its group, dealt anew in each round;
+3. sets outside the largest component of their group meet the whole group, and
+   propose the nearest set of every other component;
+4. the same sets propose all that is left.
+
+"Near" is the Hamming distance of parity sketches, which never exceeds the number
+of shingles two sets differ in: a pair whose sketches are too far apart cannot
+link, and every pair that is not ruled out so has its overlap counted or ends up
+inside one component.  Rounds 1 and 2 grow with a group, 3 and 4 with the product
+of a group and the part of it that joined nothing.
 
 Documents of equal sets are one class and are compared once.
 
 Edge cases: null or empty texts, and texts without words, have the empty set and
 link with nothing; fewer words than k make one shingle; repeated rows of one id
-are one document; a null id belongs to its class's component, or to none.
+are each given their class's component; a null id is linked like any other and
+belongs to its class's component, or to none if no id is known there.  A very long
+text is one set, cut into fragments like any other; equal overlaps and equal
+sketches (ties) are ordered by set id.  Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -31,206 +44,308 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._graph import components
-from ._session import cut, stored
+from ._graph import components, merged
+from ._session import cut, discard, stored, tidy
 from ._text import U, binaries, chunks, mix, row_sets
 
-FRAGMENTS, PARITY = 4, 8
+FRAGMENTS = 4
 BROADCAST_IDS = 1_000_000
+BLOCK, WIDE = 256, 2048
+HOT_ROWS, HOT_PARTS = 1 << 16, 64
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-
-
-def prints(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit prints of each set, from sums over its mixed members; 0 for the empty set."""
+def prints(bounds: np.ndarray, values: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two prints of each set, from sums over its mixed members; 0 for the empty set.  The first has ``bits`` bits."""
     out = []
     size = np.diff(bounds)
     for salt in (0x51ED2705, 0x2545F491):
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(mix(values * U(2 * salt + 1)), out=total[1:])
-        out.append(np.where(size > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)), U(0)).view(np.int64))
-    return out[0], out[1]
+        out.append(np.where(size > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)), U(0)))
+    one = np.where(size > 0, out[0] >> U(64 - bits), U(0))
+    return one.view(np.int64), mix(out[0] * U(0x9FB21C651E98DF25) + out[1]).view(np.int64)
 
 
-def parity(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 512-bit sketch of each set: bit b is the parity of its members that fall on b."""
-    n = len(bounds) - 1
-    slot = mix(values ^ U(0xA5A5A5A5)) & U(511)
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    bits = (np.bincount(row * 512 + slot.astype(np.int64), minlength=n * 512) & 1).astype(np.uint8).reshape(n, 512)
-    return np.packbits(bits, axis=1).view(np.int64)
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's sketch: a power of two, four to eight a member, eight to sixteen for small sets."""
+    want = np.maximum(size, 1) * np.where(size <= 256, 8, 4)
+    return np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(want, 64))).astype(np.int64), 0)
 
 
-def long_parity(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte bounds, bytes): parity sketches of about three bits a member, a power of two, for sets that outgrow 512 bits; else empty."""
+def sketches(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte bounds, bytes): bit b of a set's sketch is the parity of its members that fall on b."""
     size = np.diff(bounds)
-    bits = np.where(3 * size > 512, 1 << np.ceil(np.log2(np.maximum(3 * size, 1))).astype(np.int64), 0)
+    bits = sketch_bits(size)
     at = np.r_[0, np.cumsum(bits)]
     row = np.repeat(np.arange(len(size)), size)
-    use = bits[row] > 0
     slot = mix(values ^ U(0xC3C3C3C3)).astype(np.int64) & (bits[row] - 1)
-    flat = (np.bincount((at[row] + slot)[use], minlength=at[-1]) & 1).astype(np.uint8)
-    return at // 8, np.packbits(flat)
+    flat = np.zeros(at[-1], np.uint8)
+    place = np.sort(at[row] + slot)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    flat[place[first]] = np.diff(np.r_[first, len(place)]) & 1
+    return at // 8, np.packbits(flat, bitorder="little")
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches (64-bit words) folded down to ``words`` words; distances never grow."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def sketch_distance(x: bytes, y: bytes) -> int:
-    """Hamming distance of two long sketches, the larger one folded down; never above the true set difference."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    """Hamming distance of two sketches, the larger one folded down; never above the true set difference."""
+    a, b = (np.frombuffer(s, np.uint64).reshape(1, -1) for s in (x, y))
+    words = min(a.shape[1], b.shape[1])
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
-def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: a row for each document (prints, size, parity) and, at the end of a task, its bucket counts."""
-    names = ["doc_id", "set_id", "check", "n", *[f"p{i}" for i in range(PARITY)], "sketch", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * PARITY, pa.binary(), pa.int32(), pa.binary()]
+def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """One pass: a row for each document (prints, size, sketch, key of its text) and, at the end of a task, its bucket counts."""
+    names = ["doc_id", "key", "one", "alt", "n", "sketch", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         counts = np.zeros(_sketch.BUCKETS, np.uint32)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, key = batch.column("doc_id"), batch.column("key")
             for a, raw, offsets in chunks(batch.column("text")):
                 bounds, values = row_sets(raw, offsets, k)
                 counts += np.bincount(_sketch.bucket(values), minlength=_sketch.BUCKETS).astype(np.uint32)
                 m = len(bounds) - 1
-                one, two = prints(bounds, values)
-                par = parity(bounds, values)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(one), pa.array(two), pa.array(np.diff(bounds).astype(np.int32)), *[pa.array(par[:, i]) for i in range(PARITY)], binaries(*long_parity(bounds, values)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                one, alt = prints(bounds, values, bits)
+                at, data = sketches(bounds, values)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), key.slice(a, m), pa.array(one), pa.array(alt), pa.array(np.diff(bounds).astype(np.int32)), binaries(at, data), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         rows = list(_sketch.chunk_rows(counts))
         m = len(rows)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in kinds[:-2]], pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-    longs = ", ".join(f"p{i} long" for i in range(PARITY))
-    return _source(docs).mapInArrow(run, f"doc_id long, set_id long, check long, n int, {longs}, sketch binary, chunk int, counts binary")
+    return _source(docs).mapInArrow(tidy(run), "doc_id long, key long, one long, alt long, n int, sketch binary, chunk int, counts binary")
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def _ordered(values: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of each set in the global order, and the count that places them."""
-    c = counts[_sketch.bucket(values)]
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((values, c, row))
-    return values[order], c[order]
+def _ids(one: np.ndarray, alt: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Set ids: the first print, or the longer one where two sets met in the first."""
+    return np.where(np.isin(one, twice), alt, one) if len(twice) else one
+
 
+def _prefixes(docs: DataFrame, k: int, percent: int, counts, twice: np.ndarray, bits: int) -> DataFrame:
+    """(h, part, set_id, n): the first shingles of every set in the global order.
 
-def _prefixes(docs: DataFrame, k: int, percent: int, counts) -> DataFrame:
-    """(h, set_id, n): the first shingles of every set in the global order; a task hands on each set once."""
+    ``part`` deals the sets behind a shingle of a very frequent bucket to several
+    tasks (-1: not dealt); sets a task has just seen are not handed on again.
+    """
 
     def run(batches):
         seen: set[int] = set()
+        often = max(HOT_ROWS, 8 * int(counts.value.sum()) // _sketch.BUCKETS)
         for batch in batches:
             for _, raw, offsets in chunks(batch.column("text")):
                 bounds, values = row_sets(raw, offsets, k)
-                one, _ = prints(bounds, values)
+                ids = _ids(*prints(bounds, values, bits), twice)
                 n = np.diff(bounds)
-                values, _ = _ordered(values, bounds, counts.value)
-                if len(seen) > 1_000_000:
+                c = counts.value[_sketch.bucket(values)]
+                order = np.lexsort((values, c, np.repeat(np.arange(len(n)), n)))
+                values, c = values[order], c[order]
+                if len(seen) > 100_000:
                     seen.clear()
                 new = np.zeros(len(n), bool)
                 for i in np.flatnonzero(n):
-                    s = int(one[i])
+                    s = int(ids[i])
                     if s not in seen:
                         seen.add(s)
                         new[i] = True
                 size = np.where(new, prefix_size(n, percent), 0)
                 at = np.repeat(bounds[:-1], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-                yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(np.repeat(one, size)), pa.array(np.repeat(n, size).astype(np.int32))], ["h", "set_id", "n"])
+                owner = np.repeat(ids, size)
+                part = np.where(c[at] > often, (mix(owner.view(np.uint64)) & U(HOT_PARTS - 1)).astype(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(part.astype(np.int32)), pa.array(owner), pa.array(np.repeat(n, size).astype(np.int32))], ["h", "part", "set_id", "n"])
 
-    return _source(docs).select("text").mapInArrow(run, "h long, set_id long, n int")
+    return docs.select("text").mapInArrow(tidy(run), "h long, part int, set_id long, n int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Of prefix rows sorted by shingle, those of shingles with two sets or more, with the hub (shortest set); a stream, no group is held."""
+    """Distinct rows (h, set_id, n) of shingles with two sets or more in sight; a stream over sorted rows, no group is held."""
 
     def run(batches):
-        names = ["h", "set_id", "n", "hub", "hub_n"]
-        last = None  # the open shingle: (h, hub, hub_n, whether its first row is still to be handed on, last set seen)
+        last = None  # the open shingle: (h, set, n, part, whether that row is still to be handed on)
         for batch in batches:
-            h, s, n = (batch.column(c).to_numpy() for c in ("h", "set_id", "n"))
+            h, s, n, part = (batch.column(c).to_numpy() for c in ("h", "set_id", "n", "part"))
             if not len(h):
                 continue
             if last is not None:
-                h, s, n = np.r_[last[0], h], np.r_[last[4], s], np.r_[last[5], n]
-            distinct = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]
-            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
-            hub, hub_n = s[start].copy(), n[start].copy()
-            pending = np.zeros(len(h), bool)
-            if last is not None:
-                hub[0], hub_n[0] = last[1], last[2]
-                pending[0] = not last[3]  # already handed on
-            many = np.bincount(group[distinct]) > 1
-            if last is not None and not last[3]:
-                many[0] = True
-            out = distinct & many[group] & ~pending
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[out], s[out], n[out], hub[group[out]], hub_n[group[out]])], names)
-            g = group[-1]
-            first_waits = not many[g]
-            last = (h[-1], hub[g], hub_n[g], first_waits, s[-1], n[-1])
+                h, s, n, part = np.r_[last[0], h], np.r_[last[1], s], np.r_[last[2], n], np.r_[last[3], part]
+            new_h = np.r_[True, h[1:] != h[:-1]]
+            distinct = np.r_[True, new_h[1:] | (s[1:] != s[:-1])]
+            group = np.cumsum(new_h) - 1
+            many = (np.bincount(group[distinct]) > 1)[group] | (part >= 0)
+            if last is not None and not last[4]:
+                many |= group == 0
+                distinct[0] = False
+            out = distinct & many
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (h, s, n)], ["h", "set_id", "n"])
+            last = (h[-1], s[-1], n[-1], part[-1], not many[-1])
+
+    return prefixes.repartition("h", "part").sortWithinPartitions("h", "set_id").mapInArrow(tidy(run), "h long, set_id long, n int")
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """(g, m, set_id): the sets behind shingles, one group for all shingles with the same sets; m sets each."""
+    lists = shared.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+    kept = lists.where("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h"))
+    return shared.join(kept.select("h", "m"), "h").select(F.col("h").alias("g"), "m", "set_id")
+
+
+class _Group:
+    """Sets that met in one task: distances by sketch, as far as lengths and sketches leave a link possible."""
+
+    def __init__(self, rows: list[tuple], percent: int) -> None:
+        rows.sort(key=lambda r: (r[1], r[0], r[4]))
+        self.percent = percent
+        self.id = np.array([r[0] for r in rows], np.int64)
+        self.n = np.array([r[1] for r in rows], np.int64)
+        self.comp = np.array([r[2] for r in rows], np.int64)
+        self.sketch = [np.frombuffer(r[3], np.uint64).reshape(1, -1) for r in rows]
+        self.role = np.array([r[4] for r in rows])
+
+    def near(self, left: np.ndarray, right: np.ndarray, slab: int = 1 << 22):
+        """(left places, right places, gap) of the pairs that may link, gap being distance less distance allowed."""
+        words = np.array([s.shape[1] for s in self.sketch])
+        for a in np.unique(words[left]):
+            x = left[words[left] == a]
+            for b in np.unique(words[right]):
+                if not a <= 2 * b or not b <= 2 * a:
+                    continue  # lengths too different
+                y, w = right[words[right] == b], min(a, b)
+                sy = folded(np.concatenate([self.sketch[j] for j in y]), w)
+                step = max(1, slab // (len(y) * int(w)))
+                for k in range(0, len(x), step):
+                    xs = x[k : k + step]
+                    sx = folded(np.concatenate([self.sketch[i] for i in xs]), w)
+                    distance = np.zeros((len(xs), len(y)), np.int64)
+                    for c in range(int(w)):
+                        distance += np.bitwise_count(sx[:, c, None] ^ sy[None, :, c])
+                    nx, ny = self.n[xs][:, None], self.n[y][None, :]
+                    # |x & y| >= t / (100 + t) * (nx + ny), hence |x ^ y| <= (nx + ny) * (100 - t) / (100 + t)
+                    gap = distance * (100 + self.percent) - (nx + ny) * (100 - self.percent)
+                    ok = (gap <= 0) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * self.percent) & (self.comp[xs][:, None] != self.comp[y][None, :])
+                    i, j = np.nonzero(ok)
+                    yield xs[i], y[j], gap[i, j]
+
+    def pairs(self, how: str) -> np.ndarray:
+        """(a, b) of the candidates: "nearest" of each set, "each" other component's nearest of each probing set, or "all" of those."""
+        everyone = np.arange(len(self.id))
+        left, right = (everyone, everyone) if how == "nearest" else (np.flatnonzero(self.role == 1), np.flatnonzero(self.role == 0))
+        if not len(left) or not len(right):
+            return np.zeros((0, 2), np.int64)
+        found = list(self.near(left, right))
+        if not found:
+            return np.zeros((0, 2), np.int64)
+        x, y, gap = (np.concatenate(c) for c in zip(*found, strict=True))
+        if how != "all":
+            order = np.lexsort((self.id[y], gap, self.comp[y], x)) if how == "each" else np.lexsort((self.id[y], gap, x))
+            x, y = x[order], y[order]
+            first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+            if how == "each" and len(x):
+                first |= np.r_[True, self.comp[y][1:] != self.comp[y][:-1]]
+            x, y = x[first], y[first]
+        a, b = self.id[x], self.id[y]
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+
+
+def _candidates(rows: DataFrame, how: str, percent: int) -> DataFrame:
+    """Distinct candidates (a, b) of rows (g, i, c, set_id, n, component, sketch, role), a task (g, i, c) at a time."""
+    names = ["set_id", "n", "component", "sketch", "role"]
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("g", "i", "c", *names)]
+            for g, i, c, *row in zip(*cols, strict=True):
+                if (g, i, c) != now:
+                    if len(held) > 1:
+                        yield _pairs(_Group(held, percent).pairs(how))
+                    now, held = (g, i, c), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield _pairs(_Group(held, percent).pairs(how))
+
+    dealt = rows.select("g", "i", "c", *names).repartition("g", "i", "c").sortWithinPartitions("g", "i", "c")
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
-    dealt = prefixes.repartition("h").sortWithinPartitions("h", "n", "set_id")
-    return dealt.mapInArrow(run, "h long, set_id long, n int, hub long, hub_n int")
 
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-def _possible(a: str, b: str, percent: int):
-    """Lengths of both sides leave the required similarity possible."""
-    low, high = F.least(a, b), F.greatest(a, b)
-    return low * 100 >= high * percent
 
+def _blocks(rows: DataFrame, salt: int) -> DataFrame:
+    """Groups dealt at random into blocks of about BLOCK sets."""
+    block = F.pmod(F.xxhash64("set_id", "g", F.lit(salt)), F.ceil(F.col("m") / BLOCK))
+    return rows.withColumns({"i": block, "c": F.lit(0).cast("long"), "role": F.lit(0)})
 
-def _close(percent: int, near: float = 1.0):
-    """The parity sketches of x and y leave the required similarity possible (or are ``near`` times as far apart at most)."""
-    distance = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
-    # |x & y| >= t / (100 + t) * (nx + ny), hence |x ^ y| <= (nx + ny) * (100 - t) / (100 + t)
-    return distance * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent) * (F.lit(near) if near < 1 else F.lit(1))
 
+def _probes(rows: DataFrame) -> DataFrame:
+    """Of each group: the sets outside its largest component (role 1) beside all its sets (role 0), in bounded blocks of both."""
+    sizes = rows.groupBy("g", "component").agg(F.count(F.lit(1)).alias("w"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("m2"))
+    main = main.select("g", F.col("top.component").alias("main"), F.ceil(F.col("m2") / WIDE).alias("own"), F.ceil((F.col("m2") - F.col("top.w")) / WIDE).alias("odd"))
+    both = rows.join(main, "g")
+    own = both.select("*", F.pmod(F.xxhash64("set_id"), "own").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd") - 1)).alias("c"), F.lit(0).alias("role"))
+    odd = both.where("component != main").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), F.pmod(F.xxhash64("set_id", F.lit(7)), "odd").alias("c"), F.lit(1).alias("role"))
+    return own.unionByName(odd)
 
-def _fragments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray) -> DataFrame:
-    """(set_id, f, size, members) of the wanted documents: each set's part in each fragment of the global order."""
-    size = wanted.count()
-    wanted = F.broadcast(wanted) if size <= BROADCAST_IDS else wanted
-    source = _source(docs).join(wanted, "doc_id").select("set_id", "text")
+
+def _fragments(docs: DataFrame, wanted: DataFrame, k: int, counts, pivots: np.ndarray, twice: np.ndarray, bits: int) -> DataFrame:
+    """(set_id, f, members) of the texts whose key is wanted: each set's part in each fragment of the global order."""
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    source = _source(docs).join(wanted, "key", "left_semi").select("text")
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column("set_id").to_numpy()
-            for a, raw, offsets in chunks(batch.column("text")):
+            for _, raw, offsets in chunks(batch.column("text")):
                 bounds, values = row_sets(raw, offsets, k)
+                ids = _ids(*prints(bounds, values, bits), twice)
                 m = len(bounds) - 1
-                f = np.searchsorted(pivots, counts.value[_sketch.bucket(values)], "right")
+                new = np.zeros(m, bool)
+                for i, s in enumerate(ids.tolist()):
+                    if s not in seen:
+                        new[i] = True
+                        seen.add(s)
+                if len(seen) > 100_000:
+                    seen.clear()
                 row = np.repeat(np.arange(m), np.diff(bounds))
+                f = np.searchsorted(pivots, counts.value[_sketch.bucket(values)], "right")
                 order = np.lexsort((values, f, row))
                 cuts = np.searchsorted(row[order] * FRAGMENTS + f[order], np.arange(m * FRAGMENTS + 1))
-                keep = np.diff(cuts) > 0
-                data = binaries(cuts, values[order])
-                rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a : a + m], FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), m)), data], ["set_id", "f", "members"])
+                keep = (np.diff(cuts) > 0) & np.repeat(new, FRAGMENTS)
+                rows = pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), m)), binaries(cuts, values[order])], ["set_id", "f", "members"])
                 yield rows.filter(pa.array(keep))
 
-    return source.mapInArrow(run, "set_id long, f int, members binary")
+    return source.mapInArrow(tidy(run), "set_id long, f int, members binary")
 
 
 def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, overlap): partial counts of each fragment, summed per pair."""
 
+    def flat(col):
+        offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        return np.frombuffer(col.buffers()[2], np.uint64, (offs[-1] - offs[0]) // 8, offs[0]), np.diff(offs) // 8
+
     def run(batches):
         for batch in batches:
-            x, y = batch.column("mx"), batch.column("my")
             out = np.zeros(batch.num_rows, np.int64)
             if batch.num_rows:
-                def flat(col):
-                    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-                    return np.frombuffer(col.buffers()[2], np.uint64, (offs[-1] - offs[0]) // 8, offs[0]), np.diff(offs) // 8
-
-                vx, nx = flat(x)
-                vy, ny = flat(y)
+                vx, nx = flat(batch.column("mx"))
+                vy, ny = flat(batch.column("my"))
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
                 v = np.concatenate([vx, vy])
                 order = np.lexsort((v, row))
@@ -238,65 +353,10 @@ def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
                 out = np.bincount(row[1:][(v[1:] == v[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out.astype(np.int64))], ["a", "b", "part"])
 
-    left = parts.select(F.col("set_id").alias("a"), "f", F.col("members").alias("mx"))
+    left = parts.select(F.col("set_id").alias("a"), F.col("f").alias("f2"), F.col("members").alias("mx"))
     right = parts.select(F.col("set_id").alias("b"), F.col("f").alias("f2"), F.col("members").alias("my"))
-    both = pairs.select("a", "b").join(left, "a").withColumnRenamed("f", "f2").join(right, ["b", "f2"]).select("a", "b", "mx", "my")
-    return both.mapInArrow(run, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("overlap"))
-
-
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    scan = stored(_scan(docs, k), "sets")
-    counts_array = _sketch.add_up(scan.where(F.col("chunk").isNotNull()), "uint32", _sketch.BUCKETS)
-    counts = spark.sparkContext.broadcast(counts_array)  # BUCKETS numbers, whatever the corpus
-    pivots = _pivots(counts_array)
-    rows = scan.where(F.col("chunk").isNull()).drop("chunk", "counts")
-    member = rows.select("doc_id", "set_id", "n")
-    classes = rows.where("n > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("check2"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY)], F.first("sketch").alias("sketch")
-    )
-    classes = stored(classes, "classes")
-    if not classes.where("check != check2").isEmpty():
-        raise ValueError("two different sets have one 64-bit print; change the salts in prints()")
-    shared = cut(_shared(_prefixes(docs, k, percent, counts)))
-    hubs = shared.where((F.col("set_id") != F.col("hub")) & _possible("n", "hub_n", percent)).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-    hubs = cut(_measured(hubs, classes, percent).select("a", "b"))
-    links = cut(_verified(docs, hubs, classes, k, percent, counts, pivots))
-    comp = cut(components(links))
-    tried = hubs
-    for near in (0.7, 1.0):  # clearly near pairs first: what they join needs no more pairs
-        cross = cut(_cross(shared, comp, classes, tried, percent, near))
-        # of two components the closest pair first; only those that it leaves apart need all their pairs
-        best = cut(cross.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("pair")).select("pair.a", "pair.b"))
-        links = cut(links.unionByName(_verified(docs, best, classes, k, percent, counts, pivots)))
-        comp = cut(components(links))
-        tried = tried.unionByName(best)
-    ends = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = cross.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    apart = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    if not apart.isEmpty():
-        comp = components(links.unionByName(_verified(docs, apart, classes, k, percent, counts, pivots)))
-    named = comp.join(classes.select(F.col("set_id").alias("id"), "doc_id"), "id")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_doc"))
-    known = classes.select("set_id", "doc_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").join(least, "component", "left")
-    known = known.select("set_id", F.coalesce("component_doc", "doc_id").alias("component_id"))
-    out = member.join(known, "set_id", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _cross(shared: DataFrame, comp: DataFrame, classes: DataFrame, tried: DataFrame, percent: int, near: float) -> DataFrame:
-    """(a, b, ca, cb, room): untried pairs of different components that share a prefix shingle and that lengths and sketches leave possible.
-
-    ``near`` < 1 asks for sketches that much closer than the similarity does.
-    """
-    placed = shared.select("h", "set_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("h")
-    rows = cut(placed.join(mixed, "h", "left_semi").join(classes.drop("doc_id", "check", "check2", "sketch"), "set_id"))
-    x, y = rows.alias("x"), rows.alias("y")
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & _close(percent, near)
-    pairs = x.join(y, met).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
-    return _measured(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent)
+    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "f2"]).select("a", "b", "mx", "my")
+    return both.mapInArrow(tidy(run), "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("overlap"))
 
 
 def _pivots(counts: np.ndarray) -> np.ndarray:
@@ -308,32 +368,59 @@ def _pivots(counts: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
 
 
-def _measured(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ...) whose sketches leave a link possible, with ``room``: distance seen less distance allowed."""
-    names = list(pairs.columns)
-    s = classes.select("set_id", "n", *[f"p{i}" for i in range(PARITY)], "sketch")
-    both = pairs.join(s.alias("x"), F.col("a") == F.col("x.set_id")).join(s.alias("y"), F.col("b") == F.col("y.set_id"))
-    both = both.where(_close(percent)).select(*names, (F.col("x.n") + F.col("y.n")).alias("size"), F.col("x.sketch").alias("sx"), F.col("y.sketch").alias("sy"))
-
-    def run(batches):
-        for batch in batches:
-            size = batch.column("size").to_numpy().astype(np.int64)
-            room = np.array([sketch_distance(x, y) if x and y else 0 for x, y in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)], np.int64) * (100 + percent) - size * (100 - percent)
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(room)], [*names, "room"])
-            yield out.filter(pa.array(room <= 0))
-
-    return both.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "room"]))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, counts, pivots) -> DataFrame:
-    """Of the pairs (a, b), those that link: overlap counted by fragments, exact."""
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = cut(classes.select("set_id", "doc_id").where(F.col("doc_id").isNotNull()).join(ids, "set_id", "left_semi"))
-    parts = _fragments(docs, wanted, k, counts, pivots)
-    parts = stored(parts.groupBy("set_id", "f").agg(F.first("members").alias("members")), "fragments")
-    size = classes.select("set_id", "n")
-    found = _overlaps(pairs, parts).join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    return found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    scan = stored(_scan(docs, k, print_bits), "sets")
+    counts_array = _sketch.add_up(scan.where(F.col("chunk").isNotNull()), "uint32", _sketch.BUCKETS)
+    counts = spark.sparkContext.broadcast(counts_array)  # BUCKETS numbers, whatever the corpus
+    pivots = _pivots(counts_array)
+    rows = scan.where(F.col("chunk").isNull()).drop("chunk", "counts")
+    # the id of a class is its first print; of sets that met there by chance (about one in 10^10 sets) the longer one
+    classes = stored(rows.where("n > 0").groupBy("one", "alt").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    twice = np.array([r["one"] for r in classes.groupBy("one").count().where("count > 1").select("one").collect()], np.int64)
+    set_id = (F.when(F.col("one").isin(twice.tolist()), F.col("alt")).otherwise(F.col("one")) if len(twice) else F.col("one")).alias("set_id")
+    sets = classes.select(set_id, "doc_id", "key", "n", "sketch")
+    shared = stored(_shared(_prefixes(docs, k, percent, counts, twice, print_bits)), "prefixes")
+    groups = stored(_groups(shared).join(sets.select("set_id", "n", "sketch"), "set_id"), "groups")
+    discard(shared)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those that link: overlap counted by fragments, exact."""
+        ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        wanted = cut(sets.select("set_id", "key", "n").join(ids, "set_id", "left_semi"))
+        parts = stored(_fragments(docs, wanted.select("key").distinct(), k, counts, pivots, twice, print_bits).groupBy("set_id", "f").agg(F.first("members").alias("members")), "fragments")
+        size = wanted.select("set_id", "n")
+        found = _overlaps(pairs, parts).join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
+        found = cut(found.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b"))
+        discard(parts)
+        return found
+
+    comp = tried = None
+    for turn, how in enumerate(("nearest", "nearest", "each", "all")):
+        placed = groups.withColumn("component", F.col("set_id"))
+        if comp is not None:
+            placed = groups.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+            mixed = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
+            placed = cut(placed.join(mixed, "g", "left_semi"))
+        pairs = _candidates(_blocks(placed, turn) if how == "nearest" else _probes(placed), how, percent)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        links = verified(pairs)
+        comp = cut(components(links) if comp is None else merged(comp, links))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    discard(groups)
+    if comp is None:
+        known = sets.select("set_id", F.col("doc_id").alias("component_id"))
+    else:
+        named = comp.join(sets.select(F.col("set_id").alias("id"), "doc_id"), "id")
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_doc"))
+        known = sets.select("set_id", "doc_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").join(least, "component", "left")
+        known = known.select("set_id", F.coalesce("component_doc", "doc_id").alias("component_id"))
+    member = rows.select("doc_id", "n", set_id)
+    out = member.join(known, "set_id", "left")
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

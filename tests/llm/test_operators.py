@@ -322,16 +322,54 @@ def test_jaccard_of_many_near_copies(spark, frame):
     assert got == brute_components(rows, 4, 85)
 
 
-def test_parity_never_exceeds_the_difference():
+def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64)) for n in (300, 310, 1200, 1900)]
-    sets.append(np.unique(np.concatenate([sets[2][:-40], sets[3][:30]])))
+    sets = [np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64)) for n in (3, 250, 260, 300, 310, 1200, 1900)]
+    sets.append(np.unique(np.concatenate([sets[5][:-40], sets[6][:30]])))
     bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
-    at, data = jaccard.long_parity(bounds, np.concatenate(sets))
+    at, data = jaccard.sketches(bounds, np.concatenate(sets))
+    part = [data[at[i] : at[i + 1]].tobytes() for i in range(len(sets))]
     for a in range(len(sets)):
         for b in range(len(sets)):
             true = len(np.setxor1d(sets[a], sets[b]))
-            assert jaccard.sketch_distance(data[at[a] : at[a + 1]].tobytes(), data[at[b] : at[b + 1]].tobytes()) <= true
+            assert jaccard.sketch_distance(part[a], part[b]) <= true
+    assert jaccard.sketch_distance(part[5], part[7]) >= 0.8 * len(np.setxor1d(sets[5], sets[7]))
+
+
+def test_jaccard_tells_apart_sets_whose_prints_meet(spark, sf_dir):
+    """A first print of four bits: nearly all sets meet in it."""
+    docs = _table(spark, sf_dir, "documents")
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, print_bits=4).collect()}
+    assert got == want
+
+
+def test_words_of_one_structure_have_their_own_hashes():
+    """Thue-Morse words and their complements, on which polynomial hashes modulo 2**64 all meet, and long periodic words."""
+    thue = b"a"
+    while len(thue) < 4096:
+        thue += thue.translate(bytes.maketrans(b"ab", b"ba"))
+    found = set()
+    listed = [thue[:n] for n in (1024, 2048, 4096)] + [thue[:n].translate(bytes.maketrans(b"ab", b"ba")) for n in (1024, 2048, 4096)] + [b"ab" * 600, b"ba" * 600, b"a" * 1200, b"a" * 63, b"a" * 64, b"a" * 65]
+    for w in listed:
+        raw = np.frombuffer(w, np.uint8)
+        found.add(int(_text.hashes(raw, np.array([0]), np.array([len(raw)]))[0]))
+    assert len(found) == len(listed)
+    raw = np.frombuffer(b"xx " + thue, np.uint8)  # the same word elsewhere
+    assert int(_text.hashes(raw, np.array([3]), np.array([3 + 4096]))[0]) in found
+
+
+def test_jaccard_links_through_null_ids(frame):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    left, right = list(base), list(base)
+    left[10], right[50] = "x", "y"
+    left[11], right[51] = "x2", "y2"
+    rows = [(1, " ".join(left)), (None, " ".join(base)), (2, " ".join(right)), (3, " ".join(rng.sample(base, 100)))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame(rows, "doc_id long, text string"), 4, 90).collect()}
+    both = len(shingle_set(" ".join(left), 4) & shingle_set(" ".join(right), 4))
+    assert 100 * both < 90 * (2 * 97 - both)  # 1 and 2 link through the null row alone
+    assert got == {1: 1, 2: 1, None: 1, 3: 3}
 
 
 def test_jaccard_odd_rows(odd, empty):
