@@ -36,15 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder, in folders by a column if asked, and read it back.
 
     Meant for wide binary payloads, which a checkpoint would keep uncompressed.
     The folder is removed by ``discard`` or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     fs, hadoop = _fs(spark, path)
     fs.deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,8 +22,9 @@ the next:
 "Near" is the Hamming distance of parity sketches, which never exceeds the number
 of shingles two sets differ in: a pair whose sketches are too far apart cannot
 link, and every pair that is not ruled out so has its overlap counted or ends up
-inside one component.  Rounds 1 and 2 grow with a group, 3 and 4 with the product
-of a group and the part of it that joined nothing.
+inside one component.  Groups carry sketches of 512 bits; what they propose is
+held against sketches as long as the sets ask for.  Rounds 1 and 2 grow with a
+group, 3 and 4 with the product of a group and the part of it that joined nothing.
 
 Documents of equal sets are one class and are compared once.
 
@@ -51,6 +52,7 @@ from ._text import U, binaries, chunks, mix, row_sets
 FRAGMENTS = 4
 BROADCAST_IDS = 1_000_000
 BLOCK, WIDE = 256, 2048
+SHORT = 8  # words of the sketches that groups carry
 HOT_ROWS, HOT_PARTS = 1 << 16, 64
 
 
@@ -67,9 +69,9 @@ def prints(bounds: np.ndarray, values: np.ndarray, bits: int = 64) -> tuple[np.n
 
 
 def sketch_bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's sketch: a power of two, four to eight a member, eight to sixteen for small sets."""
-    want = np.maximum(size, 1) * np.where(size <= 256, 8, 4)
-    return np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(want, 64))).astype(np.int64), 0)
+    """Bits of a set's sketch: a power of two, three to six a member, eight to sixteen for small sets."""
+    want = np.maximum(size, 1) * np.where(size <= 256, 8, 3)
+    return np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(want, 64 * SHORT))).astype(np.int64), 0)
 
 
 def sketches(bounds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,93 +199,115 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("h", "part").sortWithinPartitions("h", "set_id").mapInArrow(tidy(run), "h long, set_id long, n int")
 
 
+def _couples(groups: DataFrame, percent: int) -> DataFrame:
+    """The candidates (a, b) of groups of two sets."""
+    two = groups.where("m = 2").groupBy("g").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    return two.where(F.col("lo") * 100 >= F.col("hi") * percent).select("a", "b").distinct()
+
+
 def _groups(shared: DataFrame) -> DataFrame:
     """(g, m, set_id): the sets behind shingles, one group for all shingles with the same sets; m sets each."""
     lists = shared.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
     kept = lists.where("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h"))
-    return shared.join(kept.select("h", "m"), "h").select(F.col("h").alias("g"), "m", "set_id")
-
-
-class _Group:
-    """Sets that met in one task: distances by sketch, as far as lengths and sketches leave a link possible."""
-
-    def __init__(self, rows: list[tuple], percent: int) -> None:
-        rows.sort(key=lambda r: (r[1], r[0], r[4]))
-        self.percent = percent
-        self.id = np.array([r[0] for r in rows], np.int64)
-        self.n = np.array([r[1] for r in rows], np.int64)
-        self.comp = np.array([r[2] for r in rows], np.int64)
-        self.sketch = [np.frombuffer(r[3], np.uint64).reshape(1, -1) for r in rows]
-        self.role = np.array([r[4] for r in rows])
-
-    def near(self, left: np.ndarray, right: np.ndarray, slab: int = 1 << 22):
-        """(left places, right places, gap) of the pairs that may link, gap being distance less distance allowed."""
-        words = np.array([s.shape[1] for s in self.sketch])
-        for a in np.unique(words[left]):
-            x = left[words[left] == a]
-            for b in np.unique(words[right]):
-                if not a <= 2 * b or not b <= 2 * a:
-                    continue  # lengths too different
-                y, w = right[words[right] == b], min(a, b)
-                sy = folded(np.concatenate([self.sketch[j] for j in y]), w)
-                step = max(1, slab // (len(y) * int(w)))
-                for k in range(0, len(x), step):
-                    xs = x[k : k + step]
-                    sx = folded(np.concatenate([self.sketch[i] for i in xs]), w)
-                    distance = np.zeros((len(xs), len(y)), np.int64)
-                    for c in range(int(w)):
-                        distance += np.bitwise_count(sx[:, c, None] ^ sy[None, :, c])
-                    nx, ny = self.n[xs][:, None], self.n[y][None, :]
-                    # |x & y| >= t / (100 + t) * (nx + ny), hence |x ^ y| <= (nx + ny) * (100 - t) / (100 + t)
-                    gap = distance * (100 + self.percent) - (nx + ny) * (100 - self.percent)
-                    ok = (gap <= 0) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * self.percent) & (self.comp[xs][:, None] != self.comp[y][None, :])
-                    i, j = np.nonzero(ok)
-                    yield xs[i], y[j], gap[i, j]
-
-    def pairs(self, how: str) -> np.ndarray:
-        """(a, b) of the candidates: "nearest" of each set, "each" other component's nearest of each probing set, or "all" of those."""
-        everyone = np.arange(len(self.id))
-        left, right = (everyone, everyone) if how == "nearest" else (np.flatnonzero(self.role == 1), np.flatnonzero(self.role == 0))
-        if not len(left) or not len(right):
-            return np.zeros((0, 2), np.int64)
-        found = list(self.near(left, right))
-        if not found:
-            return np.zeros((0, 2), np.int64)
-        x, y, gap = (np.concatenate(c) for c in zip(*found, strict=True))
-        if how != "all":
-            order = np.lexsort((self.id[y], gap, self.comp[y], x)) if how == "each" else np.lexsort((self.id[y], gap, x))
-            x, y = x[order], y[order]
-            first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
-            if how == "each" and len(x):
-                first |= np.r_[True, self.comp[y][1:] != self.comp[y][:-1]]
-            x, y = x[first], y[first]
-        a, b = self.id[x], self.id[y]
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return shared.join(kept.select("h", "m"), "h").select(F.col("h").alias("g"), "m", "set_id", "n")
+
+
+def _allowed(distance, nx, ny, percent: int):
+    """Distance seen less distance allowed: |x & y| >= t / (100 + t) * (nx + ny), hence |x ^ y| <= (nx + ny) * (100 - t) / (100 + t)."""
+    return distance * (100 + percent) - (nx + ny) * (100 - percent)
+
+
+def _proposed(n, comp, role, sketch, how: str, percent: int, slab: int = 1 << 20):
+    """(left, right) places of the candidates of one task, its sets in order of id: the "nearest" of each set, "each" other component's nearest of each probing set, or "all" of those."""
+    every = np.arange(len(n))
+    left, right = (every, every) if how == "nearest" else (np.flatnonzero(role == 1), np.flatnonzero(role == 0))
+    if not len(left) or not len(right):
+        return
+    step = max(1, slab // len(right))
+    for k in range(0, len(left), step):
+        x = left[k : k + step]
+        distance = np.zeros((len(x), len(right)), np.int32)
+        for c in range(SHORT):
+            distance += np.bitwise_count(sketch[x, c, None] ^ sketch[None, right, c])
+        nx, ny = n[x][:, None], n[right][None, :]
+        gap = _allowed(distance, nx, ny, percent)
+        ok = (gap <= 0) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (comp[x][:, None] != comp[right][None, :])
+        if how == "nearest":
+            best = np.where(ok, gap, 1).argmin(axis=1)
+            has = ok[np.arange(len(x)), best]
+            yield x[has], right[best[has]]
+            continue
+        i, j = np.nonzero(ok)
+        if how == "each" and len(i):
+            other = comp[right[j]]
+            order = np.lexsort((j, gap[i, j], other, i))
+            i, j, other = i[order], j[order], other[order]
+            first = np.r_[True, (i[1:] != i[:-1]) | (other[1:] != other[:-1])]
+            i, j = i[first], j[first]
+        yield x[i], right[j]
 
 
 def _candidates(rows: DataFrame, how: str, percent: int) -> DataFrame:
-    """Distinct candidates (a, b) of rows (g, i, c, set_id, n, component, sketch, role), a task (g, i, c) at a time."""
-    names = ["set_id", "n", "component", "sketch", "role"]
+    """Distinct candidates (a, b) of rows (g, i, c, set_id, n, component, short, role), a task (g, i, c) at a time."""
+    names = ["g", "i", "c", "set_id", "n", "component", "role"]
+
+    def work(cols, sketch):
+        key = np.stack(cols[:3])
+        cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                ids = cols[3][a:b]
+                out += [(ids[x], ids[y]) for x, y in _proposed(cols[4][a:b], cols[5][a:b], cols[6][a:b], sketch[a:b], how, percent) if len(x)]
+        x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        keep = x != y
+        pairs = np.unique(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches):
-        now, held = None, []
+        held = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("g", "i", "c", *names)]
-            for g, i, c, *row in zip(*cols, strict=True):
-                if (g, i, c) != now:
-                    if len(held) > 1:
-                        yield _pairs(_Group(held, percent).pairs(how))
-                    now, held = (g, i, c), []
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield _pairs(_Group(held, percent).pairs(how))
-
-    dealt = rows.select("g", "i", "c", *names).repartition("g", "i", "c").sortWithinPartitions("g", "i", "c")
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            sketch = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, SHORT)
+            if held is not None:
+                cols, sketch = [np.concatenate(z) for z in zip(held[0], cols, strict=True)], np.concatenate([held[1], sketch])
+            # the last task's rows may go on in the next batch
+            open_ = int(np.flatnonzero(np.r_[True, (np.stack(cols[:3])[:, 1:] != np.stack(cols[:3])[:, :-1]).any(axis=0)])[-1])
+            if open_:
+                yield work([z[:open_] for z in cols], sketch[:open_])
+            held = [z[open_:] for z in cols], sketch[open_:]
+        if held is not None:
+            yield work(*held)
+
+    dealt = rows.select(*names, "short").repartition("g", "i", "c").sortWithinPartitions("g", "i", "c", "set_id", "role")
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _pairs(found: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those that whole sketches leave possible."""
+    s = sets.select("set_id", "n", "sketch")
+    both = pairs.join(s.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            distance = [sketch_distance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            gap = _allowed(np.array(distance, np.int64), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(gap <= 0))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    """(set_id, short): sketches folded to SHORT words."""
+
+    def run(batches):
+        for batch in batches:
+            short = [folded(np.frombuffer(x, np.uint64).reshape(1, -1), SHORT).tobytes() for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(short, pa.binary())], ["set_id", "short"])
+
+    return sets.select("set_id", "sketch").mapInArrow(tidy(run), "set_id long, short binary")
 
 
 def _blocks(rows: DataFrame, salt: int) -> DataFrame:
@@ -382,8 +406,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bit
     set_id = (F.when(F.col("one").isin(twice.tolist()), F.col("alt")).otherwise(F.col("one")) if len(twice) else F.col("one")).alias("set_id")
     sets = classes.select(set_id, "doc_id", "key", "n", "sketch")
     shared = stored(_shared(_prefixes(docs, k, percent, counts, twice, print_bits)), "prefixes")
-    groups = stored(_groups(shared).join(sets.select("set_id", "n", "sketch"), "set_id"), "groups")
+    groups = stored(_groups(shared), "groups")
     discard(shared)
+    large = stored(groups.where("m > 2").join(_short(sets), "set_id"), "large")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those that link: overlap counted by fragments, exact."""
@@ -398,19 +423,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bit
 
     comp = tried = None
     for turn, how in enumerate(("nearest", "nearest", "each", "all")):
-        placed = groups.withColumn("component", F.col("set_id"))
+        placed = large.withColumn("component", F.col("set_id"))
         if comp is not None:
-            placed = groups.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+            placed = large.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
             mixed = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
             placed = cut(placed.join(mixed, "g", "left_semi"))
         pairs = _candidates(_blocks(placed, turn) if how == "nearest" else _probes(placed), how, percent)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        links = verified(pairs)
-        comp = cut(components(links) if comp is None else merged(comp, links))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    discard(groups)
+        pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs.unionByName(_couples(groups, percent)).distinct()
+        pairs = cut(_measured(pairs, sets, percent))
+        tried = tried.unionByName(pairs) if turn else pairs
+        if not pairs.isEmpty():
+            links = verified(pairs)
+            comp = cut(components(links) if comp is None else merged(comp, links))
+    discard(groups, large)
     if comp is None:
         known = sets.select("set_id", F.col("doc_id").alias("component_id"))
     else:

@@ -1,25 +1,43 @@
 """Language-model scoring by a hashed maximum-entropy model over class-factored words.
 
 Tokens are words (A-Z lower-cased) and one end per text.  Unigram counts cover
-all training texts; they are summed by word hash and stay a table, dealt into
-hash buckets, so the vocabulary may grow with the corpus.
-
-P(token | history) = P(class | history) * P(token | class).  The frequent words
-(``head`` of them, with the end) have classes by word cluster and frequency; all
-others share the class of rare words, whose distribution is (c + 1) over its
-total, one place kept for unseen words.  P(class | history) is a softmax over
-hashed features of the history: the previous word, the word before it (a skip
-feature), and both together.  Its weights are trained by distributed gradient
-updates: every task makes AdaGrad steps over its training texts in minibatches,
-and the tasks' weights are averaged, weighted by their tokens.
-
-Nothing is drawn from a sample: word clusters come from how often each head word
-stands near the most frequent words in all training texts, read whole.  The head,
-the class table and the feature weights have fixed sizes and are broadcast.  Counts
-of rare words reach the texts by a co-grouping of hash buckets.
+all training texts; they are summed by word hash and stay a table, so the
+vocabulary may grow with the corpus.
+
+A word's probability is factored along a path of three choices of ``WAYS`` each
+(class, sub-class, leaf) and its share of its leaf:
+
+    P(w | history) = P(class | h) P(sub-class | class, h) P(leaf | sub-class, h) P(w | leaf)
+
+Each choice is a softmax over the sum of a bias and of the weights of three
+features of the history: the previous word, the word before it (a skip feature),
+and both.  A feature's weights at a choice stand in one row of a hashed table
+whose rows grow with the vocabulary.  So context decides within classes as well,
+down to the leaf; frequent words have a leaf of their own, others share one by
+relative frequency, and words outside the clustered ones are dealt by their
+ending and their hash to the leaves of the last class, where each leaf keeps one
+place for unseen words.
+
+Leaves come from all training texts: the most frequent words are clustered by how
+often they stand near the anchors, the very most frequent ones, and cut into
+leaves of equal mass.
+
+Training is ``rounds`` synchronous rounds, one for each hash shard of the training
+texts.  A round sums both halves of the gradient, the observed and the expected
+count of every weight, over its shard and makes one step on the driver, scaled
+by their ratio (iterative scaling).  Expected counts are summed as integers, so the
+weights, and all scores, are the same however the rows are dealt to tasks.
+
+Texts are read twice, for counts and to encode them; what follows reads the
+encoded table.  Only tables of fixed or bounded size are broadcast: ``head``
+words, and at most 2**17 rows of weights.  The counts of the other words reach the
+texts by a join on the word.
 
 Edge cases: a null or empty text is one end; without training texts every word
-is unseen; repeated rows are scored each.
+is unseen; repeated rows, and rows without an id, are scored each; words of one
+count go into the head together or not at all (ties); a very long text is encoded
+in slices of bounded size and scored some tokens at a time.  Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,30 +45,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _sketch
-from ._session import cut, stored
-from ._text import U, chunks, hashes, mix, spans
+from ._session import discard, stored, tidy
+from ._text import LOWER, U, binaries, chunks, hashes, mix, spans
 from .langid import held_out
 
-HEAD, ANCHORS, CLUSTERS, BINS = 1 << 16, 96, 8, 3
-CLASSES = CLUSTERS * BINS + 1
-RARE = CLASSES - 1
-ROWS_ONE, ROWS_SKIP, ROWS_TWO = 1 << 13, 1 << 13, 1 << 14
-ROWS = 1 + ROWS_ONE + ROWS_SKIP + ROWS_TWO
-END = U(0)  # no word hashes to it by more than chance
-BUCKET_WORDS, BUCKET_BYTES = 1 << 18, 1 << 26
-MINIBATCH = 16_384
+HEAD, CLUSTERED, ANCHORS, CLUSTERS, ROUNDS = 1 << 18, 1 << 14, 64, 8, 4
+WAYS = 16
+LEAVES = WAYS**3
+TAIL = LEAVES - WAYS * WAYS  # first leaf of the last class
+NODES = 1 + WAYS + WAYS * WAYS
+END, START = U(0), 1 << 40  # no word hashes to END by more than chance
+SCALE, STEP, DECAY, SMOOTH = 1 << 12, 0.5, 0.8, 2.0
+TOKENS = 1 << 16
+CHUNK = 1 << 17
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes with an end after each row, bounds of the rows)."""
+    """(token hashes with an end after each row, bounds of the rows); the lowest four bits of a hash tell a word's ending."""
     starts, ends, rows = spans(raw, offsets)
     w = hashes(raw, starts, ends)
+    if len(w):
+        last = LOWER[raw[ends - 1]].astype(np.uint64) * U(256) + np.where(ends - starts > 1, LOWER[raw[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
+        w = (w & ~U(WAYS - 1)) | (mix(last + U(1)) & U(WAYS - 1))
     n = len(offsets) - 1
     size = np.bincount(rows, minlength=n) + 1
     bounds = np.r_[0, np.cumsum(size)]
@@ -82,66 +103,58 @@ def _counts(train: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _head(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, counts, least count) of the words above the least count that no more than ``head`` words reach.
+
+    The least count comes from a histogram of counts, exact up to 4096 and by powers of 2**(1/16) beyond.
+    """
+    level = F.when(F.col("c") <= 4096, F.col("c")).otherwise(4096 + F.ceil(F.log2(F.col("c") / 4096) * 16)).cast("long")
+    hist = sorted((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, total = 1 << 62, 0
+    for value, n in reversed(hist):
+        total += n
+        if total > head:
+            break
+        least = value if value <= 4096 else int(np.floor(4096 * 2.0 ** ((value - 4097) / 16))) + 1
+    top = counts.where(F.col("c") >= least).toArrow()
+    words, count = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    order = np.argsort(words)
+    return words[order], count[order], least
 
 
 @dataclass
-class Shape:
-    """Everything of fixed size that scoring needs."""
+class Model:
+    """Everything of bounded size that encoding and scoring need."""
 
     words: np.ndarray  # sorted hashes of the head
     count: np.ndarray
-    kind: np.ndarray  # class of each head word
-    inside: np.ndarray  # log10 P(word | class) of each head word
-    rare_total: float  # denominator of the rare class
-    weights: np.ndarray  # (ROWS, CLASSES)
-
-
-def _lookup(shape: Shape, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the head, whether it stands there)."""
-    if not len(shape.words):
-        return np.zeros(len(t), np.int64), np.zeros(len(t), bool)
-    at = np.minimum(np.searchsorted(shape.words, t), len(shape.words) - 1)
-    return at, shape.words[at] == t
-
-
-def features(t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Weight rows of each token's history: (tokens, 3)."""
-    start = np.zeros(len(t), np.int64)
-    start[bounds[:-1]] = np.arange(len(bounds) - 1)
-    place = np.arange(len(t)) - np.repeat(bounds[:-1], np.diff(bounds))
-    one = np.r_[END, t[:-1]]
-    two = np.r_[END, END, t[:-2]][: len(t)]
-    one = np.where(place >= 1, one, U(1))
-    two = np.where(place >= 2, two, U(1))
-    out = np.empty((len(t), 3), np.int64)
-    out[:, 0] = 1 + (mix(one + U(11)) & U(ROWS_ONE - 1)).astype(np.int64)
-    out[:, 1] = 1 + ROWS_ONE + (mix(two + U(13)) & U(ROWS_SKIP - 1)).astype(np.int64)
-    out[:, 2] = 1 + ROWS_ONE + ROWS_SKIP + (mix(one * U(3) + mix(two + U(17))) & U(ROWS_TWO - 1)).astype(np.int64)
-    return out
-
-
-def _log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[0] + w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def _step(w: np.ndarray, g2: np.ndarray, f: np.ndarray, y: np.ndarray, rate: float) -> None:
-    """One AdaGrad step on a minibatch, in place."""
-    p = np.exp(_log_softmax(w, f))
-    p[np.arange(len(y)), y] -= 1
-    for j in range(-1, 3):
-        if j < 0:
-            rows, grad = np.zeros(1, np.int64), p.sum(axis=0, keepdims=True)
-        else:
-            order = np.argsort(f[:, j], kind="stable")
-            r = f[order, j]
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            rows, grad = r[first], np.add.reduceat(p[order], first, axis=0)
-        g2[rows] += grad * grad
-        w[rows] -= rate * grad / (np.sqrt(g2[rows]) + 1e-3)
+    leaf: np.ndarray  # leaf of each head word
+    inside: np.ndarray  # log10 P(word | leaf) of each head word
+    rest: np.ndarray  # log10 of the total of each leaf of the last class
+    bias: np.ndarray  # (NODES, WAYS)
+    weights: np.ndarray  # (rows, WAYS), rows a power of two
+
+
+def _codes(words: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Place in the head, or -1 - 30 bits of the hash for any other word."""
+    other = -1 - (t & U((1 << 30) - 1)).astype(np.int64)
+    if not len(words):
+        return other.astype(np.int32)
+    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
+    return np.where(words[at] == t, at, other).astype(np.int32)
+
+
+def _tail_leaf(x: np.ndarray) -> np.ndarray:
+    """Leaf of a word outside the clustered ones, from its hash's lowest bits: its ending, then its hash."""
+    return TAIL + ((x & (WAYS - 1)) * WAYS) + ((x // WAYS) & (WAYS - 1))
+
+
+def leaves(model: Model, codes: np.ndarray) -> np.ndarray:
+    other = _tail_leaf(-1 - codes.astype(np.int64))
+    return np.where(codes >= 0, model.leaf[np.maximum(codes, 0)], other) if len(model.leaf) else other
 
 
 def _anchors(count: np.ndarray) -> np.ndarray:
@@ -149,50 +162,72 @@ def _anchors(count: np.ndarray) -> np.ndarray:
     return np.argsort(-count, kind="stable")[:ANCHORS]
 
 
-def _add_near(flat: np.ndarray, t: np.ndarray, bounds: np.ndarray, words: np.ndarray, slot: np.ndarray) -> None:
-    """Count in ``flat`` (head word, anchor) each head word within three places of an anchor of its text."""
-    at = np.minimum(np.searchsorted(words, t), len(words) - 1)
-    known = words[at] == t
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    width = int(slot.max()) + 1
-    for gap in (1, 2, 3):
-        a, b = at[:-gap], at[gap:]
-        ok = known[:-gap] & known[gap:] & (row[:-gap] == row[gap:])
-        for x, y in ((a, b), (b, a)):
-            hit = ok & (slot[y] >= 0)
-            np.add.at(flat, x[hit] * width + slot[y[hit]], 1)
-
-
-def _near(train: DataFrame, words: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(head words, anchors): how often they stand near each other in all training texts; ``words`` are sorted."""
+def _slots(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(clustered places, row of each head word among them or -1, column of each anchor or -1)."""
+    some = np.argsort(-count, kind="stable")[:CLUSTERED]
+    row, column = np.full(len(count), -1), np.full(len(count), -1)
+    row[some] = np.arange(len(some))
     anchors = _anchors(count)
-    slot = np.full(len(words), -1)
-    slot[anchors] = np.arange(len(anchors))
-    shared = train.sparkSession.sparkContext.broadcast((words, slot))
-    size = len(words) * len(anchors)
+    column[anchors] = np.arange(len(anchors))
+    return some, row, column
+
+
+def _encoded(source: DataFrame, words: np.ndarray, count: np.ndarray) -> DataFrame:
+    """A row for each text (its codes, and the hashes of its words outside the head); at the end of a task, how often clustered words stand near anchors in its training texts."""
+    _, row_of, column_of = _slots(count)
+    shared = source.sparkSession.sparkContext.broadcast((words, row_of, column_of))
+    width = min(ANCHORS, len(count))
+    size = min(CLUSTERED, len(count)) * width
+    names = ["doc_id", "shard", "n_tokens", "codes", "tail", "chunk", "counts"]
 
     def run(batches):
-        words, slot = shared.value
-        flat = np.zeros(size, np.int32)
+        words, row_of, column_of = shared.value
+        near, keys, waiting = np.zeros(size, np.int32), [], 0
+
+        def settle():
+            if keys:
+                near[:] += np.bincount(np.concatenate(keys), minlength=size).astype(np.int32)
+                keys.clear()
+
         for batch in batches:
-            for _, raw, offsets in chunks(batch.column("text"), 1 << 20):
-                _add_near(flat, *tokens(raw, offsets), words, slot)
-        for c, data in _sketch.chunk_rows(flat):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([data], pa.binary())], ["chunk", "counts"])
+            ids, shard = batch.column("doc_id"), batch.column("shard")
+            for a, raw, offsets in chunks(batch.column("text")):
+                t, bounds = tokens(raw, offsets)
+                n = len(bounds) - 1
+                codes = _codes(words, t)
+                if size:
+                    use = (shard.slice(a, n).to_numpy() >= 0).repeat(np.diff(bounds))
+                    row = np.repeat(np.arange(n), np.diff(bounds))
+                    at = np.maximum(codes, 0)
+                    r, c = np.where((codes >= 0) & use, row_of[at], -1), np.where((codes >= 0) & use, column_of[at], -1)
+                    for gap in (1, 2):
+                        same = row[:-gap] == row[gap:]
+                        for x, y in ((r[:-gap], c[gap:]), (r[gap:], c[:-gap])):
+                            hit = same & (x >= 0) & (y >= 0)
+                            keys.append(x[hit] * width + y[hit])
+                            waiting += len(keys[-1])
+                    if waiting > 4_000_000:
+                        settle()
+                        waiting = 0
+                tail = np.flatnonzero(codes < 0)
+                tails = np.searchsorted(tail, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, n), shard.slice(a, n), pa.array(np.diff(bounds).astype(np.int64)), binaries(bounds, codes), binaries(tails, t[tail]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+                )
+        settle()
+        rows = list(_sketch.chunk_rows(near, CHUNK)) if size else []
+        m = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array([-2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
-    if not size:
-        return np.zeros((0, 0), np.int64)
-    return _sketch.add_up(train.select("text").mapInArrow(run, "chunk int, counts binary"), "int32", size).reshape(len(words), len(anchors))
+    return source.mapInArrow(tidy(run), "doc_id long, shard int, n_tokens long, codes binary, tail binary, chunk int, counts binary")
 
 
-def _clusters(near: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Cluster of each head word by the most frequent words beside it (spherical k-means from fixed seeds)."""
-    anchors, table = _anchors(count), near.astype(np.float32)
-    some = table.sum(axis=1) > 0
-    scaled = np.sqrt(table)
+def _clusters(near: np.ndarray, count: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Cluster of each row by the anchors beside it (spherical k-means, centres started farthest-first over the anchors' rows)."""
+    scaled = np.sqrt(near.astype(np.float32))
     scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-9)
     centre = [scaled[anchors[0]]]
-    for _ in range(CLUSTERS - 1):  # farthest-first over the anchors
+    for _ in range(CLUSTERS - 1):
         far = np.max(np.stack([scaled[anchors] @ c for c in centre]), axis=0)
         centre.append(scaled[anchors[int(far.argmin())]])
     centre = np.stack(centre)
@@ -201,168 +236,173 @@ def _clusters(near: np.ndarray, count: np.ndarray) -> np.ndarray:
         for k in range(CLUSTERS):
             part = (scaled[own == k] * np.log1p(count[own == k])[:, None]).sum(axis=0) if (own == k).any() else centre[k]
             centre[k] = part / max(1e-9, float(np.linalg.norm(part)))
-    own = (scaled @ centre.T).argmax(axis=1)
-    return np.where(some, own, 0)
+    return np.where(near.sum(axis=1) > 0, (scaled @ centre.T).argmax(axis=1), 0)
+
+
+def _model(words: np.ndarray, count: np.ndarray, near: np.ndarray, rest: np.ndarray, rows: int) -> Model:
+    """Leaves, shares and biases; ``rest`` has the totals (occurrences and kinds) of the words outside the head by leaf of the last class."""
+    leaf = _tail_leaf((words & U((1 << 30) - 1)).astype(np.int64))
+    some = _slots(count)[0]
+    if len(some):
+        order = np.lexsort((some, -count[some], _clusters(near, count[some], np.arange(min(ANCHORS, len(some))))))
+        mass = np.cumsum(np.sqrt(count[some][order]))
+        leaf[some[order]] = np.minimum(TAIL - 1, (mass - np.sqrt(count[some][order]) / 2) * TAIL / mass[-1]).astype(np.int64)
+    total = np.bincount(leaf, count, LEAVES)
+    total[TAIL:] += np.bincount(leaf, minlength=LEAVES)[TAIL:] + rest + 1.0
+    inside = np.log10((count + (leaf >= TAIL)) / total[leaf])
+    levels = [total.reshape(WAYS, -1).sum(axis=1)[None, :], total.reshape(WAYS, WAYS, WAYS).sum(axis=2), total.reshape(-1, WAYS)]
+    bias = np.concatenate([np.log(np.maximum(x, 1e-12)) for x in levels])
+    return Model(words, count, leaf, inside, np.log10(total[TAIL:]), (bias - bias.max(axis=1, keepdims=True)).clip(-30).astype(np.float32), np.zeros((rows, WAYS), np.float32))
+
+
+def history(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(3, tokens): hashes of the previous word, the one before it, and both."""
+    c = codes.astype(np.int64)
+    place = np.arange(len(c)) - np.repeat(bounds[:-1], np.diff(bounds))
+    one = np.where(place >= 1, np.r_[START, c[:-1]], START).view(np.uint64)
+    two = np.where(place >= 2, np.r_[START, START, c[:-2]][: len(c)], START).view(np.uint64)
+    x, y = mix(one * U(0x9E3779B97F4A7C15) + U(11)), mix(two * U(0x9E3779B97F4A7C15) + U(13))
+    return np.stack([x, y, mix(x * U(3) + y)])
+
+
+def _choices(model: Model, feats: np.ndarray, leaf: np.ndarray):
+    """For each of the three choices: (rows of the weights, log probabilities of the ways, the way taken)."""
+    shift = U(64 - (len(model.weights).bit_length() - 1))
+    for node, way in ((np.zeros_like(leaf), leaf // WAYS**2), (1 + leaf // WAYS**2, leaf // WAYS % WAYS), (1 + WAYS + leaf // WAYS, leaf % WAYS)):
+        rows = (((feats + node.astype(np.uint64) * U(0xD6E8FEB86659FD93)) * U(0x9FB21C651E98DF25)) >> shift).astype(np.int64)
+        z = model.bias[node]
+        for r in rows:
+            z += model.weights[r]
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        yield rows, z, way
+
+
+def _texts(batch: pa.RecordBatch):
+    """Codes of some texts at a time: (first row, codes, bounds), of about TOKENS tokens or one text."""
+    col = batch.column("codes")
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    codes = np.frombuffer(col.buffers()[2], np.int32) if offs[-1] else np.zeros(0, np.int32)
+    offs //= 4
+    at = 0
+    while at < len(col):
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + TOKENS, "right")) - 1)
+        yield at, codes[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+        at = to
+
+
+def _step(model: Model, shard: DataFrame, step: float = STEP) -> np.ndarray:
+    """Weights after one round over a shard."""
+    shared = shard.sparkSession.sparkContext.broadcast(model)
+    rows = len(model.weights)
 
+    def run(batches):
+        model = shared.value
+        expected, observed, taken = np.zeros((WAYS, rows)), np.zeros(rows * WAYS, np.int64), []
+        for batch in batches:
+            for _, codes, bounds in _texts(batch):
+                leaf, feats = leaves(model, codes), history(codes, bounds)
+                for a in range(0, len(codes), TOKENS):
+                    for r, z, way in _choices(model, feats[:, a : a + TOKENS], leaf[a : a + TOKENS]):
+                        share = np.rint(np.exp(z.T) * SCALE).astype(np.float64)
+                        flat = r.ravel()
+                        for k in range(WAYS):
+                            expected[k] += np.bincount(flat, np.tile(share[k], 3), rows)
+                        taken.append(flat * WAYS + np.tile(way, 3))
+                    if len(taken) >= 18:
+                        observed += np.bincount(np.concatenate(taken), minlength=rows * WAYS)
+                        taken.clear()
+        if taken:
+            observed += np.bincount(np.concatenate(taken), minlength=rows * WAYS)
+        both = np.concatenate([expected.T.ravel().astype(np.int64), observed])
+        yield _sketch.batch_of(_sketch.chunk_rows(both, CHUNK))
+
+    both = _sketch.add_up(shard.select("codes").mapInArrow(tidy(run), "chunk int, counts binary"), "int64", 2 * rows * WAYS, CHUNK)
+    expected, observed = both[: rows * WAYS].reshape(rows, WAYS) / SCALE, both[rows * WAYS :].reshape(rows, WAYS)
+    shared.unpersist()
+    return (model.weights + step * np.log((observed + SMOOTH) / (expected + SMOOTH))).astype(np.float32)
+
+
+def _scored(table: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, n_tokens, n_known, base, score): what the bounded tables give of each text."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score"]
 
-def _shape(words: np.ndarray, count: np.ndarray, total: int, kinds: int, texts: list[str], near: np.ndarray | None = None) -> Shape:
-    """The fixed tables; ``near`` has the rows of sorted ``words`` and is counted over ``texts`` if not given."""
-    order = np.argsort(words)
-    words, count = words[order], count[order]
-    rare_words, rare_count = kinds - len(words), total - int(count.sum())
-    kind, inside = np.zeros(len(words), np.int64), np.zeros(len(words))
-    if len(words):
-        if near is None:
-            anchors = _anchors(count)
-            slot = np.full(len(words), -1)
-            slot[anchors] = np.arange(len(anchors))
-            near = np.zeros((len(words), len(anchors)), np.int64)
-            for text in texts:
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                _add_near(near.reshape(-1), *tokens(raw, np.array([0, len(raw)])), words, slot)
-        cluster = _clusters(near, count)
-        for k in range(CLUSTERS):
-            own = np.flatnonzero(cluster == k)
-            if not len(own):
-                continue
-            own = own[np.argsort(-count[own], kind="stable")]
-            mass = np.cumsum(np.sqrt(count[own]))
-            kind[own] = k * BINS + np.minimum(BINS - 1, (mass - 1e-9) * BINS // mass[-1]).astype(int)
-        by = np.bincount(kind, count, CLASSES)
-        inside = np.log10(count / by[kind])
-    return Shape(words, count, kind, inside, float(rare_count + rare_words + 1), np.zeros((ROWS, CLASSES), np.float32))
-
-
-def _train(train: DataFrame, shape: Shape, rounds: int, rate: float) -> Shape:
-    """Averaged local AdaGrad over all training texts, ``rounds`` times."""
-    spark = train.sparkSession
-    prior = np.bincount(shape.kind, shape.count, CLASSES) if len(shape.words) else np.zeros(CLASSES)
-    prior[RARE] += shape.rare_total
-    shape.weights[0] = np.log(prior + 1) - np.log(prior + 1).mean()
-    chunk = 1 << 16
-    for r in range(rounds):
-        shared = spark.sparkContext.broadcast(shape)
-
-        def run(batches, shared=shared, r=r):
-            shape = shared.value
-            w, g2 = shape.weights.copy(), np.full(shape.weights.shape, 1.0 + 50.0 * r, np.float32)
-            n = 0
-            for batch in batches:
-                for _, raw, offsets in chunks(batch.column("text"), 1 << 20):
-                    t, bounds = tokens(raw, offsets)
-                    at, known = _lookup(shape, t)
-                    y = np.where(known, shape.kind[at] if len(shape.kind) else RARE, RARE)
-                    f = features(t, bounds)
-                    for a in range(0, len(t), MINIBATCH):
-                        _step(w, g2, f[a : a + MINIBATCH], y[a : a + MINIBATCH], rate)
-                    n += len(t)
-            if n:
-                flat = np.r_[(w.astype(np.float32) * np.float32(n)).ravel(), np.float32(n)].astype(np.float32)
-                rows = [(c // chunk, flat[c : c + chunk].tobytes()) for c in range(0, len(flat), chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["chunk", "counts"])
-
-        updates = train.select("text").mapInArrow(run, "chunk int, counts binary")
-        flat = _sketch.add_up(updates, "float32", ROWS * CLASSES + 1, chunk)
-        if flat[-1] > 0:
-            shape.weights = (flat[:-1] / flat[-1]).reshape(ROWS, CLASSES).astype(np.float32)
-    return shape
-
-
-def _parts(docs: DataFrame, shape, base, buckets: int) -> DataFrame:
-    """One row a text: what the fixed tables give, and its rare words by bucket; numbered so that rows of one id stay apart."""
-    schema = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<bucket:int,words:binary>>"
-    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for at, codes, bounds in _texts(batch):
+                leaf, feats, logp = leaves(model, codes), history(codes, bounds), np.zeros(len(codes))
+                for a in range(0, len(codes), TOKENS):
+                    for _, z, way in _choices(model, feats[:, a : a + TOKENS], leaf[a : a + TOKENS]):
+                        logp[a : a + TOKENS] += z[np.arange(len(z)), way]
+                logp /= np.log(10.0)
+                known, spot = codes >= 0, np.maximum(codes, 0)
+                logp += np.where(known, model.inside[spot], 0.0) if len(model.inside) else 0.0
+                logp -= np.where(known, 0.0, model.rest[np.maximum(leaf - TAIL, 0)])
+                seen = np.where(known, np.log10(model.count[spot] + 1.0), 0.0) if len(model.count) else np.zeros(len(codes))
+                n = len(bounds) - 1
+                sums = [np.add.reduceat(x, bounds[:-1]) for x in (known.astype(np.int64), seen, logp)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, n) for c in names[:3]], *[pa.array(x) for x in sums]], names)
+
+    return table.select("row", "doc_id", "n_tokens", "codes").mapInArrow(tidy(run), "row long, doc_id long, n_tokens long, n_known long, base double, score double")
+
+
+def _tails(table: DataFrame) -> DataFrame:
+    """(row, h, k): how often each word outside the head stands in each text."""
 
     def run(batches):
-        m = shape.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a, raw, offsets in chunks(batch.column("text")):
-                t, bounds = tokens(raw, offsets)
-                at, known = _lookup(m, t)
-                y = np.where(known, m.kind[at] if len(m.kind) else RARE, RARE)
-                f = features(t, bounds)
-                logp = np.empty(len(t))
-                for s in range(0, len(t), 65536):
-                    z = _log_softmax(m.weights, f[s : s + 65536])
-                    logp[s : s + 65536] = z[np.arange(len(z)), y[s : s + 65536]]
-                logp = logp / np.log(10.0)
-                logp += np.where(known, m.inside[at] if len(m.inside) else 0.0, -np.log10(m.rare_total))
-                seen = np.where(known, np.log10(m.count[at] + 1.0) if len(m.count) else 0.0, 0.0)
-                n = np.diff(bounds)
-                rows = len(n)
-                rare = np.flatnonzero(~known)
-                row = np.searchsorted(bounds, rare, "right") - 1
-                b = (t[rare] % U(buckets)).astype(np.int64)
-                order = np.argsort(row * buckets + b, kind="stable")
-                key = (row * buckets + b)[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-                words = t[rare][order]
-                offs = pa.py_buffer((np.r_[first, len(key)] * 8).astype(np.int32).tobytes())
-                data = pa.Array.from_buffers(pa.binary(), len(first), [None, offs, pa.py_buffer(words.tobytes())])
-                entries = pa.StructArray.from_arrays([pa.array((key[first] % buckets).astype(np.int32)), data], fields=[pa.field("bucket", pa.int32()), pa.field("words", pa.binary())])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[first] // buckets, np.arange(rows + 1)).astype(np.int32)), entries)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, rows), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(known, bounds[:-1]).astype(np.int64) if rows else np.zeros(0, np.int64)), pa.array(np.add.reduceat(seen, bounds[:-1]) if rows else seen), pa.array(np.add.reduceat(logp, bounds[:-1]) if rows else logp), lists.cast(kind)],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
-                )
+            col = batch.column("tail")
+            offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) // 8
+            words = np.frombuffer(col.buffers()[2], np.int64)[offs[0] : offs[-1]] if offs[-1] else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(col)), np.diff(offs))
+            order = np.lexsort((words, row))
+            words, row = words[order], row[order]
+            first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (row[1:] != row[:-1])]) if len(words) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[first])), pa.array(words[first]), pa.array(np.diff(np.r_[first, len(words)]))], ["row", "h", "k"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return table.select("row", "tail").mapInArrow(tidy(run), "row long, h long, k long")
 
 
-def _rare_sums(key, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each text, the rare words known there and the sum of log10(c + 1)."""
-    if not len(texts):
-        return pd.DataFrame({"row": [], "known": [], "logs": []})
-    h = counts["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    h, c = h[order], counts["c"].to_numpy(np.int64)[order]
-    size = np.array([len(x) // 8 for x in texts["words"]])
-    w = np.frombuffer(b"".join(texts["words"]), np.uint64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, w), len(h) - 1)
-        n = np.where(h[at] == w, c[at], 0)
-    else:
-        n = np.zeros(len(w), np.int64)
-    bounds = np.r_[0, np.cumsum(size)[:-1]]
-    return pd.DataFrame({"row": texts["row"].to_numpy(), "known": np.add.reduceat(n > 0, bounds).astype("int64"), "logs": np.add.reduceat(np.log10(n + 1.0), bounds)})
+def table_rows(kinds: int) -> int:
+    """Rows of the weight table for a vocabulary of ``kinds`` words: as many, a power of two, from 2**14 up to 2**17."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(1, kinds))), 14, 17))
 
 
-def score(docs: DataFrame, head: int = HEAD, rounds: int = 1, rate: float = 0.15, mod: int = 7, rest: int = 2) -> DataFrame:
+def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    spark = docs.sparkSession
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = source.where(~held_out(F.col("doc_id"), mod, rest))
-    counts = stored(_counts(train), "counts")
+    out = held_out(F.col("doc_id"), mod, rest)
+    shard = F.when(out, -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))).cast("int").alias("shard")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", shard)
+    counts = stored(_counts(source.where("shard >= 0")), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    words, count = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(words)
-    words, count = words[order], count[order]
-    shape = _shape(words, count, int(n), int(v), [], _near(train, words, count))
-    shape = _train(train, shape, rounds, rate)
-    buckets = max(1, -(-int(v) // BUCKET_WORDS), -(-int(n) * 8 // BUCKET_BYTES))
-    shared = spark.sparkContext.broadcast(shape)
-    known = stored(_parts(source, shared, None, buckets).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = known.select("row", F.explode("rare").alias("r")).select("row", "r.bucket", "r.words")
-    table = counts.join(F.broadcast(spark.createDataFrame(top[["h"]], "h long")), "h", "left_anti").select("h", "c", _unsigned_mod("h", buckets).alias("bucket"))
-    sums = rare.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_rare_sums, "row long, known long, logs double")
-    sums = sums.groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
-    out = known.drop("rare").join(sums, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    rate_ = F.log10(F.lit(float(n + (v + 1))))
-    return out.select(
+    words, count, least = _head(counts, head)
+    table = stored(_encoded(source, words, count).withColumn("row", F.monotonically_increasing_id()), "tokens", by="shard")
+    clustered, anchors = min(CLUSTERED, len(words)), min(ANCHORS, len(words))
+    near = _sketch.add_up(table.where("shard = -2").select("chunk", "counts"), "int32", clustered * anchors, CHUNK).reshape(clustered, anchors)
+    others = counts.where(F.col("c") < least)
+    ending, below = F.col("h").bitwiseAND(WAYS - 1), F.shiftrightunsigned("h", 4).bitwiseAND(WAYS - 1)
+    left = np.zeros(WAYS * WAYS)
+    for r in others.groupBy((ending * WAYS + below).cast("int").alias("leaf")).agg((F.sum("c") + F.count(F.lit(1))).alias("total")).collect():
+        left[r["leaf"]] = r["total"]
+    model = _model(words, count, near, left, table_rows(int(v)))
+    for r in range(rounds):
+        model.weights = _step(model, table.where(F.col("shard") == r), STEP * DECAY**r)
+    texts = table.where("shard > -2")
+    known = stored(_scored(texts, model), "scores")
+    # sums of whole numbers, so that they do not depend on the order of rows
+    logs = F.round(F.log10(F.col("c") + 1) * float(1 << 32)).cast("long")
+    sums = _tails(texts).join(others, "h").groupBy("row").agg(F.sum("k").alias("known"), (F.sum((F.col("k") * logs).cast("decimal(38,0)")) / float(1 << 32)).cast("double").alias("logs"))
+    found = stored(known.join(sums, "row", "left"), "sums")
+    discard(table, known, counts)
+    extra = F.coalesce("logs", F.lit(0.0))
+    return found.select(
         "doc_id",
         held_out(F.col("doc_id"), mod, rest).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * rate_).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+        (F.col("base") + extra - F.col("n_tokens") * F.log10(F.lit(float(n + (v + 1))))).alias("base_score"),
+        (F.col("score") + extra).alias("score"),
     )
-
-
-def _unsigned_mod(name: str, n: int):
-    """The remainder of a long read as unsigned."""
-    high = F.shiftrightunsigned(F.col(name), 1) % n
-    return F.pmod(high * 2 + F.col(name).bitwiseAND(F.lit(1)), F.lit(n)).cast("int")

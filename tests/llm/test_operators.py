@@ -391,49 +391,73 @@ def test_language_model(spark, sf_dir):
         if crc(i, 7) != 2:
             train.update([*ascii_words(t), b"\n"])
     n, v = sum(train.values()), len(train)
-    base = model = 0.0
     for r in maxent.score(docs, head=2000).collect():
         toks = [*ascii_words(rows[r["doc_id"]]), b"\n"]
         want = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in toks)
         assert r["n_tokens"] == len(toks) and r["n_known"] == sum(train[w] > 0 for w in toks) and r["train_tokens"] == n
         assert r["base_score"] == pytest.approx(want, rel=1e-9)
-        base, model = base + r["base_score"], model + r["score"]
-    assert model > base
 
 
-def test_language_model_is_a_distribution():
-    """Class and word probabilities sum to one for any history."""
-    words = np.sort(np.array([3, 9, 27, 81], np.uint64))
-    shape = maxent._shape(words, np.array([5, 4, 3, 2]), 20, 7, ["x"])
-    shape.weights = np.random.default_rng(0).normal(size=shape.weights.shape).astype(np.float32)
-    p = np.exp(maxent._log_softmax(shape.weights, np.array([[1, 9000, 17000]])))[0]
-    inside = np.bincount(shape.kind, 10**shape.inside, maxent.CLASSES)
-    used = inside > 0
-    assert p.sum() == pytest.approx(1, abs=1e-5) and inside[used] == pytest.approx(np.ones(used.sum()))
-    assert shape.rare_total == (20 - 14) + 3 + 1
-
-
-def test_language_model_clusters_words_that_occur_late(frame, monkeypatch):
-    """Words met only far into long texts are clustered by their neighbours like any others."""
-    rng = random.Random(2)
+def test_language_model_gains_on_held_out_texts(spark, sf_dir):
+    """Per token and on texts it has not learned from, the model is well above the base."""
+    rows = [r for r in maxent.score(_table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    model, base = (sum(r[c] for r in rows) / tokens for c in ("score", "base_score"))
+    print("held-out log10 a token:", round(model, 3), "base", round(base, 3))
+    assert model > base + 0.1
+
+
+def test_language_model_scores_do_not_depend_on_the_layout(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    two, seven = (sorted(maxent.score(docs.repartition(n)).collect()) for n in (2, 7))
+    assert two == seven
 
-    def run(kind, when, n):
-        near = {"a": "pa pb", "b": "ra rb"}[kind]
-        return " ".join(f"{near} {when}{kind}{rng.randrange(5)}" for _ in range(n))
 
-    texts = [" ".join(run(k, "early", 300) for k in ("a", "b")) + " " + " ".join(run(k, "late", 60) for k in ("a", "b")) for _ in range(6)]
-    assert all(t.index("late") > 4000 for t in texts)
-    shapes, train = [], maxent._train
-    monkeypatch.setattr(maxent, "_train", lambda t, shape, *rest: shapes.append(shape) or train(t, shape, *rest))
-    maxent.score(frame(list(enumerate(texts)), "doc_id long, text string")).count()
+def small_model(seed=0):
+    words = np.sort(np.random.default_rng(seed).integers(1 << 20, 1 << 62, 40, dtype=np.uint64))
+    model = maxent._model(words, np.arange(1, 41), np.random.default_rng(seed).integers(0, 9, (40, 40)), np.arange(256.0), 1 << 14)
+    model.weights = np.random.default_rng(seed).normal(size=model.weights.shape).astype(np.float32)
+    return model
 
-    def cluster(word):
-        h = maxent.tokens(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))[0][0]
-        return int(shapes[0].kind[np.searchsorted(shapes[0].words, h)]) // maxent.BINS
 
-    early = {k: Counter(cluster(f"early{k}{i}") for i in range(5)) for k in "ab"}
-    late = {k: Counter(cluster(f"late{k}{i}") for i in range(5)) for k in "ab"}
-    assert not set(early["a"]) & set(early["b"]) and not set(late["a"]) & set(late["b"])
+def test_language_model_is_a_distribution():
+    """Leaf probabilities sum to one for any history, and so do the words (with one place for unseen ones) of a leaf."""
+    model = small_model()
+    feats = maxent.history(np.array([3, 7, 9], np.int32), np.array([0, 3]))
+    every = np.arange(maxent.LEAVES)
+    for j in range(3):
+        logp = sum(z[every, way] for _, z, way in maxent._choices(model, np.repeat(feats[:, j : j + 1], len(every), axis=1), every))
+        assert np.exp(logp).sum() == pytest.approx(1, abs=1e-4)
+    head = np.bincount(model.leaf[model.leaf < maxent.TAIL], 10 ** model.inside[model.leaf < maxent.TAIL], maxent.LEAVES)
+    assert head[head > 0] == pytest.approx(np.ones((head > 0).sum()))
+    assert 10 ** model.rest == pytest.approx(np.arange(256) + 1.0)
+
+
+def test_language_model_step_against_a_plain_gradient(frame):
+    """Observed and expected counts of one round, token by token."""
+    model = small_model(1)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(-5, 40, n).astype(np.int32) for n in (1, 4, 30)]
+    got = maxent._step(model, frame([(bytearray(t.tobytes()),) for t in texts], "codes binary"))
+    rows = len(model.weights)
+    expected, observed = np.zeros((rows, 16)), np.zeros((rows, 16))
+    for codes in texts:
+        for r, z, way in maxent._choices(model, maxent.history(codes, np.array([0, len(codes)])), maxent.leaves(model, codes)):
+            for j in range(len(codes)):
+                for k in r[:, j]:
+                    expected[k] += np.rint(np.exp(z[j]) * maxent.SCALE) / maxent.SCALE
+                    observed[k, way[j]] += 1
+    assert got == pytest.approx(model.weights + maxent.STEP * np.log((observed + maxent.SMOOTH) / (expected + maxent.SMOOTH)), abs=1e-5)
+
+
+def test_language_model_uses_words_that_occur_late(frame):
+    """What follows a word is learned wherever in a long text it stands."""
+    rng = random.Random(2)
+    texts = [" ".join(f"n{rng.randrange(300)}" for _ in range(900)) + " " + " ".join(f"left{i} right{i}" for i in (rng.randrange(20) for _ in range(80))) for _ in range(60)]
+    assert all(t.index("left") > 3000 for t in texts)
+    probe = [(1000, " ".join(f"left{i} right{i}" for i in range(20))), (1001, " ".join(f"left{i} right{(i + 7) % 20}" for i in range(20)))]
+    got = {r["doc_id"]: r["score"] for r in maxent.score(frame([*enumerate(texts), *probe], "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 2
 
 
 def test_language_model_odd_rows(odd, empty):
