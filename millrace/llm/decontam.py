@@ -4,24 +4,31 @@ Texts are words of letters, digits and non-ASCII bytes, lower-cased.  A document
 holds an item of n words if some run of its words is within ``floor((1 - s) * n)``
 word edits of the item (items of fewer than five words: exactly).
 
-1. Every start in every document is a window of each item's size.  A window that
-   holds such a run has at least ``n - 1 - 2k`` of the item's word pairs within k
-   places of where they stand in the item, so all other windows are passed over
-   without loss; of the rest those are taken that bring a pair to its place.
-2. The others are embedded by the CGK random walk (a shared pointer advances by a
+1. An item of more than PIECE words is cut into pieces of about equal length.  Its
+   edits are spread over the pieces, so a run within the allowance of the item is
+   within the allowance of some piece, at the same similarity.  A shorter item is
+   one piece.
+2. Every start in every document is a window of each piece's size.  A window at the
+   start of such a run has at least ``m - 1 - 2k`` word pairs of pieces of m words
+   in reach; all other windows are passed over, which loses nothing.
+3. The others are embedded by the CGK random walk (a shared pointer advances by a
    random bit of step and word), which turns edits into Hamming distance.
-   ``BITS`` sampled positions of a walk form a key; as many repetitions are drawn
-   as a simulation over the items with the most edits allowed needs for RECALL.
-   Long items would need more than MAX_REPEATS; none are drawn for them.
-3. Windows whose key equals an item's, and all windows of long items, are verified
-   by exact edit distance of the item to the best run inside the window's
-   surroundings, so long items are found without loss.
+   ``BITS`` sampled positions of a walk form a key.  The keys are looked up among
+   those of all pieces of that size: windows that share a key with a piece are its
+   candidates.  Repetitions are as many as a simulation with the most edits
+   allowed needs for RECALL, for each size.
+4. Candidates are verified by exact edit distance of the whole item to the best run
+   in the surroundings.
 
 The items are taken in blocks of bounded size, one pass over the documents each,
 and only a block is ever broadcast.
 
-Edge cases: null or empty texts and items match nothing; repeated rows give the
-same result for each; items without words are left out.
+Edge cases: null or empty texts and items match nothing; rows without an id are
+searched like others and reported under a null id; repeated rows give the same
+result for each; items without words are left out; of several places with the
+fewest edits (ties) the first counts; a very long text is searched whole.  Columns
+other than doc_id and text (item_id and text) are not read by the search and
+pass through ``decontaminate`` unchanged.
 """
 
 from __future__ import annotations
@@ -33,9 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import stored, tidy
 from ._text import U, chunks, hashes, mix, spans
 
-SIMILARITY, BITS, RECALL, MAX_REPEATS, CASES = 0.8, 2, 0.99, 48, 200
+SIMILARITY, BITS, RECALL, PIECE = 0.8, 2, 0.99, 48
+CASES, TRIES = 160, 64
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 OTHER = np.ones(256, bool)
 OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -46,14 +55,15 @@ def allowed(n: np.ndarray | int, similarity: float):
     return np.where(np.asarray(n) < 5, 0, np.floor((1 - similarity) * np.asarray(n) + 1e-9)).astype(int)
 
 
-def least_pairs(n: np.ndarray | int, similarity: float):
-    """Fewest known word pairs in a window that holds an item of n words."""
-    return np.maximum(np.minimum(1, np.asarray(n) - 1), np.asarray(n) - 1 - 3 * allowed(n, similarity))
+def kept_pairs(n: int, similarity: float) -> int:
+    """Fewest word pairs of n words that survive the edits allowed (each edit destroys two at most)."""
+    return max(min(1, n - 1), n - 1 - 2 * int(allowed(n, similarity)))
 
 
-def kept_pairs(n: np.ndarray | int, similarity: float):
-    """Fewest word pairs of an item of n words that survive the edits allowed (each edit destroys two at most)."""
-    return np.maximum(np.minimum(1, np.asarray(n) - 1), np.asarray(n) - 1 - 2 * allowed(n, similarity))
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of n words."""
+    cuts = [len(part) for part in np.array_split(np.arange(n), -(-n // PIECE))]
+    return list(zip(np.r_[0, np.cumsum(cuts)[:-1]].tolist(), cuts, strict=True))
 
 
 def walk(windows: np.ndarray, repeat: np.ndarray, upto: int) -> np.ndarray:
@@ -71,32 +81,63 @@ def walk(windows: np.ndarray, repeat: np.ndarray, upto: int) -> np.ndarray:
 
 
 def sampled(n: int, repeats: int) -> np.ndarray:
-    """Positions looked at by each repetition for items of n words."""
-    if not repeats:
-        return np.zeros((0, BITS), np.int64)
+    """Positions looked at by each repetition for windows of n words; walks seldom end before the last of them."""
     rng = np.random.default_rng([n, 77])
-    return np.stack([np.sort(rng.choice(max(BITS, 2 * n), BITS, replace=False)) for _ in range(repeats)])
-
-
-def keys(windows: np.ndarray, n: np.ndarray, positions: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(window, key) for every repetition of every window; row i holds n[i] words, then 0."""
-    counts = np.array([len(positions[int(x)]) for x in n], np.int64)
-    row = np.repeat(np.arange(len(windows)), counts)
-    repeat = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    if not len(row):
-        return row, np.zeros(0, np.uint64)
-    at = np.concatenate([positions[int(x)] for x in n])
-    acc = mix(repeat.astype(np.uint64) + U(1) + (n[row].astype(np.uint64) << U(8)))
-    for a in range(0, len(row), 1 << 14):
-        b = slice(a, a + (1 << 14))
-        steps = walk(windows[row[b]], repeat[b], int(at[b].max()) + 1)
+    return np.stack([np.sort(rng.choice(max(BITS, int(1.6 * n)), BITS, replace=False)) for _ in range(repeats)])
+
+
+def keys(windows: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """(windows, repetitions): the key of every repetition of every window, all of one size."""
+    n, reps = windows.shape[1], len(positions)
+    out = np.empty((len(windows), reps), np.uint64)
+    step = max(1, (1 << 14) // reps)
+    for a in range(0, len(windows), step):
+        part = windows[a : a + step]
+        row, repeat = np.repeat(np.arange(len(part)), reps), np.tile(np.arange(reps), len(part))
+        at = positions[repeat]
+        seen = walk(part[row], repeat, int(at.max()) + 1)
+        acc = mix(repeat.astype(np.uint64) + U(1) + U(n << 32))
         for j in range(BITS):
-            acc[b] = mix(acc[b] * U(0x9FB21C651E98DF25) + steps[np.arange(len(steps)), at[b, j]])
-    return row, acc
+            acc = mix(acc * U(0x9FB21C651E98DF25) + seen[np.arange(len(seen)), at[:, j]])
+        out[a : a + step] = acc.reshape(len(part), reps)
+    return out
+
+
+def changed(words: np.ndarray, edits: int, rng) -> list:
+    """``words`` after that many random substitutions, deletions and insertions."""
+    out = list(words)
+    for _ in range(edits):
+        p, kind = int(rng.integers(0, len(out))), int(rng.integers(0, 3))
+        out[p : p + (kind > 0)] = [] if kind == 1 else [np.uint64(rng.integers(1, 1 << 62))]
+    return out
+
+
+def repeats(table: np.ndarray, similarity: float, seed: int = 5) -> int:
+    """Repetitions that find RECALL of the windows with the most edits allowed, by simulation over pieces of one size.
+
+    Each case has its own chance of a common key; a case that met in no try
+    counts as half a meeting, and the expected loss is what must fall below 1 - RECALL.
+    """
+    n = table.shape[1]
+    k = int(allowed(n, similarity))
+    if not k:
+        return 1
+    rng = np.random.default_rng([seed, n])
+    base = table[rng.integers(0, len(table), CASES)]
+    other = np.stack([np.array((changed(row, k, rng) + [np.uint64(0)] * n)[:n], np.uint64) for row in base])
+    positions = sampled(n, TRIES)
+    chance = np.maximum((keys(base, positions) == keys(other, positions)).mean(axis=1), 0.5 / TRIES)
+    low, high = 0, 1
+    while ((1 - chance) ** high).mean() > 1 - RECALL:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if ((1 - chance) ** mid).mean() > 1 - RECALL else (low, mid)
+    return high
 
 
 def edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """(fewest word edits between the item and any run of the region, end of that run)."""
+    """(fewest word edits between the item and any run of the region, end of the first such run)."""
     line = np.arange(len(region) + 1)
     row = np.zeros(len(region) + 1, np.int64)
     for w in item:
@@ -108,21 +149,50 @@ def edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def pair_hash(w: np.ndarray) -> np.ndarray:
+    return mix(w[:-1] * U(0x9FB21C651E98DF25) + w[1:])
+
+
+def _spread(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the half-open ranges, one after the other."""
+    size = np.maximum(end - start, 0)
+    return np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+
+
+@dataclass
+class Size:
+    """The pieces of one size: their word pairs, and the keys of all of them."""
+
+    words: int
+    known: np.ndarray  # sorted hashes of their word pairs (of the word itself where a piece has one word)
+    positions: np.ndarray
+    table: np.ndarray  # sorted keys
+    owner: np.ndarray  # piece of each key
+
+    def windows(self, at: np.ndarray, first: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+        """Starts of the windows with enough pairs in reach, from the places ``at`` where known pairs stand; ``first`` and ``last`` bound the row of each word."""
+        m, k, need = self.words, int(allowed(self.words, similarity)), max(1, kept_pairs(self.words, similarity))
+        if len(at) < need:
+            return np.zeros(0, np.int64)
+        a, b = at[: len(at) - need + 1], at[need - 1 :]
+        ok = (b - a < m + k - 1 + (m == 1)) & (first[a] == first[b])
+        a, b = a[ok], b[ok]
+        starts = _spread(np.maximum(b - (m + k - 1) + 1 - (m == 1), first[a]), a + 1)
+        starts = np.unique(starts)
+        return starts[starts + m - k <= last[starts]]
+
+
 @dataclass
 class Index:
-    """One block of items, grouped by their number of words."""
+    """One block of items."""
 
     ids: list[int]
     words: list[np.ndarray]
     similarity: float
-    positions: dict[int, np.ndarray]  # positions sampled by each repetition, by number of words
-    table: np.ndarray  # sorted keys of all items
-    owner: np.ndarray  # the item of each key
-    known: np.ndarray  # sorted hashes of all word pairs of the items
-    first: np.ndarray  # bounds of each pair's places below
-    item: np.ndarray
-    offset: np.ndarray
-    bitmap: np.ndarray
+    item: np.ndarray  # item of each piece
+    offset: np.ndarray  # where each piece begins in its item
+    sizes: list[Size]
+    bitmap: np.ndarray  # which low bits of a pair's hash occur at all
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], similarity: float) -> Index:
@@ -133,27 +203,20 @@ class Index:
             if len(starts):
                 ids.append(item)
                 words.append(hashes(raw, starts, ends))
-        positions, found = {}, []
-        sizes = np.array([len(w) for w in words], int)
-        for n in np.unique(sizes):
-            own = np.flatnonzero(sizes == n)
-            table = np.stack([words[i] for i in own])
-            positions[int(n)] = sampled(int(n), repeats(table, similarity))
-            row, k = keys(table, np.full(len(table), n), positions)
-            found.append((k, own[row]))
-        flat = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-        owner = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        table, owner = flat[order], owner[order]
-        pairs = [pair_hash(w) for w in words]
-        flat = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-        offset = np.concatenate([np.arange(len(p)) for p in pairs]) if pairs else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        known, first = np.unique(flat[order], return_index=True)
-        bitmap = np.zeros(1 << 22, bool)
-        bitmap[(known & U((1 << 22) - 1)).astype(np.int64)] = True
-        return cls(ids, words, similarity, positions, table, owner, known, np.r_[first, len(flat)], item[order], offset[order], bitmap)
+        cuts = [(i, offset, n) for i, w in enumerate(words) for offset, n in pieces(len(w))]
+        item, offset, length = (np.array(x, np.int64) for x in zip(*cuts, strict=True)) if cuts else (np.zeros(0, np.int64),) * 3
+        sizes, bitmap = [], np.zeros(1 << 22, bool)
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(length == n)
+            windows = np.stack([words[item[i]][offset[i] : offset[i] + n] for i in own])
+            positions = sampled(n, repeats(windows, similarity))
+            flat, owner = keys(windows, positions).ravel(), np.repeat(own, len(positions))
+            order = np.argsort(flat, kind="stable")
+            known = np.unique(np.concatenate([pair_hash(w) for w in windows]) if n > 1 else windows.ravel())
+            sizes.append(Size(n, known, positions, flat[order], owner[order]))
+            if n > 1:
+                bitmap[(known & U(len(bitmap) - 1)).astype(np.int64)] = True
+        return cls(ids, words, similarity, item, offset, sizes, bitmap)
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item_id, start word, edits, item words): the best place of each item in each row."""
@@ -161,86 +224,43 @@ class Index:
         if not len(starts) or not self.words:
             return []
         w = hashes(raw, starts, ends)
-        last = np.searchsorted(rows, rows, "right") if len(rows) < 2 else np.repeat(np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) + 1, np.diff(np.r_[-1, np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])]))
-        first = np.repeat(np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]), np.diff(np.r_[np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]), len(rows)]))
+        head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        length = np.diff(np.r_[head, len(rows)])
+        first, last = np.repeat(head, length), np.repeat(head + length, length)
+        pair = pair_hash(w)
+        maybe = np.flatnonzero(self.bitmap[(pair & U(len(self.bitmap) - 1)).astype(np.int64)] & (rows[1:] == rows[:-1])) if len(w) > 1 else np.zeros(0, np.int64)
         found: dict[tuple[int, int], list[int]] = {}
-        pos, pair = self._hits(w, rows)
-        for item in [i for i, x in enumerate(self.words) if len(x) == 1]:  # no pair: its word is its window
-            self._match(w, np.flatnonzero(w == self.words[item][0]), item, last, rows, found)
-        if len(pos):
-            # hits in runs that could hold the least demanding item, then each with its items
-            size = np.array([len(x) for x in self.words])
-            few = int(least_pairs(size[size > 1], self.similarity).min()) if (size > 1).any() else 1
-            ahead = np.searchsorted(pos, np.minimum(pos + size.max(), last[pos])) - np.arange(len(pos))
-            back = np.zeros(len(pos) + 1, np.int64)
-            np.add.at(back, np.flatnonzero(ahead >= few), 1)
-            ends = np.flatnonzero(ahead >= few)
-            np.add.at(back, np.minimum(len(pos), ends + ahead[ends]), -1)
-            use = np.cumsum(back[:-1]) > 0
-            pos, pair = pos[use], pair[use]
-            n_places = self.first[pair + 1] - self.first[pair]
-            at = np.repeat(self.first[pair], n_places) + (np.arange(n_places.sum()) - np.repeat(np.cumsum(n_places) - n_places, n_places))
-            place, item, offset = np.repeat(pos, n_places), self.item[at], self.offset[at]
-            # where the item would begin; the pairs of one occurrence lie within k places of another
-            begin = place - offset
-            key = item.astype(np.int64) * (2 * len(w) + size.max() + 1) + begin + size.max()
-            order = np.argsort(key, kind="stable")
-            key, place, item, begin = key[order], place[order], item[order], begin[order]
-            edits_of = allowed(size, self.similarity)
-            end = np.searchsorted(key, key + edits_of[item], "right")
-            g = np.flatnonzero(end - np.arange(len(key)) >= kept_pairs(size[item], self.similarity))
-            run = np.zeros(len(key) + 1, np.int64)
-            np.add.at(run, g, 1)
-            np.add.at(run, end[g], -1)
-            good = np.cumsum(run[:-1]) > 0
-            start, item = np.maximum(begin, first[place])[good], item[good]
-            pairs = np.unique(start * len(self.words) + item)
-            self._match(w, pairs // len(self.words), pairs % len(self.words), last, rows, found)
-        out = []
-        for (row, item), places in found.items():
-            target = self.words[item]
-            n, k = len(target), int(allowed(len(target), self.similarity))
-            best = None
-            for p, q in _regions(sorted(places), n):
-                a, b = max(first[p], p - k), min(last[p], q + n + k)
-                d, end = edits(target, w[a:b])
-                if d <= k and (best is None or d < best[0]):
-                    best = (d, max(first[p], a + end - n))
-            if best is not None:
-                out.append((row, self.ids[item], int(best[1] - first[best[1]]), best[0], n))
-        return out
-
-    def _hits(self, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, number of its pair) where a pair of the items begins."""
-        if len(w) < 2 or not len(self.known):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        p = pair_hash(w)
-        maybe = np.flatnonzero(self.bitmap[(p & U((1 << 22) - 1)).astype(np.int64)] & (rows[1:] == rows[:-1]))
-        spot = np.minimum(np.searchsorted(self.known, p[maybe]), len(self.known) - 1)
-        same = self.known[spot] == p[maybe]
-        return maybe[same], spot[same]
-
-    def _match(self, w, starts, items, last, rows, found) -> None:
-        """LSH over windows of each item's size at ``starts``: kept where some repetition gives a key of that item."""
-        size = np.array([len(x) for x in self.words])
-        items = np.broadcast_to(items, starts.shape)
-        direct = np.array([not len(self.positions[int(n)]) for n in size])[items]
-        for p, i in zip(starts[direct].tolist(), items[direct].tolist(), strict=True):
-            found.setdefault((int(rows[p]), i), []).append(p)
-        starts, items = starts[~direct], items[~direct]
-        for a in range(0, len(starts), 1 << 13):
-            own, item = starts[a : a + (1 << 13)], items[a : a + (1 << 13)]
-            n = size[item]
-            cols = own[:, None] + np.arange(n.max())[None, :]
-            inside = (cols < last[own][:, None]) & (np.arange(n.max())[None, :] < n[:, None])
-            windows = np.where(inside, w[np.minimum(cols, len(w) - 1)], U(0))
-            row, k = keys(windows, n, self.positions)
-            lo, hi = np.searchsorted(self.table, k, "left"), np.searchsorted(self.table, k, "right")
-            size_of = hi - lo
-            flat = np.repeat(lo, size_of) + (np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of))
-            of = np.repeat(row, size_of)
-            for i in np.unique(of[self.owner[flat] == item[of]]):
-                found.setdefault((int(rows[own[i]]), int(item[i])), []).append(int(own[i]))
+        for size in self.sizes:
+            places, seen = (maybe, pair[maybe]) if size.words > 1 else (np.arange(len(w)), w)
+            spot = np.minimum(np.searchsorted(size.known, seen), len(size.known) - 1)
+            at = size.windows(places[size.known[spot] == seen], first, last, self.similarity)
+            for a in range(0, len(at), 1 << 12):
+                self._look_up(size, w, at[a : a + (1 << 12)], last, rows, found)
+        bounds = dict(zip(rows[head].tolist(), zip(head.tolist(), (head + length).tolist(), strict=True), strict=True))
+        return [r for (row, item), places in found.items() if (r := self._verify(row, item, places, w, *bounds[row]))]
+
+    def _look_up(self, size: Size, w, at, last, rows, found) -> None:
+        """Candidates by LSH: the pieces that share a key with the windows at ``at``."""
+        cols = at[:, None] + np.arange(size.words)[None, :]
+        windows = np.where(cols < last[at][:, None], w[np.minimum(cols, len(w) - 1)], U(0))
+        k = keys(windows, size.positions)
+        lo, hi = np.searchsorted(size.table, k.ravel(), "left"), np.searchsorted(size.table, k.ravel(), "right")
+        piece = size.owner[_spread(lo, hi)]
+        window = np.repeat(np.repeat(np.arange(len(at)), k.shape[1]), hi - lo)
+        for code in np.unique(window * len(self.item) + piece).tolist():
+            p, i = int(at[code // len(self.item)]), code % len(self.item)
+            found.setdefault((int(rows[p]), int(self.item[i])), []).append(p - int(self.offset[i]))
+
+    def _verify(self, row, item, places, w, begin, stop):
+        target = self.words[item]
+        n, k = len(target), int(allowed(len(target), self.similarity))
+        best = None
+        for p, q in _regions(sorted(set(places)), n):
+            a, b = max(begin, p - k), min(stop, q + n + 2 * k)
+            d, end = edits(target, w[a:b])
+            if d <= k and (best is None or d < best[0]):
+                best = (d, max(begin, a + end - n))
+        return None if best is None else (row, self.ids[item], best[1] - begin, best[0], n)
 
 
 def _regions(places: list[int], n: int):
@@ -253,37 +273,6 @@ def _regions(places: list[int], n: int):
     yield a, b
 
 
-def pair_hash(w: np.ndarray) -> np.ndarray:
-    return mix(w[:-1] * U(0x9FB21C651E98DF25) + w[1:])
-
-
-def repeats(table: np.ndarray, similarity: float, seed: int = 5) -> int:
-    """Repetitions that find RECALL of the windows with the most edits allowed, by simulation over the items; 0 if MAX_REPEATS are too few."""
-    n = table.shape[1]
-    k = int(allowed(n, similarity))
-    if not k:
-        return 1
-    rng = np.random.default_rng([seed, n])
-    # few cases tell where MAX_REPEATS are far from enough
-    for cases in (24, CASES):
-        base = table[rng.integers(0, len(table), cases)]
-        changed = np.zeros_like(base)
-        for i, row in enumerate(base):
-            s = list(row)
-            for _ in range(k):
-                p, kind = int(rng.integers(0, len(s))), int(rng.integers(0, 3))
-                new = np.uint64(rng.integers(1, 1 << 62))
-                s[p : p + (kind > 0)] = [] if kind == 1 else [new]
-            changed[i] = (s + [np.uint64(0)] * n)[:n]
-        tried = {n: sampled(n, MAX_REPEATS)}
-        same = (keys(base, np.full(cases, n), tried)[1] == keys(changed, np.full(cases, n), tried)[1]).reshape(cases, MAX_REPEATS)
-        first = np.sort(np.where(same.any(axis=1), same.argmax(axis=1) + 1, MAX_REPEATS + 1))
-        need = int(first[int(np.ceil(RECALL * cases)) - 1])
-        if (first > MAX_REPEATS).sum() > 1 or (cases == CASES and need > MAX_REPEATS):
-            return 0
-    return need
-
-
 def blocks(items: DataFrame):
     """Lists of (item_id, text), each of bounded size, fetched one at a time."""
     part, words = [], 0
@@ -309,6 +298,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     for part in blocks(items):
         index = spark.sparkContext.broadcast(Index.build(part, similarity))
         found = source.mapInArrow(_searcher(index), SCHEMA)
+        if len(part) >= BLOCK_ITEMS or out is not None:  # perhaps not the only block: one at a time in memory
+            found = stored(found, "leaks")
+            index.unpersist()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
@@ -323,14 +315,20 @@ def _searcher(index):
             cols = list(zip(*got, strict=True)) if got else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "edits", "item_words"])
 
-    return run
+    return tidy(run)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs`` (all columns) that hold no item; decided where each row is read, without a shuffle."""
+    """Rows of ``docs`` (all columns) that hold no item; decided where each row is read, without a shuffle.
+
+    With more than one block of items, what a block leaves is written before the next.
+    """
     spark = docs.sparkSession
-    out = docs
+    out, index = docs, None
     for part in blocks(items):
+        if index is not None:
+            out = stored(out, "clean")
+            index.unpersist()
         index = spark.sparkContext.broadcast(Index.build(part, similarity))
         out = out.mapInArrow(_keeper(index), docs.schema)
     return out
@@ -345,4 +343,4 @@ def _keeper(index):
                     keep[a + row] = False
             yield batch.filter(pa.array(keep))
 
-    return run
+    return tidy(run)

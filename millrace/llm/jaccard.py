@@ -428,6 +428,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bit
             placed = large.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
             mixed = placed.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
             placed = cut(placed.join(mixed, "g", "left_semi"))
+            if placed.isEmpty():  # every group lies inside one component
+                break
         pairs = _candidates(_blocks(placed, turn) if how == "nearest" else _probes(placed), how, percent)
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs.unionByName(_couples(groups, percent)).distinct()
         pairs = cut(_measured(pairs, sets, percent))

@@ -94,21 +94,34 @@ def test_decontamination_finds_edited_copies_and_leaves_others(spark, frame):
     assert {r["doc_id"] for r in kept.collect()} == {100, 101, 102}
 
 
-def test_decontamination_finds_long_items(frame):
-    """Items of hundreds of words with all the edits allowed: nothing is given up."""
-    rng = random.Random(6)
-    items = [(n, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for n in (400, 800)]
-    docs = []
-    for n, text in items:
-        for j in range(24):
-            w = text.split()
-            for _ in range(n // 5):
-                p, kind = rng.randrange(len(w)), rng.randrange(3)
-                w[p : p + (kind > 0)] = [] if kind == 1 else [f"z{rng.randrange(99999)}"]
-            docs.append((n + j, " ".join(["start", *w, "end"])))
-    docs.append((1, " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))))
-    got = decontam.contaminated(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(n + j, n) for n, _ in items for j in range(24)}
+@pytest.mark.parametrize("n", [5, 9, 20, 47, 48, 49, 100, 400, 900, 1400])
+def test_decontamination_recall_by_length(n):
+    """Items of every length with all the edits allowed: LSH finds RECALL of them, and exact copies always."""
+    rng = np.random.default_rng(n)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, n))) for i in range(6)]
+    index, k = decontam.Index.build(items, 0.8), int(decontam.allowed(n, 0.8))
+    texts, trials = [], 300 if n < 400 else 60
+    for j in range(trials):
+        words = list(items[j % 6][1].split())
+        for e in range(k):
+            p, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+            words[p : p + (kind > 0)] = [] if kind == 1 else [f"z{j}x{e}"]
+        texts.append(" ".join(["start", *words, "end"]).encode())
+    texts += [("a b " + text + " c").encode() for _, text in items]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    found = {(row, item): e for row, item, _, e, _ in index.search(raw, offsets)}
+    hit = sum((j, j % 6) in found for j in range(trials))
+    print("words", n, "found", hit, "of", trials)
+    assert hit >= 0.975 * trials and all(e <= k for e in found.values())
+    assert all(found.get((trials + i, i)) == 0 for i in range(6))
+
+
+def test_decontamination_in_blocks(frame, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    items = frame([(i, f"one{i} two{i} three{i} four{i} five{i} six{i}") for i in range(5)], "item_id long, text string")
+    docs = frame([(i, f"x one{i} two{i} three{i} four{i} five{i} six{i} y") for i in range(6)] + [(9, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()} == {(i, i) for i in range(5)}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, items).collect()} == {5, 9}
 
 
 def test_decontamination_odd_rows(odd, empty, frame):
