@@ -1,19 +1,25 @@
 """Near-duplicate embeddings by counting collisions on sorted one-dimensional projections.
 
-Vectors of one label are dealt into cells; within a cell every vector is
-projected on ``PROJECTIONS`` fixed directions.  On each projection the values are
-sorted and every vector's window of half-width ``w`` around its own value is
-looked up; a pair is counted once for each window in which it meets.  Pairs with
-at least ``need`` counts are verified by their cosine in double precision.
-
-A label of n distinct vectors uses cells of the signs of K further projections,
-K = log2(n / CELL) rounded up, in independent repetitions.  Where the repetitions
-would outweigh the smaller cells, and up to CELL vectors, there is one cell.  A cell
-larger than BLOCK is worked off in pairs of blocks.
+Vectors of one label meet in cells.  Within a cell every vector is projected on
+``PROJECTIONS`` fixed directions; a pair is counted once for each projection on
+which one lies in the window of half-width ``w`` around the other.  Pairs with at
+least ``need`` counts are verified by their cosine in double precision.
+
+Cells come from sorted projections too: a vector's cell is the tuple of the sides
+of K further projections on which it lies, in independent repetitions.  Everything
+of up to ``TASK`` vectors of a label is done inside one task, so repetitions
+cost no shuffle; K follows from what cells and pairs cost.  In a large cell the
+windows of the first projection, sorted, and then the others one by one, thin the
+pairs; blocks of pairs bound the memory.
+
+A label of more than ``TASK`` vectors is dealt to tasks by K0 sides in R0
+repetitions first; what is still larger than TASK (a dense cluster) is worked off
+in pairs of parts.
 
 One rule holds for labels of every size: a pair exactly at the threshold both meets
 in a cell and passes the count with probability ``RECALL`` at least.  What the count
-may miss is taken off first; the repetitions are as many as the rest asks for.
+may miss is taken off first, then the cells inside a task; the repetitions are as
+many as the rest asks for.
 
 Equal vectors of one label are one class: they are compared once and counted as
 often as they occur.  Pairs stay inside a task, which hands on each class's
@@ -21,13 +27,17 @@ number of links and a spanning forest of its links, never all pairs.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components,
 and rows without id or label, link with nothing; vectors of different length
-never link; repeated rows of one id are separate vectors.
+never link; very small and very large components are scaled before anything is
+squared; repeated rows of one id are separate vectors; ties (a cosine equal to
+the threshold) link; an empty table gives no row.  Columns other than vec_id,
+embedding and label are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,14 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
-from ._session import cut, stored
+from ._graph import components, forest
+from ._session import cut, stored, tidy
 
-PROJECTIONS, CELL, BLOCK, RECALL, MAX_BITS = 24, 4096, 1024, 0.9995, 24
+PROJECTIONS, TASK, RECALL, MAX_BITS = 24, 1 << 15, 0.9998, 30
 BROADCAST_ROWS = 100_000
+PAIRS = 1 << 18
+VECTOR_COST, PAIR_COST = 0.5, 0.2  # microseconds a vector and repetition, and a pair of a cell
 
 
-def _directions(dim: int, count: int, seed: int) -> np.ndarray:
+@lru_cache(maxsize=64)
+def directions(dim: int, count: int, seed: int) -> np.ndarray:
     d = np.random.default_rng([seed, dim]).standard_normal((count, dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
@@ -54,100 +67,175 @@ def _below(count: int) -> float:
 
 
 def window(dim: int, threshold: float) -> tuple[float, int]:
-    """Half-width of a window, and the largest number of collisions to ask for that misses a pair at the threshold with no more than 1 - RECALL."""
-    need = max(c for c in range(PROJECTIONS + 1) if _below(c) <= 1 - RECALL)
+    """Half-width of a window, and the largest number of collisions to ask for that costs no more than a third of what may be missed."""
+    need = max(c for c in range(PROJECTIONS + 1) if _below(c) <= (1 - RECALL) / 3)
     return 2.0 * math.sqrt(max(0.0, 2 - 2 * threshold) / dim), need
 
 
-def cells(n: int, threshold: float) -> tuple[int, int]:
-    """(sign bits of a cell, repetitions) for a label of n vectors."""
-    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n) / CELL))))
+def repetitions(bits: int, threshold: float) -> int:
+    """Repetitions of cells of ``bits`` sides in which a pair at the threshold meets but for a third of what may be missed."""
     if not bits:
-        return 0, 1
+        return 1
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    lost = 1 - RECALL / (1 - _below(window(1, threshold)[1]))
-    repeats = math.ceil(math.log(lost) / math.log(1 - meet))
-    return (bits, repeats) if repeats < 1 << bits else (0, 1)  # few bits cost more in repetitions than they save
-
-
-def collisions(a: np.ndarray, b: np.ndarray, directions: np.ndarray, width: float) -> np.ndarray:
-    """How many of b's sorted projections fall in the window around each of a's: counts by pair."""
-    pa_, pb = a @ directions.T, b @ directions.T
-    counts = np.zeros((len(a), len(b)), np.int16)
-    rows = np.arange(len(a))
-    for j in range(len(directions)):
-        order = np.argsort(pb[:, j], kind="stable")
-        ranked = pb[order, j]
-        lo, hi = np.searchsorted(ranked, pa_[:, j] - width, "left"), np.searchsorted(ranked, pa_[:, j] + width, "right")
-        edge = np.zeros((len(a), len(b) + 1), np.int8)
-        np.add.at(edge, (rows, lo), 1)
-        np.add.at(edge, (rows, hi), -1)
-        counts[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8)
-    return counts
-
-
-def _forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the edges (x, y) over n nodes."""
-    up = list(range(n))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    keep = []
-    # one edge a node first: most of the rest then joins nothing new
-    first = np.unique(x, return_index=True)[1]
-    for k in [*first, *range(len(x))] if len(x) < 50_000 else [*first, *np.unique(y, return_index=True)[1], *range(len(x))]:
-        i, j = find(int(x[k])), find(int(y[k]))
-        if i != j:
-            up[max(i, j)] = min(i, j)
-            keep.append((int(x[k]), int(y[k])))
-    return keep
-
-
-def link_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one pair of blocks of one cell: rows (a, b null, links of a) and forest edges (a, b, 0)."""
+    return math.ceil(math.log((1 - RECALL) / 3) / math.log(1 - meet))
+
+
+def cells(n: int, threshold: float) -> tuple[int, int]:
+    """(sides of a cell, repetitions) at the least cost for n vectors."""
+    cost = {b: repetitions(b, threshold) * ((b > 0) * VECTOR_COST * n + PAIR_COST * n * n / 2 ** (b + 1)) for b in range(MAX_BITS)}
+    bits = min(cost, key=cost.get)
+    return bits, repetitions(bits, threshold)
+
+
+def outer(n: int, threshold: float, task: int = TASK) -> tuple[int, int]:
+    """(sides, repetitions) by which a label of n vectors is dealt to tasks of about ``task``."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / task)))
+    return bits, repetitions(bits, threshold)
+
+
+def sides(v: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    return (v @ directions(v.shape[1], bits, seed).T >= 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
+
+
+def _counted(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, width: float, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (x, y), those that meet in ``need`` windows; a pair is dropped once it cannot reach that."""
+    missed = np.zeros(len(x), np.int8)
+    for j in range(PROJECTIONS):
+        missed += np.abs(px[x, j] - py[y, j]) > width
+        if j >= PROJECTIONS - need and j % 4 == 3 or j == PROJECTIONS - 1:
+            keep = missed <= PROJECTIONS - need
+            x, y, missed = x[keep], y[keep], missed[keep]
+    return x, y
+
+
+def _windows(px: np.ndarray, py: np.ndarray, width: float):
+    """Pairs (x, y) in each other's window on the first projection, both sides sorted by it; some at a time."""
+    left, right = np.argsort(px[:, 0], kind="stable"), np.argsort(py[:, 0], kind="stable")
+    low = np.searchsorted(py[right, 0], px[left, 0] - width, "left")
+    high = np.searchsorted(py[right, 0], px[left, 0] + width, "right")
+    total = np.r_[0, np.cumsum(high - low)]
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        size = (high - low)[at:to]
+        x = np.repeat(left[at:to], size)
+        y = right[np.repeat(low[at:to], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
+        yield x, y
+        at = to
+
+
+def _pairs(cu: np.ndarray, cv: np.ndarray) -> int:
+    """Pairs that meet in the cells."""
+    a, m = np.unique(cu, return_counts=True)
+    b, n = np.unique(cv, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int((m[i] * n[j]).sum())
+
+
+def _met(u: np.ndarray, v: np.ndarray | None, threshold: float):
+    """Candidates (x, y) that pass the count, repetition by repetition; within u if v is None (x < y)."""
+    n, dim = len(u), u.shape[1]
+    width, need = window(dim, threshold)
+    bits, reps = cells(n if v is None else int(math.sqrt(n * len(v))), threshold)
+    d = directions(dim, PROJECTIONS, 1)
+    pu = (u @ d.T).astype(np.float32)
+    pv = pu if v is None else (v @ d.T).astype(np.float32)
+    slack = np.float32(width * (1 + 1e-5) + 1e-6)  # what rounding of projections may take
+    codes = [(sides(u, bits, 100 + r), None if v is None else sides(v, bits, 100 + r)) for r in range(reps)]
+    if bits and sum(_pairs(cu, cu if cv is None else cv) for cu, cv in codes) > n * len(pv):
+        codes = [(np.zeros(n, np.int64), None if v is None else np.zeros(len(v), np.int64))]  # dense: one cell costs less than all its repetitions
+    for cu, cv in codes:
+        cv = cu if cv is None else cv
+        ou, ov = np.argsort(cu, kind="stable"), np.argsort(cv, kind="stable")
+        su, sv = cu[ou], cv[ov]
+        cell = np.unique(su)
+        ulo, uhi = np.searchsorted(su, cell, "left"), np.searchsorted(su, cell, "right")
+        vlo, vhi = np.searchsorted(sv, cell, "left"), np.searchsorted(sv, cell, "right")
+        work = (uhi - ulo) * (vhi - vlo)
+        # small cells: all their pairs at once; large ones by sorted windows
+        small = np.flatnonzero((work <= 4096) & (work > 0))
+        at = 0
+        total = np.r_[0, np.cumsum(work[small])]
+        while at < len(small):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+            c = small[at:to]
+            wide = (vhi - vlo)[c]
+            rank = np.arange(work[c].sum()) - np.repeat(np.cumsum(work[c]) - work[c], work[c])
+            w = np.repeat(wide, work[c])
+            x, y = ou[np.repeat(ulo[c], work[c]) + rank // w], ov[np.repeat(vlo[c], work[c]) + rank % w]
+            if v is None:
+                keep = x < y
+                x, y = x[keep], y[keep]
+            yield _counted(pu, pv, x, y, slack, need)
+            at = to
+        for c in np.flatnonzero(work > 4096):
+            mu, mv = ou[ulo[c] : uhi[c]], ov[vlo[c] : vhi[c]]
+            for x, y in _windows(pu[mu], pv[mv], slack):
+                x, y = mu[x], mv[y]
+                if v is None:
+                    keep = x < y
+                    x, y = x[keep], y[keep]
+                yield _counted(pu, pv, x, y, slack, need)
+
+
+def links(u: np.ndarray, v: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Codes x * len(v) + y of the distinct pairs of unit vectors that link, sorted."""
+    right = u if v is None else v
+    seen = np.zeros(0, np.int64)
+    waiting, size = [], 0
+    for x, y in _met(u, v, threshold):
+        if not len(x):
+            continue
+        code = np.unique(x * len(right) + y)
+        at = np.minimum(np.searchsorted(seen, code), max(0, len(seen) - 1))
+        code = code[seen[at] != code] if len(seen) else code
+        for a in range(0, len(code), 1 << 15):
+            part = code[a : a + (1 << 15)]
+            cosine = np.einsum("ij,ij->i", u[part // len(right)], right[part % len(right)])
+            waiting.append(part[cosine >= threshold])
+            size += len(waiting[-1])
+        if size > len(seen) // 2 + (1 << 16):
+            seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
+    return np.unique(np.concatenate([seen, *waiting])) if waiting else seen
+
+
+def _floats(part: pd.DataFrame, dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v = np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * dim else np.float64).astype(np.float64) for x in part["vec"]])
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def link_part(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of one task: rows (a, b null, links of a) and forest edges (a, b, 0)."""
     empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "links": pd.Series(dtype="int64")})
     same = bool(pdf["same"].iat[0])
+    pdf = pdf.sort_values("rep", kind="stable")  # one result however rows come
     left, right = (pdf, pdf) if same else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
     if len(left) == 0 or len(right) == 0 or len(pdf) < 2:
         return empty
     dim, bits, rep = int(pdf["dim"].iat[0]), int(pdf["bits"].iat[0]), int(pdf["rep_no"].iat[0])
-
-    def units(part: pd.DataFrame) -> np.ndarray:
-        v = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), dim).astype(np.float64)
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    u, v = units(left), units(right)
-    width, need = window(dim, threshold)
-    passed = collisions(u, v, _directions(dim, PROJECTIONS, 1), width) >= need
-    if same:
-        passed = np.triu(passed, 1)
-    x, y = np.nonzero(passed)
+    u = _floats(left, dim)
+    v = u if same else _floats(right, dim)
+    code = links(u, None if same else v, threshold)
+    x, y = code // len(v), code % len(v)
     if rep and len(x):  # an earlier repetition has already had the pair
         earlier = np.zeros(len(x), bool)
         for r in range(rep):
-            s = _directions(dim, bits, 100 + r)
-            earlier |= (((u[x] @ s.T) >= 0) == ((v[y] @ s.T) >= 0)).all(axis=1)
+            earlier |= sides(u, bits, 900 + r)[x] == sides(v, bits, 900 + r)[y]
         x, y = x[~earlier], y[~earlier]
-    if len(x):
-        ok = np.concatenate([(u[x[k : k + 65536]] * v[y[k : k + 65536]]).sum(axis=1) >= threshold for k in range(0, len(x), 65536)])
-        x, y = x[ok], y[ok]
     if not len(x):
         return empty
-    ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-    size = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
-    off = len(left)
-    if same:
-        ids, size, off = left["rep"].to_numpy(), left["copies"].to_numpy(), 0
-    links = np.bincount(x, size[y + off], len(ids)) + np.bincount(y + off, size[x], len(ids))
-    has = np.flatnonzero(links)
-    edges = np.array(_forest(x, y + off, len(ids)), int).reshape(-1, 2)
-    return pd.DataFrame(
-        {"a": np.concatenate([ids[has], ids[edges[:, 0]]]), "b": pd.array([None] * len(has) + list(ids[edges[:, 1]]), dtype="Int64"), "links": np.concatenate([links[has].astype("int64"), np.zeros(len(edges), "int64")])}
-    )
+    off = 0 if same else len(left)
+    ids = left["rep"].to_numpy() if same else np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
+    size = left["copies"].to_numpy() if same else np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
+    count = np.bincount(x, size[y + off], len(ids)) + np.bincount(y + off, size[x], len(ids))
+    has = np.flatnonzero(count)
+    keep = forest(x, y + off)
+    a = np.concatenate([ids[has], ids[x[keep]]])
+    b = pd.array(np.concatenate([np.zeros(len(has), np.int64), ids[y[keep] + off]]), dtype="Int64")
+    b[: len(has)] = pd.NA
+    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate([count[has].astype("int64"), np.zeros(len(keep), "int64")])})
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -155,56 +243,62 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            dims, keys, data = [], [], []
-            for v in batch.column("embedding").to_pylist():
-                x = np.array([np.nan if c is None else c for c in v], np.float64) if v else np.zeros(0)
-                norm = float(np.sqrt((x * x).sum())) if len(x) else 0.0
-                if not (norm > 0 and np.isfinite(norm)):
-                    dims.append(None), keys.append(None), data.append(None)
-                else:
-                    raw = (x + 0.0).astype(np.float32).tobytes()
-                    dims.append(len(x)), keys.append(hashlib.blake2b(raw, digest_size=16).digest()), data.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label_key"), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label_key", "dim", "key", "vec"])
-
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label_key"), "embedding").mapInArrow(read, "vec_id long, label_key string, dim int, key binary, vec binary")
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+            column = batch.column("embedding")
+            values = column.flatten()
+            narrow = pa.types.is_float32(values.type)
+            flat = values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float32 if narrow else np.float64) + 0.0
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(size)
+            # a vector is usable if all its components are finite and one is not zero
+            bad, some = np.r_[0, np.cumsum(~np.isfinite(flat))], np.r_[0, np.cumsum(flat != 0)]
+            ok = (bad[ends] == bad[ends - size]) & (some[ends] > some[ends - size])
+            data = [flat[e - n : e].tobytes() if k else None for e, n, k in zip(ends.tolist(), size.tolist(), ok.tolist(), strict=True)]
+            keys = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in data]
+            dims = pa.array(np.where(ok, size, 0).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label_key"), dims, pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label_key", "dim", "key", "vec"])
+
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label_key"), "embedding").mapInArrow(tidy(read), "vec_id long, label_key string, dim int, key binary, vec binary")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, task: int = TASK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = stored(_classes(vectors), "vectors")
     on = ["label_key", "dim", "key"]
     usable = rows.where(F.col("key").isNotNull() & F.col("vec_id").isNotNull() & F.col("label_key").isNotNull())
-    reps = cut(usable.groupBy(*on).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")))
-    sizes = reps.groupBy("label_key", "dim").agg(F.count(F.lit(1)).alias("n"))
+    # an id may stand for several classes (repeated rows of one id), so classes are numbered
+    reps = usable.groupBy(*on).agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    sizes = reps.groupBy("label_key", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
 
     def place(batches):
         for batch in batches:
-            rows = batch.to_pandas()
-            for (dim, n), part in rows.groupby(["dim", "n"]):
-                bits, reps = cells(int(n), threshold)
-                v = np.frombuffer(b"".join(part["vec"]), np.float32).reshape(len(part), int(dim)).astype(np.float64)
-                for r in range(reps):
-                    code = ((v @ _directions(int(dim), bits, 100 + r).T >= 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(part), np.int64)
-                    yield pa.RecordBatch.from_pandas(part.assign(bits=bits, rep_no=r, cell=code)[["label_key", "dim", "rep", "copies", "vec", "bits", "rep_no", "cell"]].astype({"dim": "int32", "bits": "int32", "rep_no": "int32", "cell": "int64"}), preserve_index=False)
-
-    dealt = reps.join(sizes, ["label_key", "dim"]).select("label_key", "dim", "rep", "copies", "vec", "n").mapInArrow(place, "label_key string, dim int, rep long, copies long, vec binary, bits int, rep_no int, cell long")
+            part_of = batch.to_pandas()
+            for (dim, n), part in part_of.groupby(["dim", "n"]):
+                bits, times = outer(int(n), threshold, task)
+                v = _floats(part, int(dim)) if bits else np.zeros((len(part), 1))
+                for r in range(times):
+                    made = part.assign(bits=bits, rep_no=r, cell=sides(v, bits, 900 + r))
+                    yield pa.RecordBatch.from_pandas(made[["label_key", "dim", "rep", "copies", "vec", "bits", "rep_no", "cell"]].astype({"dim": "int32", "bits": "int32", "rep_no": "int32", "cell": "int64"}), preserve_index=False)
+
+    dealt = reps.join(sizes, ["label_key", "dim"]).select("label_key", "dim", "rep", "copies", "vec", "n").mapInArrow(tidy(place), "label_key string, dim int, rep long, copies long, vec binary, bits int, rep_no int, cell long")
     dealt = stored(dealt, "cells")
     where = ["label_key", "dim", "rep_no", "cell"]
-    filled = dealt.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    filled = dealt.groupBy(*where).agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / (2 * task)).cast("int"))
     filled = F.broadcast(filled) if filled.count() <= BROADCAST_ROWS else filled
-    blocked = dealt.join(filled, where).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = blocked.select(
-        *where, "rep", "copies", "vec", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same")
+    parted = dealt.join(filled, where).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = parted.select(
+        *where, "rep", "copies", "vec", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") == F.col("other")).alias("same")
     )
-    found = cut(paired.groupBy(*where, "i", "j").applyInPandas(lambda pdf: link_block(pdf, threshold), "a long, b long, links long"))
+    found = cut(paired.groupBy(*where, "i", "j").applyInPandas(lambda pdf: link_part(pdf, threshold), "a long, b long, links long"))
     degree = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnRenamed("id", "rep")
-    known = reps.drop("vec").join(degree, "rep", "left").join(joined, "rep", "left")
-    known = known.select(*on, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    known = reps.drop("vec").join(degree, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = known.groupBy("component").agg(F.min("vec_id").alias("least"))
+    known = known.join(least, "component").select(*on, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "least")
     out = rows.drop("vec").withColumn("lone", F.col("vec_id").isNull()).join(known, on, "left")
-    links = F.when(F.col("lone"), 0).otherwise(F.coalesce("links", F.lit(0))).cast("bigint")
-    component = F.when(F.col("lone"), None).otherwise(F.coalesce("component", "vec_id")).cast("bigint")
-    out = out.select("vec_id", links.alias("n_links"), component.alias("component_id"))
+    n_links = F.when(F.col("lone"), 0).otherwise(F.coalesce("links", F.lit(0))).cast("bigint")
+    component = F.when(F.col("lone"), None).otherwise(F.coalesce("least", "vec_id")).cast("bigint")
+    out = out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

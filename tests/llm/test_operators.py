@@ -135,18 +135,18 @@ def test_decontamination_odd_rows(odd, empty, frame):
 # --- 2 near vectors ---------------------------------------------------------------------------
 
 
-def test_near_vectors_against_brute_force(spark, frame, monkeypatch):
-    monkeypatch.setattr(nearvec, "CELL", 8)  # several repetitions and cells
-    assert nearvec.cells(100, 0.93)[1] > 1
+@pytest.mark.parametrize("task", [8, 1 << 15])
+def test_near_vectors_against_brute_force(spark, frame, task):
+    """In one task, and dealt to many by sides in several repetitions."""
     rng = np.random.default_rng(1)
     base = rng.standard_normal((160, 24)).astype(np.float32)
     near = base[:60] + 0.12 * rng.standard_normal((60, 24)).astype(np.float32)
     more = np.repeat(base[:1], 9, axis=0)
     vectors = np.concatenate([base, near, more])
     rows = [(i, v.tolist(), int(i % 2) if i < 160 else int((i - 160) % 2) if i < 220 else 0) for i, v in enumerate(vectors)]
-    rows += [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] * 24, 0), (903, [None] * 24, 0), (904, base[0].tolist(), None), (905, [1.0, 2.0], 0), (None, base[0].tolist(), 0), (906, [], 0)]
+    rows += [(900, None, 0), (901, [0.0] * 24, 0), (902, [float("nan")] * 24, 0), (903, [None] * 24, 0), (904, base[0].tolist(), None), (905, [1.0, 2.0], 0), (None, base[0].tolist(), 0), (906, [], 0), (907, [float("inf")] * 24, 0)]
     df = frame([(*r, "extra") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
-    got = {r["vec_id"]: r for r in nearvec.near_vectors(df).collect()}
+    got = {r["vec_id"]: r for r in nearvec.near_vectors(df, task=task).collect()}
     assert len(got) == len(rows)
     u = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     label = np.array([r[2] for r in rows[: len(vectors)]])
@@ -158,7 +158,7 @@ def test_near_vectors_against_brute_force(spark, frame, monkeypatch):
     missed = sum(got[i]["n_links"] != links[i].sum() for i in range(len(u)))
     assert missed <= 0.02 * len(u) and all(got[i]["n_links"] <= links[i].sum() for i in range(len(u)))
     assert sum(got[i]["component_id"] != comp[i] for i in range(len(u))) <= 0.02 * len(u)
-    for i in range(900, 907):
+    for i in range(900, 908):
         assert got[i]["n_links"] == 0 and got[i]["kept"]
     assert got[None]["n_links"] == 0 and got[None]["component_id"] is None
 
@@ -167,28 +167,50 @@ def test_near_vectors_have_one_recall_at_every_size():
     p = math.erf(2 / math.sqrt(2))
     need = nearvec.window(64, 0.93)[1]
     counted = sum(math.comb(24, c) * p**c * (1 - p) ** (24 - c) for c in range(need, 25))
-    for n in [2, 5000, 16_384, 16_385, 40_000, 100_000, 10**6, 10**8]:
-        bits, repeats = nearvec.cells(n, 0.93)
-        met = 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** repeats
-        assert met * counted >= 0.9995, n
+    met = lambda bits, times: 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** times
+    for n in [2, 300, 5000, 32_768, 32_769, 10**6, 10**8]:
+        inner, dealt = nearvec.cells(min(n, 1 << 15), 0.93), nearvec.outer(n, 0.93)
+        assert met(*inner) * met(*dealt) * counted >= nearvec.RECALL, n
 
 
-def test_near_vectors_of_a_label_dealt_into_cells(spark):
-    """A label above 16,384 vectors against brute force, its pairs right at the threshold."""
-    rng = np.random.default_rng(4)
-    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 8250, 32)))
+def pairs_at_the_threshold(n, dim, seed=4, c=0.9301):
+    rng = np.random.default_rng(seed)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, n, dim)))
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    c = 0.9301
-    v = np.concatenate([a, c * a + math.sqrt(1 - c * c) * b]).astype(np.float32)
-    assert nearvec.cells(len(v), 0.93)[0] > 0
-    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(4)
-    got = {r["vec_id"]: r["n_links"] for r in nearvec.near_vectors(df).collect()}
-    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
-    want = np.concatenate([(u[k : k + 2000] @ u.T >= 0.93).sum(axis=1) - 1 for k in range(0, len(u), 2000)])
-    links = np.array([got[i] for i in range(len(u))])
-    print("links", links.sum(), "of", want.sum())
-    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+    return np.concatenate([a, c * a + math.sqrt(1 - c * c) * b])
+
+
+@pytest.mark.parametrize("n", [200, 2000, 8250])
+def test_near_vectors_recall_of_pairs_right_at_the_threshold(n):
+    u = pairs_at_the_threshold(n, 32)
+    got = nearvec.links(u, None, 0.93)
+    want = np.concatenate([np.flatnonzero(np.triu(u[k : k + 2000] @ u.T >= 0.93, k + 1)) + k * len(u) for k in range(0, len(u), 2000)])
+    print("links", len(got), "of", len(want))
+    assert np.isin(got, want).all() and len(got) >= 0.999 * len(want)
+
+
+def test_near_vectors_count_a_small_part_of_all_pairs(monkeypatch):
+    seen, plain = [], nearvec._counted
+    monkeypatch.setattr(nearvec, "_counted", lambda pu, pv, x, y, w, need: seen.append(len(x)) or plain(pu, pv, x, y, w, need))
+    work = []
+    for n in (2000, 16_000):
+        seen.clear()
+        v = np.random.default_rng(n).standard_normal((n, 64))
+        nearvec.links(v / np.linalg.norm(v, axis=1, keepdims=True), None, 0.93)
+        work.append(sum(seen))
+    print("pairs counted", work)
+    assert work[1] < 0.02 * 16_000**2 / 2 and work[1] < work[0] * 8**1.5
+
+
+def test_near_vectors_in_double_precision(frame):
+    """array<double>: components too small for a float, and a pair that a float cannot tell from the threshold."""
+    x, y = [1e-200, 2e-200, 0.0], [2e-200, 4e-200, 0.0]
+    edge = [0.93 - 1e-12, math.sqrt(1 - (0.93 - 1e-12) ** 2), 0.0]
+    rows = [(1, x, 0), (2, y, 0), (3, [1.0, 0.0, 0.0], 1), (4, edge, 1), (5, [0.93 + 1e-12, -math.sqrt(1 - (0.93 + 1e-12) ** 2), 0.0], 1), (1, [0.0, 0.0, 1.0], 2), (6, [0.0, 0.0, 1e300], 2)]
+    got = nearvec.near_vectors(frame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 0, 4), (5, 1, 3), (6, 1, 1)]
+    assert nearvec.near_vectors(frame(rows, "vec_id long, embedding array<double>, label int").where("vec_id > 99")).count() == 0
 
 
 # --- 3 tokens ---------------------------------------------------------------------------------
