@@ -6,15 +6,19 @@ exact tables are the postings (key, document) and, summed from them, the
 reference counts (key, n_docs, last_doc).  Keys held by ``min_docs`` documents
 also stand in cuckoo filters, one per shard of the key space.  A document none
 of whose lines hits a filter is finished where it is read; only the others
-consult the exact tables, so a false positive costs time and never a line.
+consult the exact tables, so a false positive costs time and never a line.  Filters
+are sent to all tasks as far as ``filter_limit`` goes; beyond it the keys are dealt
+to the filters instead, shard by shard, frequent lines over several copies.
 
 Insertions append postings, deletions take postings away, and both move only
 the keys that cross ``min_docs`` in the filters; deleting what was inserted
-gives the former state again.
+gives the former state again.  A shard that has no room left is rebuilt larger.
 
 Edge cases: a null or empty text is one empty line; a null doc_id is one
 document below all others; rows of equal doc_id are one document; lines repeated
-within a document count once and stay or go together.
+within a document count once and stay or go together (ties); a very long text, or
+line, is digested like any other; an empty table gives no row.  Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut, stored
+from ._session import cut, stored, tidy
 
 WHITE = b" \t\n\x0b\x0c\r"
 FILTER_LIMIT = 64 << 20
-SHARD_KEYS = 1 << 16
+SHARD_KEYS, COPIES = 1 << 16, 8
 _NO_ID = -(1 << 63)
 
 
@@ -94,12 +98,25 @@ class Cuckoo:
                 self.table[place, hit[0]] = 0
                 return
 
+    def add_all(self, keys: np.ndarray) -> bool:
+        """Insert distinct keys: into free slots all at once, and what finds none one by one; False if some found no place."""
+        mark, one, two = self._places(keys)
+        left = np.arange(len(keys))
+        for at in (one, two):
+            for slot in range(self.SLOTS):
+                free = left[self.table[at[left], slot] == 0]
+                _, first = np.unique(at[free], return_index=True)
+                now = free[first]
+                self.table[at[now], slot] = mark[now]
+                left = np.setdiff1d(left, now, assume_unique=True)
+        return all(self.add(keys[i : i + 1]) for i in left)
+
     @classmethod
     def of(cls, keys: np.ndarray) -> Cuckoo:
         size = len(keys)
         while True:
             made = cls.sized(size)
-            if all(made.add(k) for k in keys):
+            if made.add_all(keys):
                 return made
             size *= 2
 
@@ -130,7 +147,7 @@ def postings(docs: DataFrame, min_chars: int = 20) -> DataFrame:
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], ["k1", "k2", "doc"])
 
-    return docs.select(_doc(docs), "text").mapInArrow(emit, "k1 long, k2 long, doc long")
+    return docs.select(_doc(docs), "text").mapInArrow(tidy(emit), "k1 long, k2 long, doc long")
 
 
 def _doc(docs: DataFrame):
@@ -170,6 +187,7 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
     changes = after.join(before, on, "left_anti").select(*on, F.lit(1).alias("sign")).unionByName(before.join(after, on, "left_anti").select(*on, F.lit(-1).alias("sign")))
 
     def move(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
+        """The new filter of a shard; null where it has no room."""
         if len(old) == 0 and len(change) == 0:
             return pd.DataFrame({"shard": [], "filter": []})
         shard = int((old if len(old) else change)["shard"].iat[0])
@@ -178,11 +196,40 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
             made.remove(k)
         for k in change.loc[change["sign"] > 0, "k1"].to_numpy(np.int64).view(np.uint64):
             if not made.add(k):
-                raise ValueError(f"filter shard {shard} is full; rebuild it with build_filters")
+                return pd.DataFrame({"shard": [shard], "filter": [None]})
         return pd.DataFrame({"shard": [shard], "filter": [made.dump()]})
 
     dealt = changes.select("k1", "sign", _shard(shards)).groupBy("shard")
-    return filters.groupBy("shard").cogroup(dealt).applyInPandas(move, "shard int, filter binary")
+    moved = stored(filters.groupBy("shard").cogroup(dealt).applyInPandas(move, "shard int, filter binary"), "filters")
+    full = moved.where(F.col("filter").isNull()).select("shard")
+    rebuilt = build_filters(after.withColumn("own", _shard(shards)).join(full.withColumnRenamed("shard", "own"), "own", "left_semi"), shards)
+    return moved.where(F.col("filter").isNotNull()).unionByName(rebuilt)
+
+
+def _sharded_hits(keyed: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Of the rows (doc, key, k1, k2), those that the filter of their shard holds; a task has one filter at a time."""
+    copies = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"), "filter")
+    rows = keyed.select(_shard(shards), F.pmod(F.xxhash64("doc"), F.lit(COPIES)).cast("int").alias("copy"), F.lit(1).alias("place"), "doc", "key", "k1")
+    both = rows.withColumn("filter", F.lit(None).cast("binary")).unionByName(
+        copies.select("shard", "copy", F.lit(0).alias("place"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("k1"), "filter")
+    )
+
+    def probe(batches):
+        table, where = None, None
+        for batch in batches:
+            shard, place = batch.column("shard").to_numpy(), batch.column("place").to_numpy()
+            k1 = batch.column("k1").fill_null(0).to_numpy().view(np.uint64)
+            hit = np.zeros(batch.num_rows, bool)
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (place[1:] != place[:-1]) | (place[1:] == 0), True]) if batch.num_rows else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if place[a] == 0:
+                    table, where = Cuckoo.load(batch.column("filter")[int(a)].as_py()), shard[a]
+                elif where == shard[a]:
+                    hit[a:b] = table.holds(k1[a:b])
+            yield batch.select(["doc", "key"]).filter(pa.array(hit))
+
+    dealt = both.repartition("shard", "copy").sortWithinPartitions("copy", "shard", "place")
+    return dealt.select("shard", "place", "doc", "key", "k1", "filter").mapInArrow(tidy(probe), "doc long, key binary")
 
 
 def _probe(docs: DataFrame, filters, shards: int, min_chars: int) -> DataFrame:
@@ -211,7 +258,7 @@ def _probe(docs: DataFrame, filters, shards: int, min_chars: int) -> DataFrame:
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), *arrays], ["doc", "doc_id", "n_lines", "kept_sha256", "text", "keys"])
 
-    return docs.select(_doc(docs), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(probe, schema)
+    return docs.select(_doc(docs), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(probe), schema)
 
 
 def _finish(joined: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
@@ -235,7 +282,7 @@ def _finish(joined: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"],
             )
 
-    return joined.select("doc_id", "n_lines", "kept_sha256", "text", "drop").mapInArrow(finish, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    return joined.select("doc_id", "n_lines", "kept_sha256", "text", "drop").mapInArrow(tidy(finish), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_limit: int = FILTER_LIMIT, with_text: bool = True) -> DataFrame:
@@ -244,18 +291,31 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_
     repeated = cut(refcounts(postings(docs, min_chars)).where(F.col("n_docs") >= min_docs))
     keys = repeated.count()
     shards = max(1, -(-keys // SHARD_KEYS))
+    built = build_filters(repeated, shards)
     filters = None
-    if keys * 5 <= filter_limit:  # at most 5 bytes a key at this load; beyond the limit every row consults the exact table
-        built = build_filters(repeated, shards).toLocalIterator()
-        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built})
+    if keys * 5 <= filter_limit:  # at most 5 bytes a key at this load
+        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.toLocalIterator()})
     seen = stored(_probe(docs, filters, shards, min_chars), "lines")
+    hits = seen.select("doc", F.explode("keys").alias("key")).distinct()
+    if filters is None:
+        hits = _sharded_hits(_halves(hits), stored(built, "filters"), shards)
     wire = F.unhex(F.concat(_little("k1"), _little("k2")))
     table = repeated.select(wire.alias("key"), "last_doc")
-    hits = seen.select("doc", F.explode("keys").alias("key")).distinct()
     drops = hits.join(table, "key").where(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
     return _finish(seen.drop("keys").join(drops, "doc", "left"), min_chars, with_text)
 
 
+def _halves(hits: DataFrame) -> DataFrame:
+    """(doc, key, k1, k2): the two longs of each key, as the digests are laid out."""
+
+    def run(batches):
+        for batch in batches:
+            k = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(k[:, 0]), pa.array(k[:, 1])], ["doc", "key", "k1", "k2"])
+
+    return hits.mapInArrow(tidy(run), "doc long, key binary, k1 long, k2 long")
+
+
 def _little(name: str):
     """Hex digits of a long in little-endian byte order, as the digests are laid out."""
     h = F.lpad(F.hex(name), 16, "0")

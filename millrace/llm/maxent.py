@@ -247,7 +247,7 @@ def _model(words: np.ndarray, count: np.ndarray, near: np.ndarray, rest: np.ndar
         order = np.lexsort((some, -count[some], _clusters(near, count[some], np.arange(min(ANCHORS, len(some))))))
         mass = np.cumsum(np.sqrt(count[some][order]))
         leaf[some[order]] = np.minimum(TAIL - 1, (mass - np.sqrt(count[some][order]) / 2) * TAIL / mass[-1]).astype(np.int64)
-    total = np.bincount(leaf, count, LEAVES)
+    total = np.bincount(leaf, count, LEAVES).astype(float)
     total[TAIL:] += np.bincount(leaf, minlength=LEAVES)[TAIL:] + rest + 1.0
     inside = np.log10((count + (leaf >= TAIL)) / total[leaf])
     levels = [total.reshape(WAYS, -1).sum(axis=1)[None, :], total.reshape(WAYS, WAYS, WAYS).sum(axis=2), total.reshape(-1, WAYS)]

@@ -10,8 +10,10 @@ threshold.
 
 Edge cases: a null text has size 0; a null source is a source of its own and
 comes last; rows with a null id are hashed by their text; rows of equal id share
-a hash and are taken or left together; a source of only empty texts keeps one
-copy of each (size 0); an empty table gives an empty result.
+a hash and are taken or left together (ties); a source of only empty texts keeps one
+copy of each (size 0); a very long text is one size like any other; an empty table
+gives an empty result.  Columns of the input are never changed: where it has a
+column of an added name, underscores are put before the added one.
 """
 
 from __future__ import annotations
@@ -36,6 +38,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def free_names(columns: list[str], wanted: list[str]) -> dict[str, str]:
+    """A name for each wanted column that no given column has (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    out = {}
+    for name in wanted:
+        free = name
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        out[name] = free
+    return out
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(source, source_size, target): water-filling of ``share`` x all sizes by weight, at most ``cap`` x size each.
 
@@ -72,7 +87,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         run = F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
         hist = hist.withColumn("run", run).where(F.col("run") > F.col("need"))
         at = hist.groupBy("s").agg(F.min_by(F.struct("b", (F.col("need") - F.col("run") + F.col("n")).alias("left"), "n"), "b").alias("e"))
-        state = (
+        # one row a source, read twice by the next level: cut, or the plan would double with each level
+        state = cut(
             state.drop("prefix", "need", "n")
             .join(at, F.col("source").eqNullSafe(F.col("s")), "left")
             .select(*targets.columns, "full", F.col("e.b").alias("prefix"), F.col("e.left").alias("need"), F.col("e.n").alias("n"))
@@ -81,18 +97,23 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select(*targets.columns, "full", (F.col("prefix") + nearer).alias("below"))
 
 
+MIXED = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken appended as ``mix_*``."""
-    hashed = docs.withColumns({"mix_size": word_count(F.col("text")), "mix_h": id_hash(F.col("doc_id"), F.col("text"))})
-    sized = cut(hashed.select("source", F.col("mix_size").alias("size"), F.col("mix_h").alias("h")))
-    levels = cut(thresholds(sized, source_targets(sized, weights, share, cap)))
-    levels = levels.select([F.col(c).alias(f"mix_{c}") for c in levels.columns])
+    """All rows and columns of ``docs`` (doc_id, text, source, ...), and the columns MIXED under free names."""
+    names = free_names(docs.columns, MIXED)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.col("source").alias("source"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    sized = cut(packed.select("source", "size", "h"))
+    levels = cut(thresholds(sized, cut(source_targets(sized, weights, share, cap))))
+    levels = levels.withColumnRenamed("source", "of")
     # one row a source: sent to all tasks only after counting them
     levels = F.broadcast(levels) if levels.count() <= BROADCAST_ROWS else levels
-    joined = hashed.join(levels, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    copies = F.col("mix_full") + F.coalesce((F.col("mix_h") < F.col("mix_below")).cast("bigint"), F.lit(0))
-    return joined.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size")).drop("mix_source", "mix_full", "mix_below", "mix_h")
+    joined = packed.join(levels, F.col("source").eqNullSafe(F.col("of")), "left")
+    copies = F.col("full") + F.coalesce((F.col("h") < F.col("below")).cast("bigint"), F.lit(0))
+    made = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_copies": copies, "mix_taken": copies * F.col("size")}
+    return joined.select("row.*", *[made[k].alias(names[k]) for k in MIXED])
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

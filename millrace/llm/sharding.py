@@ -7,8 +7,10 @@ bits; rows are looked at again only where a 12-bit cell is itself oversized.
 
 Edge cases: a null text has 0 bytes; rows with a null id are hashed by their
 text; rows of equal id share a hash, so a single id larger than the limit stays
-one shard of full depth, flagged ``oversize``; an empty table gives an empty
-result.
+one shard of full depth, flagged ``oversize`` (ties); a very long text counts its
+bytes like any other; an empty table gives an empty result.  Columns of the input
+are never changed: where it has a column of an added name, underscores are put
+before the added one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import cut
-from .mixing import BITS, BROADCAST_ROWS, LEVEL_BITS, id_hash
+from .mixing import BITS, BROADCAST_ROWS, LEVEL_BITS, free_names, id_hash
 
 
 def _directory(cells: DataFrame, base: int, limit: int) -> DataFrame:
@@ -37,11 +39,16 @@ def _directory(cells: DataFrame, base: int, limit: int) -> DataFrame:
     return of_cell.join(leaves, ["d", "prefix"]).select("cell", (F.col("d") + base).alias("depth"), "prefix", "shard_bytes", "shard_docs")
 
 
+SHARDED = ["shard_bytes_own", "shard_depth", "shard_prefix", "shard_bytes", "shard_docs", "oversize"]
+
+
 def shard(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
-    """Rows of ``docs`` with shard_bytes_own, shard_depth, shard_prefix, shard_bytes, shard_docs and oversize appended."""
-    hashed = docs.withColumns({"shard_bytes_own": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"), "shard_h": id_hash(F.col("doc_id"), F.col("text"))})
-    rows = cut(hashed.select(F.col("shard_h").alias("h"), F.col("shard_bytes_own").alias("bytes")))
-    out, found = hashed, []
+    """Rows and columns of ``docs``, and the columns SHARDED under free names."""
+    names = free_names(docs.columns, SHARDED)
+    own = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("bytes"), id_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    rows = cut(out.select("h", "bytes"))
+    found = []
     for base in range(0, BITS, LEVEL_BITS):
         shift = BITS - base - LEVEL_BITS
         cells = rows.groupBy(F.shiftright("h", shift).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
@@ -51,26 +58,21 @@ def shard(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
         if shift == 0 or large.isEmpty():
             break
         rows = rows.join(large, F.shiftright("h", shift) == F.col("parent"), "left_semi")
-    names = ["depth", "prefix", "shard_bytes", "shard_docs"]
     for k, (shift, level) in enumerate(found):
         # the directory: one row a cell, sent to all tasks only after counting them
-        level = level.select(F.col("cell").alias(f"cell{k}"), F.struct(*names).alias(f"found{k}"))
+        level = level.select(F.col("cell").alias(f"cell{k}"), F.struct("depth", "prefix", "shard_bytes", "shard_docs").alias(f"found{k}"))
         level = F.broadcast(level) if level.count() <= BROADCAST_ROWS else level
-        out = out.join(level, F.shiftright("shard_h", shift) == F.col(f"cell{k}"), "left")
-    deepest = F.coalesce(*[F.col(f"found{k}") for k in reversed(range(len(found)))])
-    out = out.withColumn("shard_found", deepest)
-    return out.select(
-        *docs.columns,
-        "shard_bytes_own",
-        F.col("shard_found.depth").alias("shard_depth"),
-        F.col("shard_found.prefix").alias("shard_prefix"),
-        F.col("shard_found.shard_bytes").alias("shard_bytes"),
-        F.col("shard_found.shard_docs").alias("shard_docs"),
-        (F.col("shard_found.shard_bytes") > limit).alias("oversize"),
-    )
+        out = out.join(level, F.shiftright("h", shift) == F.col(f"cell{k}"), "left")
+    out = out.withColumn("place", F.coalesce(*[F.col(f"found{k}") for k in reversed(range(len(found)))]))
+    made = [F.col("bytes"), F.col("place.depth"), F.col("place.prefix"), F.col("place.shard_bytes"), F.col("place.shard_docs"), F.col("place.shard_bytes") > limit]
+    return out.select("row.*", *[value.alias(names[name]) for name, value in zip(SHARDED, made, strict=True)])
+
 
+def write_shards(sharded: DataFrame, columns: list[str], path: str, depth: str = "shard_depth", prefix: str = "shard_prefix") -> None:
+    """One folder a shard; rows of a shard meet in one task, and shards are at most ``limit`` bytes.
 
-def write_shards(sharded: DataFrame, columns: list[str], path: str) -> None:
-    """One folder a shard; rows of a shard meet in one task, and shards are at most ``limit`` bytes."""
-    keyed = sharded.withColumn("shard", F.concat_ws("-", F.lpad(F.col("shard_depth").cast("string"), 2, "0"), F.conv("shard_prefix", 10, 16)))
-    keyed.repartition("shard").select(*columns, "shard").write.partitionBy("shard").parquet(path)
+    Rows are dealt by a hash of their shard, so texts move once, here.  ``depth`` and
+    ``prefix`` name the columns where ``shard`` had to choose others.
+    """
+    keyed = sharded.select(*columns, F.concat_ws("-", F.lpad(F.col(depth).cast("string"), 2, "0"), F.conv(prefix, 10, 16)).alias("shard"))
+    keyed.repartition("shard").write.partitionBy("shard").parquet(path)

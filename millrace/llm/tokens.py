@@ -1,27 +1,34 @@
 """Training-order materialisation of token ids.
 
 Texts are tokenised by a public byte-level vocabulary and each is closed by one
-end token.  Documents are dealt to numbering groups by a hash of their id; in a
-group, in order of id, their tokens form one stream that is cut into sequences of
-``length`` ids (the last one padded).  Groups have fixed places in a global count
-of sequences, so sequence i is the same on any cluster.  A keyed Feistel network
-with cycle-walking permutes 0..n-1: sequence i goes to slot perm(i).  Slots are
-cut into ranges of ``stride`` records; a range is one shard of fixed record size,
-so record r of shard s stands at byte ``r * record`` and reading can resume
-anywhere.
-
-Payloads move packed and compressed: twice through a shuffle (by group, by
-shard), once through a table in the shared folder.
+end token.  In the order of a 64-bit hash of id and text all tokens form one
+stream, which is cut into sequences of ``length`` ids (the last one padded).  A
+keyed Feistel network with cycle-walking permutes 0..n-1: sequence i goes to slot
+perm(i).  Slots are cut into ranges of ``stride`` records; a range is one shard of
+fixed record size, so record r of shard s stands at byte ``r * record`` and
+reading can resume anywhere.
+
+Documents are dealt to ranges of the hash, as many as their bytes ask for.  The
+number of ranges changes nothing in the result: a range knows how many tokens come
+before it, and a sequence across a border is put together in its shard.  Shards are
+dealt to tasks in ranges too.  Rows of one id and text are tokenised once a task
+and travel as one row with a count.
+
+Payloads move packed and compressed: twice through a shuffle (by hash range, by
+shard range), once through a table in the shared folder.
 
 Edge cases: a null text is empty and gives just the end token; rows with a null
-id are grouped by their text; repeated rows are kept each; an empty table gives
-no sequence.
+id are ordered like others; repeated rows are kept each, next to one another; rows
+of one hash are ordered by id, then by text (ties); white space of any length
+within a very long text gets the ids that the vocabulary's pattern gives it; an
+empty table gives no sequence.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from functools import lru_cache
 
@@ -31,12 +38,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import stored
+from ._session import stored, tidy
 
-LENGTH, STRIDE, KEY, GROUPS = 2048, 4096, 0x5EED, 64
+LENGTH, STRIDE, KEY = 2048, 4096, 0x5EED
+RANGE_BYTES, MOST_RANGES, MOST_TASKS = 64 << 20, 1 << 20, 20_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE = 64 << 20
+SLICE, PIECE = 64 << 20, 1 << 20
+RUN = 100_000
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=2)
@@ -48,6 +58,19 @@ def encoding(lines: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+def encode(enc, text: str) -> list[int]:
+    """Ids of a text.  Long runs of white space, on which the pattern's look-ahead exhausts its stack, are cut out as the pattern cuts them: all but the last blank before a word."""
+    if len(text) < RUN:
+        return enc.encode_ordinary(text)
+    out, at = [], 0
+    for run in BLANKS.finditer(text):
+        a, b = run.span()
+        b -= b < len(text)
+        out += enc.encode_ordinary(text[at:a]) + enc._encode_single_piece(text[a:b])
+        at = b
+    return out + enc.encode_ordinary(text[at:])
+
+
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     """Keyed Feistel permutation of 0..n-1; values outside are walked on until they fall inside."""
     from ._text import U, mix
@@ -85,8 +108,15 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _tokenise(docs: DataFrame, vocabulary: str, groups: int) -> DataFrame:
-    """(g, payload): for each task and group, ids, tie-breaks, token counts and tokens of its documents."""
+def _frame(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+NO_ID = -(1 << 63)
+
+
+def _tokenise(docs: DataFrame, vocabulary: str, bits: int) -> DataFrame:
+    """(g, payload): for each task and hash range, hashes, ids, tie-breaks, copies, token counts and tokens of its documents."""
 
     with open(vocabulary, "rb") as f:  # about a megabyte, read by the driver alone
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -95,123 +125,145 @@ def _tokenise(docs: DataFrame, vocabulary: str, groups: int) -> DataFrame:
         enc, end = encoding(shared.value)
         dtype = np.uint16 if end < 1 << 16 else np.uint32
         held: dict[int, list] = {}
+        known: dict[tuple, list] = {}
         size = 0
 
         def flush():
             for g, rows in sorted(held.items()):
-                ids, ties, toks = zip(*rows, strict=True)
-                yield g, _pack(np.array(ids, np.int64), np.array(ties, np.int64), np.array([len(t) for t in toks], np.int32), np.concatenate(toks))
+                h, ids, ties, copies, toks = zip(*rows, strict=True)
+                yield g, _pack(np.array(h, np.int64), np.array(ids, np.int64), np.array(ties, np.int64), np.array(copies, np.int64), np.array([len(t) for t in toks], np.int64), np.concatenate(toks))
             held.clear()
+            known.clear()
 
         def batch_of(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["g", "payload"])
+            return _frame(list(rows), ["g", "payload"], [pa.int32(), pa.binary()])
 
         for batch in batches:
-            for doc, g, text in zip(batch.column("doc_id").to_pylist(), batch.column("g").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, h, g, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "g", "text")), strict=True):
                 text = text or ""
-                toks = np.array([*enc.encode_ordinary(text), end], dtype)
                 tie = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                held.setdefault(g, []).append((-(1 << 63) if doc is None else doc, tie, toks))
-                size += toks.nbytes
+                if (row := known.get((doc, tie))) is not None:
+                    row[3] += 1
+                    continue
+                row = known[(doc, tie)] = [h, NO_ID if doc is None else doc, tie, 1, np.array([*encode(enc, text), end], dtype)]
+                held.setdefault(g, []).append(row)
+                size += row[4].nbytes + 64
                 if size > SLICE:
                     yield batch_of(flush())
                     size = 0
         yield batch_of(flush())
 
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"), "text")
-    return source.mapInArrow(run, "g int, payload binary")
-
-
-def _sequences(packed: DataFrame, length: int) -> DataFrame:
-    """(g, first, n, payload): runs of consecutive sequences of each group's stream."""
-    per_row = max(1, (4 << 20) // (2 * length))
+    h = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    g = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(NO_ID)), 64 - bits).cast("int") if bits else F.lit(0)
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("h", h).select("doc_id", "h", g.alias("g"), "text")
+    return source.mapInArrow(tidy(run), "g int, payload binary")
+
+
+def _stream(packed: DataFrame) -> DataFrame:
+    """(g, first, n, payload): each range's stream in pieces of about PIECE tokens: where documents begin, their ids, and the tokens."""
+
+    def pieces(parts):
+        h, ids, ties, copies, counts = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        at = np.concatenate([np.r_[0, np.cumsum(p[4])[:-1]] for p in parts])
+        of = np.repeat(np.arange(len(parts)), [len(p[4]) for p in parts])
+        first, begin, docs, toks, size = 0, [], [], [], 0
+        for i in np.lexsort((ties, ids, h)).tolist():
+            body = parts[of[i]][5][at[i] : at[i] + counts[i]]
+            for _ in range(int(copies[i])):
+                left = body
+                while len(left):
+                    begin.append(size)
+                    docs.append(int(ids[i]))
+                    toks.append(left[: PIECE - size])
+                    size += len(toks[-1])
+                    left = left[len(toks[-1]) :]
+                    if size == PIECE:
+                        yield first, size, _pack(np.array(begin, np.int64), np.array(docs, np.int64), np.concatenate(toks))
+                        first, begin, docs, toks, size = first + size, [], [], [], 0
+        if size:
+            yield first, size, _pack(np.array(begin, np.int64), np.array(docs, np.int64), np.concatenate(toks))
 
     def run(batches):
-        def rows_of(g, parts):
-            ids, ties, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            toks = [t for p in parts for t in np.split(p[3], np.cumsum(p[2])[:-1])]
-            order = np.lexsort((ties, ids))
-            stream = np.concatenate([toks[i] for i in order])
-            starts = np.r_[0, np.cumsum(counts[order])[:-1]]
-            ids = ids[order]
-            n = -(-len(stream) // length)
-            valid = np.full(n, length, np.int32)
-            valid[-1] = len(stream) - (n - 1) * length
-            body = np.zeros(n * length, stream.dtype)
-            body[: len(stream)] = stream
-            begin = np.arange(n) * length
-            first_doc = ids[np.searchsorted(starts, begin, "right") - 1]
-            last_doc = ids[np.searchsorted(starts, begin + valid - 1, "right") - 1]
-            for a in range(0, n, per_row):
-                b = min(n, a + per_row)
-                yield g, a, b - a, _pack(valid[a:b], first_doc[a:b], last_doc[a:b], body[a * length : b * length])
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], ["g", "first", "n", "payload"])
-
+        names, kinds = ["g", "first", "n", "payload"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         now, parts = None, []
         for batch in batches:
             for g, payload in zip(batch.column("g").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if g != now and parts:
-                    for row in rows_of(now, parts):
-                        yield batch_of([row])
+                    for row in pieces(parts):
+                        yield _frame([(now, *row)], names, kinds)
                     parts = []
                 now = g
                 parts.append(_unpack(payload))
         if parts:
-            for row in rows_of(now, parts):
-                yield batch_of([row])
+            for row in pieces(parts):
+                yield _frame([(now, *row)], names, kinds)
+
+    return packed.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "g int, first long, n long, payload binary")
 
-    return packed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g int, first long, n long, payload binary")
 
+def _cut(start: int, begin: np.ndarray, docs: np.ndarray, toks: np.ndarray, length: int):
+    """Parts of sequences in a piece that starts at token ``start``: (sequence, offset in it, tokens, first and last document, token bounds)."""
+    stop = start + len(toks)
+    sequence = np.arange(start // length, -(-stop // length))
+    a, b = np.maximum(sequence * length, start), np.minimum((sequence + 1) * length, stop)
+    return sequence, a - sequence * length, b - a, docs[np.searchsorted(begin, a - start, "right") - 1], docs[np.searchsorted(begin, b - start - 1, "right") - 1], a - start
 
-def groups_for(docs: DataFrame, group_docs: int) -> int:
-    """Numbering groups of about ``group_docs`` documents: a power of two of GROUPS, so few sizes change the order."""
-    groups, n = GROUPS, docs.count()
-    while groups * group_docs < n:
-        groups *= 2
-    return groups
 
+def ranges_for(docs: DataFrame, range_bytes: int) -> int:
+    """Bits of the hash by which documents are dealt: ranges of about ``range_bytes`` of text."""
+    total = docs.select(F.sum(F.octet_length("text").cast("bigint")), F.count(F.lit(1))).first()
+    want = ((total[0] or 0) + 16 * total[1]) / range_bytes
+    return int(np.ceil(np.log2(min(MOST_RANGES, max(1.0, want)))))
 
-def materialise(docs: DataFrame, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, vocabulary: str = VOCABULARY, group_docs: int = 16_384) -> DataFrame:
-    """(slot, shard, record, sequence, n_tokens, first_doc, last_doc, tokens): every sequence once, shards in order within their task."""
+
+def materialise(docs: DataFrame, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, vocabulary: str = VOCABULARY, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(slot, shard, record, sequence, n_tokens, first_doc, last_doc, tokens): every sequence once, in order of slots within a task."""
     spark = docs.sparkSession
-    table = stored(_sequences(_tokenise(docs, vocabulary, groups_for(docs, group_docs)), length), "sequences")
-    per_group = table.groupBy("g").agg(F.sum("n").alias("n")).collect()  # one number a group
-    offsets, total = {}, 0
-    for r in sorted(per_group, key=lambda r: r["g"]):
-        offsets[r["g"]] = total
-        total += r["n"]
-    if not total:
+    table = stored(_stream(_tokenise(docs, vocabulary, ranges_for(docs, range_bytes))), "stream")
+    offsets, tokens = {}, 0
+    for r in table.groupBy("g").agg(F.sum("n").alias("n")).orderBy("g").collect():  # one number a range
+        offsets[r["g"]] = tokens
+        tokens += r["n"]
+    if not tokens:
         return spark.createDataFrame([], SEQUENCE_SCHEMA)
+    total = -(-tokens // length)
+    shards = -(-total // stride)
     shared = spark.sparkContext.broadcast(offsets)
 
     def route(batches):
         for batch in batches:
-            for g, first, n, payload in zip(*(batch.column(c).to_pylist() for c in ("g", "first", "n", "payload")), strict=True):
-                valid, first_doc, last_doc, body = _unpack(payload)
-                body = body.reshape(n, length)
-                index = shared.value[g] + first + np.arange(n)
+            for g, first, payload in zip(*(batch.column(c).to_pylist() for c in ("g", "first", "payload")), strict=True):
+                begin, docs, toks = _unpack(payload)
+                index, offset, size, one, two, at = _cut(shared.value[g] + first, begin, docs, toks, length)
                 slot = permute(index, total, key)
                 shard = slot // stride
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0, True])
-                out = [(int(shard[order[a]]), _pack(slot[o], index[o], valid[o], first_doc[o], last_doc[o], body[o].ravel())) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(o := order[a:b])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["shard", "payload"])
+                out = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    o = order[a:b]
+                    out.append((int(shard[o[0]]), _pack(slot[o], index[o], offset[o], size[o], one[o], two[o], np.concatenate([toks[at[i] : at[i] + size[i]] for i in o]))))
+                yield _frame(out, ["shard", "payload"], [pa.int64(), pa.binary()])
 
     def settle(batches):
         def emit(shard, parts):
-            cols = [np.concatenate([p[k] for p in parts]) for k in range(6)]
-            order = np.argsort(cols[0], kind="stable")
-            body = cols[5].reshape(-1, length)
-            for a in range(0, len(order), 512):
-                o = order[a : a + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0][o]), pa.array(np.full(len(o), shard, np.int64)), pa.array(cols[0][o] - shard * stride), pa.array(cols[1][o]), pa.array(cols[2][o].astype(np.int32)), pa.array(_ids(cols[3][o]), pa.int64()), pa.array(_ids(cols[4][o]), pa.int64()), pa.array([body[i].tobytes() for i in o], pa.binary())],
-                    ["slot", "shard", "record", "sequence", "n_tokens", "first_doc", "last_doc", "tokens"],
-                )
+            slot, index, offset, size, one, two = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            toks = np.concatenate([p[6] for p in parts])
+            at = np.r_[0, np.cumsum(size)[:-1]]
+            order = np.lexsort((offset, slot))
+            cuts = np.flatnonzero(np.r_[True, np.diff(slot[order]) > 0, True])
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                body, o = np.zeros(length, toks.dtype), order[a:b]
+                for i in o:
+                    body[offset[i] : offset[i] + size[i]] = toks[at[i] : at[i] + size[i]]
+                s = int(slot[o[0]])
+                out.append((s, shard, s - shard * stride, int(index[o[0]]), int(size[o].sum()), _id(one[o[0]]), _id(two[o[-1]]), body.tobytes()))
+                if len(out) == 512:
+                    yield _frame(out, SEQUENCE_NAMES, SEQUENCE_KINDS)
+                    out = []
+            if out:
+                yield _frame(out, SEQUENCE_NAMES, SEQUENCE_KINDS)
 
         now, parts = None, []
         for batch in batches:
@@ -224,15 +276,22 @@ def materialise(docs: DataFrame, length: int = LENGTH, stride: int = STRIDE, key
         if parts:
             yield from emit(now, parts)
 
-    routed = table.mapInArrow(route, "shard long, payload binary")
-    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, SEQUENCE_SCHEMA)
+    routed = table.mapInArrow(tidy(route), "shard long, payload binary")
+    # range partitions by the shard's number, which needs no sampling
+    tasks = min(shards, MOST_TASKS)
+    dealt = routed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+    return dealt.sortWithinPartitions("shard").mapInArrow(tidy(settle), SEQUENCE_SCHEMA)
 
 
 SEQUENCE_SCHEMA = "slot long, shard long, record long, sequence long, n_tokens int, first_doc long, last_doc long, tokens binary"
 
 
-def _ids(x: np.ndarray) -> list:
-    return [None if v == -(1 << 63) else v for v in x.tolist()]
+SEQUENCE_NAMES = ["slot", "shard", "record", "sequence", "n_tokens", "first_doc", "last_doc", "tokens"]
+SEQUENCE_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _id(x: int) -> int | None:
+    return None if x == NO_ID else int(x)
 
 
 def digests(sequences: DataFrame) -> DataFrame:

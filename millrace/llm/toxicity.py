@@ -3,24 +3,30 @@
 The kernel counts common subsequences of 3 and 4 symbols that span at most
 ``SPAN`` positions, each occurrence weighted by ``DECAY ** span``, so inserted or
 missing letters only lower a similarity.  Subsequences are hashed into 2**17
-dimensions, and the kernel is divided by the weight norm of each string's length.
-A string's features are its kernel values to landmark strings, whitened by the
-landmarks' own kernel matrix (Nystroem).  As kernel values are linear in the
-subsequence counts, landmarks and SVM weights fold into one table over
-subsequences, and scoring a string is a sum over that table with the same value.
+dimensions, and the kernel is divided by sqrt(K(x, x) K(y, y)).  A string's
+features are its kernel values to landmark strings, whitened by the landmarks' own
+kernel matrix (Nystroem).  As kernel values are linear in the subsequence counts,
+landmarks and SVM weights fold into one table over subsequences, and scoring a
+string is a sum over that table with the same value.
 
 Strings are the words of a text: characters that are neither letters nor digits
-are left out of a word, and runs of three or more one-letter words are joined.
-Words longer than a window are read in overlapping windows.  A text scores as
-its highest word, mapped to 0..1 by a fitted logistic curve.
+are left out of a word, every letter and digit of any script is a symbol of its
+own, and runs of three or more one-letter words are joined to one word more.  Words
+longer than a window are read in overlapping windows.  A text scores as its
+highest word, mapped to 0..1 by a fitted logistic curve.
 
-The SVM learns from a bounded sample of labelled training texts (``per_class`` of
-each label, ``fit_chars`` characters each), as multiple instances: a toxic text
-has at least one toxic word, a clean text none.
+The SVM learns from a bounded sample of labelled training texts (``per_class``
+toxic documents and twice as many clean ones, whole), as multiple instances: a
+toxic text has at least one toxic word, a clean text none.
 
 Edge cases: null and empty texts score as having no words; a document labelled
-twice counts as toxic if any label says so; without labels of both kinds every
-score is the share of toxic labels (0 without labels).
+twice counts as toxic if any label says so, and so does a text that stands under
+several ids; labels without an id or a value are passed over; without labels of
+both kinds, or without a word that tells them apart, every score is the share of
+toxic labels (0 without labels); repeated rows are scored each; ties in the hash
+that samples are broken by id; a very long text is learned and scored a slice of
+documents at a time, and alone where it outgrows one; an empty table gives no row.
+Columns other than doc_id and text (doc_id and toxic) are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import tidy
 from .langid import held_out
 
 WINDOW, STRIDE, SPAN, DECAY, DIM = 15, 7, 6, 0.7, 1 << 17
 SLICE = 1 << 20
+MARK = 0x110010  # a word's beginning
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -47,21 +55,16 @@ def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.array(rows)
         last = at.max(axis=1)
         _tables.update(at=at, weight=(DECAY ** (last - at[:, 0] + 1.0)).astype(np.float32), last=last)
-        norm = np.array([np.sqrt((_tables["weight"][last < n] ** 2).sum()) if n > 2 else 1.0 for n in range(WINDOW + 1)])
-        _tables["norm"] = norm.astype(np.float32)
     return _tables["at"], _tables["weight"], _tables["last"]
 
 
 def _codes() -> np.ndarray:
-    """Symbol of each code point: 0 leave out, 1 separator, 2.. letters and digits."""
+    """Symbol of each code point: 0 leave out, 1 separator, and one of its own for every letter and digit."""
     if "codes" not in _tables:
-        kind = np.zeros(0x110000, np.uint8)
+        kind = np.zeros(0x110000, np.uint32)
         for i in range(0x110000):
             c = chr(i)
-            if c.isspace():
-                kind[i] = 1
-            elif c.isalnum():
-                kind[i] = 2 + (i - 97 if 97 <= i <= 122 else 26 + (i * 2654435761 >> 7) % 36)
+            kind[i] = 1 if c.isspace() else i + 2 if c.isalnum() else 0
         _tables["codes"] = kind
     return _tables["codes"]
 
@@ -76,12 +79,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     s = sym[used]
     gap = np.flatnonzero(s == 1)
     if not len(gap):
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.uint32), np.zeros(0, np.int64)
     begin = np.r_[0, gap[:-1] + 1]
     keep = gap > begin
     begin, end = begin[keep], gap[keep]
     if not len(begin):
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.uint32), np.zeros(0, np.int64)
     doc = np.searchsorted(ends, used[begin], "right")
     flat_at = begin
     # runs of at least three one-letter words are one word more
@@ -111,18 +114,18 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         more = more[size[more] - skip > WINDOW]
         skip += STRIDE
     at, n, doc, first = (np.concatenate(x) for x in (pieces_at, pieces_n, pieces_doc, pieces_first))
-    out = np.zeros((len(at), WINDOW), np.uint8)
+    out = np.zeros((len(at), WINDOW), np.uint32)
     shift = first.astype(np.int64)  # a whole word's window begins with a start mark
     for j in range(WINDOW):
         col = j - shift
         inside = (col >= 0) & (col < n)
         out[inside, j] = s[at[inside] + col[inside]]
-    out[first, 0] = 63
+    out[first, 0] = MARK
     if extra:
-        more_rows = np.zeros((sum(max(1, -(-(len(e) + 1) // STRIDE)) for e in extra), WINDOW), np.uint8)
+        more_rows = np.zeros((sum(max(1, -(-(len(e) + 1) // STRIDE)) for e in extra), WINDOW), np.uint32)
         more_doc, r = [], 0
         for e, d in zip(extra, extra_doc, strict=True):
-            e = np.r_[np.uint8(63), e]
+            e = np.r_[np.uint32(MARK), e]
             for k in range(0, max(1, len(e)), STRIDE):
                 part = e[k : k + WINDOW]
                 more_rows[r, : len(part)] = part
@@ -157,9 +160,25 @@ def subsequences(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def norms(rows: np.ndarray) -> np.ndarray:
-    _plan()
-    return _tables["norm"][(rows != 0).sum(axis=1)]
+def norms(rows: np.ndarray, index: np.ndarray | None = None) -> np.ndarray:
+    """sqrt(K(x, x)) of each string, from its subsequences' dimensions: weights that fall on one dimension add up before they are squared."""
+    _, weight, last = _plan()
+    n = (rows != 0).sum(axis=1)
+    plain = np.array([(weight[last < k] ** 2).sum() for k in range(WINDOW + 1)])[n]
+    # only strings with a repeated symbol have a subsequence twice (but for hashing, which is left to them too)
+    symbols = np.sort(rows, axis=1)
+    twice = np.flatnonzero(((symbols[:, 1:] == symbols[:, :-1]) & (symbols[:, 1:] != 0)).any(axis=1))
+    for a in range(0, len(twice), 4096):
+        own = twice[a : a + 4096]
+        dims = subsequences(rows[own]) if index is None else index[own]
+        order = np.argsort(dims, axis=1, kind="stable")
+        d, w = np.take_along_axis(dims, order, axis=1), weight[order]
+        first = np.ones(d.shape, bool)
+        first[:, 1:] = d[:, 1:] != d[:, :-1]
+        sums = np.add.reduceat(w.ravel(), np.flatnonzero(first.ravel()))
+        squares = np.where(d.ravel()[first.ravel()] == DIM, 0.0, sums.astype(np.float64) ** 2)
+        plain[own] = np.add.reduceat(squares, np.r_[0, np.cumsum(first.sum(axis=1))[:-1]])
+    return np.sqrt(np.where(plain > 0, plain, 1.0)).astype(np.float32)
 
 
 def dense(rows: np.ndarray) -> np.ndarray:
@@ -186,7 +205,8 @@ class Model:
         out = np.empty(len(rows), np.float32)
         for a in range(0, len(rows), 4096):
             part = rows[a : a + 4096]
-            out[a : a + 4096] = self.fold[subsequences(part)] @ weight / norms(part)
+            index = subsequences(part)
+            out[a : a + 4096] = self.fold[index] @ weight / norms(part, index)
         return out + np.float32(self.bias)
 
     def score(self, texts: list[str], known: dict | None = None) -> np.ndarray:
@@ -234,7 +254,7 @@ def _incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             parts.append((rows, keys, pair // len(rows) + at, keys[pair % len(rows)]))
         at = to
     if not parts:
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
     rows = np.concatenate([p[0] for p in parts])[first]
     doc, of = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
@@ -299,11 +319,13 @@ def learn(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int
         for a in range(0, len(x_rows), 512):
             part = rows[x_rows[a : a + 512]]
             idx = subsequences(part)
-            k = np.stack([feats[m][idx] @ weight for m in range(len(marks))], axis=1) / norms(part)[:, None]
+            k = np.stack([feats[m][idx] @ weight for m in range(len(marks))], axis=1) / norms(part, idx)[:, None]
             x[a : a + 512] = k @ white
         beta, bias = _svm(x, y, cost)
         model = Model(np.r_[(white @ beta) @ feats[:, :DIM], 0].astype(np.float32), bias, 0.0, 0.0, base)
         margin = model.rate(rows).astype(float)
+    if model is flat:  # nothing to tell them apart by
+        return flat
     best = np.maximum.reduceat(margin[place], bounds)
     truth = toxic[of].astype(float)
     slope, shift = _logistic(best, truth)
@@ -338,18 +360,17 @@ def _logistic(m: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     return float(max(a, 0.5)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_chars: int = 20_000, mod: int = 5, rest: int = 0) -> Model:
-    """A model from at most ``per_class`` training texts of each label."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, mod: int = 5, rest: int = 0) -> Model:
+    """A model from the texts of at most ``per_class`` toxic and twice as many clean training documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     h = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(h, "doc_id").limit(per_class).union(known.where("toxic = 0").orderBy(h, "doc_id").limit(2 * per_class))
-    rows = docs.select("doc_id", F.substring("text", 1, fit_chars).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(picked), "doc_id").limit(12 * per_class).collect()
-    seen: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        seen[r["text"]] = max(seen.get(r["text"], 0), int(r["toxic"]))
-    return learn(list(seen), np.array(list(seen.values()), int))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    # one text of each id, the first by hash, and each text once
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r"))
+    texts = one.groupBy("r.text").agg(F.max("r.toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).orderBy("doc_id").collect()  # 3 * per_class at most
+    return learn([r["text"] for r in texts], np.array([int(r["toxic"]) for r in texts], int))
 
 
 def rate(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -371,5 +392,5 @@ def rate(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

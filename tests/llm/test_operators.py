@@ -250,6 +250,49 @@ def test_token_records_hold_every_token_once(spark, sf_dir, tmp_path):
     assert {r["sha256"] for r in resumed} == {r["sha256"] for r in manifest}
 
 
+@pytest.mark.parametrize("range_bytes", [tokens.RANGE_BYTES, 20_000])
+def test_token_order_and_slots(spark, sf_dir, range_bytes):
+    """Every sequence, token by token, and its slot; the same however many hash ranges there are."""
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.unionByName(docs.where("doc_id % 50 = 0")).select("doc_id", "text")  # repeated rows
+    with open(tokens.VOCABULARY, "rb") as f:
+        enc, end = tokens.encoding(f.read())
+    rows = docs.withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).collect()
+    stream, owner = [], []
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
+        ids = [*enc.encode_ordinary(r["text"] or ""), end]
+        stream += ids
+        owner += [r["doc_id"]] * len(ids)
+    n = -(-len(stream) // 64)
+    slot = tokens.permute(np.arange(n), n, tokens.KEY)
+    got = {r["sequence"]: r for r in tokens.materialise(docs, length=64, stride=32, range_bytes=range_bytes).collect()}
+    assert sorted(got) == list(range(n))
+    for i in range(n):
+        want = stream[64 * i : 64 * i + 64]
+        r = got[i]
+        assert np.frombuffer(r["tokens"], np.uint16)[: r["n_tokens"]].tolist() == want
+        assert (r["slot"], r["first_doc"], r["last_doc"]) == (slot[i], owner[64 * i], owner[64 * i + len(want) - 1])
+
+
+def test_tokens_of_long_white_space(frame):
+    """Runs that the pattern's own matching cannot take, with the ids it gives shorter ones."""
+    with open(tokens.VOCABULARY, "rb") as f:
+        enc, end = tokens.encoding(f.read())
+    m = tokens.RUN
+    for text in (" " * (m + 5), "a" + " " * m + "b c", "a\n" + "\t \n" * m + "b", " " * m + "\nx" + " " * (m + 1) + "y ", "x" * m):
+        assert tokens.encode(enc, text) == enc.encode_ordinary(text)
+    out = tokens.materialise(frame([(1, " " * 1_000_000), (2, "a" + "\n " * 600_000 + "b")], "doc_id long, text string"), length=4096)
+    assert out.agg(F.sum("n_tokens")).first()[0] > 1_000_000
+
+
+def test_hot_rows_are_tokenised_once_and_kept_each(frame):
+    rows = [(None, None)] * 300 + [(5, "five words of this text")] * 200 + [(i, f"text {i}") for i in range(20)]
+    out = tokens.materialise(frame(rows, "doc_id long, text string"), length=8)
+    with open(tokens.VOCABULARY, "rb") as f:
+        enc, _ = tokens.encoding(f.read())
+    assert out.agg(F.sum("n_tokens")).first()[0] == sum(len(enc.encode_ordinary(t or "")) + 1 for _, t in rows)
+
+
 def test_token_odd_rows(odd, empty):
     out = tokens.materialise(odd, length=16)
     assert out.agg(F.sum("n_tokens")).first()[0] > 30_000
@@ -280,6 +323,29 @@ def test_language_mixture():
     assert score[0] == 1 and 0.4 < score[2] < 0.62 and 0.7 < score[3] < 1 and score[4] == 0
 
 
+def test_language_shortcut_is_a_bound():
+    """No mixture of the languages is more likely than what EM reached plus its bound."""
+    rng = np.random.default_rng(3)
+    like = rng.random((400, 5)) ** 4 + 1e-6
+    bounds, count = np.array([0, 30, 180]), rng.integers(1, 5, 400).astype(float)
+    words, slot = np.add.reduceat(count, bounds), np.repeat(np.arange(3), [30, 150, 220])
+    for rounds in (1, 3, 12):
+        _, full, gap = langid._em(like, count, slot, bounds, words, np.ones((3, 5), bool), rounds)
+        _, best, _ = langid._em(like, count, slot, bounds, words, np.ones((3, 5), bool), 2000)
+        assert (best <= full + gap + 1e-6).all()
+
+
+def test_language_of_a_text_longer_than_a_slice(monkeypatch):
+    a, b = "the house and the garden of the old man ", "der alte mann und das haus mit dem garten "
+    counts = np.stack([np.bincount(langid.letters([t * 40])[0], minlength=langid.BUCKETS) + 0.05 for t in (b, a)], axis=1)
+    m = langid.Model(["de", "en"], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    texts = [a * 60 + b * 20, b * 90, "12 34 " * 300, "", a * 10, "x" * 5000]
+    whole = m.predict(texts)
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    pred, score = m.predict_all(texts)
+    assert pred[:5] == whole[0][:5] and score[:5] == pytest.approx(whole[1][:5], abs=1e-9)
+
+
 def test_language_odd_rows(odd, empty):
     got = {(r["doc_id"], r["lang_pred"]): r for r in langid.identify(odd).collect()}
     assert (1, "und") in got and (4, "und") in got and (5, "und") in got
@@ -517,13 +583,31 @@ def test_cuckoo_filter():
     assert again.holds(keys[500:]).all() and again.holds(keys[:500]).mean() < 0.05
 
 
-def test_lines_without_filters_agree(spark, sf_dir):
+def test_lines_agree_whether_filters_go_to_the_tasks_or_keys_to_the_filters(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     a = linededup.dedup_lines(docs).select("doc_id", "n_dropped", "kept_sha256").collect()
     b = linededup.dedup_lines(docs, filter_limit=0).select("doc_id", "n_dropped", "kept_sha256").collect()
     assert sorted(a) == sorted(b) and sum(r["n_dropped"] for r in a) > 0
 
 
+def test_keys_dealt_to_filters_find_all_and_little_else(spark):
+    rng = np.random.default_rng(6)
+    k = rng.integers(-(1 << 62), 1 << 62, (3000, 2))
+    keyed = spark.createDataFrame([(i % 7, bytearray(x.tobytes()), int(x[0]), int(x[1])) for i, x in enumerate(k)], "doc long, key binary, k1 long, k2 long").repartition(3)
+    some = spark.createDataFrame([(int(x[0]), int(x[1])) for x in k[:1000]], "k1 long, k2 long")
+    got = {bytes(r["key"]) for r in linededup._sharded_hits(keyed, linededup.build_filters(some, 5), 5).collect()}
+    want = {x.tobytes() for x in k[:1000]}
+    assert want <= got and len(got - want) < 20
+
+
+def test_full_filter_shards_are_rebuilt(spark):
+    keys = lambda n: spark.range(n).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"))
+    grown = linededup.update_filters(linededup.build_filters(keys(20), 2), keys(20), keys(600), 2).collect()
+    tables = {r["shard"]: linededup.Cuckoo.load(bytes(r["filter"])) for r in grown}
+    for r in keys(600).collect():
+        assert tables[r["k2"] % 2].holds(np.array([r["k1"]], np.int64).view(np.uint64))[0]
+
+
 def test_insertions_and_deletions_are_reversible(frame):
     line = "a line of more than twenty characters"
     first = frame([(1, line), (2, line), (3, "other\n" + line.upper() + "  ")], "doc_id long, text string")
@@ -569,12 +653,18 @@ def test_mix_targets_and_budget(spark, sf_dir):
 
 
 def test_mix_odd_rows(odd, empty):
-    out = mixing.mix(odd.drop("mix_size")).collect()
-    assert len(out) == odd.count() and all(r["mix_taken"] <= 2 * r["mix_size"] for r in out)
+    out = mixing.mix(odd).collect()
+    assert out[0].__fields__[: len(odd.columns)] == odd.columns and {r["mix_size"] for r in out} == {"y"}
+    assert len(out) == odd.count() and all(r["mix_taken"] <= 2 * r["_mix_size"] for r in out)
     assert mixing.mixture(odd).columns == odd.columns
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
 
 
+def test_mix_plan_does_not_grow_with_levels(spark, sf_dir):
+    plan = mixing.mix(_table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and "Python" not in plan and "Arrow" not in plan
+
+
 # --- 9 sharding -------------------------------------------------------------------------------
 
 
@@ -598,6 +688,8 @@ def test_shards_fit_and_cover(spark, sf_dir, tmp_path):
 def test_shard_odd_rows(odd, empty):
     rows = sharding.shard(odd, 100).collect()
     assert len(rows) == odd.count() and any(r["oversize"] for r in rows if r["doc_id"] == 7)
+    clash = sharding.shard(odd.withColumns({"shard_bytes": F.lit("z"), "Oversize": F.lit(7)}), 100).collect()
+    assert {(r["shard_bytes"], r["Oversize"]) for r in clash} == {("z", 7)} and any(r["_oversize"] for r in clash)
     assert sharding.shard(empty).count() == 0
 
 
@@ -633,6 +725,51 @@ def test_toxicity_tolerates_gaps_and_insertions():
     assert model.score([clean, ""]).max() < 0.5
 
 
+def plain_kernel(x, y):
+    """Common subsequences of 3 and 4 symbols within SPAN, occurrence by occurrence."""
+    from itertools import combinations
+
+    def profile(s):
+        out = defaultdict(float)
+        for p in (3, 4):
+            for c in combinations(range(len(s)), p):
+                if c[-1] - c[0] < toxicity.SPAN:
+                    out[tuple(s[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    a, b, dot = profile(x), profile(y), lambda p, q: sum(v * q[k] for k, v in p.items() if k in q)
+    return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+
+def test_kernel_against_plain_subsequences():
+    listed = ["grobta", "grobxta", "banana", "bananas", "талуми", "тaлуми", "字漢語文", "zzzzzz"]
+    rows, doc = toxicity.words(listed)
+    assert doc.tolist() == list(range(len(listed)))
+    k = toxicity.dense(rows)[:, : toxicity.DIM]
+    for i, x in enumerate(listed):
+        for j, y in enumerate(listed):
+            assert k[i] @ k[j] == pytest.approx(plain_kernel("^" + x, "^" + y), abs=0.02)
+    model = toxicity.Model(np.r_[k[2], 0].astype(np.float32), 0.0, 1.0, 0.0, 0.0)
+    assert model.rate(rows) == pytest.approx(k @ k[2], abs=1e-5)
+
+
+def test_every_letter_is_a_symbol_of_its_own():
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя" + "".join(chr(0x4E00 + i) for i in range(200))
+    rows, _ = toxicity.words(list(letters))
+    assert len({tuple(r) for r in rows}) == len(letters) and (rows[:, 0] == toxicity.MARK).all()
+
+
+def test_toxicity_of_documents(spark, sf_dir):
+    """Held-out labels of the tables themselves."""
+    where = sf_dir.replace("sf0.001", "sf0.1")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.rate(_table(spark, where, "documents"), _table(spark, where, "labels")).where("held_out").collect()}
+    labels = [(got[r["doc_id"]], r["toxic"]) for r in _table(spark, where, "labels").where("toxic is not null").collect() if r["doc_id"] in got]
+    hit = sum(p and t for p, t in labels)
+    recall, precision = hit / sum(t for _, t in labels), hit / max(1, sum(p for p, _ in labels))
+    print("held-out labels", len(labels), "recall", round(recall, 3), "precision", round(precision, 3))
+    assert recall >= 0.75 and precision >= 0.85
+
+
 def test_folded_table_equals_the_landmark_kernel():
     rows, _ = toxicity.words(["grobta zwiffre talumi"])
     marks = toxicity.dense(rows[:2])
