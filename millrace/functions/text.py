@@ -22,8 +22,11 @@ def question_key(c: Column) -> Column:
 
 
 def content_hash(*parts: Column) -> Column:
-    """SHA-256 over parts joined by the unit separator."""
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 over parts joined by the unit separator; with nulls among them, over that digest and which parts are null."""
+    texts = [p.cast("string") for p in parts]
+    joined = F.sha2(F.concat_ws("\x1f", *[F.coalesce(t, F.lit("")) for t in texts]), 256)
+    absent = F.concat(*[F.when(t.isNull(), "1").otherwise("0") for t in texts])
+    return F.when(F.contains(absent, F.lit("1")), F.sha2(F.concat(joined, F.lit(":"), absent), 256)).otherwise(joined)
 
 
 def hash_bucket(digest: Column, buckets: int = 100) -> Column:

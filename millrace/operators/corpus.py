@@ -191,23 +191,23 @@ def rates(df: DataFrame, flags: Sequence[str], by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def fingerprint(df: DataFrame, line: Column, position: Column) -> DataFrame:
-    """SHA-256 of all lines in order of position.
+def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096) -> DataFrame:
+    """SHA-256 over all lines in order of an integer position, by one formula at every size.
 
-    Lines are digested first and 4,096 digests at a time are folded, level by
-    level, so no task ever holds the corpus.
+    Lines are digested; the digests of ``width`` successive positions are digested
+    as one, and of these again ``width``; what is left is digested at last.  Rows of
+    one position are ordered by digest.  Groups of positions meet, never the corpus.
     """
-    level = df.select(position.alias("_p"), F.sha2(line, 256).alias("_d"))
-    rank = F.row_number().over(Window.orderBy("_p")) - 1
-    if level.limit(4097).count() <= 4096:
-        return level.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"]), "\n"), 256).alias("fingerprint"))
-    level = level.withColumn("_r", rank)
-    n = level.count()
-    while n > 1:
-        folded = level.groupBy(F.floor(F.col("_r") / 4096).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_r", "_d"))).alias("_a"))
-        level = folded.select(F.col("_g").alias("_r"), F.sha2(F.array_join(F.transform("_a", lambda x: x["_d"]), "\n"), 256).alias("_d"))
-        n = -(-n // 4096)
-    return level.select(F.col("_d").alias("fingerprint"))
+
+    def folded(rows: DataFrame, *by: Column) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n")
+        return rows.groupBy(*by).agg(F.sha2(text, 256).alias("d"))
+
+    above = F.floor(F.col("p") / width).alias("g")
+    level = df.select(position.cast("bigint").alias("p"), F.sha2(line, 256).alias("d"))
+    for _ in range(2):
+        level = folded(level, above).withColumnRenamed("g", "p")
+    return folded(level).select(F.col("d").alias("fingerprint"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -233,3 +233,17 @@ def tier_quota(df: DataFrame, tier: str, key: Column, shares: dict[str, int], n:
 def shuffled(df: DataFrame, seed: int, *parts: Column) -> DataFrame:
     """A seeded order that depends on content alone."""
     return df.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256))
+
+
+def oversampled(df: DataFrame, n: int, factor: int, seed: int, fits: Column, *parts: Column) -> DataFrame:
+    """n rows that fit (say, a length in tokens), from ``factor`` times as many drawn by seeded hash; fewer if not enough of those fit."""
+    drawn = df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)).orderBy("_h").limit(n * factor)
+    return drawn.where(fits).orderBy("_h").limit(n).drop("_h")
+
+
+def joined_by_id(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of both sides by id, counts of ids that are missing on either side)."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    seen = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    missing = seen.agg(F.count_if(F.col("r") == 0).alias("missing_right"), F.count_if(F.col("l") == 0).alias("missing_left"), F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("matched"))
+    return left.join(right, key), missing

@@ -29,8 +29,8 @@ def capped(df: DataFrame, max_rows: int) -> DataFrame:
     return df.limit(max_rows)
 
 
-def run(spark: SparkSession, sql: str, allowed: Iterable[str] | None = None, max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None) -> Execution:
-    """Gate a query and run it: at most ``max_rows`` rows, cancelled after ``timeout_ms``.
+def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None) -> Execution:
+    """Gate a query and run it over the tables ``allowed``: at most ``max_rows`` rows, cancelled after ``timeout_ms``.
 
     ``truncated`` is exact: one row more than asked for is fetched.  Results of
     EXPLAIN are capped as well.
@@ -44,7 +44,7 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str] | None = None, max
         return Execution(False, False, error=verdict.reason, normalized_sql=verdict.normalized_sql)
     text = verdict.normalized_sql
     used = gate.relations(spark, text)
-    if allowed is not None and (outside := gate.out_of_scope(spark, text, allowed)):
+    if outside := gate.out_of_scope(spark, text, allowed):
         return Execution(True, False, error=f"out_of_scope: {', '.join(outside)}", relations=used, normalized_sql=text)
     tag, sc = f"millrace-{uuid.uuid4().hex}", spark.sparkContext
     done = threading.Event()

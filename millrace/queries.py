@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import compare, corpus, sketch, specs
-from .plans import analyze, gate
+from . import more_queries
+from .operators import compare, corpus, sketch
+from .plans import gate
 from .sources.catalog import register
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -43,12 +44,12 @@ SHARED = {
     "scan_project_filter": "SELECT o_orderkey, o_totalprice AS total FROM orders WHERE o_totalprice > 300000.0 AND o_orderstatus = 'F'",
     "computed_projection": "SELECT doc_id, cast(length(text) AS bigint) AS text_length FROM documents WHERE lang = 'en'",
     "filter_between": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 950.0 AND 1050.0",
-    "filter_ilike": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'a%'",
+    "filter_ilike": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'S%RING'",
     "filter_null_neq": "SELECT count(*) AS described FROM documents WHERE text IS NOT NULL AND text <> ''",
     "filter_in_list": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "filter_comparisons": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 40 AND l_discount < 0.05 AND l_tax > 0.01 GROUP BY l_returnflag",
     "arithmetic_round": f"SELECT l_returnflag, l_linestatus, {REVENUE} AS revenue, round(avg(l_extendedprice + l_tax), 2) AS mean_price FROM lineitem GROUP BY l_returnflag, l_linestatus",
-    "view_scan": "WITH sales_by_flag AS (SELECT l_returnflag AS flag, count(*) AS lines, CAST(round(sum(CAST(l_extendedprice AS decimal(18, 4))), 2) AS double) AS sales FROM lineitem GROUP BY l_returnflag) SELECT flag, lines, sales FROM sales_by_flag ORDER BY sales DESC, flag",
+    "order_by_unprojected": "SELECT p_brand AS brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 7",
     "join_inner_using": "SELECT n_name, region_name, count(*) AS suppliers FROM (SELECT r_regionkey AS k, r_name AS region_name FROM region) r JOIN (SELECT n_regionkey AS k, n_name, n_nationkey FROM nation) n USING (k) JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, region_name",
     "join_inner_on_chain": f"""SELECT r_name AS region, c_mktsegment AS segment, p_brand AS brand, {REVENUE} AS revenue, count(DISTINCT o_orderkey) AS orders
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
@@ -93,8 +94,8 @@ JOIN (SELECT n_nationkey AS sn, n_name AS supplier_nation FROM nation) s ON sn =
 #: name -> (Spark SQL, SQL of the oracle) where the dialects differ.
 PAIRS = {
     "array_contains_filter": (
-        "SELECT p_partkey, p_name FROM part WHERE array_contains(split(lower(p_name), ' '), 'green')",
-        "SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'green')",
+        "SELECT p_partkey, p_name FROM part WHERE array_contains(split(lower(p_name), ' '), 'red')",
+        "SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red')",
     ),
     "range_bounds": (
         "SELECT user_id, period.lower AS first_seen, period.upper AS last_seen FROM (SELECT user_id, named_struct('lower', min(ts), 'upper', max(ts)) AS period FROM events GROUP BY user_id) t WHERE period.upper - period.lower > INTERVAL '20' DAY",
@@ -252,7 +253,7 @@ def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One private table a nation (its customers), with three sketches each."""
+    """One private table a nation (its customers), with one sketch for each aggregation and one without."""
     customers = _table(spark, sf_dir, "customer")
     row = F.array(F.col("c_name"), F.col("c_mktsegment"), F.col("c_acctbal").cast("string"))
     rows = customers.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
@@ -265,14 +266,23 @@ def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).alias("sel"), F.lit(3).alias("agg"), F.array(cond(1, 0, "BUILDING")).alias("conds")),
         F.struct(F.lit(2).alias("sel"), F.lit(1).alias("agg"), F.array(cond(2, 2, "5000")).alias("conds")),
         F.struct(F.lit(2).alias("sel"), F.lit(2).alias("agg"), F.array(cond(1, 0, "MACHINERY"), cond(2, 1, "0")).alias("conds")),
+        F.struct(F.lit(2).alias("sel"), F.lit(5).alias("agg"), F.array(cond(2, 1, "100")).alias("conds")),
+        F.struct(F.lit(2).alias("sel"), F.lit(4).alias("agg"), F.array(cond(2, 2, "0")).alias("conds")),
+        F.struct(F.lit(0).alias("sel"), F.lit(0).alias("agg"), F.array(cond(2, 1, "9000")).alias("conds")),
     ]
     return rows.select("c_nationkey", table.alias("table"), F.posexplode(F.array(*made)).alias("number", "sketch"))
 
 
+def _shown(number: F.Column, answer: F.Column) -> F.Column:
+    """Counts and lists as they are, amounts with two places."""
+    money = F.round(answer.try_cast("double"), 2).cast("decimal(18,2)").cast("string")
+    return F.when(number.isin(0, 5), answer).otherwise(money).alias("answer")
+
+
 def sketch_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _sketches(spark, sf_dir)
-    answer = F.element_at(sketch.run_sketch(F.col("table"), F.col("sketch")), 1)
-    return found.select(F.col("c_nationkey").alias("nation"), "number", F.when(F.col("number") == 0, answer).otherwise(F.round(answer.cast("double"), 2).cast("decimal(18,2)").cast("string")).alias("answer"))
+    answer = F.array_join(F.array_sort(sketch.run_sketch(F.col("table"), F.col("sketch"))), ",")
+    return found.select(F.col("c_nationkey").alias("nation"), "number", _shown(F.col("number"), answer))
 
 
 def sketch_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,57 +291,22 @@ def sketch_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered SQL run against each record's own table must agree with the sketch."""
-    found = _sketches(spark, sf_dir).where("number = 0").withColumn("sql", sketch.render_sql(F.col("table"), F.col("sketch")))
-    ran = sketch.execute_candidates(found, "c_nationkey", "table", "sql")
-    return ran.select(F.col("c_nationkey").alias("nation"), "executed", F.element_at(F.element_at("rows", 1), 1).alias("answer"))
-
-
-def spec_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The specification families, expanded; each family's rows and distinct SQL texts."""
-    made = specs.expand(spark, specs.FAMILIES)
-    return made.groupBy("family", "tier").agg(F.count(F.lit(1)).alias("specs"), F.countDistinct("sql").alias("texts"))
-
-
-#: Fixed SQL texts for the analysis queries.
-TEXTS = (
-    "SELECT count(*) FROM orders",
-    "SELECT o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority ORDER BY 2 DESC LIMIT 5",
-    "SELECT n_name FROM nation ORDER BY n_name",
-    "SELECT c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'PERU'",
-    "DELETE FROM orders",
-    "WITH x AS (SELECT 1) INSERT INTO nation SELECT * FROM x",
-    "SELECT reflect('java.lang.System', 'currentTimeMillis')",
-    "SELECT 1; SELECT 2",
-    "SELECT 'a;b -- c' AS t",
-    "Here is the query: SELECT 1",
-)
-
-
-def sql_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, (v := gate.check(spark, t)).allowed, v.reason) for i, t in enumerate(TEXTS)]
-    return spark.createDataFrame(rows, "text_id int, allowed boolean, reason string")
-
-
-def sql_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, analyze.complexity(spark, t)) for i, t in enumerate(TEXTS[:4])]
-    return spark.createDataFrame(rows, "text_id int, bucket string")
-
-
-def sql_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for i, t in enumerate(TEXTS[:4]):
-        c = analyze.components(spark, t)
-        rows.append((i, ",".join(c["relations"]), ",".join(c["aggregates"]), len(c["joins"]), len(c["group_by"]), len(c["order_by"]), c["limit"]))
-    return spark.createDataFrame(rows, "text_id int, relations string, aggregates string, joins int, group_by int, order_by int, limit_value string")
+    """Rendered SQL run against each record's own table: the answers of the sketches, the hard way."""
+    found = _sketches(spark, sf_dir).withColumns({"sql": sketch.render_sql(F.col("table"), F.col("sketch")), "id": F.concat_ws("/", "c_nationkey", "number")})
+    ran = sketch.execute_candidates(found, "id", "table", "sql")
+    key, number = F.split("id", "/"), F.element_at(F.split("id", "/"), 2).cast("int")
+    answer = F.array_join(F.array_sort(F.transform("rows", lambda r: F.element_at(r, 1))), ",")
+    return ran.select(F.element_at(key, 1).cast("bigint").alias("nation"), number.alias("number"), "executed", _shown(number, answer))
 
 
-def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    question = "Quantos pedidos há por cliente, os 5 maiores?"
-    texts = ["SELECT o_custkey FROM orders", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC LIMIT 5", "SELECT count(*) FROM orders", "SELEC broken"]
-    rows = [(i, r.sql, r.score) for i, r in enumerate(analyze.rank_candidates(spark, question, texts), 1)]
-    return spark.createDataFrame(rows, "place int, sql string, score int")
-
+#: What each sketch of each nation must answer.
+ANSWERS = """WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer)
+SELECT nation, 0 AS number, (SELECT count(*)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_mktsegment = 'BUILDING') AS answer FROM n
+UNION ALL SELECT nation, 1, (SELECT max(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_acctbal < 5000) FROM n
+UNION ALL SELECT nation, 2, (SELECT min(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_mktsegment = 'MACHINERY' AND c_acctbal > 0) FROM n
+UNION ALL SELECT nation, 3, (SELECT round(avg(c_acctbal), 2)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_acctbal > 100) FROM n
+UNION ALL SELECT nation, 4, (SELECT round(sum(c_acctbal), 2)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_acctbal < 0) FROM n
+UNION ALL SELECT nation, 5, (SELECT coalesce(string_agg(c_name, ',' ORDER BY c_name), '') FROM customer WHERE c_nationkey = nation AND c_acctbal > 9000) FROM n"""
 
 OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "bind_params": (bind_params, "SELECT o_orderpriority AS priority, count(*) AS orders FROM orders WHERE o_totalprice > 100000.0 GROUP BY o_orderpriority"),
@@ -376,7 +351,12 @@ SELECT a.lang, round(a.q, 9) AS quality_rate_a, round(b.q, 9) AS quality_rate_b,
     "fk_orphans": (fk_orphans, "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
     "multiset_equal": (multiset_equal, "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS surplus FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2"),
     "result_fingerprint": (result_fingerprint, "SELECT sha256(string_agg(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey, chr(10) ORDER BY n_nationkey)) AS rows_hash FROM nation"),
-    "corpus_fingerprint": (corpus_fingerprint, "SELECT sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents"),
+    "corpus_fingerprint": (
+        corpus_fingerprint,
+        """WITH l AS (SELECT doc_id // 4096 AS p, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY 1),
+m AS (SELECT p // 4096 AS p, sha256(string_agg(d, chr(10) ORDER BY p)) AS d FROM l GROUP BY 1)
+SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS fingerprint FROM m""",
+    ),
     "tier_counts": (tier_counts, "SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 4000 THEN 'medium' ELSE 'heavy' END AS tier, count(*) AS n FROM documents GROUP BY 1"),
     "tier_curriculum": (
         tier_curriculum,
@@ -390,36 +370,14 @@ SELECT doc_id, tier FROM r WHERE rk <= CASE tier WHEN 'small' THEN 120 WHEN 'med
 SELECT printf('region-customers-%03d-p%d', n, p) AS id, 'region-customers' AS family, a || r_name || z AS question,
 'SELECT count(*) AS clientes FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = ''' || r_name || '''' AS sql FROM v, q""",
     ),
-    "sketch_execute": (
-        sketch_execute,
-        """WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer)
-SELECT nation, 0 AS number, (SELECT count(*)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_mktsegment = 'BUILDING') AS answer FROM n
-UNION ALL SELECT nation, 1, (SELECT max(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_acctbal < 5000) FROM n
-UNION ALL SELECT nation, 2, (SELECT min(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM customer WHERE c_nationkey = nation AND c_mktsegment = 'MACHINERY' AND c_acctbal > 0) FROM n""",
-    ),
+    "sketch_execute": (sketch_execute, ANSWERS),
+    "sketch_candidates": (sketch_candidates, f"SELECT nation, number, true AS executed, answer FROM ({ANSWERS})"),
     "sketch_render": (
         sketch_render,
-        """WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer), q AS (SELECT 0 AS number, 'SELECT COUNT("Name") FROM "nation_' AS a, '" WHERE "Segment" = ''BUILDING''' AS z UNION ALL SELECT 1, 'SELECT MAX("Balance") FROM "nation_', '" WHERE "Balance" < 5000' UNION ALL SELECT 2, 'SELECT MIN("Balance") FROM "nation_', '" WHERE "Segment" = ''MACHINERY'' AND "Balance" > 0')
+        """WITH n AS (SELECT DISTINCT c_nationkey AS nation FROM customer), q AS (SELECT 0 AS number, 'SELECT COUNT("Name") FROM "nation_' AS a, '" WHERE "Segment" = ''BUILDING''' AS z UNION ALL SELECT 1, 'SELECT MAX("Balance") FROM "nation_', '" WHERE "Balance" < 5000' UNION ALL SELECT 2, 'SELECT MIN("Balance") FROM "nation_', '" WHERE "Segment" = ''MACHINERY'' AND "Balance" > 0'
+UNION ALL SELECT 3, 'SELECT AVG("Balance") FROM "nation_', '" WHERE "Balance" > 100' UNION ALL SELECT 4, 'SELECT SUM("Balance") FROM "nation_', '" WHERE "Balance" < 0' UNION ALL SELECT 5, 'SELECT "Name" FROM "nation_', '" WHERE "Balance" > 9000')
 SELECT nation, number, a || nation || z AS sql FROM n, q""",
     ),
-    "sketch_candidates": (sketch_candidates, "SELECT c_nationkey AS nation, true AS executed, (count(*) FILTER (c_mktsegment = 'BUILDING'))::VARCHAR AS answer FROM customer GROUP BY 1"),
-    "spec_families": (
-        spec_families,
-        "SELECT family, tier, n::BIGINT AS specs, t::BIGINT AS texts FROM (VALUES ('count-filter', 'small', 12, 6), ('list-ordered', 'small', 2, 2), ('prefix', 'small', 5, 5), ('distinct-join', 'medium', 2, 2), ('left-join-count', 'medium', 2, 2), ('range-sum', 'small', 4, 4), ('top-k', 'medium', 3, 3), ('by-day', 'small', 2, 2), ('preaggregated', 'heavy', 2, 2)) f(family, tier, n, t)",
-    ),
-    "sql_policy": (
-        sql_policy,
-        "SELECT * FROM (VALUES (0, true, NULL), (1, true, NULL), (2, true, NULL), (3, true, NULL), (4, false, 'not_a_read'), (5, false, 'write_verb:insert'), (6, false, 'function'), (7, false, 'multiple_statements'), (8, true, NULL), (9, false, 'not_a_read')) t(text_id, allowed, reason)",
-    ),
-    "sql_complexity": (sql_complexity, "SELECT * FROM (VALUES (0, 'simples'), (1, 'complexa'), (2, 'intermediaria'), (3, 'complexa')) t(text_id, bucket)"),
-    "sql_components": (
-        sql_components,
-        "SELECT * FROM (VALUES (0, 'orders', 'count', 0, 0, 0, ''), (1, 'orders', 'count', 0, 1, 1, '5'), (2, 'nation', '', 0, 0, 1, ''), (3, 'customer,nation', '', 1, 0, 0, '')) t(text_id, relations, aggregates, joins, group_by, order_by, limit_value)",
-    ),
-    "rank_candidates": (
-        rank_candidates,
-        "SELECT * FROM (VALUES (1, 'SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC LIMIT 5', 14), (2, 'SELECT count(*) FROM orders', -4), (3, 'SELECT o_custkey FROM orders', -14), (4, 'SELEC broken', -100)) t(place, sql, score)",
-    ),
 }
 
 
@@ -430,9 +388,9 @@ def _gated(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _gated(sql) for name, sql in SHARED.items()}
     found |= {name: _gated(pair[0]) for name, pair in PAIRS.items()}
-    return found | {name: f for name, (f, _) in OPERATORS.items()}
+    return found | {name: f for name, (f, _) in (OPERATORS | more_queries.OPERATORS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = dict(SHARED) | {name: pair[1] for name, pair in PAIRS.items()}
-    return found | {name: sql for name, (_, sql) in OPERATORS.items() if sql}
+    return found | {name: sql for name, (_, sql) in (OPERATORS | more_queries.OPERATORS).items() if sql}

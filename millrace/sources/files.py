@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with a header, quoted line breaks, fields of any length, and perhaps a byte-order mark."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV with a header, fields of any length, and perhaps a byte-order mark.
+
+    With ``line_breaks`` quoted fields may hold line breaks, and a file is read by one
+    task; without, large files are split among tasks.
+    """
+    reader = spark.read.options(header=True, multiLine=line_breaks, quote='"', escape='"', maxCharsPerColumn=-1)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
 
@@ -39,13 +43,13 @@ def read_items(spark: SparkSession, path: str, schema: str, where: str, required
 
 
 def write_jsonl(df: DataFrame, path: str, position: str) -> str:
-    """Write JSON lines with sorted keys into a folder that must not exist; returns the corpus fingerprint."""
+    """Write JSON lines with sorted keys, in order of position, into a folder that must not exist; returns the fingerprint of what stands there."""
     from ..operators.corpus import fingerprint
 
-    line = F.to_json(F.struct(*sorted(df.columns)))
-    out = df.select(F.col(position), line.alias("value"))
-    out.select("value").write.mode("errorifexists").text(path)
-    return out.transform(lambda d: fingerprint(d, F.col("value"), F.col(position))).first()[0]
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    df.orderBy(position).select(line.alias("value")).write.mode("errorifexists").text(path)
+    written = df.sparkSession.read.text(path)
+    return fingerprint(written, F.col("value"), F.get_json_object("value", f"$['{position}']")).first()[0]
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

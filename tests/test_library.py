@@ -11,32 +11,44 @@ from millrace.sources.catalog import Catalog, compile_context, ddl, profile, reg
 
 CATALOG = json.dumps(
     {
-        "name": "shop",
+        "name": "winery",
         "dialect": "sqlite",
-        "tables": {"customers": {"columns": {"customer_id": "TEXT"}, "primary_key": ["customer_id"]}, "orders": {"columns": {"order_id": "TEXT", "customer_id": "TEXT"}, "primary_key": ["order_id"]}, "secret": {"columns": {"value": "TEXT"}}},
-        "relationships": [{"from_table": "orders", "from_columns": ["customer_id"], "to_table": "customers", "to_columns": ["customer_id"]}],
-        "packs": {"sales": {"tier": "small", "tables": ["customers", "orders"]}},
+        "tables": {
+            "barrels": {"columns": {"barrel_id": "TEXT", "litres": "REAL"}, "primary_key": ["barrel_id"]},
+            "tastings": {"columns": {"tasting_id": "TEXT", "barrel_id": "TEXT", "guide": "TEXT"}, "primary_key": ["tasting_id"]},
+            "wages": {"columns": {"person": "TEXT", "amount": "REAL"}},
+        },
+        "relationships": [
+            {"from_table": "tastings", "from_columns": ["barrel_id"], "to_table": "barrels", "to_columns": ["barrel_id"]},
+            {"from_table": "tastings", "from_columns": ["guide"], "to_table": "wages", "to_columns": ["person"], "kind": "soft", "note": "by name"},
+        ],
+        "packs": {"cellar": {"tier": "small", "tables": ["barrels", "tastings"]}, "all": {"tier": "heavy", "tables": ["barrels", "tastings", "wages"]}},
     }
 )
 
 
 def test_catalog():
     c = Catalog.load(CATALOG)
-    text = c.render_pack("sales")
-    assert "orders.customer_id -> customers.customer_id" in text and "secret" not in text
+    text = c.render_pack("cellar")
+    assert "hard relationship: tastings.barrel_id -> barrels.barrel_id" in text and "wages" not in text
+    assert c.render_pack("all").endswith("-- soft relationship: tastings.guide ~> wages.person (by name)")
     with pytest.raises(KeyError):
         c.pack("none")
-    for change in (("sqlite", "oracle"), ('"small"', '"huge"'), ('"to_table": "customers"', '"to_table": "nobody"')):
+    for change in (("sqlite", "oracle"), ('"small"', '"huge"'), ('"to_table": "barrels"', '"to_table": "casks"')):
         with pytest.raises(ValueError):
             Catalog.load(CATALOG.replace(*change))
 
 
 def test_integrity_and_frames(spark):
     c = Catalog.load(CATALOG)
-    tables = {"customers": spark.createDataFrame([("c1",)], "customer_id string"), "orders": spark.createDataFrame([("o1", "c1"), ("o1", "c2"), (None, None)], "order_id string, customer_id string"), "secret": spark.createDataFrame([], "value string")}
+    tables = {
+        "barrels": spark.createDataFrame([("b1", 1.0)], "barrel_id string, litres double"),
+        "tastings": spark.createDataFrame([("t1", "b1", "x"), ("t1", "b2", "x"), (None, None, None)], "tasting_id string, barrel_id string, guide string"),
+        "wages": spark.createDataFrame([], "person string, amount double"),
+    }
     got = {(r["check"], r["subject"]): r["violations"] for r in c.integrity(tables).collect()}
-    assert got[("repeated_key", "orders")] == 1 and got[("null_key", "orders")] == 1 and got[("orphans", "orders->customers")] == 1
-    assert c.frames(spark)["catalog_packs"].count() == 2
+    assert got[("repeated_key", "tastings")] == 1 and got[("null_key", "tastings")] == 1 and got[("orphans", "tastings->barrels")] == 1
+    assert c.frames(spark)["catalog_packs"].count() == 5
 
 
 def test_context_budget_and_schema(spark, sf_dir):
@@ -76,6 +88,21 @@ def test_stratified_fill_and_fingerprint(spark):
     assert one != corpus.fingerprint(big.where("id > 0"), F.col("id").cast("string"), F.col("id")).first()[0]
 
 
+def test_hash_tells_nulls_apart(spark):
+    rows = [(0, "x", None), (1, None, "x"), (2, "x", ""), (3, None, None), (4, "", ""), (5, "x", None)]
+    df = spark.createDataFrame(rows, "pos int, a string, b string")
+    assert [r["pos"] for r in corpus.dedup_exact(df, ["a", "b"], "pos").orderBy("pos").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_samples_and_ids(spark):
+    df = spark.range(100).withColumn("size", F.col("id") % 10)
+    got = corpus.oversampled(df, 10, 4, 7, F.col("size") < 8, F.col("id").cast("string")).collect()
+    again = corpus.oversampled(df.repartition(5), 10, 4, 7, F.col("size") < 8, F.col("id").cast("string")).collect()
+    assert len(got) == 10 and got == again and all(r["size"] < 8 for r in got)
+    both, missing = corpus.joined_by_id(spark.range(5), spark.range(3, 9), "id")
+    assert both.count() == 2 and missing.first().asDict() == {"missing_right": 3, "missing_left": 4, "matched": 2}
+
+
 def test_compare(spark):
     a, b = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string"), spark.createDataFrame([(2, "x"), (1, None), (1, None)], "k int, v string")
     assert compare.multiset_equal(a, b) and not compare.multiset_equal(a, b.distinct())
@@ -100,6 +127,54 @@ def test_sketch_literals(spark):
     assert not blocked["executed"]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("{'a': [1, -2, +3, 4.5, .5, 1e3], 'b': (True, None), 'c': nan}", {"a": [1, -2, 3, 4.5, 0.5, 1000.0], "b": [True, None], "c": None}),
+        ("array(['x', \"y'z\", 'q\\'r'], dtype=object)", ["x", "y'z", "q'r"]),
+        ("{'k': array([array([1, 2,], dtype=int64), array([3])]), 't': ((1), (1,), ()),}", {"k": [[1, 2], [3]], "t": [1, [1], []]}),
+        ("__import__('os')", None),
+        ("array([1], dtype=evil)", None),
+        ("[1", None),
+        ("[1)", None),
+        ("{'a': lambda: 1}", None),
+        ("x", None),
+    ],
+)
+def test_literals_become_json(text, value):
+    found = sketch.as_json(text)
+    assert (None if found is None else json.loads(found)) == value
+
+
+def test_split_end_to_end(spark):
+    table = "{'header': ['City', 'city', ' '], 'types': ['text', 'real', 'text'], 'rows': [['a', 1.5, 'x'], ['b', 2, None]], 'name': 'places'}"
+    good = "{'sel': 1, 'agg': 5, 'conds': {'column_index': [], 'operator_index': [], 'condition': []}}"
+    every = "{'sel': 0, 'agg': 0, 'conds': {'column_index': [1], 'operator_index': [1], 'condition': ['1']}}"
+    rows = [(1, table, good, " Which  mean? "), (2, table, every, "Which ones?"), (3, table, good, "  "), (4, table, good.replace("'sel': 1", "'sel': True"), "q"), (5, table.replace("'real'", "'blob'"), good, "q"), (6, None, good, "q"), (7, table, good.replace("'condition': []", "'condition': ['x']"), "q")]
+    kept, refused = sketch.normalized_split(spark.createDataFrame(rows, "k int, t string, s string, q string"), "t", "s", "q", "k", "dev")
+    got = {r["id"]: r for r in kept.collect()}
+    assert got["dev-1"]["answer"] == ["1.75"] and got["dev-1"]["question"] == "Which mean?" and got["dev-2"]["answer"] == ["a", "b"]
+    assert got["dev-1"]["table"]["headers"] == ["City", "city__2", "column_3"] and got["dev-1"]["schema"].startswith('CREATE TABLE "places" (\n  "City" TEXT,')
+    errors = {r["k"]: r["error"] for r in refused.collect()}
+    assert errors == {3: "no question", 4: "column out of range", 5: "header and types do not agree", 6: "not a literal table", 7: "conditions do not agree in length"}
+
+
+@pytest.mark.parametrize(
+    ("answer", "error"),
+    [
+        ("[1]", "not_an_object"),
+        ("{}", "four_candidates_expected"),
+        ('{"candidates": [1, 2, 3, 4]}', "candidate_not_an_object"),
+        (json.dumps({"candidates": [{"id": "c", "style": s, "question": "q"} for s in creative.STYLES]}), "candidate_ids"),
+        (json.dumps({"candidates": [{"id": f"c{i}", "style": "direta", "question": "q"} for i in range(4)]}), "candidate_styles"),
+        (None, "invalid_json"),
+    ],
+)
+def test_writer_errors(spark, answer, error):
+    got = creative.writer_candidates(spark.createDataFrame([("a", answer)], "id string, response string")).first()
+    assert got["error"] == error and got["candidates"] is None
+
+
 def _writer(question="Quantos filmes da categoria Action existem?"):
     return json.dumps({"candidates": [{"id": f"c{i}", "style": s, "question": question if i else "curta?"} for i, s in enumerate(creative.STYLES)]})
 
@@ -130,7 +205,9 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "id string", "id")
     df = spark.createDataFrame([(1, "b"), (0, "a")], "pos int, text string")
-    assert len(files.write_jsonl(df, str(tmp_path / "out"), "pos")) == 64
+    line = F.to_json(F.struct("pos", "text"))
+    assert files.write_jsonl(df, str(tmp_path / "out"), "pos") == corpus.fingerprint(df, line, F.col("pos")).first()[0]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"pos":0,"text":"a"}', '{"pos":1,"text":"b"}']
     with pytest.raises(Exception, match="(?i)exist"):
         files.write_jsonl(df, str(tmp_path / "out"), "pos")
     files.append_jsonl(df, str(tmp_path / "log"))
@@ -148,11 +225,34 @@ def test_session(spark, sf_dir):
     state, result = session.answer(spark, "Apague", schemas, lambda m: ["DELETE FROM nation"], max_repairs=0)
     assert state.stage == session.Stage.BLOCKED and result is None
     with pytest.raises(ValueError):
-        session.Session(spark, "  ")
+        session.Session("  ")
     with pytest.raises(RuntimeError):
-        session.Session(spark, "q").submit("SELECT 1")
+        session.Session("q").note("accepted", "SELECT 1")
     with pytest.raises(ValueError):
         session.author_messages("q", "ddl", error="e")
+    with pytest.raises(RuntimeError):
+        session.distinct_candidates(["<think>x</think>", " "], 2)
+
+
+def test_session_moves():
+    """Every event in every stage: as the table says, or refused; repairs end at their limit."""
+    for stage in session.Stage:
+        for event in ("schemas", "accepted", "refused", "invalid", "closed", "ran", "failed"):
+            s = session.Session("q", 1, stage)
+            if (stage, event) in session.MOVES:
+                assert s.note(event, "x") == {session.MEND: session.Stage.REPAIRING}.get(session.MOVES[stage, event], session.MOVES[stage, event])
+            else:
+                with pytest.raises(RuntimeError):
+                    s.note(event, "x")
+    s = session.Session("q", 1)
+    for event in ("schemas", "invalid", "accepted", "failed"):
+        s.note(event, event)
+    assert s.stage == session.Stage.BLOCKED and s.repairs == 1 and s.reason == "repair limit reached"
+
+
+def test_pack_prompt():
+    system, user = session.pack_messages(" Quantos? ", Catalog.load(CATALOG), "cellar", "s", "{dialect}|{schema}|{question}")
+    assert system == {"role": "system", "content": "s"} and user["content"].startswith("sqlite|-- catalog: winery") and user["content"].endswith("|Quantos?")
 
 
 def test_specs_are_sound_and_run(spark, sf_dir):
@@ -161,7 +261,7 @@ def test_specs_are_sound_and_run(spark, sf_dir):
     assert made.count() == 34 and specs.defects(made).isEmpty()
     frozen = made.limit(1).select(F.upper("question").alias("question"))
     assert specs.defects(made, frozen).first()["defect"] == "frozen_question"
-    ran = specs.executed(made, lambda sql: execute.run(spark, sql, timeout_ms=30_000))
+    ran = specs.executed(made, lambda sql: execute.run(spark, sql, ["nation", "customer", "orders", "lineitem", "part"], timeout_ms=30_000))
     assert ran.where("not executed").count() == 0
 
 
@@ -172,4 +272,4 @@ def test_command_line(spark, sf_dir, capsys, tmp_path):
     assert main(["run", "SELECT count(*) AS n FROM region", "--data", sf_dir, "--tables", "region"]) == 0
     assert '"rows": [[5]]' in capsys.readouterr().out
     (tmp_path / "c.json").write_text(CATALOG)
-    assert main(["render", str(tmp_path / "c.json"), "sales"]) == 0
+    assert main(["render", str(tmp_path / "c.json"), "cellar"]) == 0
