@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="millrace-shared-")
     sc.setCheckpointDir(configured)
+    fs, hadoop = _fs(spark, sc._jsc.sc().getCheckpointDir().get())  # a folder of this application alone
+    fs.deleteOnExit(hadoop)
     return configured
 
 

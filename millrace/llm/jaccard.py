@@ -394,6 +394,12 @@ def _pivots(counts: np.ndarray) -> np.ndarray:
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    out = _placed(docs, k, percent, print_bits)
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, k: int, percent: int, print_bits: int = 64) -> DataFrame:
+    """(doc_id, key, n, group, component_id): every row with the key of its text, the component of its set, and the smallest id there."""
     spark = docs.sparkSession
     scan = stored(_scan(docs, k, print_bits), "sets")
     counts_array = _sketch.add_up(scan.where(F.col("chunk").isNotNull()), "uint32", _sketch.BUCKETS)
@@ -439,27 +445,38 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, print_bit
             comp = cut(components(links) if comp is None else merged(comp, links))
     discard(groups, large)
     if comp is None:
-        known = sets.select("set_id", F.col("doc_id").alias("component_id"))
+        known = sets.select("set_id", F.col("set_id").alias("group"), F.col("doc_id").alias("component_id"))
     else:
-        named = comp.join(sets.select(F.col("set_id").alias("id"), "doc_id"), "id")
-        least = named.groupBy("component").agg(F.min("doc_id").alias("component_doc"))
-        known = sets.select("set_id", "doc_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").join(least, "component", "left")
-        known = known.select("set_id", F.coalesce("component_doc", "doc_id").alias("component_id"))
-    member = rows.select("doc_id", "n", set_id)
-    out = member.join(known, "set_id", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = sets.select("set_id", "doc_id").join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("group", F.coalesce("component", "set_id"))
+        least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+        known = named.join(least, "group").select("set_id", "group", "component_id")
+    return rows.select("doc_id", "key", "n", set_id).join(known, "set_id", "left").select("doc_id", "key", "n", "group", "component_id")
 
 
 def representatives(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Rows of ``docs`` (all columns) without those that stand for no group: the smallest id of each component stays, once."""
-    found = cut(jaccard_components(docs.select("doc_id", "text"), k, percent))
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    """Rows of ``docs`` (all columns) without those that stand for no group: the smallest id of each component stays, once.
+
+    Of a component without any id one row stays, the first by the hash of its text.  Rows without words all stay.
+    """
+    found = cut(_placed(docs.select("doc_id", "text"), k, percent).where("n > 0"))
+    kept = _without(docs, "doc_id", found.where(F.col("doc_id").isNotNull()).withColumn("gone", F.col("doc_id") != F.col("component_id")), docs["doc_id"])
+    loose = found.where(F.col("doc_id").isNull())
+    if loose.isEmpty():
         return kept
-    # repeated rows of one id: one of them stays (rows without words all stay)
-    again = repeated.select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    first = loose.groupBy("group").agg(F.min("key").alias("first"))
+    loose = loose.join(first, "group").withColumn("gone", F.col("component_id").isNotNull() | (F.col("key") != F.col("first")))
+    known = kept.where(F.col("doc_id").isNotNull())
+    return known.unionByName(_without(kept.where(F.col("doc_id").isNull()), "key", loose, F.xxhash64(kept["text"])))
+
+
+def _without(docs: DataFrame, name: str, judged: DataFrame, value) -> DataFrame:
+    """Rows of ``docs`` whose ``value`` is not gone by (name, gone), and one row of each value that was judged more than once."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), value.alias(name))
+    gone = judged.where("gone").select(name).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = rows.join(gone, name, "left_anti")
+    again = judged.where(~F.col("gone")).groupBy(name).count().where("count > 1").select(name)
+    if again.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(again, name, "left_semi").groupBy(name).agg(F.first("row").alias("row"))
+    return kept.join(again, name, "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -25,8 +25,10 @@ leaves of equal mass.
 Training is ``rounds`` synchronous rounds, one for each hash shard of the training
 texts.  A round sums both halves of the gradient, the observed and the expected
 count of every weight, over its shard and makes one step on the driver, scaled
-by their ratio (iterative scaling).  Expected counts are summed as integers, so the
-weights, and all scores, are the same however the rows are dealt to tasks.
+by their ratio (iterative scaling).  Shares of expected counts are rounded to whole
+parts of SCALE, up or down by a hash of where the token stands, so they are right on
+average and their sums exact: the weights, and all scores, are the same however the
+rows are dealt to tasks.
 
 Texts are read twice, for counts and to encode them; what follows reads the
 encoded table.  Only tables of fixed or bounded size are broadcast: ``head``
@@ -60,8 +62,9 @@ LEAVES = WAYS**3
 TAIL = LEAVES - WAYS * WAYS  # first leaf of the last class
 NODES = 1 + WAYS + WAYS * WAYS
 END, START = U(0), 1 << 40  # no word hashes to END by more than chance
-SCALE, STEP, DECAY, SMOOTH = 1 << 12, 0.5, 0.8, 2.0
-TOKENS = 1 << 16
+SCALE, STEP, DECAY, SMOOTH, MOST = 1 << 9, 0.5, 0.8, 2.0, 20.0
+TOKENS, BLOCK = 1 << 16, 1 << 13
+PACK = 26  # bits of a sum: two sums share a float's 53
 CHUNK = 1 << 17
 
 
@@ -266,16 +269,24 @@ def history(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _choices(model: Model, feats: np.ndarray, leaf: np.ndarray):
-    """For each of the three choices: (rows of the weights, log probabilities of the ways, the way taken)."""
+    """For each of the three choices of some tokens at a time: (first token, number of the choice, rows of the weights, exponentials of the ways, their sum, log probability of the way taken, that way).
+
+    The arrays of exponentials are used again for the next choice.  A node's largest
+    bias is 0 and weights stay within MOST, so exponentials need no shift.
+    """
     shift = U(64 - (len(model.weights).bit_length() - 1))
-    for node, way in ((np.zeros_like(leaf), leaf // WAYS**2), (1 + leaf // WAYS**2, leaf // WAYS % WAYS), (1 + WAYS + leaf // WAYS, leaf % WAYS)):
-        rows = (((feats + node.astype(np.uint64) * U(0xD6E8FEB86659FD93)) * U(0x9FB21C651E98DF25)) >> shift).astype(np.int64)
-        z = model.bias[node]
-        for r in rows:
-            z += model.weights[r]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        yield rows, z, way
+    z, part = np.empty((BLOCK, WAYS), np.float32), np.empty((BLOCK, WAYS), np.float32)
+    for a in range(0, len(leaf), BLOCK):
+        own, f = leaf[a : a + BLOCK], feats[:, a : a + BLOCK]
+        n = len(own)
+        for c, (node, way) in enumerate(((np.zeros_like(own), own // WAYS**2), (1 + own // WAYS**2, own // WAYS % WAYS), (1 + WAYS + own // WAYS, own % WAYS))):
+            rows = (((f + node.astype(np.uint64) * U(0xD6E8FEB86659FD93)) * U(0x9FB21C651E98DF25)) >> shift).astype(np.int64)
+            np.take(model.bias, node, axis=0, out=z[:n], mode="clip")
+            for r in rows:
+                z[:n] += np.take(model.weights, r, axis=0, out=part[:n], mode="clip")
+            taken = z[np.arange(n), way]
+            total = np.exp(z[:n], out=part[:n]).sum(axis=1)
+            yield a, c, rows, part[:n], total, taken - np.log(total), way
 
 
 def _texts(batch: pa.RecordBatch):
@@ -291,36 +302,45 @@ def _texts(batch: pa.RecordBatch):
         at = to
 
 
+def _tallied(model: Model, codes: np.ndarray, bounds: np.ndarray, expected: np.ndarray, observed: np.ndarray) -> None:
+    """Add up what every weight meets in some texts: expected counts in parts of SCALE, and observed ones."""
+    rows = len(model.weights)
+    leaf, feats = leaves(model, codes), history(codes, bounds)
+    place = np.arange(len(codes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    up = ((mix(feats[2] + place.astype(np.uint64)) >> U(40)).astype(np.float32) * np.float32(2.0**-24))[:, None]
+    for a in range(0, len(codes), TOKENS):
+        n = min(TOKENS, len(codes) - a)
+        where, pairs, ways = np.empty((3, 3, n), np.int64), np.empty((3, WAYS // 2, n)), np.empty((3, n), np.int64)
+        for at, c, r, e, total, _, way in _choices(model, feats[:, a : a + n], leaf[a : a + n]):
+            to = slice(at, at + len(way))
+            share = np.floor(e * (np.float32(SCALE) / total)[:, None] + up[a : a + n][to]).astype(np.float64)
+            where[c, :, to], ways[c, to] = r, way
+            pairs[c, :, to] = share[:, : WAYS // 2].T * float(1 << PACK) + share[:, WAYS // 2 :].T
+        for c in range(3):
+            flat = where[c].ravel()
+            for k in range(WAYS // 2):
+                both = np.bincount(flat, np.tile(pairs[c, k], 3), rows).astype(np.int64)
+                expected[k] += both >> PACK
+                expected[k + WAYS // 2] += both & ((1 << PACK) - 1)
+        observed += np.bincount((where * WAYS + ways[:, None, :]).ravel(), minlength=rows * WAYS)
+
+
 def _step(model: Model, shard: DataFrame, step: float = STEP) -> np.ndarray:
     """Weights after one round over a shard."""
     shared = shard.sparkSession.sparkContext.broadcast(model)
     rows = len(model.weights)
 
     def run(batches):
-        model = shared.value
-        expected, observed, taken = np.zeros((WAYS, rows)), np.zeros(rows * WAYS, np.int64), []
+        expected, observed = np.zeros((WAYS, rows), np.int64), np.zeros(rows * WAYS, np.int64)
         for batch in batches:
             for _, codes, bounds in _texts(batch):
-                leaf, feats = leaves(model, codes), history(codes, bounds)
-                for a in range(0, len(codes), TOKENS):
-                    for r, z, way in _choices(model, feats[:, a : a + TOKENS], leaf[a : a + TOKENS]):
-                        share = np.rint(np.exp(z.T) * SCALE).astype(np.float64)
-                        flat = r.ravel()
-                        for k in range(WAYS):
-                            expected[k] += np.bincount(flat, np.tile(share[k], 3), rows)
-                        taken.append(flat * WAYS + np.tile(way, 3))
-                    if len(taken) >= 18:
-                        observed += np.bincount(np.concatenate(taken), minlength=rows * WAYS)
-                        taken.clear()
-        if taken:
-            observed += np.bincount(np.concatenate(taken), minlength=rows * WAYS)
-        both = np.concatenate([expected.T.ravel().astype(np.int64), observed])
-        yield _sketch.batch_of(_sketch.chunk_rows(both, CHUNK))
+                _tallied(shared.value, codes, bounds, expected, observed)
+        yield _sketch.batch_of(_sketch.chunk_rows(np.concatenate([expected.T.ravel(), observed]), CHUNK))
 
     both = _sketch.add_up(shard.select("codes").mapInArrow(tidy(run), "chunk int, counts binary"), "int64", 2 * rows * WAYS, CHUNK)
     expected, observed = both[: rows * WAYS].reshape(rows, WAYS) / SCALE, both[rows * WAYS :].reshape(rows, WAYS)
     shared.unpersist()
-    return (model.weights + step * np.log((observed + SMOOTH) / (expected + SMOOTH))).astype(np.float32)
+    return np.clip(model.weights + step * np.log((observed + SMOOTH) / (expected + SMOOTH)), -MOST, MOST).astype(np.float32)
 
 
 def _scored(table: DataFrame, model: Model) -> DataFrame:
@@ -332,10 +352,9 @@ def _scored(table: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             for at, codes, bounds in _texts(batch):
-                leaf, feats, logp = leaves(model, codes), history(codes, bounds), np.zeros(len(codes))
-                for a in range(0, len(codes), TOKENS):
-                    for _, z, way in _choices(model, feats[:, a : a + TOKENS], leaf[a : a + TOKENS]):
-                        logp[a : a + TOKENS] += z[np.arange(len(z)), way]
+                leaf, logp = leaves(model, codes), np.zeros(len(codes))
+                for a, _, _, _, _, taken, _ in _choices(model, history(codes, bounds), leaf):
+                    logp[a : a + len(taken)] += taken
                 logp /= np.log(10.0)
                 known, spot = codes >= 0, np.maximum(codes, 0)
                 logp += np.where(known, model.inside[spot], 0.0) if len(model.inside) else 0.0
