@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import question_key
 from .operators import collate, compare, corpus, creative, sketch, specs
-from .plans import analyze, execute, gate
+from .plans import analyze, dialect, execute, gate
 from .sources import catalog
 
 
@@ -140,6 +140,24 @@ def spec_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.with_analysis(made, "sql", ran, "found int, first string").select("id", "family", "found", "first")
 
 
+def other_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question in three dialects, rewritten, gated and run: orders by year."""
+    texts = {
+        "sqlite": "SELECT strftime('%Y', o_orderdate) AS y, count(*) AS n FROM orders GROUP BY strftime('%Y', o_orderdate)",
+        "postgres": "SELECT date_part('year', \"o_orderdate\") AS y, count(*) AS n FROM public.orders WHERE o_orderstatus::text <> 'x' GROUP BY date_part('year', \"o_orderdate\")",
+        "mysql": "SELECT DATE_FORMAT(o_orderdate, '%Y') AS y, count(IFNULL(o_totalprice, 0)) AS n FROM orders WHERE o_orderstatus <> \"x\" GROUP BY DATE_FORMAT(o_orderdate, '%Y') LIMIT 0, 100",
+    }
+    catalog.register(spark, sf_dir, ["orders"])
+    out = None
+    for name, text in texts.items():
+        sql = dialect.from_mysql(text) if name == "mysql" else dialect.to_spark(text)
+        if not gate.check(spark, sql).allowed or gate.out_of_scope(spark, sql, ["orders"]):
+            raise PermissionError(name)
+        part = spark.sql(sql).select(F.lit(name).alias("dialect"), F.col("y").cast("string").alias("y"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- sketches ----------------------------------------------------------------------------------
 
 
@@ -317,6 +335,7 @@ SELECT printf('count-filter-%03d-p%d', n, q) AS id, 'count-filter' AS family, 1
 UNION ALL SELECT printf('prefix-%03d-p1', i), 'prefix', least(1000, (SELECT count(*) FROM part WHERE p_name ILIKE c || '%'))::INTEGER, (SELECT min(p_name) FROM part WHERE p_name ILIKE c || '%') FROM p
 UNION ALL SELECT printf('distinct-join-%03d-p1', i), 'distinct-join', (SELECT count(DISTINCT n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = m)::INTEGER, (SELECT min(n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = m) FROM d""",
     ),
+    "other_dialects": (other_dialects, "SELECT d AS dialect, year(o_orderdate)::VARCHAR AS y, count(*) AS n FROM orders, (VALUES ('sqlite'), ('postgres'), ('mysql')) t(d) GROUP BY 1, 2"),
     "sketch_schema": (sketch_schema, """SELECT DISTINCT c_nationkey AS nation, 'CREATE TABLE "nation_' || c_nationkey || '" (' || chr(10) || '  "Name" TEXT,' || chr(10) || '  "Segment" TEXT,' || chr(10) || '  "Balance" REAL' || chr(10) || ');' AS ddl FROM customer"""),
     "sketch_brief": (
         sketch_brief,

@@ -58,14 +58,14 @@ def defects(specs: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
 
 
 def executed(specs: DataFrame, runner) -> DataFrame:
-    """Run each distinct SQL once on the driver's engine and join the outcome back: (.., executed, row_count, error)."""
-    from ..plans.analyze import with_analysis
+    """Run SQL once for each canonical form and join the outcome back: (.., executed, row_count, error)."""
+    from ..plans.analyze import canonical, with_analysis
 
     def one(sql: str) -> tuple:
         found = runner(sql)
         return found.executed, len(found.rows), found.error
 
-    return with_analysis(specs, "sql", one, "executed boolean, row_count int, error string")
+    return with_analysis(specs, "sql", one, "executed boolean, row_count int, error string", lambda sql: canonical(specs.sparkSession, sql))
 
 
 #: Families over the test tables, one for each shape of query.
@@ -79,4 +79,16 @@ FAMILIES = (
     Family("top-k", {"k": (3, 5, 10)}, ("Quais os {k} clientes que mais compraram?",), "SELECT c_name, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY total DESC, c_name LIMIT {k}", "medium"),
     Family("by-day", {"day": (1, 15)}, ("Quantos pedidos houve no dia {day} de cada mês?",), "SELECT date(o_orderdate) AS dia, count(*) AS total FROM orders WHERE extract(DAY FROM o_orderdate) = {day} GROUP BY date(o_orderdate) ORDER BY dia"),
     Family("preaggregated", {"priority": ("1-URGENT", "5-LOW")}, ("Qual o total por segmento dos pedidos de prioridade {priority}?",), "WITH linhas AS (SELECT l_orderkey, sum(l_extendedprice) AS valor FROM lineitem GROUP BY l_orderkey) SELECT c_mktsegment, round(sum(valor), 2) AS total FROM linhas JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '{priority}' GROUP BY c_mktsegment ORDER BY c_mktsegment", "heavy"),
+    Family("count-all", {"table": ("orders", "customer", "part", "supplier", "lineitem", "nation", "region", "events")}, ("Quantas linhas tem a tabela {table}?", "Conte as linhas de {table}.", "Qual o número de linhas em {table}?"), "SELECT count(*) AS total FROM {table}"),
+    Family("mean-by-segment", {"segment": ("BUILDING", "MACHINERY", "HOUSEHOLD", "AUTOMOBILE", "FURNITURE")}, ("Qual o saldo médio dos clientes do segmento {segment}?", "Saldo médio em {segment}?"), "SELECT round(avg(c_acctbal), 2) AS media FROM customer WHERE c_mktsegment = '{segment}'"),
+    Family("customers-of-nation", {"key": tuple(range(25)), "k": (3, 5, 10)}, ("Quais os {k} clientes de maior saldo da nação {key}?", "Mostre os {k} maiores saldos de clientes da nação {key}."), "SELECT c_name, c_acctbal FROM customer WHERE c_nationkey = {key} ORDER BY c_acctbal DESC, c_name LIMIT {k}"),
+    Family("orders-by-month", {"year": (1993, 1994, 1995, 1996, 1997), "status": ("F", "O", "P")}, ("Quantos pedidos {status} houve por mês em {year}?", "Pedidos {status} de {year}, por mês?"), "SELECT extract(MONTH FROM o_orderdate) AS mes, count(*) AS total FROM orders WHERE extract(YEAR FROM o_orderdate) = {year} AND o_orderstatus = '{status}' GROUP BY extract(MONTH FROM o_orderdate) ORDER BY mes"),
+    Family("brand-prices", {"brand": tuple(f"Brand#{i}" for i in range(1, 26)), "f": ("min", "max", "avg")}, ("Qual o preço ({f}) das peças da marca {brand}?",), "SELECT {f}(p_retailprice) AS preco FROM part WHERE p_brand = '{brand}'"),
+    Family("size-range", {"low": (1, 5, 10, 20), "high": (25, 30, 40, 50)}, ("Quantas peças têm tamanho de {low} a {high}?", "Conte as peças de tamanho entre {low} e {high}."), "SELECT count(*) AS total FROM part WHERE p_size BETWEEN {low} AND {high}"),
+    Family("region-revenue", {"region": tuple(range(5)), "flag": ("A", "N", "R")}, ("Qual a receita da região {region} nas linhas com marca {flag}?", "Receita da região {region}, linhas {flag}?"), "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS receita FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = {region} AND l_returnflag = '{flag}'", "heavy"),
+    Family("suppliers-above", {"key": tuple(range(25)), "least": (0, 1000, 5000)}, ("Quantos fornecedores da nação {key} têm saldo acima de {least}?",), "SELECT count(*) AS total FROM supplier WHERE s_nationkey = {key} AND s_acctbal > {least}"),
+    Family("never-ordered", {"key": tuple(range(25))}, ("Quais clientes da nação {key} nunca fizeram pedidos?", "Clientes da nação {key} sem pedidos?"), "SELECT c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = {key} AND o_orderkey IS NULL ORDER BY c_name", "medium"),
+    Family("priority-share", {"priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "status": ("F", "O", "P")}, ("Quantos pedidos {status} têm prioridade {priority}?", "Conte os pedidos {priority} com situação {status}."), "SELECT count(*) AS total FROM orders WHERE o_orderpriority = '{priority}' AND o_orderstatus = '{status}'"),
+    Family("discounted-lines", {"least": (1, 2, 3, 4, 5, 6, 7, 8), "flag": ("A", "N", "R")}, ("Quantas linhas {flag} têm desconto acima de {least}%?", "Linhas {flag} com mais de {least}% de desconto?"), "SELECT count(*) AS total FROM lineitem WHERE l_discount > {least} / 100.0 AND l_returnflag = '{flag}'"),
+    Family("event-totals", {"kind": ("click", "error", "view", "purchase"), "user": tuple(range(20))}, ("Quantos eventos {kind} teve o usuário {user}?",), "SELECT count(*) AS total FROM events WHERE event_type = '{kind}' AND user_id = {user}"),
 )

@@ -29,11 +29,18 @@ def capped(df: DataFrame, max_rows: int) -> DataFrame:
     return df.limit(max_rows)
 
 
-def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None) -> Execution:
+def scan_bytes(df: DataFrame) -> int:
+    """What the scans of the optimised plan are estimated to read."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None, max_bytes: int | None = None) -> Execution:
     """Gate a query and run it over the tables ``allowed``: at most ``max_rows`` rows, cancelled after ``timeout_ms``.
 
     ``truncated`` is exact: one row more than asked for is fetched.  Results of
-    EXPLAIN are capped as well.
+    EXPLAIN are capped as well.  ``max_bytes`` is a budget of work: a plan whose scans
+    are estimated to read more does not run.
     """
     if not 1 <= max_rows <= 1000:
         raise ValueError("max_rows must be in 1..1000")
@@ -60,6 +67,8 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 1
     watchdog.start()
     try:
         df = spark.sql(text, args=args) if args else spark.sql(text)
+        if max_bytes is not None and (size := scan_bytes(df)) > max_bytes:
+            return Execution(True, False, error=f"work_budget: {size} bytes", relations=used, normalized_sql=text)
         found = capped(df, max_rows + 1).collect()
     except Exception as e:  # analysis, runtime and cancellation errors alike
         return Execution(True, False, error=gate.sanitize(e), relations=used, normalized_sql=text)

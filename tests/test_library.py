@@ -256,13 +256,30 @@ def test_pack_prompt():
 
 
 def test_specs_are_sound_and_run(spark, sf_dir):
-    register(spark, sf_dir, ["nation", "customer", "orders", "lineitem", "part"])
-    made = specs.expand(spark, specs.FAMILIES)
-    assert made.count() == 34 and specs.defects(made).isEmpty()
+    tables = ["region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events"]
+    register(spark, sf_dir, tables)
+    made = specs.expand(spark, specs.FAMILIES).cache()
+    assert made.count() == 668 and made.select("family").distinct().count() == 21 and specs.defects(made).isEmpty()
     frozen = made.limit(1).select(F.upper("question").alias("question"))
     assert specs.defects(made, frozen).first()["defect"] == "frozen_question"
-    ran = specs.executed(made, lambda sql: execute.run(spark, sql, ["nation", "customer", "orders", "lineitem", "part"], timeout_ms=30_000))
-    assert ran.where("not executed").count() == 0
+    one = made.where("id LIKE '%-001-p%'")  # the first of each grid
+    ran = specs.executed(one, lambda sql: execute.run(spark, sql, tables, timeout_ms=30_000))
+    assert ran.where("not executed").count() == 0 and ran.count() == one.count()
+
+
+def test_memo_by_canonical_form(spark):
+    seen = []
+    df = spark.createDataFrame([("SELECT a FROM t",), ("select  a\nfrom t",), ("SELECT b FROM t",), ("((",), ("(((",)], "q string")
+    from millrace.plans import analyze
+
+    out = analyze.with_analysis(df, "q", lambda q: (seen.append(q) or len(seen),), "n int", lambda q: analyze.canonical(spark, q))
+    assert len(seen) == 4 and out.select("n").distinct().count() == 4
+
+
+def test_work_budget(spark, sf_dir):
+    register(spark, sf_dir, ["lineitem"])
+    assert "work_budget" in execute.run(spark, "SELECT count(*) FROM lineitem", ["lineitem"], max_bytes=100).error
+    assert execute.run(spark, "SELECT count(*) FROM lineitem", ["lineitem"], max_bytes=1 << 30).executed
 
 
 def test_command_line(spark, sf_dir, capsys, tmp_path):
@@ -273,3 +290,11 @@ def test_command_line(spark, sf_dir, capsys, tmp_path):
     assert '"rows": [[5]]' in capsys.readouterr().out
     (tmp_path / "c.json").write_text(CATALOG)
     assert main(["render", str(tmp_path / "c.json"), "cellar"]) == 0
+    assert main(["match", "SELECT a FROM t", "select a from t"]) == 0 and main(["match", "SELECT a FROM t", "select b from t"]) == 1
+    assert main(["complexity", "SELECT a FROM t ORDER BY a"]) == 0 and main(["rank", "Quantos?", "SELECT count(*) FROM t", "SELECT 1"]) == 0
+    assert main(["schema", "orders", "--data", sf_dir, "--tables", "orders"]) == 0
+    assert "-- o_orderstatus: F, O, P" in capsys.readouterr().out
+    docs = f"{sf_dir}/documents.parquet"
+    assert main(["fingerprint", docs, "text", "doc_id"]) == 0 and main(["split", docs, "text", str(tmp_path / "s"), "10"]) == 0
+    assert main(["mysql", "SELECT IFNULL(a, 0) FROM t LIMIT 5, 10"]) == 0
+    assert "SELECT coalesce(a, 0) FROM t LIMIT 10 OFFSET 5" in capsys.readouterr().out
