@@ -294,7 +294,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filter_
     built = build_filters(repeated, shards)
     filters = None
     if keys * 5 <= filter_limit:  # at most 5 bytes a key at this load
-        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.toLocalIterator()})
+        filters = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in built.collect()})  # filter_limit bytes at most
     seen = stored(_probe(docs, filters, shards, min_chars), "lines")
     hits = seen.select("doc", F.explode("keys").alias("key")).distinct()
     if filters is None:

@@ -53,6 +53,18 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT a AS id, b AS seen FROM p UNION SELECT r.id, p.b FROM r JOIN p ON r.seen = p.a),
+c AS (SELECT id, min(seen) AS least FROM r GROUP BY id)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, least(g.doc_id, coalesce(c.least, g.doc_id)) AS component_id FROM g LEFT JOIN c ON g.doc_id = c.id
+"""
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .maxent import score
 
@@ -154,4 +166,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_vectors": OP2_SQL, "op7_lines": OP7_SQL, "op8_mix": OP8_SQL, "op9_shard": OP9_SQL}
+    return {"op2_near_vectors": OP2_SQL, "op5_jaccard": OP5_SQL, "op7_lines": OP7_SQL, "op8_mix": OP8_SQL, "op9_shard": OP9_SQL}
