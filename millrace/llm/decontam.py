@@ -310,7 +310,7 @@ def _searcher(index):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             got = []
-            for a, raw, offsets in chunks(batch.column("text")):
+            for a, raw, offsets in chunks(batch.column("text"), 1 << 20):
                 got += [(ids[a + row], *rest) for row, *rest in index.value.search(raw, offsets)]
             cols = list(zip(*got, strict=True)) if got else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start_word", "edits", "item_words"])
@@ -338,7 +338,7 @@ def _keeper(index):
     def run(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for a, raw, offsets in chunks(batch.column("text")):
+            for a, raw, offsets in chunks(batch.column("text"), 1 << 20):
                 for row, *_ in index.value.search(raw, offsets):
                     keep[a + row] = False
             yield batch.filter(pa.array(keep))

@@ -36,7 +36,7 @@ from ._session import tidy
 from ._text import mix
 
 BUCKETS = 1 << 16
-SLICE = 1 << 20
+SLICE = 1 << 19
 BROADCAST_ROWS = 100_000
 _alpha: list[np.ndarray] = []
 
