@@ -10,7 +10,7 @@ import duckdb
 
 
 def connection(sf_dir):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB", "max_temp_directory_size": "2GB"})
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         files = f"{path}/*.parquet" if os.path.isdir(path) else path
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{files}')")
