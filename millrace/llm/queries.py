@@ -150,6 +150,96 @@ FROM d JOIN a USING (h) JOIN n ON n.depth = a.depth AND n.prefix = d.h >> (60 -
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 byte by byte, its table made by rule; near words by equal deletions at one place, or a deletion that is the other word.
+OP11_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+x AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(t, '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM d),
+c AS (SELECT doc, run, count(*) AS n FROM x GROUP BY doc, run),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: xor(v >> 1, 3988292384 * (v & 1))) AS v FROM (SELECT unnest(range(256)) AS i))),
+h AS (SELECT c.*, list_transform(string_split(doc || ':' || run, ''), lambda y: unicode(y)) AS cp FROM c),
+b AS (SELECT doc, run, n, flatten(list_transform(cp, lambda y: CASE WHEN y < 128 THEN [y] ELSE [195, y - 64] END)) AS bytes FROM h),
+z AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda v, y: xor(v >> 8, tab.tab[(xor(v, y) & 255) + 1])), 4294967295::BIGINT) AS crc FROM b, tab),
+y AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, (crc % length(run))::INTEGER) || substr(run, (crc % length(run))::INTEGER + 2) ELSE run END AS word, n FROM z),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM y WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+o AS (SELECT a.word AS x, b.word AS y, b.n FROM e a JOIN e b ON a.short = b.short AND a.p = b.p AND a.word <> b.word
+      UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.short = w.word UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.short = w.word),
+m AS (SELECT x, count(*)::BIGINT AS n_near, max(n) AS most FROM o GROUP BY x),
+f AS (SELECT w.word, w.n, coalesce(m.n_near, 0)::BIGINT AS n_near, CASE WHEN m.most >= 5 * w.n THEN m.most END AS form_n,
+             CASE WHEN m.most >= 5 * w.n THEN (SELECT min(o.y) FROM o WHERE o.x = w.word AND o.n = m.most) END AS form FROM w LEFT JOIN m ON w.word = m.x),
+r AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, max_by(root, step) AS root FROM r GROUP BY word) l ON f.word = l.word
+"""
+
+
+def op12_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cleaning import ADDED, judged
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs, with_text=False).select("doc_id", *[c for c in ADDED if c != "clean_text"])
+
+
+def _op12_sql() -> str:
+    from . import cleaning as c
+
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    ends, closers = c.ENDS.replace(".", "\\."), c.CLOSERS.replace("'", "''").replace("]", "\\]")
+    phrases = "|".join(c.BOILERPLATE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+u AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM g),
+v AS (SELECT row, count(DISTINCT p)::BIGINT AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM u WHERE n > 1) GROUP BY row),
+x AS (SELECT row, unnest(l) AS line FROM w),
+y AS (SELECT row, line, trim(line, {white}) AS s, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+             len(regexp_extract_all(line, '[{c.SYMBOLS}]')) AS symbols, len(regexp_extract_all(line, '[{c.SEPARATORS}]')) AS separators,
+             regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{phrases}') AS phrase FROM x),
+z AS (SELECT row, line, n, 4 * symbols > n OR separators >= 2 AND 3 * separators >= n OR phrase
+             OR NOT regexp_matches(s, '[{ends}][{closers}]*$') AND NOT (n >= {c.LONG_LINE} AND regexp_matches(s, '[.!?…][\\x20\\x09]')) AS bad FROM y),
+q AS (SELECT row, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS failed, coalesce(sum(n) FILTER (bad), 0) AS lost FROM z GROUP BY row),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[{c.SYMBOLS}]'))::BIGINT AS n_symbols,
+             coalesce(q.dup, 0)::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words, coalesce(q.failed, 0)::BIGINT AS n_failed_lines, coalesce(q.lost, 0)::BIGINT AS n_lost_words
+      FROM w LEFT JOIN v USING (row) LEFT JOIN q USING (row)),
+b AS (SELECT *, n_words < {c.MIN_WORDS} OR 100 * n_repeat_words > {c.MAX_REPEAT} * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= {c.MAX_LOST} * n_words AS kept FROM b
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocation import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+o AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w),
+f AS (SELECT lang, k, phrase, lang || chr(9) || phrase AS key, count(*)::BIGINT AS a FROM o GROUP BY lang, k, phrase HAVING count(*) >= 10 OR k = 1),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, 1 AS cut, lang || chr(9) || w[1] AS p, lang || chr(9) || array_to_string(w[2:], ' ') AS s FROM c
+      UNION ALL SELECT lang, phrase, a, 2, lang || chr(9) || array_to_string(w[1:2], ' '), lang || chr(9) || w[3] FROM c WHERE k = 3),
+s AS (SELECT x.lang, x.phrase, x.a, cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+      FROM x JOIN f l ON l.key = x.p JOIN f r ON r.key = x.s),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM s),
+y AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY lang, part),
+t AS (SELECT m.* FROM m LEFT JOIN y ON y.lang = m.lang AND y.part = m.phrase WHERE place = 1 AND (y.longer IS NULL OR 100 * y.longer < 50 * m.a)),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM t)
+SELECT q.lang, rank, phrase, a, l, r, n.n, score FROM q JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -162,8 +252,11 @@ def queries() -> dict:
         "op8_mix": op8_mix,
         "op9_shard": op9_shard,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling": op11_spelling,
+        "op12_clean": op12_clean,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_vectors": OP2_SQL, "op5_jaccard": OP5_SQL, "op7_lines": OP7_SQL, "op8_mix": OP8_SQL, "op9_shard": OP9_SQL}
+    return {"op2_near_vectors": OP2_SQL, "op5_jaccard": OP5_SQL, "op7_lines": OP7_SQL, "op8_mix": OP8_SQL, "op9_shard": OP9_SQL, "op11_spelling": OP11_SQL, "op12_clean": _op12_sql(), "op13_collocations": OP13_SQL}
