@@ -40,6 +40,36 @@ def rows_hash(df: DataFrame, columns: Sequence[str], order: Sequence[Column | st
     return lines.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n"), 256).alias("rows_hash"))
 
 
+def row_prints(columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row, null told apart from every value and place."""
+    told = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *told) for seed in (1, 2)]
+
+
+def paired_results(rows: DataFrame, pair: str, side: str, columns: Sequence[str]) -> DataFrame:
+    """(pair, rows_a, rows_b, equal): for each pair whether its sides ``a`` and ``b`` are the same multiset of rows.
+
+    One job for all pairs.  A side's sums of row hashes (128 bits, in any order) and its
+    count decide that two sides differ, combined before the shuffle however large a
+    result is; pairs with equal sums are then recounted row by row, so a pair is called
+    equal only if every row stands as often on both sides.  A side without a row is empty.
+    """
+    one, two = row_prints(columns)
+    sign = F.when(F.col(side) == "a", 1).when(F.col(side) == "b", -1)
+    signed = rows.select(F.col(pair).alias("pair"), sign.alias("sign"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], one.alias("h1"), two.alias("h2"))
+
+    def balance(c: str) -> Column:
+        return F.sum(F.col(c).cast("decimal(38,0)") * F.col("sign"))
+
+    sums = signed.groupBy("pair").agg(F.count_if(F.col("sign") == 1).alias("rows_a"), F.count_if(F.col("sign") == -1).alias("rows_b"), balance("h1").alias("s1"), balance("h2").alias("s2"))
+    judged = sums.select("pair", "rows_a", "rows_b", ((F.col("rows_a") == F.col("rows_b")) & (F.col("s1") == 0) & (F.col("s2") == 0)).alias("alike"))
+    alike = judged.where("alike").select(F.col("pair").alias("like"))
+    again = signed.join(alike, F.col("pair").eqNullSafe(F.col("like")), "left_semi").groupBy("pair", *[f"c{i}" for i in range(len(columns))]).agg(F.sum("sign").alias("surplus"))
+    wrong = again.where("surplus <> 0").select(F.col("pair").alias("wrong")).distinct()
+    found = judged.join(wrong.withColumn("hit", F.lit(True)), F.col("pair").eqNullSafe(F.col("wrong")), "left")
+    return found.select(F.col("pair").alias(pair), "rows_a", "rows_b", (F.col("alike") & F.col("hit").isNull()).alias("equal"))
+
+
 #: What two reports must share to be compared.
 CONTRACT = ("fingerprint", "examples", "max_new_tokens", "max_context_characters")
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..functions.text import blank, collapse, content_hash, hash_bucket, line_ends, question_key
 
 #: Order in which a row's defects are looked for.
@@ -35,8 +36,12 @@ def with_rejection(df: DataFrame, fields: Sequence[str], max_characters: int = 1
     return df.withColumn("reason", reason.otherwise(F.col(verdict)) if verdict else reason)
 
 
-def parse_verdicts(df: DataFrame, column: str) -> DataFrame:
-    """Add ``verdict`` of the parse gate to each row; every distinct SQL text is parsed once."""
+def parse_verdicts(df: DataFrame, column: str, store: str | None = None, batch: int = 2_000) -> DataFrame:
+    """Add ``verdict`` of the parse gate to each row; every distinct SQL text is parsed once.
+
+    Verdicts are appended to the folder ``store`` in batches, the only ones the driver
+    holds; called again with that folder, only texts without a verdict are parsed.
+    """
     from ..plans import gate
     from ..plans.analyze import with_analysis
 
@@ -52,7 +57,7 @@ def parse_verdicts(df: DataFrame, column: str) -> DataFrame:
             return ("invalid_sql",)
         return (None,)
 
-    return with_analysis(df, column, judge, "verdict string")
+    return with_analysis(df, column, judge, "verdict string", store=store, batch=batch)
 
 
 def first_of(df: DataFrame, keys: Sequence[Column | str], position: str) -> DataFrame:
@@ -191,23 +196,41 @@ def rates(df: DataFrame, flags: Sequence[str], by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096) -> DataFrame:
-    """SHA-256 over all lines in order of an integer position, by one formula at every size.
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank``, the place of each row in that order, from 0 and without gaps.
 
-    Lines are digested; the digests of ``width`` successive positions are digested
-    as one, and of these again ``width``; what is left is digested at last.  Rows of
-    one position are ordered by digest.  Groups of positions meet, never the corpus.
+    Rows are dealt by ranges and sorted within them; a range's first rank is the sum of
+    the sizes before it, so only one row a range ever meets in a task.  Rows are written
+    out in between: a lost task cannot deal them otherwise.
     """
+    spark = df.sparkSession
+    path = shared.working_folder(spark, "ranked")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")).write.mode("overwrite").parquet(path)
+    dealt = spark.read.parquet(path)
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_from"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", (before - F.col("_from")).alias("_shift"))
+    return dealt.join(F.broadcast(parts), "_part").withColumn("rank", F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
 
-    def folded(rows: DataFrame, *by: Column) -> DataFrame:
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n")
-        return rows.groupBy(*by).agg(F.sha2(text, 256).alias("d"))
 
-    above = F.floor(F.col("p") / width).alias("g")
-    level = df.select(position.cast("bigint").alias("p"), F.sha2(line, 256).alias("d"))
-    for _ in range(2):
-        level = folded(level, above).withColumnRenamed("g", "p")
-    return folded(level).select(F.col("d").alias("fingerprint"))
+def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096) -> DataFrame:
+    """SHA-256 over all lines in order of an integer position: a tree of digests over their ranks.
+
+    Lines are digested and ranked by position (nulls first; rows of one position by
+    digest).  The digests of ``width`` successive ranks are digested as one, and of these
+    again ``width``, until one is left, whatever the positions are: dense, sparse, negative
+    or repeated.  No task holds more than ``width`` digests of a group; no line gives null.
+    """
+    lines = df.select(position.cast("bigint").alias("p"), F.sha2(line, 256).alias("d"))
+    level = ranked(lines, "p", "d").select("rank", "d")
+    left = level.count()
+    while True:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda x: x["d"]), "\n")
+        level = level.groupBy(F.floor(F.col("rank") / width).alias("g")).agg(F.sha2(text, 256).alias("d")).withColumnRenamed("g", "rank")
+        left = -(-left // width)
+        if left <= 1:
+            return level.agg(F.any_value("d").alias("fingerprint"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

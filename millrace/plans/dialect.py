@@ -1,10 +1,11 @@
-"""Token-level shims from PostgreSQL, SQLite and MySQL text to Spark SQL, blind to literals."""
+"""Token-level shims from PostgreSQL and SQLite text to Spark SQL, blind to literals; MySQL text has a module of its own."""
 
 from __future__ import annotations
 
 import re
 
 from . import gate
+from .mysql import from_mysql, rewritten  # noqa: F401
 
 #: Strftime formats with a column function of their own.
 STRFTIME = {"%Y": "year", "%m": "month", "%d": "day", "%H": "hour"}
@@ -46,41 +47,6 @@ def to_spark(sql: str, ranges: tuple[str, ...] = (), quoted_identifiers: bool =
     return text
 
 
-#: Functions of MySQL and their forms here; arguments are taken as they stand.
-MYSQL = (
-    (r"\bifnull\s*\(", "coalesce("),
-    (r"\bcurdate\s*\(\s*\)", "current_date()"),
-    (r"\bgroup_concat\s*\(\s*distinct\s+([\w.]+)\s*\)", r"array_join(array_sort(collect_set(\1)), ',')"),
-    (r"\bgroup_concat\s*\(\s*([\w.]+)\s*\)", r"array_join(array_sort(collect_list(\1)), ',')"),
-    (r"\blimit\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1"),
-    (r"\brand\s*\(\s*\)", "random()"),
-    (r"\bdate_sub\s*\(\s*([\w.]+)\s*,\s*interval\s+(\d+)\s+day\s*\)", r"date_sub(\1, \2)"),
-    (r"\bdate_add\s*\(\s*([\w.]+)\s*,\s*interval\s+(\d+)\s+day\s*\)", r"date_add(\1, \2)"),
-)
-#: MySQL's date format letters and those of Spark.
-DATE_LETTERS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%i": "mm", "%s": "ss"}
-
-
-def from_mysql(sql: str) -> str:
-    """One MySQL statement in Spark's dialect; double-quoted texts are literals there."""
-    found = gate.statements(sql)
-    if len(found) != 1:
-        raise ValueError("exactly one statement is expected")
-    text = re.sub(r'"((?:[^"\\]|\\.|"")*)"', lambda m: "'" + m[1].replace('""', '"').replace("'", "''") + "'", found[0])
-
-    def letters(m: re.Match) -> str:
-        return f"date_format({m[1]}, '{re.sub('%[YymdHis]', lambda x: DATE_LETTERS[x[0]], m[2])}')"
-
-    text = re.sub(r"\bdate_format\s*\(\s*([\w.]+)\s*,\s*'([^']*)'\s*\)", letters, text, flags=re.I)
-
-    def rewrite(part: str) -> str:
-        for pattern, form in MYSQL:
-            part = re.sub(pattern, form, part, flags=re.I)
-        return part
-
-    return _outside_literals(text, rewrite)
-
-
 def apply_rules(identifier: str, sql: str, rules: dict[str, list[tuple[str, str]]]) -> str:
     """Reviewed rewrites of single queries: pairs of pattern and replacement by query id."""
     for pattern, replacement in rules.get(identifier, []):

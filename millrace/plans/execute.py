@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -35,12 +36,60 @@ def scan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None, max_bytes: int | None = None) -> Execution:
+@dataclass(frozen=True)
+class Budget:
+    """Work that a run may do: tasks begun, records read by scans and shuffles, and seconds that tasks have run, added up over all tasks."""
+
+    tasks: int | None = None
+    records: int | None = None
+    task_seconds: float | None = None
+
+
+class Work:
+    """What the jobs of a tag have done so far, added up from Spark's own counts."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.sc, self.tag = spark.sparkContext._jsc.sc(), tag
+        self.tasks, self.records, self.task_seconds = 0, 0, 0.0
+        self.seen = time.monotonic()
+
+    def look(self) -> None:
+        """Read tasks and records of every stage; time is added for the tasks that run now."""
+        now = time.monotonic()
+        elapsed, self.seen = now - self.seen, now
+        store, tasks, records, active = self.sc.statusStore(), 0, 0, 0
+        stages = set()
+        for job in self.sc.statusTracker().getJobIdsForTag(self.tag):
+            ids = store.job(job).stageIds()
+            stages |= {ids.apply(i) for i in range(ids.size())}
+        for stage in stages:
+            try:
+                data = store.lastStageAttempt(stage)
+            except Exception:  # not begun yet, or skipped
+                continue
+            active += data.numActiveTasks()
+            tasks += data.numActiveTasks() + data.numCompleteTasks() + data.numFailedTasks()
+            records += data.inputRecords() + data.shuffleReadRecords()
+        self.tasks, self.records, self.task_seconds = tasks, records, self.task_seconds + elapsed * active
+
+    def beyond(self, budget: Budget) -> str | None:
+        """The first part of a budget that is used up."""
+        for name in ("tasks", "records", "task_seconds"):
+            most = getattr(budget, name)
+            if most is not None and getattr(self, name) > most:
+                return f"work_budget: {getattr(self, name):.0f} {name} of {most:g}"
+        return None
+
+
+def run(
+    spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None, max_bytes: int | None = None, budget: Budget | None = None
+) -> Execution:
     """Gate a query and run it over the tables ``allowed``: at most ``max_rows`` rows, cancelled after ``timeout_ms``.
 
     ``truncated`` is exact: one row more than asked for is fetched.  Results of
-    EXPLAIN are capped as well.  ``max_bytes`` is a budget of work: a plan whose scans
-    are estimated to read more does not run.
+    EXPLAIN are capped as well.  ``max_bytes`` keeps a plan whose scans are estimated to
+    read more from running; ``budget`` is held against the work of the run's own jobs
+    while they run, and cancels them beyond it.
     """
     if not 1 <= max_rows <= 1000:
         raise ValueError("max_rows must be in 1..1000")
@@ -54,13 +103,18 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 1
     if outside := gate.out_of_scope(spark, text, allowed):
         return Execution(True, False, error=f"out_of_scope: {', '.join(outside)}", relations=used, normalized_sql=text)
     tag, sc = f"millrace-{uuid.uuid4().hex}", spark.sparkContext
-    done = threading.Event()
+    done, deadline, stopped = threading.Event(), time.monotonic() + timeout_ms / 1000, []
 
     def watch() -> None:
         # again and again: at the deadline the query may still be planned, its jobs not yet begun
-        done.wait(timeout_ms / 1000)
-        while not done.wait(0.2):
-            sc.cancelJobsWithTag(tag)
+        work = Work(spark, tag) if budget else None
+        while not done.wait(0.1 if work else max(0.2, deadline - time.monotonic())):
+            if work and not stopped:
+                work.look()
+                if reason := work.beyond(budget):
+                    stopped.append(reason)
+            if stopped or time.monotonic() >= deadline:
+                sc.cancelJobsWithTag(tag)
 
     watchdog = threading.Thread(target=watch, daemon=True)
     sc.addJobTag(tag)
@@ -71,7 +125,7 @@ def run(spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 1
             return Execution(True, False, error=f"work_budget: {size} bytes", relations=used, normalized_sql=text)
         found = capped(df, max_rows + 1).collect()
     except Exception as e:  # analysis, runtime and cancellation errors alike
-        return Execution(True, False, error=gate.sanitize(e), relations=used, normalized_sql=text)
+        return Execution(True, False, error=stopped[0] if stopped else gate.sanitize(e), relations=used, normalized_sql=text)
     finally:
         done.set()
         sc.removeJobTag(tag)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import more_queries
+from . import corpus_queries, more_queries
 from .operators import compare, corpus, sketch
 from .plans import gate
 from .sources.catalog import register
@@ -353,9 +353,7 @@ SELECT a.lang, round(a.q, 9) AS quality_rate_a, round(b.q, 9) AS quality_rate_b,
     "result_fingerprint": (result_fingerprint, "SELECT sha256(string_agg(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey, chr(10) ORDER BY n_nationkey)) AS rows_hash FROM nation"),
     "corpus_fingerprint": (
         corpus_fingerprint,
-        """WITH l AS (SELECT doc_id // 4096 AS p, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY 1),
-m AS (SELECT p // 4096 AS p, sha256(string_agg(d, chr(10) ORDER BY p)) AS d FROM l GROUP BY 1)
-SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS fingerprint FROM m""",
+        corpus_queries._tree_sql("documents", "text", "doc_id"),
     ),
     "tier_counts": (tier_counts, "SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 4000 THEN 'medium' ELSE 'heavy' END AS tier, count(*) AS n FROM documents GROUP BY 1"),
     "tier_curriculum": (
@@ -388,9 +386,9 @@ def _gated(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _gated(sql) for name, sql in SHARED.items()}
     found |= {name: _gated(pair[0]) for name, pair in PAIRS.items()}
-    return found | {name: f for name, (f, _) in (OPERATORS | more_queries.OPERATORS).items()}
+    return found | {name: f for name, (f, _) in (OPERATORS | more_queries.OPERATORS | corpus_queries.OPERATORS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = dict(SHARED) | {name: pair[1] for name, pair in PAIRS.items()}
-    return found | {name: sql for name, (_, sql) in (OPERATORS | more_queries.OPERATORS).items() if sql}
+    return found | {name: sql for name, (_, sql) in (OPERATORS | more_queries.OPERATORS | corpus_queries.OPERATORS).items() if sql}
