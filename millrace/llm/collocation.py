@@ -113,7 +113,7 @@ class Bitmaps:
         self.blocks = len(ids) // WIDTH + 2
         first = _starts(word * self.blocks + block)
         self.word, self.block = word[first], block[first]
-        self.mask = np.add.reduceat(np.left_shift(np.uint16(1), (places % WIDTH).astype(np.uint16), dtype=np.uint16), first) if len(first) else np.zeros(0, np.uint16)
+        self.mask = np.add.reduceat(np.left_shift(np.uint16(1), (places % WIDTH).astype(np.uint16), dtype=np.uint16), first, dtype=np.uint16) if len(first) else np.zeros(0, np.uint16)
         by = np.argsort(self.block, kind="stable")
         self.by_word, self.by_mask = self.word[by].astype(np.int32), self.mask[by]
         self.bound = np.searchsorted(self.block[by], np.arange(self.blocks + 1))
