@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import compare, corpus
 from .plans import analyze, dialect, gate, strict
-from .sources import catalog
+from .sources import catalog, discover, files, mirror, shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,60 @@ def strict_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.assessed(texts, "sql", ddl).groupBy(F.coalesce("rule", F.lit("sound")).alias("rule")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as CSV, line breaks and quotes inside, and read again by as many tasks as the files have blocks."""
+    path = shared.working_folder(spark, "csv")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = files.read_large_csv(spark, path, "doc_id bigint, lang string, text string")
+    return back.select("doc_id", "lang", F.sha2("text", 256).alias("digest"), F.length("text").alias("characters"))
+
+
+def batches_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended batch by batch, one batch twice: each row is read once."""
+    path = shared.working_folder(spark, "batches")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for batch in ("0", "1", "1", "2", "0"):
+        files.append_batch(orders.where(F.col("o_orderkey") % 3 == int(batch)), path, batch)
+    back = files.read_batches(spark, path, "o_orderkey bigint, o_orderstatus string")
+    return back.groupBy(F.col("batch").cast("bigint").alias("batch"), "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("total"))
+
+
+def mirror_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers, mirrored in buckets of the customer's key and checked, joined bucket by bucket."""
+    path = shared.working_folder(spark, "mirror")
+    made = catalog.Catalog(
+        "shop",
+        "spark",
+        {"orders": catalog.Table("orders", (("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT")), ("o_orderkey",)), "customer": catalog.Table("customer", (("c_custkey", "BIGINT"),), ("c_custkey",))},
+        (catalog.Relationship("orders", ("o_custkey",), "customer", ("c_custkey",)),),
+    )
+    mirror.prepare(spark, path, {t: _table(spark, sf_dir, t) for t in ("orders", "customer")}, made, {"orders": "o_custkey", "customer": "c_custkey"}, buckets=8)
+    tables = mirror.register(spark, path)
+    joined = tables["customer"].join(tables["orders"], F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.groupBy("c_custkey").agg(F.any_value("c_mktsegment").alias("segment"), F.count("o_orderkey").alias("orders"))
+
+
+DISCOVERED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
+
+
+def discovered_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of one column, and references, that the data of eight tables have."""
+    found = discover.discovered("shop", {t: _table(spark, sf_dir, t) for t in DISCOVERED})
+    rows = [("key", t.name, t.primary_key[0], None) for t in found.tables.values() if len(t.primary_key) == 1]
+    rows += [("reference", r.from_table, r.from_columns[0], r.to_table) for r in found.relationships]
+    return spark.createDataFrame(rows, "kind string, table_name string, column_name string, refers_to string")
+
+
+#: Columns that could be a key by their place, and those named like another table's key; what the data say of each is computed.
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id"}
+_NAMED = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier")]
+_CONSTRAINTS = "\nUNION ALL ".join(
+    [f"SELECT 'key' AS kind, '{t}' AS table_name, '{c}' AS column_name, NULL AS refers_to FROM {t} HAVING count(*) = count(DISTINCT {c})" for t, c in _KEYS.items()]
+    + [f"SELECT 'reference', '{t}', '{c}', '{p}' WHERE NOT EXISTS (SELECT 1 FROM {t} WHERE {c} NOT IN (SELECT {_KEYS[p]} FROM {p}))" for t, c, p in _NAMED]
+)
+
+
 def _tree_sql(source: str, line: str, position: str) -> str:
     """The tree of digests over ranks, for up to 4096 x 4096 lines."""
     return f"""WITH l AS (SELECT sha256({line}) AS d, ({position})::BIGINT AS p FROM {source}),
@@ -132,6 +186,10 @@ UNION ALL SELECT 'shifted', strftime(o_orderdate + INTERVAL 2 MONTH, '%m'), coun
         "SELECT s_nationkey, (ARRAY[NULL, 'multiple_sql_statements', 'invalid_sql', NULL])[s_suppkey % 4 + 1] AS verdict, count(*) AS rows FROM supplier GROUP BY 1, 2",
     ),
     "fingerprint_sparse": (fingerprint_sparse, _tree_sql("lineitem", "concat_ws('|', l_orderkey, l_linenumber, l_returnflag)", "(l_orderkey % 5000) * 1000003 - 2000000000")),
+    "csv_round_trip": (csv_round_trip, "SELECT doc_id, lang, sha256(text) AS digest, length(text)::INTEGER AS characters FROM documents"),
+    "batches_once": (batches_once, "SELECT o_orderkey % 3 AS batch, o_orderstatus, count(*) AS rows, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1, 2"),
+    "mirror_join": (mirror_join, "SELECT c_custkey, any_value(c_mktsegment) AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
+    "discovered_constraints": (discovered_constraints, _CONSTRAINTS),
     "paired_results": (
         paired_results,
         """WITH b AS (SELECT o_custkey AS pair, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0
