@@ -8,9 +8,10 @@ least ``need`` counts are verified by their cosine in double precision.
 Cells come from sorted projections too: a vector's cell is the tuple of the sides
 of K further projections on which it lies, in independent repetitions.  Everything
 of up to ``TASK`` vectors of a label is done inside one task, so repetitions
-cost no shuffle; K follows from what cells and pairs cost.  In a large cell the
-windows of the first projection, sorted, and then the others one by one, thin the
-pairs; blocks of pairs bound the memory.
+cost no shuffle; K follows from what cells and pairs cost.  A large cell is sorted
+by its first projection and worked off in blocks of bounded size.  Neither pairs nor
+links are kept: a block adds to the numbers of links and to the components of the
+vectors, so a dense cluster costs time and no memory.
 
 A label of more than ``TASK`` vectors is dealt to tasks by K0 sides in R0
 repetitions first; what is still larger than TASK (a dense cluster) is worked off
@@ -50,7 +51,7 @@ from ._session import cut, stored, tidy
 
 PROJECTIONS, TASK, RECALL, MAX_BITS = 24, 1 << 15, 0.9998, 30
 BROADCAST_ROWS = 100_000
-PAIRS = 1 << 18
+PAIRS, BLOCK, EDGE = 1 << 18, 256, 1e-12
 VECTOR_COST, PAIR_COST = 0.5, 0.2  # microseconds a vector and repetition, and a pair of a cell
 
 
@@ -108,20 +109,33 @@ def _counted(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, width
     return x, y
 
 
-def _windows(px: np.ndarray, py: np.ndarray, width: float):
-    """Pairs (x, y) in each other's window on the first projection, both sides sorted by it; some at a time."""
-    left, right = np.argsort(px[:, 0], kind="stable"), np.argsort(py[:, 0], kind="stable")
-    low = np.searchsorted(py[right, 0], px[left, 0] - width, "left")
-    high = np.searchsorted(py[right, 0], px[left, 0] + width, "right")
-    total = np.r_[0, np.cumsum(high - low)]
-    at = 0
-    while at < len(left):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
-        size = (high - low)[at:to]
-        x = np.repeat(left[at:to], size)
-        y = right[np.repeat(low[at:to], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))]
-        yield x, y
-        at = to
+def _blocks(pu: np.ndarray, pv: np.ndarray, u: np.ndarray, v: np.ndarray, width: float, need: int, threshold: float, same: bool):
+    """Links (x, y) between two sets (of one set, x < y), block by block: both are sorted by the first projection, windows are counted on all of them, and what passes is verified."""
+    left = np.argsort(pu[:, 0], kind="stable")
+    right = left if same else np.argsort(pv[:, 0], kind="stable")
+    # no projection of two vectors is further apart than the vectors are: this window leaves out no link
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-5) + 1e-6
+    for at in range(0, len(left), BLOCK):
+        rows = left[at : at + BLOCK]
+        low = int(np.searchsorted(pv[right, 0], pu[rows[0], 0] - reach, "left"))
+        high = int(np.searchsorted(pv[right, 0], pu[rows[-1], 0] + reach, "right"))
+        for c in range(max(low, at) if same else low, high, PAIRS // BLOCK):
+            columns = right[c : min(high, c + PAIRS // BLOCK)]
+            met = np.zeros((len(rows), len(columns)), np.int8)
+            for j in range(PROJECTIONS):
+                met += np.abs(pu[rows, j][:, None] - pv[columns, j]) <= width
+            cosine = u[rows] @ v[columns].T
+            x, y = np.nonzero((met >= need) & (cosine >= threshold - EDGE))
+            if same and c < at + BLOCK:  # a pair of the block's own rows is met from both sides
+                once = x + at < y + c
+                x, y = x[once], y[once]
+            sure = cosine[x, y] >= threshold + EDGE
+            x, y = rows[x], columns[y]
+            if same:
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            near = np.flatnonzero(~sure)  # what the order of a sum might decide is summed as all other pairs are
+            sure[near] = np.einsum("ij,ij->i", u[x[near]], v[y[near]]) >= threshold
+            yield x[sure], y[sure]
 
 
 def _pairs(cu: np.ndarray, cv: np.ndarray) -> int:
@@ -132,9 +146,15 @@ def _pairs(cu: np.ndarray, cv: np.ndarray) -> int:
     return int((m[i] * n[j]).sum())
 
 
-def _met(u: np.ndarray, v: np.ndarray | None, threshold: float):
-    """Candidates (x, y) that pass the count, repetition by repetition; within u if v is None (x < y)."""
+def links(u: np.ndarray, v: np.ndarray | None, threshold: float):
+    """The distinct pairs (x, y) of unit vectors that link, some at a time; within u if v is None (x < y).
+
+    Pairs of small cells are counted and verified together, large cells block by block.
+    A pair that shares a cell of an earlier repetition has had its turn there, so no
+    list of pairs is kept: memory does not grow with the number of links.
+    """
     n, dim = len(u), u.shape[1]
+    right = u if v is None else v
     width, need = window(dim, threshold)
     bits, reps = cells(n if v is None else int(math.sqrt(n * len(v))), threshold)
     d = directions(dim, PROJECTIONS, 1)
@@ -142,17 +162,24 @@ def _met(u: np.ndarray, v: np.ndarray | None, threshold: float):
     pv = pu if v is None else (v @ d.T).astype(np.float32)
     slack = np.float32(width * (1 + 1e-5) + 1e-6)  # what rounding of projections may take
     codes = [(sides(u, bits, 100 + r), None if v is None else sides(v, bits, 100 + r)) for r in range(reps)]
-    if bits and sum(_pairs(cu, cu if cv is None else cv) for cu, cv in codes) > n * len(pv):
-        codes = [(np.zeros(n, np.int64), None if v is None else np.zeros(len(v), np.int64))]  # dense: one cell costs less than all its repetitions
-    for cu, cv in codes:
-        cv = cu if cv is None else cv
+    codes = [(cu, cu if cv is None else cv) for cu, cv in codes]
+    if bits and sum(_pairs(cu, cv) for cu, cv in codes) > n * len(pv):
+        codes = [(np.zeros(n, np.int64), np.zeros(len(right), np.int64))]  # dense: one cell costs less than all its repetitions
+
+    def fresh(x: np.ndarray, y: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = x < y if v is None else np.ones(len(x), bool)
+        for cu, cv in codes[:r]:
+            keep &= cu[x] != cv[y]
+        return x[keep], y[keep]
+
+    for r, (cu, cv) in enumerate(codes):
         ou, ov = np.argsort(cu, kind="stable"), np.argsort(cv, kind="stable")
         su, sv = cu[ou], cv[ov]
         cell = np.unique(su)
         ulo, uhi = np.searchsorted(su, cell, "left"), np.searchsorted(su, cell, "right")
         vlo, vhi = np.searchsorted(sv, cell, "left"), np.searchsorted(sv, cell, "right")
         work = (uhi - ulo) * (vhi - vlo)
-        # small cells: all their pairs at once; large ones by sorted windows
+        # small cells: all their pairs at once; large ones by sorted blocks
         small = np.flatnonzero((work <= 4096) & (work > 0))
         at = 0
         total = np.r_[0, np.cumsum(work[small])]
@@ -166,37 +193,45 @@ def _met(u: np.ndarray, v: np.ndarray | None, threshold: float):
             if v is None:
                 keep = x < y
                 x, y = x[keep], y[keep]
-            yield _counted(pu, pv, x, y, slack, need)
+            x, y = fresh(*_counted(pu, pv, x, y, slack, need), r)
+            for a in range(0, len(x), 1 << 15):
+                i, j = x[a : a + (1 << 15)], y[a : a + (1 << 15)]
+                ok = np.einsum("ij,ij->i", u[i], right[j]) >= threshold
+                yield i[ok], j[ok]
             at = to
         for c in np.flatnonzero(work > 4096):
             mu, mv = ou[ulo[c] : uhi[c]], ov[vlo[c] : vhi[c]]
-            for x, y in _windows(pu[mu], pv[mv], slack):
-                x, y = mu[x], mv[y]
-                if v is None:
-                    keep = x < y
-                    x, y = x[keep], y[keep]
-                yield _counted(pu, pv, x, y, slack, need)
-
-
-def links(u: np.ndarray, v: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Codes x * len(v) + y of the distinct pairs of unit vectors that link, sorted."""
-    right = u if v is None else v
-    seen = np.zeros(0, np.int64)
-    waiting, size = [], 0
-    for x, y in _met(u, v, threshold):
-        if not len(x):
-            continue
-        code = np.unique(x * len(right) + y)
-        at = np.minimum(np.searchsorted(seen, code), max(0, len(seen) - 1))
-        code = code[seen[at] != code] if len(seen) else code
-        for a in range(0, len(code), 1 << 15):
-            part = code[a : a + (1 << 15)]
-            cosine = np.einsum("ij,ij->i", u[part // len(right)], right[part % len(right)])
-            waiting.append(part[cosine >= threshold])
-            size += len(waiting[-1])
-        if size > len(seen) // 2 + (1 << 16):
-            seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
-    return np.unique(np.concatenate([seen, *waiting])) if waiting else seen
+            for x, y in _blocks(pu[mu], pv[mv], u[mu], right[mv], slack, need, threshold, v is None):
+                yield fresh(mu[x], mv[y], r)
+
+
+class Components:
+    """Components of n nodes from batches of edges, and the edges that form a spanning forest."""
+
+    def __init__(self, n: int) -> None:
+        self.of = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Most edges of a dense set lie within a component already and cost one comparison."""
+        new = np.flatnonzero(self.of[x] != self.of[y])
+        if not len(new):
+            return
+        a, b = self.of[x[new]], self.of[y[new]]
+        _, one = np.unique(np.minimum(a, b) * len(self.of) + np.maximum(a, b), return_index=True)
+        keep = one[forest(a[one], b[one])]
+        self.edges.append((x[new[keep]], y[new[keep]]))
+        low, high = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
+        root = np.arange(len(self.of))
+        while True:  # the least of each component, along the forest just found
+            least = np.minimum(root[low], root[high])
+            before = root.copy()
+            np.minimum.at(root, low, least)
+            np.minimum.at(root, high, least)
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        self.of = root[self.of]
 
 
 def _floats(part: pd.DataFrame, dim: int) -> np.ndarray:
@@ -217,25 +252,27 @@ def link_part(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     dim, bits, rep = int(pdf["dim"].iat[0]), int(pdf["bits"].iat[0]), int(pdf["rep_no"].iat[0])
     u = _floats(left, dim)
     v = u if same else _floats(right, dim)
-    code = links(u, None if same else v, threshold)
-    x, y = code // len(v), code % len(v)
-    if rep and len(x):  # an earlier repetition has already had the pair
-        earlier = np.zeros(len(x), bool)
-        for r in range(rep):
-            earlier |= sides(u, bits, 900 + r)[x] == sides(v, bits, 900 + r)[y]
-        x, y = x[~earlier], y[~earlier]
-    if not len(x):
-        return empty
+    earlier = [(sides(u, bits, 900 + r), sides(v, bits, 900 + r)) for r in range(rep)]
     off = 0 if same else len(left)
     ids = left["rep"].to_numpy() if same else np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
     size = left["copies"].to_numpy() if same else np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
-    count = np.bincount(x, size[y + off], len(ids)) + np.bincount(y + off, size[x], len(ids))
+    count, joined = np.zeros(len(ids), np.int64), Components(len(ids))
+    for x, y in links(u, None if same else v, threshold):
+        for su, sv in earlier:  # an earlier repetition has already had the pair
+            keep = su[x] != sv[y]
+            x, y = x[keep], y[keep]
+        y = y + off
+        np.add(count, np.bincount(x, size[y], len(ids)).astype(np.int64), out=count)
+        np.add(count, np.bincount(y, size[x], len(ids)).astype(np.int64), out=count)
+        joined.add(x, y)
     has = np.flatnonzero(count)
-    keep = forest(x, y + off)
-    a = np.concatenate([ids[has], ids[x[keep]]])
-    b = pd.array(np.concatenate([np.zeros(len(has), np.int64), ids[y[keep] + off]]), dtype="Int64")
+    if not len(has):
+        return empty
+    x, y = (np.concatenate([e[i] for e in joined.edges]) for i in (0, 1))
+    a = np.concatenate([ids[has], ids[x]])
+    b = pd.array(np.concatenate([np.zeros(len(has), np.int64), ids[y]]), dtype="Int64")
     b[: len(has)] = pd.NA
-    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate([count[has].astype("int64"), np.zeros(len(keep), "int64")])})
+    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate([count[has], np.zeros(len(x), "int64")])})
 
 
 def _classes(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,28 +182,84 @@ def pairs_at_the_threshold(n, dim, seed=4, c=0.9301):
     return np.concatenate([a, c * a + math.sqrt(1 - c * c) * b])
 
 
+def _codes(u):
+    """The links within u as sorted codes, each found once."""
+    found = [x * len(u) + y for x, y in nearvec.links(u, None, 0.93)]
+    codes = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
+    assert len(codes) == len(np.unique(codes))
+    return codes
+
+
 @pytest.mark.parametrize("n", [200, 2000, 8250])
 def test_near_vectors_recall_of_pairs_right_at_the_threshold(n):
     u = pairs_at_the_threshold(n, 32)
-    got = nearvec.links(u, None, 0.93)
+    got = _codes(u)
     want = np.concatenate([np.flatnonzero(np.triu(u[k : k + 2000] @ u.T >= 0.93, k + 1)) + k * len(u) for k in range(0, len(u), 2000)])
     print("links", len(got), "of", len(want))
     assert np.isin(got, want).all() and len(got) >= 0.999 * len(want)
 
 
 def test_near_vectors_count_a_small_part_of_all_pairs(monkeypatch):
-    seen, plain = [], nearvec._counted
+    seen, plain, blocks = [], nearvec._counted, nearvec._blocks
     monkeypatch.setattr(nearvec, "_counted", lambda pu, pv, x, y, w, need: seen.append(len(x)) or plain(pu, pv, x, y, w, need))
+    monkeypatch.setattr(nearvec, "_blocks", lambda pu, pv, *more: seen.append(len(pu) * len(pv)) or blocks(pu, pv, *more))
     work = []
     for n in (2000, 16_000):
         seen.clear()
         v = np.random.default_rng(n).standard_normal((n, 64))
-        nearvec.links(v / np.linalg.norm(v, axis=1, keepdims=True), None, 0.93)
+        _codes(v / np.linalg.norm(v, axis=1, keepdims=True))
         work.append(sum(seen))
     print("pairs counted", work)
     assert work[1] < 0.02 * 16_000**2 / 2 and work[1] < work[0] * 8**1.5
 
 
+@pytest.mark.parametrize(("centres", "noise"), [(1, 0.1), (1, 0.35), (3, 0.3), (40, 0.2)])
+def test_dense_labels_against_all_pairs(centres, noise):
+    """Cells worked off in blocks: links, numbers of links and components, with copies and from two sides."""
+    rng = np.random.default_rng(centres)
+    c = rng.standard_normal((centres, 24))
+    v = (c[rng.integers(0, centres, 900)] + noise * rng.standard_normal((900, 24))).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = np.flatnonzero(np.triu(near))
+    got = _codes(u)
+    assert np.isin(got, want).all() and len(got) >= 0.999 * len(want)
+    copies = rng.integers(1, 4, 900)
+    rows = pd.DataFrame({"rep": np.arange(900) * 7, "copies": copies, "vec": [x.tobytes() for x in v], "same": True, "side": 0, "dim": 24, "bits": 0, "rep_no": 0})
+    whole = nearvec.link_part(rows, 0.93)
+    parts = [nearvec.link_part(rows.iloc[:400], 0.93), nearvec.link_part(rows.iloc[400:], 0.93), nearvec.link_part(rows.assign(same=False, side=(rows.index >= 400).astype(int)), 0.93)]
+    for out in ([whole], parts):
+        out = pd.concat(out)
+        degree = out[out["b"].isna()].groupby("a")["links"].sum()
+        count = np.array([degree.get(i * 7, 0) for i in range(900)])
+        assert (count <= near @ copies).all() and (count == near @ copies).mean() > 0.99
+        joined = nearvec.Components(900)
+        edges = out[~out["b"].isna()]
+        joined.add(edges["a"].to_numpy(np.int64) // 7, edges["b"].to_numpy(np.int64) // 7)
+        label = np.arange(900)
+        for _ in range(900):
+            least = np.minimum(label, np.where(near, label[None, :], 900).min(axis=1))
+            if (least == label).all():
+                break
+            label = least
+        assert (joined.of == label).mean() > 0.99 and len(edges) < 3 * 900
+
+
+def test_a_dense_label_keeps_no_list_of_links():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    v = (rng.standard_normal(16) + 0.02 * rng.standard_normal((6000, 16))).astype(np.float32)
+    rows = pd.DataFrame({"rep": np.arange(6000), "copies": 1, "vec": [x.tobytes() for x in v], "same": True, "side": 0, "dim": 16, "bits": 0, "rep_no": 0})
+    tracemalloc.start()
+    out = nearvec.link_part(rows, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out.loc[out["b"].isna(), "links"] == 5999).all() and len(out) == 6000 + 5999
+    assert peak < 60 << 20, peak  # 18 million links would take 144 MB as codes
+
+
 def test_near_vectors_in_double_precision(frame):
     """array<double>: components too small for a float, and a pair that a float cannot tell from the threshold."""
     x, y = [1e-200, 2e-200, 0.0], [2e-200, 4e-200, 0.0]
@@ -250,6 +307,33 @@ def test_token_records_hold_every_token_once(spark, sf_dir, tmp_path):
     assert {r["sha256"] for r in resumed} == {r["sha256"] for r in manifest}
 
 
+def test_shards_of_other_content_are_written_anew(frame, tmp_path):
+    docs = frame([(i, f"text number {i} " * 9) for i in range(60)], "doc_id long, text string")
+    path = str(tmp_path / "shards")
+
+    def made(**more):
+        return tokens.materialise(docs.where(more.pop("where", "true")), length=16, stride=8, **more)
+
+    def on_disk():
+        return {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in (tmp_path / "shards").glob("*.bin")}
+
+    def told(manifest):
+        return {f"shard-{r['shard']:08d}.bin": r["sha256"] for r in manifest.collect()}
+
+    first = told(tokens.publish(made(), path))
+    assert on_disk() == first and len(first) > 5
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards").glob("*.bin")}
+    assert told(tokens.publish(made(), path)) == first and {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards").glob("*.bin")} == before
+    other = told(tokens.publish(made(key=77), path))  # files of the same sizes
+    assert on_disk() == other and other != first
+    name = sorted(other)[0]
+    (tmp_path / "shards" / f"{name}.sha256").unlink()  # a run that stopped before it could vouch for the file
+    (tmp_path / "shards" / name).write_bytes(b"\0" * (tmp_path / "shards" / name).stat().st_size)
+    assert told(tokens.publish(made(key=77), path)) == on_disk() == other
+    less = told(tokens.publish(made(key=77, where="doc_id < 20"), path))
+    assert on_disk() == less and len(less) < len(other) and not [f for f in (tmp_path / "shards").iterdir() if f.name.startswith("shard-") and f.name.removesuffix(".sha256") not in less]
+
+
 @pytest.mark.parametrize("range_bytes", [tokens.RANGE_BYTES, 20_000])
 def test_token_order_and_slots(spark, sf_dir, range_bytes):
     """Every sequence, token by token, and its slot; the same however many hash ranges there are."""
