@@ -30,6 +30,7 @@ import base64
 import hashlib
 import re
 import struct
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -301,10 +302,12 @@ def digests(sequences: DataFrame) -> DataFrame:
 def write_shards(sequences: DataFrame, path: str) -> DataFrame:
     """Write ``shard-NNNNNNNN.bin`` files of fixed-size records; returns the manifest (shard, records, bytes, sha256).
 
-    A file is written under a temporary name and moved into place, and a shard
-    that stands complete is left alone, so a broken run is taken up where it
-    stopped and a repeated task does no harm.  ``path`` is any URI pyarrow opens;
-    on a cluster it must be a folder that all executors share.
+    A file is written under a name of its attempt and moved into place, and its digest is
+    put beside it last.  A shard is left alone only if that digest is the one of the
+    records that belong there now, so a broken run is taken up where it stopped, a
+    repeated task does no harm, and shards of another key, corpus or length are written
+    anew.  ``path`` is any URI pyarrow opens; on a cluster it must be a folder that all
+    executors share.  publish() then names what belongs to the run.
     """
 
     def run(batches):
@@ -313,16 +316,23 @@ def write_shards(sequences: DataFrame, path: str) -> DataFrame:
         where, root = fs.FileSystem.from_uri(path)
         where.create_dir(root, recursive=True)
 
+        def put(name: str, body: bytes) -> None:
+            attempt = f"{name}.{uuid.uuid4().hex}"
+            with where.open_output_stream(attempt) as f:
+                f.write(body)
+            where.move(attempt, name)
+
         def close(shard, parts):
             body = b"".join(parts)
-            name = f"{root}/shard-{shard:08d}.bin"
-            info = where.get_file_info(name)
-            if info.type == fs.FileType.NotFound or info.size != len(body):
-                attempt = f"{name}.{hashlib.blake2b(struct.pack('<d', __import__('time').time()), digest_size=6).hexdigest()}"
-                with where.open_output_stream(attempt) as f:
-                    f.write(body)
-                where.move(attempt, name)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([hashlib.sha256(body).hexdigest()], pa.string())], ["shard", "records", "bytes", "sha256"])
+            name, digest = f"{root}/shard-{shard:08d}.bin", hashlib.sha256(body).hexdigest()
+            there, beside = where.get_file_info([name, f"{name}.sha256"])
+            known = beside.type != fs.FileType.NotFound and where.open_input_stream(beside.path).readall().decode()
+            if there.type == fs.FileType.NotFound or there.size != len(body) or known != digest:
+                if beside.type != fs.FileType.NotFound:
+                    where.delete_file(beside.path)  # it must not vouch for other records while they are replaced
+                put(name, body)
+                put(f"{name}.sha256", digest.encode())
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([digest], pa.string())], ["shard", "records", "bytes", "sha256"])
 
         now, parts = None, []
         for batch in batches:
@@ -338,9 +348,28 @@ def write_shards(sequences: DataFrame, path: str) -> DataFrame:
     return sequences.select("shard", "tokens").mapInArrow(run, "shard long, records long, bytes long, sha256 string")
 
 
+def publish(sequences: DataFrame, path: str) -> DataFrame:
+    """write_shards(), with the manifest kept beside the shards and files of earlier runs that are not in it removed; returns the manifest."""
+    from pyarrow import fs
+
+    spark = sequences.sparkSession
+    manifest = stored(write_shards(sequences, path), "manifest")
+    where, root = fs.FileSystem.from_uri(path)
+    where.create_dir(root, recursive=True)
+    known = {f"shard-{r['shard']:08d}.bin" for r in manifest.select("shard").toLocalIterator()}  # a number a shard
+    for info in where.get_file_info(fs.FileSelector(root)):
+        if info.base_name.startswith("shard-") and info.base_name.removesuffix(".sha256") not in known:
+            where.delete_file(info.path)
+    manifest.orderBy("shard").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
 def read_record(path: str, slot: int, length: int = LENGTH, stride: int = STRIDE, width: int = 2) -> np.ndarray:
-    """One record by its slot, by a seek into its shard."""
+    """One record by its slot, by a seek into its shard; ``path`` as for write_shards()."""
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(path)
     size = length * width
-    with open(f"{path}/shard-{slot // stride:08d}.bin", "rb") as f:
+    with where.open_input_file(f"{root}/shard-{slot // stride:08d}.bin") as f:
         f.seek(slot % stride * size)
         return np.frombuffer(f.read(size), np.uint16 if width == 2 else np.uint32)
