@@ -78,10 +78,11 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
     state = targets.withColumn("full", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("full") * F.col("source_size"))
     state = state.withColumn("prefix", F.lit(0).cast("bigint"))
+    few = targets.count() <= BROADCAST_ROWS  # one row a source: sent to all tasks only after counting them
     for done in range(0, BITS, LEVEL_BITS):
         shift = BITS - done - LEVEL_BITS
         edge = state.where(F.col("prefix").isNotNull()).select(F.col("source").alias("s"), "prefix", "need")
-        inside = sized.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
+        inside = sized.join(F.broadcast(edge) if few else edge, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
         bucket = F.shiftright("h", shift)
         hist = inside.groupBy("s", bucket.alias("b")).agg(F.sum("size").alias("n"), F.first("need").alias("need"))
         run = F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
