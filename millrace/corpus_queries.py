@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import compare, corpus
+from .operators import compare, corpus, sketch
 from .plans import analyze, dialect, gate, strict
 from .sources import catalog, discover, files, mirror, shared
 
@@ -103,6 +103,23 @@ def strict_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.assessed(texts, "sql", ddl).groupBy(F.coalesce("rule", F.lit("sound")).alias("rule")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split made from literals, end to end: a record of every customer with orders, its table those orders; some literals are faulty, some questions blank."""
+    key = F.col("o_custkey")
+    orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("r"))
+    rows = F.array_join(F.transform("r", lambda x: F.concat(F.lit("['"), x["o_orderkey"].cast("string"), F.lit("', '"), x["o_orderstatus"], F.lit("', "), x["o_totalprice"].cast("string"), F.lit("]"))), ", ")
+    kinds = F.when(key % 11 == 0, F.lit("('text', 'txt', 'real')")).otherwise(F.lit("('text', 'text', 'real')"))
+    table = F.concat(F.lit("{'header': array(['Key', 'Status', 'Price'], dtype=object), 'types': "), kinds, F.lit(", 'rows': ["), rows, F.lit("], 'id': 'c_"), key.cast("string"), F.lit("', 'name': None}"))
+    count = F.lit("{'sel': 0, 'agg': 3, 'conds': {'column_index': [1], 'operator_index': [0], 'condition': ['F']}}")
+    listed = F.concat(F.lit("{'sel': "), F.when(key % 13 == 0, "9").otherwise("0"), F.lit(", 'agg': 0, 'conds': {'column_index': [2], 'operator_index': [1], 'condition': ['150000']}}"))
+    asked = F.when(key % 17 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Quais   pedidos de "), key.cast("string"), F.lit("?")))
+    made = orders.select(key.alias("k"), table.alias("t"), F.when(key % 2 == 0, count).otherwise(listed).alias("s"), asked.alias("q"))
+    kept, refused = sketch.normalized_split(made, "t", "s", "q", "k", "dev")
+    answers = F.when(F.col("k") % 2 == 0, F.element_at("answer", 1)).otherwise(F.array_join(F.array_sort("answer"), ","))
+    good = kept.withColumn("k", F.element_at(F.split("id", "-"), -1).cast("bigint")).select("k", "question", "sql", answers.alias("answer"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(refused.select("k", F.lit(None).alias("question"), F.lit(None).alias("sql"), F.lit(None).alias("answer"), "error"))
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as CSV, line breaks and quotes inside, and read again by as many tasks as the files have blocks."""
     path = shared.working_folder(spark, "csv")
@@ -186,6 +203,13 @@ UNION ALL SELECT 'shifted', strftime(o_orderdate + INTERVAL 2 MONTH, '%m'), coun
         "SELECT s_nationkey, (ARRAY[NULL, 'multiple_sql_statements', 'invalid_sql', NULL])[s_suppkey % 4 + 1] AS verdict, count(*) AS rows FROM supplier GROUP BY 1, 2",
     ),
     "fingerprint_sparse": (fingerprint_sparse, _tree_sql("lineitem", "concat_ws('|', l_orderkey, l_linenumber, l_returnflag)", "(l_orderkey % 5000) * 1000003 - 2000000000")),
+    "split_records": (
+        split_records,
+        """WITH c AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F')::VARCHAR AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR) FILTER (o_totalprice > 150000) AS l FROM orders GROUP BY 1),
+e AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'header and types do not agree' WHEN k % 13 = 0 AND k % 2 = 1 THEN 'column out of range' WHEN k % 17 = 0 THEN 'no question' END AS error FROM c)
+SELECT k, CASE WHEN error IS NULL THEN 'Quais pedidos de ' || k || '?' END AS question, CASE WHEN error IS NULL AND k % 2 = 0 THEN 'SELECT COUNT("Key") FROM "c_' || k || '" WHERE "Status" = ''F''' WHEN error IS NULL THEN 'SELECT "Key" FROM "c_' || k || '" WHERE "Price" > 150000' END AS sql,
+CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN n ELSE coalesce(l, '') END END AS answer, error FROM e""",
+    ),
     "csv_round_trip": (csv_round_trip, "SELECT doc_id, lang, sha256(text) AS digest, length(text)::INTEGER AS characters FROM documents"),
     "batches_once": (batches_once, "SELECT o_orderkey % 3 AS batch, o_orderstatus, count(*) AS rows, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1, 2"),
     "mirror_join": (mirror_join, "SELECT c_custkey, any_value(c_mktsegment) AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),

@@ -21,6 +21,15 @@ def question_key(c: Column) -> Column:
     return collapse(F.lower(c))
 
 
+def folded_key(c: Column) -> Column:
+    """question_key() blind to what upper case makes equal as well: sharp s and ss, ligatures, both small sigmas.
+
+    That is full case folding, but for dotless i (folded to i) and Cherokee letters.
+    """
+    upper = F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS"))  # also keeps lower(upper(x)) from being taken for lower(x)
+    return collapse(F.replace(F.lower(upper), F.lit("ς"), F.lit("σ")))
+
+
 def content_hash(*parts: Column) -> Column:
     """SHA-256 over parts joined by the unit separator; with nulls among them, over that digest and which parts are null."""
     texts = [p.cast("string") for p in parts]

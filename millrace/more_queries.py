@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +28,14 @@ def view_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = "SELECT l_returnflag AS flag, count(*) AS lines, CAST(round(sum(CAST(l_extendedprice AS decimal(18, 4))), 2) AS double) AS sales FROM lineitem GROUP BY l_returnflag"
     if gate.out_of_scope(spark, made, ["lineitem"]) or not gate.check(spark, made).allowed:
         raise PermissionError("view_scan")
+    asked = "SELECT flag, lines, sales FROM sales_by_flag WHERE lines > 0 ORDER BY sales DESC, flag"
+    if gate.out_of_scope(spark, asked, ["sales_by_flag"]) or not gate.check(spark, asked).allowed:
+        raise PermissionError("view_scan")
     spark.sql(made).createOrReplaceTempView("sales_by_flag")
-    return spark.sql("SELECT flag, lines, sales FROM sales_by_flag WHERE lines > 0 ORDER BY sales DESC, flag")
+    try:
+        return spark.sql(asked)
+    finally:  # the plan holds the view's; nothing stays behind in the session
+        spark.catalog.dropTempView("sales_by_flag")
 
 
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,16 +136,37 @@ def canonical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.overlapping(one, F.col("form"), two, F.col("form")).select("nation")
 
 
+SPEC_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events")
+
+
 def spec_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specifications of three families, run: each one's rows and first value."""
-    catalog.register(spark, sf_dir, ["orders", "part", "customer", "nation"])
-    made = specs.expand(spark, [f for f in specs.FAMILIES if f.name in {"count-filter", "prefix", "distinct-join"}])
+    """Specifications of all families, run: each one's rows and first value, eight queries at a time."""
+    catalog.register(spark, sf_dir, SPEC_TABLES)
+    made = specs.expand(spark, specs.FAMILIES)
 
     def ran(sql: str) -> tuple:
-        found = execute.run(spark, sql, ["orders", "part", "customer", "nation"], 1000, 30_000)
-        return len(found.rows), str(found.rows[0][0]) if found.rows else None
-
-    return analyze.with_analysis(made, "sql", ran, "found int, first string").select("id", "family", "found", "first")
+        found = execute.run(spark, sql, SPEC_TABLES, 1000, 30_000)
+        if found.error:
+            return None, found.error, None
+        first = found.rows[0][0] if found.rows else None
+        number = first is not None and not isinstance(first, (str, datetime.date))
+        return len(found.rows), None if number or first is None else str(first), round(float(first), 2) if number else None
+
+    return analyze.with_analysis(made, "sql", ran, "found int, text string, amount double", lambda t: analyze.canonical(spark, t), threads=8).select("id", "family", "found", "text", "amount")
+
+
+def _specs_sql() -> str:
+    """The SQL of every specification, expanded here without Spark: rows (at most 1,000) and the first value."""
+    parts = []
+    for f in specs.FAMILIES:
+        for i, values in enumerate(itertools.product(*f.grid.values()), 1):
+            sql = f.sql
+            for name, value in zip(f.grid, values, strict=True):
+                sql = sql.replace("{" + name + "}", str(value))
+            ids = ", ".join(f"('{f.name}-{i:03d}-p{p}')" for p in range(1, len(f.questions) + 1))
+            parts.append(f"SELECT id, '{f.name}' AS family, (SELECT least(1000, count(*)) FROM ({sql}))::INTEGER AS found, (SELECT a::VARCHAR FROM ({sql}) AS t(a) LIMIT 1) AS v FROM (VALUES {ids}) t(id)")
+    every = "\nUNION ALL ".join(parts)
+    return f"SELECT id, family, found, CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END AS text, round(try_cast(v AS DOUBLE), 2) AS amount FROM ({every})"
 
 
 def other_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,12 +234,13 @@ def corpus_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("line"))
-    return corpus.without_overlap(docs, question_key(F.col("line")), docs.where("doc_id < 100"), question_key(F.col("line"))).select("doc_id")
+    """Documents whose whole text, as a key, does not stand among those of one source."""
+    docs = _table(spark, sf_dir, "documents")
+    return corpus.without_overlap(docs, question_key(F.col("text")), docs.where("source = 'src0'"), question_key(F.col("text"))).select("doc_id")
 
 
 def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.repeated_questions(_table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("question")), "question")
+    return corpus.repeated_questions(_table(spark, sf_dir, "documents"), "text")
 
 
 def corpus_null_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,23 +261,18 @@ def ordered_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def approval_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule over all combinations of its facts, as the bits of a key."""
     bit = lambda i: F.col("c_custkey").bitwiseAND(1 << i) > 0
-    rows = _table(spark, sf_dir, "customer").where("c_custkey < 64")
+    rows = _table(spark, sf_dir, "customer")
     return rows.select("c_custkey", compare.approved(bit(0), bit(1), bit(2), bit(3), F.col("c_custkey") % 3, F.when(bit(5), bit(4))).alias("approved"))
 
 
 # --- training examples -------------------------------------------------------------------------
 
 
-def _lengths(from_: int, n: int) -> Column:
-    """Stand-ins for token ids: lengths of words."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return F.transform(F.slice(words, from_, n), lambda w: F.length(w))
-
-
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length filter, prompt mask and right padding, in batches of eight."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", _lengths(1, 5).alias("p"), _lengths(6, 30).alias("a"))
-    fit = docs.where(collate.fits(F.col("p"), F.col("a"), 30)).select("doc_id", collate.example(F.col("p"), F.col("a")).alias("e"))
+    """Length filter, prompt mask and right padding, in batches of eight; the lengths of words stand in for token ids, the first five are the prompt."""
+    ids = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.length(w))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.slice("ids", 1, 5).alias("p"), F.slice("ids", F.lit(6), F.size("ids")).alias("a"))
+    fit = docs.where(collate.fits(F.col("p"), F.col("a"), 400)).select("doc_id", collate.example(F.col("p"), F.col("a")).alias("e"))
     made = collate.collated(fit, "e", "doc_id", 8)
     return made.select("doc_id", "batch", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "labels", "attention_mask")])
 
@@ -327,14 +352,7 @@ CASE WHEN s = 2 THEN 'not_a_read' WHEN s = 3 THEN 'write_verb:' || {_VERB} WHEN
         "SELECT n_nationkey AS nation, c::INTEGER AS number, (CASE WHEN c = 2 THEN -100 WHEN n_nationkey % 2 = 0 THEN CASE c WHEN 0 THEN 5 ELSE -5 END ELSE CASE c WHEN 0 THEN -2 ELSE 2 END END)::INTEGER AS score FROM nation, range(0, 3) t(c)",
     ),
     "canonical_overlap": (canonical_overlap, "SELECT n_nationkey AS nation FROM nation WHERE n_regionkey = 2"),
-    "spec_answers": (
-        spec_answers,
-        """WITH g AS (SELECT s, l, row_number() OVER (ORDER BY i, l) AS n FROM (VALUES ('F', 1), ('O', 2), ('P', 3)) a(s, i), (VALUES (100000), (200000)) b(l)),
-p AS (SELECT chr((64 + i)::INTEGER) AS c, i FROM range(1, 6) t(i)), d AS (SELECT * FROM (VALUES ('BUILDING', 1), ('MACHINERY', 2)) t(m, i))
-SELECT printf('count-filter-%03d-p%d', n, q) AS id, 'count-filter' AS family, 1 AS found, (SELECT count(*) FROM orders WHERE o_orderstatus = s AND o_totalprice > l)::VARCHAR AS first FROM g, range(1, 3) t(q)
-UNION ALL SELECT printf('prefix-%03d-p1', i), 'prefix', least(1000, (SELECT count(*) FROM part WHERE p_name ILIKE c || '%'))::INTEGER, (SELECT min(p_name) FROM part WHERE p_name ILIKE c || '%') FROM p
-UNION ALL SELECT printf('distinct-join-%03d-p1', i), 'distinct-join', (SELECT count(DISTINCT n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = m)::INTEGER, (SELECT min(n_name) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = m) FROM d""",
-    ),
+    "spec_answers": (spec_answers, _specs_sql()),
     "other_dialects": (other_dialects, "SELECT d AS dialect, year(o_orderdate)::VARCHAR AS y, count(*) AS n FROM orders, (VALUES ('sqlite'), ('postgres'), ('mysql')) t(d) GROUP BY 1, 2"),
     "sketch_schema": (sketch_schema, """SELECT DISTINCT c_nationkey AS nation, 'CREATE TABLE "nation_' || c_nationkey || '" (' || chr(10) || '  "Name" TEXT,' || chr(10) || '  "Segment" TEXT,' || chr(10) || '  "Balance" REAL' || chr(10) || ');' AS ddl FROM customer"""),
     "sketch_brief": (
@@ -352,11 +370,11 @@ SELECT nation, number, result_column, aggregation, conditions, literal_values, C
     ),
     "corpus_without_overlap": (
         corpus_without_overlap,
-        "WITH k AS (SELECT doc_id, trim(regexp_replace(lower(substring(text, 1, 20)), '\\s+', ' ', 'g')) AS k FROM documents) SELECT doc_id FROM k WHERE k NOT IN (SELECT k FROM k WHERE doc_id < 100)",
+        "WITH k AS (SELECT doc_id, source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM documents) SELECT doc_id FROM k WHERE k NOT IN (SELECT k FROM k WHERE source = 'src0')",
     ),
     "repeated_questions": (
         repeated_questions,
-        "SELECT trim(regexp_replace(lower(substring(text, 1, 60)), '\\s+', ' ', 'g')) AS question_key, count(*) AS occurrences FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS question_key, count(*) AS occurrences FROM documents GROUP BY 1 HAVING count(*) > 1",
     ),
     "corpus_null_hash": (
         corpus_null_hash,
@@ -365,13 +383,13 @@ SELECT nation, number, result_column, aggregation, conditions, literal_values, C
     "ordered_difference": (ordered_difference, "SELECT n_nationkey, n_name AS left_name, n_nationkey = 5 AS gone FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey = 5"),
     "approval_rule": (
         approval_rule,
-        "SELECT c_custkey, coalesce((c_custkey & 1) > 0 AND (c_custkey & 2) > 0 AND ((c_custkey & 4) > 0 OR ((c_custkey & 8) > 0 AND c_custkey % 3 > 0 AND CASE WHEN (c_custkey & 32) > 0 THEN (c_custkey & 16) > 0 END)), false) AS approved FROM customer WHERE c_custkey < 64",
+        "SELECT c_custkey, coalesce((c_custkey & 1) > 0 AND (c_custkey & 2) > 0 AND ((c_custkey & 4) > 0 OR ((c_custkey & 8) > 0 AND c_custkey % 3 > 0 AND CASE WHEN (c_custkey & 32) > 0 THEN (c_custkey & 16) > 0 END)), false) AS approved FROM customer",
     ),
     "label_mask": (
         label_mask,
         f"""WITH w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: length(x)) AS w FROM documents),
-e AS (SELECT doc_id, doc_id // 8 AS batch, w[1:5] AS p, w[6:35] AS a FROM w),
-f AS (SELECT *, len(p) + len(a) AS n, max(len(p) + len(a)) OVER (PARTITION BY batch) AS m FROM e WHERE len(a) > 0 AND len(p) + len(a) <= 30)
+e AS (SELECT doc_id, doc_id // 8 AS batch, w[1:5] AS p, w[6:] AS a FROM w),
+f AS (SELECT *, len(p) + len(a) AS n, max(len(p) + len(a)) OVER (PARTITION BY batch) AS m FROM e WHERE len(a) > 0 AND len(p) + len(a) <= 400)
 SELECT doc_id, batch, array_to_string(list_concat(p, a, list_transform(range(m - n), lambda i: 0)), ' ') AS input_ids,
 array_to_string(list_concat(list_transform(p, lambda i: -100), a, list_transform(range(m - n), lambda i: -100)), ' ') AS labels,
 array_to_string(list_concat(list_transform(range(n), lambda i: 1), list_transform(range(m - n), lambda i: 0)), ' ') AS attention_mask FROM f""",

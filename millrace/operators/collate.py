@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
+
 #: The label that a loss passes over.
 IGNORED = -100
 
@@ -27,11 +29,12 @@ def padded(ids: Column, width: Column, value: int) -> Column:
 
 def collated(df: DataFrame, example_column: str, position: str, batch_size: int, pad_id: int = 0) -> DataFrame:
     """Rows with batch, input_ids, labels and attention_mask, padded on the right to the longest of ``batch_size`` successive positions."""
-    batch = F.floor(F.col(position) / batch_size)
-    sized = df.withColumn("batch", batch).withColumn("_n", F.size(F.col(example_column)["input_ids"]))
-    width = F.max("_n").over(Window.partitionBy("batch"))
-    wide = sized.withColumn("_w", width)
+    if "batch" in {c.lower() for c in df.columns}:
+        raise ValueError("the rows have a column named batch")
+    n, w = free(df, "size", "width")
+    sized = df.withColumn("batch", F.floor(F.col(position) / batch_size)).withColumn(n, F.size(F.col(example_column)["input_ids"]))
+    wide = sized.withColumn(w, F.max(n).over(Window.partitionBy("batch")))
     e = F.col(example_column)
     seen = F.transform(e["input_ids"], lambda _: F.lit(1).cast("bigint"))
-    made = {"input_ids": padded(e["input_ids"], F.col("_w"), pad_id), "labels": padded(e["labels"], F.col("_w"), IGNORED), "attention_mask": padded(seen, F.col("_w"), 0)}
-    return wide.withColumns(made).drop("_n", "_w", example_column)
+    made = {"input_ids": padded(e["input_ids"], F.col(w), pad_id), "labels": padded(e["labels"], F.col(w), IGNORED), "attention_mask": padded(seen, F.col(w), 0)}
+    return wide.withColumns(made).drop(n, w, example_column)

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import shared
+from ..functions.names import free
 from ..functions.text import blank, collapse, content_hash, hash_bucket, line_ends, question_key
+from ..sources import shared
 
 #: Order in which a row's defects are looked for.
 REASONS = ("missing_required_field", "too_long", "invalid_sql", "multiple_sql_statements", "duplicate")
@@ -115,7 +116,8 @@ def collect_ordered(df: DataFrame, key: str, position: str, values: Sequence[str
 
 def top_by_hash(df: DataFrame, parts: Sequence[Column], n: int) -> DataFrame:
     """The n rows of smallest hash: a sample that depends on content alone, as a top-k."""
-    return df.withColumn("_h", F.sha2(F.concat_ws(":", *parts), 256)).orderBy("_h").limit(n).drop("_h")
+    (h,) = free(df, "hash")
+    return df.withColumn(h, F.sha2(F.concat_ws(":", *parts), 256)).orderBy(h).limit(n).drop(h)
 
 
 def first_n(df: DataFrame, position: str, n: int) -> DataFrame:
@@ -125,39 +127,44 @@ def first_n(df: DataFrame, position: str, n: int) -> DataFrame:
 def stratified_sample(df: DataFrame, bucket: str, key: Column, n: int, order: Sequence[str]) -> DataFrame:
     """n rows in near-equal parts from the non-empty buckets; what is missing is filled bucket by bucket in ``order``.
 
+    Buckets that ``order`` does not name, null among them, come after the named ones, by value.
     A bucket gives at most n rows, so ranks are only needed for its n smallest
     keys (a per-partition top-k before the shuffle).
     """
     if n <= 0:
         raise ValueError("sample size must be positive")
-    keyed = df.withColumn("_key", key)
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(bucket).orderBy("_key"))).where(F.col("_rank") <= n)
-    sizes = {r[bucket]: r["c"] for r in ranked.groupBy(bucket).agg(F.max("_rank").alias("c")).collect()}
-    present = [b for b in order if sizes.get(b)]
+    k, rank = free(df, "key", "rank")
+    ranked_rows = df.withColumn(k, key).withColumn(rank, F.row_number().over(Window.partitionBy(bucket).orderBy(k))).where(F.col(rank) <= n)
+    sizes = {r[0]: r[1] for r in ranked_rows.groupBy(bucket).agg(F.max(rank)).collect()}
+    more = sorted((b for b in sizes if b not in order), key=lambda b: (b is None, str(b)))
+    present = [b for b in [*order, *more] if sizes.get(b)]
     if not present:
         raise ValueError("nothing to sample from")
     quota = n // len(present)
     take = {b: min(quota, sizes[b]) for b in present}
     left = n - sum(take.values())
     for b in present:
-        more = min(left, sizes[b] - take[b])
-        take[b] += more
-        left -= more
+        extra = min(left, sizes[b] - take[b])
+        take[b] += extra
+        left -= extra
     wanted = F.lit(False)
     for b, c in take.items():
-        wanted = wanted | ((F.col(bucket) == b) & (F.col("_rank") <= c))
-    return ranked.where(wanted).drop("_key", "_rank")
+        wanted = wanted | (F.col(bucket).eqNullSafe(F.lit(b)) & (F.col(rank) <= c))
+    return ranked_rows.where(wanted).drop(k, rank)
 
 
 def overlapping(df: DataFrame, key: Column, frozen: DataFrame, frozen_key: Column) -> DataFrame:
     """Rows whose key stands in the frozen benchmark; must be empty before training."""
-    keys = frozen.select(frozen_key.alias("_key")).distinct()
-    return df.withColumn("_key", key).join(keys, "_key", "left_semi").drop("_key")
+    return _by_key(df, key, frozen, frozen_key, "left_semi")
 
 
 def without_overlap(df: DataFrame, key: Column, frozen: DataFrame, frozen_key: Column) -> DataFrame:
-    keys = frozen.select(frozen_key.alias("_key")).distinct()
-    return df.withColumn("_key", key).join(keys, "_key", "left_anti").drop("_key")
+    return _by_key(df, key, frozen, frozen_key, "left_anti")
+
+
+def _by_key(df: DataFrame, key: Column, frozen: DataFrame, frozen_key: Column, how: str) -> DataFrame:
+    (k,) = free(df, "key")
+    return df.withColumn(k, key).join(frozen.select(frozen_key.alias(k)).distinct(), k, how).select(*df.columns)
 
 
 def repeated(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -206,12 +213,13 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     path = shared.working_folder(spark, "ranked")
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")).write.mode("overwrite").parquet(path)
+    part, place, shift = free(df, "part", "place", "shift")
+    dealt.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place)).write.mode("overwrite").parquet(path)
     dealt = spark.read.parquet(path)
-    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_place").alias("_from"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("_part", (before - F.col("_from")).alias("_shift"))
-    return dealt.join(F.broadcast(parts), "_part").withColumn("rank", F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")
+    parts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(part, (before - F.col("least")).alias(shift))
+    return dealt.join(F.broadcast(parts), part).select(*df.columns, (F.col(place) + F.col(shift)).alias("rank"))
 
 
 def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096) -> DataFrame:
@@ -245,12 +253,12 @@ def orphans(child: DataFrame, parent: DataFrame, pairs: Sequence[tuple[str, str]
 
 def tier_quota(df: DataFrame, tier: str, key: Column, shares: dict[str, int], n: int) -> DataFrame:
     """About n rows in fixed percentages by tier, the smallest hashes of each."""
-    rank = F.row_number().over(Window.partitionBy(tier).orderBy("_key"))
-    ranked = df.withColumn("_key", key).withColumn("_rank", rank).where(F.col("_rank") <= n)
+    k, rank = free(df, "key", "rank")
+    ranked_rows = df.withColumn(k, key).withColumn(rank, F.row_number().over(Window.partitionBy(tier).orderBy(k))).where(F.col(rank) <= n)
     wanted = F.lit(False)
     for t, share in shares.items():
-        wanted = wanted | ((F.col(tier) == t) & (F.col("_rank") <= n * share // 100))
-    return ranked.where(wanted).drop("_key", "_rank")
+        wanted = wanted | ((F.col(tier) == t) & (F.col(rank) <= n * share // 100))
+    return ranked_rows.where(wanted).drop(k, rank)
 
 
 def shuffled(df: DataFrame, seed: int, *parts: Column) -> DataFrame:
@@ -260,8 +268,9 @@ def shuffled(df: DataFrame, seed: int, *parts: Column) -> DataFrame:
 
 def oversampled(df: DataFrame, n: int, factor: int, seed: int, fits: Column, *parts: Column) -> DataFrame:
     """n rows that fit (say, a length in tokens), from ``factor`` times as many drawn by seeded hash; fewer if not enough of those fit."""
-    drawn = df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)).orderBy("_h").limit(n * factor)
-    return drawn.where(fits).orderBy("_h").limit(n).drop("_h")
+    (h,) = free(df, "hash")
+    drawn = df.withColumn(h, F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)).orderBy(h).limit(n * factor)
+    return drawn.where(fits).orderBy(h).limit(n).drop(h)
 
 
 def joined_by_id(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
