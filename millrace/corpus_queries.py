@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import compare, corpus, sketch
-from .plans import analyze, dialect, gate, strict
+from .plans import analyze, dialect, execute, gate, strict
 from .sources import catalog, discover, files, mirror, shared
 
 
@@ -174,6 +174,82 @@ _CONSTRAINTS = "\nUNION ALL ".join(
 )
 
 
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as JSON lines in order and read again with their ids checked; what stands in the folder has the fingerprint that was returned."""
+    path = shared.working_folder(spark, "jsonl") + "/lines"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    said = files.write_jsonl(docs, path, "doc_id")
+    back = files.read_jsonl(spark, path, "doc_id bigint, lang string, text string", "doc_id")
+    same = corpus.fingerprint(spark.read.text(path), F.col("value"), F.get_json_object("value", "$.doc_id")).select((F.col("fingerprint") == said).alias("same"))
+    return back.select("doc_id", "lang", F.sha2("text", 256).alias("digest")).join(F.broadcast(same))
+
+
+def truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of every nation under a cap of rows: how many came, and whether there were more."""
+    catalog.register(spark, sf_dir, ["customer"])
+    texts = _table(spark, sf_dir, "nation").select("n_nationkey", corpus.fill(F.lit("SELECT c_name FROM customer WHERE c_nationkey = {k} ORDER BY c_acctbal"), {"k": F.col("n_nationkey")}).alias("sql"))
+
+    def ran(sql: str) -> tuple:
+        found = execute.run(spark, sql, ["customer"], max_rows=58, timeout_ms=30_000)
+        return len(found.rows), found.truncated
+
+    return analyze.with_analysis(texts, "sql", ran, "found int, truncated boolean", threads=8).drop("sql")
+
+
+def error_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query of every supplier says when it fails: refused, outside its scope, or the engine's condition without stack or plan."""
+    catalog.register(spark, sf_dir, ["nation", "region"])
+    shapes = ("SELECT n_name, {k} AS k FROM nation", "SELECT nome, {k} AS k FROM nation", "DELETE FROM nation WHERE n_nationkey = {k}", "SELECT r_name, {k} AS k FROM region", "SELECT n_name FROM nation WHERE n_nationkey / (n_nationkey - n_nationkey) > {k}")
+    chosen = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    texts = _table(spark, sf_dir, "supplier").select("s_suppkey", corpus.fill(chosen, {"k": F.col("s_suppkey")}).alias("sql"))
+
+    def ran(sql: str) -> tuple:
+        found = execute.run(spark, sql, ["nation"], timeout_ms=30_000)
+        return found.allowed, found.executed, (found.error or "").partition(" ")[0].strip(":") or None
+
+    return analyze.with_analysis(texts, "sql", ran, "allowed boolean, executed boolean, said string", threads=8).drop("sql")
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the answer behind a reasoning block, of a form that depends on its id: what is left."""
+    k = F.col("doc_id") % 4
+    text = F.coalesce("text", F.lit(""))
+    before = F.when(k == 0, F.lit("<think>one\ntwo</think>\n")).when(k == 1, F.lit("  <THINK></THINK>")).when(k == 2, F.lit("</think> ")).otherwise(F.lit(""))
+    said = _table(spark, sf_dir, "documents").select("doc_id", F.concat(before, text).alias("said"))
+    return said.select("doc_id", F.sha2(analyze.thinking_stripped(F.col("said")), 256).alias("digest"))
+
+
+PROFILED = ("region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events", "documents")
+
+
+def database_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog.register(spark, sf_dir, PROFILED)
+    found = catalog.profile(spark, PROFILED)
+    return spark.createDataFrame([(t, n, found["tables"], found["read_only"]) for t, n in found["rows"].items()], "table_name string, rows long, tables int, read_only boolean")
+
+
+def value_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of the columns that may be shown to an author, one scan a table; columns of more than 25 values are left out."""
+    rows = []
+    for table, columns in catalog.HINTS.items():
+        n, sets = catalog.value_sets(_table(spark, sf_dir, table), columns)
+        rows += [(table, c, n, len(v), ", ".join(v)) for c, v in sets.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, rows long, n int, listed string")
+
+
+def referenced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that a text of every customer reads, and those outside its scope: names of a WITH, aliases and literals are not tables."""
+    names = F.array(*[F.lit(t) for t in ("nation", "region", "orders", "part")])
+    pick = lambda by: F.element_at(names, (F.floor(F.col("s_suppkey") / by) % 4 + 1).cast("int"))
+    text = "WITH {a}_x AS (SELECT 1 AS k FROM {a} WHERE 'customer' <> 'x') SELECT k FROM {a}_x JOIN {b} AS supplier ON k = (SELECT count(*) FROM {a}) -- FROM part\nWHERE k IN (SELECT 1 FROM {b})"
+    texts = _table(spark, sf_dir, "supplier").select("s_suppkey", pick(1).alias("a"), pick(4).alias("b")).select("s_suppkey", corpus.fill(F.lit(text), {"a": F.col("a"), "b": F.col("b")}).alias("sql"))
+
+    def read(sql: str) -> tuple:
+        return ",".join(sorted(gate.relations(spark, sql))), ",".join(sorted(gate.out_of_scope(spark, sql, ["nation", "orders"])))
+
+    return analyze.with_analysis(texts, "sql", read, "tables string, outside string").drop("sql")
+
+
 def _tree_sql(source: str, line: str, position: str) -> str:
     """The tree of digests over ranks, for up to 4096 x 4096 lines."""
     return f"""WITH l AS (SELECT sha256({line}) AS d, ({position})::BIGINT AS p FROM {source}),
@@ -209,6 +285,28 @@ UNION ALL SELECT 'shifted', strftime(o_orderdate + INTERVAL 2 MONTH, '%m'), coun
 e AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'header and types do not agree' WHEN k % 13 = 0 AND k % 2 = 1 THEN 'column out of range' WHEN k % 17 = 0 THEN 'no question' END AS error FROM c)
 SELECT k, CASE WHEN error IS NULL THEN 'Quais pedidos de ' || k || '?' END AS question, CASE WHEN error IS NULL AND k % 2 = 0 THEN 'SELECT COUNT("Key") FROM "c_' || k || '" WHERE "Status" = ''F''' WHEN error IS NULL THEN 'SELECT "Key" FROM "c_' || k || '" WHERE "Price" > 150000' END AS sql,
 CASE WHEN error IS NULL THEN CASE WHEN k % 2 = 0 THEN n ELSE coalesce(l, '') END END AS answer, error FROM e""",
+    ),
+    "jsonl_round_trip": (jsonl_round_trip, "SELECT doc_id, lang, sha256(text) AS digest, true AS same FROM documents"),
+    "truncated_answers": (truncated_answers, "SELECT n_nationkey, least(58, count(c_custkey))::INTEGER AS found, count(c_custkey) > 58 AS truncated FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
+    "error_conditions": (
+        error_conditions,
+        "SELECT s_suppkey, s_suppkey % 5 <> 2 AS allowed, s_suppkey % 5 = 0 AS executed, (ARRAY[NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 'not_a_read', 'out_of_scope', 'DIVIDE_BY_ZERO'])[s_suppkey % 5 + 1] AS said FROM supplier",
+    ),
+    "model_outputs": (model_outputs, "SELECT doc_id, sha256(trim(coalesce(text, ''))) AS digest FROM documents"),
+    "database_profile": (database_profile, "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, {len(PROFILED)} AS tables, true AS read_only FROM {t}" for t in PROFILED)),
+    "value_hints": (
+        value_hints,
+        "\nUNION ALL ".join(
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) FROM {t}) AS rows, count(*)::INTEGER AS n, coalesce(string_agg(v, ', ' ORDER BY v), '') AS listed FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL) HAVING count(*) <= 25"
+            for t, columns in catalog.HINTS.items()
+            for c in columns
+        ),
+    ),
+    "referenced_tables": (
+        referenced_tables,
+        """WITH p AS (SELECT s_suppkey, (['nation', 'region', 'orders', 'part'])[s_suppkey % 4 + 1] AS a, (['nation', 'region', 'orders', 'part'])[s_suppkey // 4 % 4 + 1] AS b FROM supplier),
+l AS (SELECT s_suppkey, list_sort(list_distinct([a, b])) AS l FROM p)
+SELECT s_suppkey, array_to_string(l, ',') AS tables, array_to_string(list_filter(l, lambda x: x NOT IN ('nation', 'orders')), ',') AS outside FROM l""",
     ),
     "csv_round_trip": (csv_round_trip, "SELECT doc_id, lang, sha256(text) AS digest, length(text)::INTEGER AS characters FROM documents"),
     "batches_once": (batches_once, "SELECT o_orderkey % 3 AS batch, o_orderstatus, count(*) AS rows, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1, 2"),
