@@ -64,6 +64,40 @@ def mysql_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: PostgreSQL questions over the tables, each with a key and a value.
+POSTGRES = {
+    "names": "SELECT r_name AS k, string_agg(n_name, '; ' ORDER BY n_name DESC) AS v FROM public.region JOIN public.nation ON n_regionkey = r_regionkey GROUP BY r_name -- all",
+    "weekday": "SELECT date_part('dow', o_orderdate)::text AS k, count(*)::varchar(20) AS v FROM orders WHERE o_orderpriority = ANY(ARRAY['1-URGENT', '5-LOW']) GROUP BY date_part('dow', o_orderdate)",
+    "month": "SELECT to_char(o_orderdate, 'YYYY-MM \"of\" Q') AS k, count(*)::text AS v FROM orders GROUP BY to_char(o_orderdate, 'YYYY-MM \"of\" Q')",
+    "matched": "SELECT \"o_orderpriority\" AS k, count(*)::text AS v FROM orders WHERE o_orderpriority ~* '^[1-3]-[HU]\\w' AND o_orderstatus !~ 'P' GROUP BY o_orderpriority",
+    "money": "SELECT $$it's $$ || c_mktsegment AS k, sum(c_acctbal::numeric(18, 2))::text AS v FROM customer WHERE c_nationkey = ANY (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY c_mktsegment",
+    "series": "SELECT n::text AS k, count(*)::text AS v FROM generate_series(1, 5) AS g(n) JOIN nation ON n_regionkey = n - 1 GROUP BY n",
+}
+
+
+def postgres_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of PostgreSQL statements with casts, ordered aggregates, patterns, ANY and series, rewritten, gated and run."""
+    tables = ["orders", "nation", "region", "customer"]
+    catalog.register(spark, sf_dir, tables)
+    out = None
+    for name, text in POSTGRES.items():
+        sql = dialect.from_postgres(text)
+        if not gate.check(spark, sql).allowed or gate.out_of_scope(spark, sql, tables):
+            raise PermissionError(name)
+        part = spark.sql(sql).select(F.lit(name).alias("question"), "k", "v")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def postgres_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PostgreSQL texts of every supplier in two spellings, grouped by canonical form."""
+    spellings = ("SELECT s_name::text AS n FROM public.supplier WHERE s_phone ~ 'x{k}\\d' FETCH FIRST {m} ROWS ONLY", 'select "s_name"::varchar as n -- {k}\nfrom supplier where s_phone ~ $$x{k}\\d$$ limit {m};')
+    texts = _table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(x) for x in spellings])).alias("template"))
+    filled = texts.select("s_suppkey", corpus.fill(F.col("template"), {"m": F.col("s_suppkey") % 2 + 1, "k": F.col("s_suppkey") % 5}).alias("sql"))
+    formed = analyze.with_analysis(filled, "sql", lambda t: (analyze.canonical(spark, t, "postgres"),), "form string")
+    return formed.groupBy("form").agg(F.min("s_suppkey").alias("first"), F.count(F.lit(1)).alias("texts")).drop("form")
+
+
 def parse_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the parse gate over a text of every supplier and shape, in batches of the driver: rows by verdict and nation."""
     shapes = ("SELECT {k} AS a, '{name}; --' AS b", "SELECT {k}; SELECT '{name}'", "SELECT ({k} FROM nation", "SELECT s_name FROM supplier WHERE s_suppkey % {k} = 0 -- ;")
@@ -274,6 +308,16 @@ UNION ALL SELECT 'earlier', strftime(o_orderdate::DATE - INTERVAL 3 DAY, '%d'),
 UNION ALL SELECT 'names', r_name, string_agg(n_name, ';' ORDER BY n_name DESC) FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name
 UNION ALL SELECT 'shifted', strftime(o_orderdate + INTERVAL 2 MONTH, '%m'), count(*)::VARCHAR FROM orders GROUP BY 2""",
     ),
+    "postgres_answers": (
+        postgres_answers,
+        """SELECT 'names' AS question, r_name AS k, string_agg(n_name, '; ' ORDER BY n_name DESC) AS v FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name
+UNION ALL SELECT 'weekday', date_part('dow', o_orderdate)::VARCHAR, count(*)::VARCHAR FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 2
+UNION ALL SELECT 'month', strftime(o_orderdate, '%Y-%m of ') || quarter(o_orderdate), count(*)::VARCHAR FROM orders GROUP BY 2
+UNION ALL SELECT 'matched', o_orderpriority, count(*)::VARCHAR FROM orders WHERE regexp_matches(o_orderpriority, '(?i)^[1-3]-[HU]\\w') AND o_orderstatus <> 'P' GROUP BY 2
+UNION ALL SELECT 'money', 'it''s ' || c_mktsegment, sum(c_acctbal::DECIMAL(18,2))::VARCHAR FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY 2
+UNION ALL SELECT 'series', (n_regionkey + 1)::VARCHAR, count(*)::VARCHAR FROM nation WHERE n_regionkey < 5 GROUP BY 2""",
+    ),
+    "postgres_canonical": (postgres_canonical, 'SELECT min(s_suppkey) AS "first", 2 * count(*) AS texts FROM supplier GROUP BY s_suppkey % 2, s_suppkey % 5'),
     "parse_gate": (
         parse_gate,
         "SELECT s_nationkey, (ARRAY[NULL, 'multiple_sql_statements', 'invalid_sql', NULL])[s_suppkey % 4 + 1] AS verdict, count(*) AS rows FROM supplier GROUP BY 1, 2",

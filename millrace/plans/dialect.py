@@ -6,6 +6,7 @@ import re
 
 from . import gate
 from .mysql import from_mysql, rewritten  # noqa: F401
+from .postgres import from_postgres  # noqa: F401
 
 #: Strftime formats with a column function of their own.
 STRFTIME = {"%Y": "year", "%m": "month", "%d": "day", "%H": "hour"}

@@ -244,3 +244,36 @@ def test_typed_tables():
         "vendas": [("id", "bigint"), ("cliente", "string"), ("valor", "decimal(10,2)"), ("tags", "array<string>"), ("quando", "timestamp")],
         "loja": [("nome", "string"), ("cidade", "string"), ("aberta", "boolean")],
     }
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT to_char(d, 'YYYY-MM-DD HH24:MI') FROM public.t;", "SELECT date_format(d, 'yyyy-MM-dd HH:mm') FROM t"),
+        ("SELECT string_agg(a, '; ' ORDER BY b DESC), string_agg(DISTINCT a, ',') FROM t", "SELECT listagg(CAST(a AS STRING), '; ') WITHIN GROUP (ORDER BY b DESC), listagg(DISTINCT CAST(a AS STRING), ',') FROM t"),
+        ("SELECT string_agg(upper(coalesce(a, 'x')), '\\' ORDER BY a) FROM t", "SELECT listagg(CAST(upper(coalesce(a, 'x')) AS STRING), '\\\\') WITHIN GROUP (ORDER BY a) FROM t"),
+        ('SELECT "a b", t."c""d" FROM "t" WHERE e ~* \'^x\\d\'', 'SELECT `a b`, t.`c"d` FROM `t` WHERE e RLIKE \'(?i)^x\\\\d\''),
+        ("SELECT a FROM t WHERE t.a = ANY(ARRAY[1, f(2)]) AND f(a) = ANY (SELECT b FROM u) FETCH FIRST 3 ROWS ONLY", "SELECT a FROM t WHERE array_contains(array(1, f(2)), t.a) AND f(a) IN (SELECT b FROM u) LIMIT 3"),
+        ("SELECT round(avg(x)::numeric, 2), x::numeric(10,2), y::double precision, z::text[], CAST(u AS character varying(5)) FROM t", "SELECT round(avg(x)::DECIMAL(38, 10), 2), x::DECIMAL(10,2), y::DOUBLE, z::ARRAY<STRING>, CAST(u AS STRING) FROM t"),
+        ("SELECT $$it's \\n$$, E'a\\'b\\n', 'it''s', $q$x$$y$q$", "SELECT 'it\\'s \\\\n', 'a\\'b\\n', 'it\\'s', 'x$$y'"),
+        ("SELECT extract(dow FROM d), date_part('month', d), extract(epoch FROM d) FROM t", "SELECT (dayofweek(d) - 1), extract(MONTH FROM d), unix_timestamp(d) FROM t"),
+        ("SELECT array_agg(x ORDER BY x DESC), n FROM t, generate_series(1, 5) AS g(n) WHERE tags @> ARRAY['a'] GROUP BY n", "SELECT sort_array(collect_list(x), false), n FROM t, (SELECT explode(sequence(1, 5))) AS g(n) WHERE size(array_except(array('a'), tags)) = 0 GROUP BY n"),
+    ],
+)
+def test_postgres(spark, sql, want):
+    assert dialect.from_postgres(sql) == want
+    gate.parse(spark, want)
+
+
+@pytest.mark.parametrize("sql", ["SELECT DISTINCT ON (a) a FROM t", "SELECT pg_sleep(1)", "SELECT age(a)", "SELECT regexp_replace(a, 'b', 'c')", "SELECT to_char(d, 'J')", "SELECT a SIMILAR TO 'b'", "SELECT x::geometry", "SELECT a = ANY b", "SELECT 1; SELECT 2", "SELECT ARRAY[1", "SELECT array_agg(a ORDER BY b) FROM t"])
+def test_postgres_without_an_equal_form(spark, sql):
+    with pytest.raises(ValueError):
+        dialect.from_postgres(sql)
+    assert analyze.canonical(spark, sql, "postgres") is None
+
+
+def test_forms_across_dialects(spark):
+    assert analyze.exact_match(spark, 'SELECT "a"::text FROM public.t WHERE b ~ $$x$$', "select a::varchar from t where b ~ 'x'", "postgres")
+    assert analyze.exact_match(spark, "SELECT a::text FROM public.t WHERE b ~ $$x$$", "select a::varchar from t where b ~ 'x'", "postgres")
+    assert not analyze.exact_match(spark, "SELECT a FROM t WHERE b ~ 'x'", "SELECT a FROM t WHERE b ~* 'x'", "postgres")
+    assert analyze.exact_match(spark, "SELECT IFNULL(a, 1) FROM t LIMIT 2, 3", "SELECT coalesce(a, 1) FROM t LIMIT 3 OFFSET 2", "mysql")
