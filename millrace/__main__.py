@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import compare, corpus, specs
-from .plans import analyze, dialect, execute, gate
-from .sources import catalog, files
+from .plans import analyze, dialect, execute, gate, strict
+from .sources import catalog, discover, files
 
 
 def _print(value: object) -> None:
@@ -68,6 +68,45 @@ def _specs(spark, a) -> int:
     return 0
 
 
+def _strict(spark, a) -> int:
+    found = strict.assess(strict.isolated(spark, a.ddl), a.sql, frozenset(strict.typed_tables(a.ddl)))
+    _print(found.__dict__)
+    return int(not found.valid)
+
+
+def _discover(spark, a) -> int:
+    found = discover.discovered("discovered", {t: spark.table(t) for t in a.tables.split(",")})
+    tables = {t.name: {"columns": dict(t.columns), "primary_key": t.primary_key} for t in found.tables.values()}
+    _print({"name": found.name, "dialect": found.dialect, "tables": tables, "relationships": [r.__dict__ for r in found.relationships]})
+    return 0
+
+
+def _csv(spark, a) -> int:
+    files.read_large_csv(spark, a.path).write.mode("errorifexists").parquet(a.to)
+    _print({"rows": spark.read.parquet(a.to).count()})
+    return 0
+
+
+def _append(spark, a) -> int:
+    new = files.append_batch(spark.read.parquet(a.path), a.to, a.batch)
+    _print({"batch": a.batch, "appended": new, "batches": len(files.ledger(spark, a.to))})
+    return 0
+
+
+def _verdicts(spark, a) -> int:
+    judged = corpus.parse_verdicts(spark.read.parquet(a.path), a.column, store=a.store)
+    _print({r["verdict"] or "accepted": r["count"] for r in judged.groupBy("verdict").count().collect()})
+    return 0
+
+
+def _pairs(spark, a) -> int:
+    rows = spark.read.parquet(a.path)
+    found = compare.paired_results(rows, a.pair, a.side, [c for c in rows.columns if c not in (a.pair, a.side)])
+    equal = {r["equal"]: r["count"] for r in found.groupBy("equal").count().collect()}
+    _print({"equal": equal.get(True, 0), "different": equal.get(False, 0)})
+    return int(bool(equal.get(False)))
+
+
 def _by(column: str):
     from pyspark.sql import Window
 
@@ -89,16 +128,23 @@ COMMANDS = {
     "assess": (["sql", "ddl"], False, lambda s, a: _said(analyze.assess(s, a.sql, a.ddl).__dict__)),
     "match": (["sql", "other"], False, lambda s, a: 1 - int(analyze.exact_match(s, a.sql, a.other))),
     "rank": (["question", "candidates*"], False, lambda s, a: _said([r.__dict__ for r in analyze.rank_candidates(s, a.question, a.candidates)])),
-    "postgres": (["sql"], False, lambda s, a: _said(dialect.to_spark(a.sql))),
+    "strict": (["sql", "ddl"], False, _strict),
+    "postgres": (["sql"], False, lambda s, a: _said(dialect.from_postgres(a.sql))),
+    "sqlite": (["sql"], False, lambda s, a: _said(dialect.to_spark(a.sql))),
     "mysql": (["sql"], False, lambda s, a: _said(dialect.from_mysql(a.sql))),
     "compare": (["before", "after"], False, _compare),
     "overlap": (["path", "benchmark"], False, _overlap),
     "fingerprint": (["path", "column", "position"], False, _fingerprint),
     "split": (["path", "group", "to", "percent:int"], False, _split),
     "specs": (["to"], False, _specs),
+    "csv": (["path", "to"], False, _csv),
+    "append": (["path", "to", "batch"], False, _append),
+    "verdicts": (["path", "column", "store"], False, _verdicts),
+    "pairs": (["path", "pair", "side"], False, _pairs),
     "render": (["catalog", "pack"], False, None),
     "run": (["sql"], True, _run),
     "profile": ([], True, lambda s, a: _said(catalog.profile(s, a.tables.split(",")))),
+    "discover": ([], True, _discover),
     "schema": (["table"], True, lambda s, a: _said(catalog.table_schema(s, a.table, hints=catalog.HINTS))),
 }
 

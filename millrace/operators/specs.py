@@ -91,4 +91,34 @@ FAMILIES = (
     Family("priority-share", {"priority": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "status": ("F", "O", "P")}, ("Quantos pedidos {status} têm prioridade {priority}?", "Conte os pedidos {priority} com situação {status}."), "SELECT count(*) AS total FROM orders WHERE o_orderpriority = '{priority}' AND o_orderstatus = '{status}'"),
     Family("discounted-lines", {"least": (1, 2, 3, 4, 5, 6, 7, 8), "flag": ("A", "N", "R")}, ("Quantas linhas {flag} têm desconto acima de {least}%?", "Linhas {flag} com mais de {least}% de desconto?"), "SELECT count(*) AS total FROM lineitem WHERE l_discount > {least} / 100.0 AND l_returnflag = '{flag}'"),
     Family("event-totals", {"kind": ("click", "error", "view", "purchase"), "user": tuple(range(20))}, ("Quantos eventos {kind} teve o usuário {user}?",), "SELECT count(*) AS total FROM events WHERE event_type = '{kind}' AND user_id = {user}"),
+    Family("status-share", {"status": ("F", "O", "P")}, ("Qual a porcentagem de pedidos com situação {status}?",), "SELECT round(100.0 * count(CASE WHEN o_orderstatus = '{status}' THEN 1 END) / count(*), 2) AS percentual FROM orders"),
+    Family("having-orders", {"least": (5, 10)}, ("Quais clientes têm ao menos {least} pedidos?", "Clientes com {least} pedidos ou mais?"), "SELECT c_name, count(*) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(*) >= {least} ORDER BY total DESC, c_name", "medium"),
+    Family("distinct-suppliers", {"size": (10, 20)}, ("Quantos fornecedores distintos entregaram peças de tamanho {size}?",), "SELECT count(DISTINCT l_suppkey) AS fornecedores FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = {size}", "medium"),
+    Family("exists-order", {"least": (200000, 300000)}, ("Quantos clientes têm algum pedido acima de {least}?",), "SELECT count(*) AS clientes FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > {least})", "medium"),
+    Family("above-average", {}, ("Quantos clientes têm saldo acima da média?",), "SELECT count(*) AS total FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)"),
+    Family("year-total", {"year": (1993, 1994, 1995)}, ("Qual o valor total dos pedidos de {year}?",), "SELECT round(sum(o_totalprice), 2) AS total FROM orders WHERE extract(YEAR FROM o_orderdate) = {year}"),
+    Family("quarter-orders", {"year": (1994, 1996)}, ("Quantos pedidos houve por trimestre em {year}?",), "SELECT extract(QUARTER FROM o_orderdate) AS trimestre, count(*) AS total FROM orders WHERE extract(YEAR FROM o_orderdate) = {year} GROUP BY extract(QUARTER FROM o_orderdate) ORDER BY trimestre"),
+    Family("price-bands", {"most": (1000, 1500)}, ("Quantas peças custam menos de {most} e quantas custam mais?",), "SELECT CASE WHEN p_retailprice < {most} THEN 'baixo' ELSE 'alto' END AS faixa, count(*) AS total FROM part GROUP BY CASE WHEN p_retailprice < {most} THEN 'baixo' ELSE 'alto' END ORDER BY faixa"),
+    Family("place-in-nation", {"k": (1, 2)}, ("Qual o cliente no lugar {k} em saldo de cada nação?",), "SELECT n_name, c_name FROM (SELECT n_name, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_name) AS lugar FROM customer JOIN nation ON n_nationkey = c_nationkey) t WHERE lugar = {k} ORDER BY n_name, c_name", "heavy"),
+    Family("names-of-region", {"region": (0, 1)}, ("Liste os nomes da região {region} e de suas nações.",), "SELECT n_name AS nome FROM nation WHERE n_regionkey = {region} UNION SELECT r_name FROM region WHERE r_regionkey = {region} ORDER BY nome"),
+    Family("never-flagged", {"flag": ("A", "R")}, ("Quantos pedidos não têm linha com marca {flag}?",), "SELECT count(*) AS total FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = '{flag}')", "medium"),
+    Family("nation-list", {"list": ("1, 2, 3", "4, 5")}, ("Liste os clientes das nações {list}.",), "SELECT c_name FROM customer WHERE c_nationkey IN ({list}) ORDER BY c_name"),
+    Family("one-year-from", {"day": ("1994-01-01", "1995-07-01")}, ("Quantos pedidos houve no ano que começa em {day}?",), "SELECT count(*) AS total FROM orders WHERE o_orderdate >= DATE '{day}' AND o_orderdate < DATE '{day}' + INTERVAL 1 YEAR"),
+    Family("price-extremes", {"flag": ("A", "N", "R")}, ("Qual o menor e o maior preço das linhas {flag}?",), "SELECT min(l_extendedprice) AS menor, max(l_extendedprice) AS maior FROM lineitem WHERE l_returnflag = '{flag}'"),
+    Family("longest-names", {"k": (3, 5)}, ("Quais as {k} peças de nome mais longo?",), "SELECT p_name, length(p_name) AS tamanho FROM part ORDER BY tamanho DESC, p_name LIMIT {k}"),
+    Family("initials", {"letter": ("A", "M", "U")}, ("Quantas nações começam com {letter}?",), "SELECT count(*) AS total FROM nation WHERE upper(substring(n_name, 1, 1)) = '{letter}'"),
+    Family("orders-without-lines", {}, ("Quantos pedidos não têm linhas?",), "SELECT count(*) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL", "medium"),
+    Family("neighbours", {"region": (1, 2)}, ("Quantos pares de nações há na região {region}?",), "SELECT count(*) AS pares FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_regionkey = {region}"),
+    Family("mean-lines", {}, ("Quantas linhas tem um pedido em média?",), "SELECT round(avg(itens), 2) AS media FROM (SELECT l_orderkey, count(*) AS itens FROM lineitem GROUP BY l_orderkey) t"),
+    Family("largest-orders", {"k": (1, 3)}, ("Quais os {k} pedidos de maior quantidade?",), "SELECT o_orderkey, sum(l_quantity) AS quantidade FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey ORDER BY quantidade DESC, o_orderkey LIMIT {k}", "medium"),
+    Family("segment-nation", {"segment": ("BUILDING", "MACHINERY")}, ("Qual nação tem mais clientes do segmento {segment}?",), "SELECT n_name, count(*) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = '{segment}' GROUP BY n_name ORDER BY total DESC, n_name LIMIT 1", "medium"),
+    Family("known-balance", {"most": (0, 500)}, ("Quantos clientes têm saldo conhecido abaixo de {most}?",), "SELECT count(*) AS total FROM customer WHERE c_acctbal IS NOT NULL AND c_acctbal < {most}"),
+    Family("brands-of-size", {"size": (1, 50)}, ("Quantas peças de tamanho {size} há por marca?",), "SELECT p_brand, count(*) AS total FROM part WHERE p_size = {size} GROUP BY p_brand ORDER BY total DESC, p_brand"),
+    Family("suppliers-of-region", {"region": (0, 3)}, ("Quantos fornecedores tem cada nação da região {region}?",), "SELECT n_name, count(s_suppkey) AS total FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = {region} GROUP BY n_name ORDER BY n_name", "medium"),
+    Family("running-total", {"key": (1, 2, 4)}, ("Qual o valor acumulado dos pedidos do cliente {key}?",), "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) AS acumulado FROM orders WHERE o_custkey = {key} ORDER BY o_orderkey"),
+    Family("discount-value", {"flag": ("A", "N", "R")}, ("Quanto se deu de desconto nas linhas {flag}?",), "SELECT round(sum(l_extendedprice * l_discount), 2) AS desconto FROM lineitem WHERE l_returnflag = '{flag}'"),
+    Family("mean-tax", {}, ("Qual o imposto médio das linhas?",), "SELECT round(avg(l_tax), 4) AS imposto FROM lineitem"),
+    Family("orders-of-month", {"month": (6, 12)}, ("Quantos pedidos houve no mês {month}, em todos os anos?",), "SELECT count(*) AS total FROM orders WHERE extract(MONTH FROM o_orderdate) = {month}"),
+    Family("event-users", {"kind": ("click", "purchase")}, ("Quantos usuários distintos tiveram eventos {kind}?",), "SELECT count(DISTINCT user_id) AS usuarios FROM events WHERE event_type = '{kind}'"),
+    Family("count-and-sum", {"segment": ("BUILDING", "FURNITURE")}, ("Quantos clientes tem o segmento {segment} e qual seu saldo total?",), "SELECT count(*) AS clientes, round(sum(c_acctbal), 2) AS saldo FROM customer WHERE c_mktsegment = '{segment}'"),
 )

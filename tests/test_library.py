@@ -259,7 +259,7 @@ def test_specs_are_sound_and_run(spark, sf_dir):
     tables = ["region", "nation", "customer", "supplier", "orders", "lineitem", "part", "events"]
     register(spark, sf_dir, tables)
     made = specs.expand(spark, specs.FAMILIES).cache()
-    assert made.count() == 668 and made.select("family").distinct().count() == 21 and specs.defects(made).isEmpty()
+    assert made.count() == 732 and made.select("family").distinct().count() == 51 and specs.defects(made).isEmpty()
     frozen = made.limit(1).select(F.upper("question").alias("question"))
     assert specs.defects(made, frozen).first()["defect"] == "frozen_question"
     one = made.where("id LIKE '%-001-p%'")  # the first of each grid

@@ -111,3 +111,29 @@ def test_folded_keys(spark):
     assert not wrong, wrong
     words = spark.createDataFrame([("  STRASSE  x",), ("Straße X",), ("ΟΔΟΣ",), ("οδος",)], "x string").select(folded_key(F.col("x")).alias("k"))
     assert [r["k"] for r in words.collect()] == ["strasse x", "strasse x", "οδοσ", "οδοσ"]
+
+
+def test_more_commands(spark, sf_dir, capsys, tmp_path):
+    from millrace.__main__ import COMMANDS, main
+
+    assert len(COMMANDS) == 26
+    ddl = "CREATE TABLE t (a INT, b TEXT)"
+    assert main(["strict", "SELECT b FROM t", ddl]) == 0 and main(["strict", "SELECT c FROM t", ddl]) == 1
+    assert main(["postgres", "SELECT a::text FROM public.t"]) == 0 and main(["sqlite", "SELECT strftime('%Y', d) FROM t"]) == 0
+    said = capsys.readouterr().out
+    assert "SELECT a::STRING FROM t" in said and "unresolved_column" in said and "year(to_timestamp(d))" in said
+    assert main(["discover", "--data", sf_dir, "--tables", "region,nation"]) == 0
+    assert '"from_columns": ["n_regionkey"]' in capsys.readouterr().out
+    (tmp_path / "x.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert main(["csv", str(tmp_path / "x.csv"), str(tmp_path / "x.parquet")]) == 0
+    for _ in range(2):
+        assert main(["append", str(tmp_path / "x.parquet"), str(tmp_path / "answers"), "one"]) == 0
+    said = capsys.readouterr().out
+    assert '"rows": 2' in said and '"appended": true' in said and '"appended": false' in said
+    texts = spark.createDataFrame([("SELECT 1",), ("((",), ("SELECT 2",)], "q string")
+    texts.write.parquet(str(tmp_path / "texts"))
+    assert main(["verdicts", str(tmp_path / "texts"), "q", str(tmp_path / "store")]) == 0
+    assert '"accepted": 2' in capsys.readouterr().out
+    spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (2, "a", "x")], "id int, side string, v string").write.parquet(str(tmp_path / "pairs"))
+    assert main(["pairs", str(tmp_path / "pairs"), "id", "side"]) == 1
+    assert '"equal": 1, "different": 1' in capsys.readouterr().out
