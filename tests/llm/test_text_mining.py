@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import cleaning, collocation, spelling
+from millrace.llm import cleaning, collocation, langid, spelling
 
 TEXT = "doc_id long, text string"
 
@@ -292,3 +292,46 @@ def test_phrases_of_odd_tables(odd, empty):
     got = _mined(collocation.collocations(odd))
     assert {g[0] for g in got} == {"en"} and got[0][2] == "word word word" and got[0][3] == 29_998
     assert collocation.collocations(empty).count() == 0
+
+
+# --- language mixtures: the search over sets against all sets -----------------------------------
+
+
+def _best_set(like, cost):
+    """(objective, set, proportions) of the best of all sets of languages, each by many rounds of EM."""
+    n, langs = like.shape
+    best = None
+    for bits in range(1, 1 << langs):
+        own = [i for i in range(langs) if bits >> i & 1]
+        share = np.full(len(own), 1 / len(own))
+        for _ in range(400):
+            joint = like[:, own] * share
+            share = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0) / n
+        value = np.log((like[:, own] * share).sum(axis=1)).sum() - cost * (len(own) - 1)
+        if best is None or value > best[0] + 1e-9:
+            best = (value, tuple(own), dict(zip(own, share, strict=True)))
+    return best
+
+
+def test_language_sets_against_all_sets():
+    rng = np.random.default_rng(8)
+    langs, right, near, several = 4, 0, 0, 0
+    texts = []
+    for _ in range(150):
+        kinds = rng.choice(langs, size=rng.integers(1, 4), replace=False)
+        words = int(rng.integers(3, 250))
+        ll = rng.normal(-30, 3, (words, langs))
+        ll[np.arange(words), rng.choice(kinds, words)] += rng.uniform(2, 9)
+        texts.append(ll)
+    bounds = np.cumsum([0, *[len(t) for t in texts]])
+    chosen = langid._mixtures(np.concatenate(texts), np.ones(bounds[-1]), bounds[:-1], 12, 2.0)
+    for ll, share in zip(texts, chosen, strict=True):
+        like = np.exp(ll - ll.max(axis=1, keepdims=True))
+        cost = 2.0 * np.log(len(ll) + 1.0)
+        value, own, best = _best_set(like, cost)
+        got = tuple(np.flatnonzero(share))
+        right += max(best, key=best.get) == share.argmax()
+        mine = np.log((like * share).sum(axis=1)).sum() - cost * (len(got) - 1)
+        near += mine >= value - 1.0
+        several += len(own) > 1
+    assert several > 30 and right >= 147 and near >= 145, (right, near, several)
