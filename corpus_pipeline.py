@@ -22,6 +22,15 @@ from millrace.llm.mixing import mixture
 from millrace.llm.tokens import materialise
 
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Texts go to the Python workers 8 MB at a time, unless the session says otherwise: a batch stands several times over outside the executor's heap, for every task."""
+    if spark.conf.get(ARROW_BATCH) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(ARROW_BATCH, most)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts without letters or without a clear language go.
 
@@ -29,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn from.  Rows without an id, source or lang are judged like others; a very long
     text is read whole; equal proportions (ties) go to the language first by code point.
     """
+    _small_batches(spark)
     return accepted(docs)
 
 
@@ -39,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without an id goes if its component has an id, else it stays.  Texts without words
     (null, empty, blank) are alike to nothing and all stay; a very long text is one set.
     """
+    _small_batches(spark)
     return representatives(docs, k=5, percent=80)
 
 
@@ -48,6 +59,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and stay, as everything does if the benchmark is
     empty; rows without an id are searched like others; a very long text is searched whole.
     """
+    _small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -66,6 +78,7 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text is an end token alone; repeated rows are kept each; rows without an id
     have their place by text; a text of any length is tokenised whole.
     """
+    _small_batches(spark)
     return materialise(docs)
 
 
