@@ -908,7 +908,7 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
