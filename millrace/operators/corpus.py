@@ -6,6 +6,7 @@ since rows have no order across partitions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -222,18 +223,23 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return dealt.join(F.broadcast(parts), part).select(*df.columns, (F.col(place) + F.col(shift)).alias("rank"))
 
 
-def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096) -> DataFrame:
+def fingerprint(df: DataFrame, line: Column, position: Column, width: int = 4096, levels: int | None = None) -> DataFrame:
     """SHA-256 over all lines in order of an integer position: a tree of digests over their ranks.
 
     Lines are digested and ranked by position (nulls first; rows of one position by
     digest).  The digests of ``width`` successive ranks are digested as one, and of these
     again ``width``, until one is left, whatever the positions are: dense, sparse, negative
     or repeated.  No task holds more than ``width`` digests of a group; no line gives null.
+    With ``levels`` the last of so many takes all digests that are left: with two, one
+    task holds 65 bytes for each ``width`` lines, and a form that is fixed elsewhere
+    (say, in SQL) is met at any number of lines.
     """
     lines = df.select(position.cast("bigint").alias("p"), F.sha2(line, 256).alias("d"))
     level = ranked(lines, "p", "d").select("rank", "d")
     left = level.count()
-    while True:
+    for done in itertools.count(1):
+        if done == levels:
+            width = max(width, left)
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda x: x["d"]), "\n")
         level = level.groupBy(F.floor(F.col("rank") / width).alias("g")).agg(F.sha2(text, 256).alias("d")).withColumnRenamed("g", "rank")
         left = -(-left // width)

@@ -226,7 +226,7 @@ def result_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return corpus.fingerprint(docs, F.col("text"), F.col("doc_id"))
+    return corpus.fingerprint(docs, F.col("text"), F.col("doc_id"), levels=2)
 
 
 def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
