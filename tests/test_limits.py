@@ -8,7 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators import corpus
+from oracle import assert_same
 
 
 def test_fingerprint_in_two_levels(spark):
@@ -20,3 +22,10 @@ def test_fingerprint_in_two_levels(spark):
     assert got == hashlib.sha256("\n".join(groups).encode()).hexdigest()
     few = corpus.fingerprint(df.where("id < 8"), F.col("t"), F.col("id"), width=8, levels=2).first()[0]
     assert few == groups[0]
+
+
+def test_candidates_return_all_rows(spark, tmp_path):
+    """A record's table with more than 1,000 rows that meet a sketch: its list is whole."""
+    rows = spark.range(1200).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"), F.lit(3).cast("long").alias("c_nationkey"), F.lit(9500.5).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    assert_same(spark, str(tmp_path), queries.sketch_candidates, queries.oracle_sql()["sketch_candidates"])
