@@ -94,11 +94,16 @@ def deletion_keys(word) -> F.Column:
     return F.array_distinct(F.concat(F.array(F.xxhash64(word)), less))
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """``side`` for a sort-merge join: its size is guessed from compressed files, before keys are made of it, and a broadcast would pass all of it through the driver."""
+    return side.hint("merge")
+
+
 def _shared(words: DataFrame, *payload: str) -> DataFrame:
     """Candidate pairs: rows (a_*, b_*) of ``payload`` for each key that two words share, id of a before id of b."""
     keyed = words.select(F.explode(deletion_keys(F.col("word"))).alias("key"), *payload)
     a, b = (keyed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in payload]) for side in "ab")
-    return a.join(b, "key").where("a_id < b_id").drop("key")
+    return a.join(_sorted(b), "key").where("a_id < b_id").drop("key")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return short
     by_id = _shared(long, "id", "n")
     for side in "ab":
-        by_id = by_id.join(long.select(F.col("id").alias(f"{side}_id"), F.col("word").alias(side)), f"{side}_id")
+        by_id = by_id.join(_sorted(long.select(F.col("id").alias(f"{side}_id"), F.col("word").alias(side))), f"{side}_id")
     # pairs of two words of CARRIED letters are in both parts
     fresh = F.greatest(F.length("a"), F.length("b")) > CARRIED
     return short.unionByName(by_id.where(fresh & one_edit).select(out))
@@ -124,7 +129,7 @@ def forms(words: DataFrame, ratio: int = 5) -> DataFrame:
     both = F.array(*[F.struct(F.col(x).alias("word"), F.struct((-F.col(f"{y}_n")).alias("less"), F.col(y).alias("near")).alias("at")) for x, y in ("ab", "ba")])
     found = pairs.select(F.inline(both)).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("at").alias("at"))
     fits = -F.col("at.less") >= F.col("n") * ratio
-    return words.join(found, "word", "left").select(
+    return words.join(_sorted(found), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(fits, F.col("at.near")).alias("form"), F.when(fits, -F.col("at.less")).alias("form_n")
     )
 
@@ -134,7 +139,7 @@ def roots(found: DataFrame) -> DataFrame:
     steps = cut(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")))
     while True:
         further = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut(steps.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"))
+        moved = cut(steps.join(_sorted(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"))
         if moved.where(F.col("next").isNotNull()).isEmpty():
             return steps
         steps = moved.drop("next")
@@ -145,4 +150,4 @@ def spelling_variants(docs: DataFrame, min_chars: int = 6, min_count: int = 5, r
     kept = word_counts(docs, min_chars, every).where(F.col("n") >= min_count)
     words = stored(kept.withColumn("id", F.monotonically_increasing_id()), "words")  # ids are fixed once written
     found = stored(forms(words, ratio), "forms")
-    return found.join(roots(found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(_sorted(roots(found)), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import functions as F
 
 from millrace import queries
+from millrace.llm import spelling
 from millrace.operators import corpus
 from oracle import assert_same
 
@@ -29,3 +30,10 @@ def test_candidates_return_all_rows(spark, tmp_path):
     rows = spark.range(1200).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"), F.lit(3).cast("long").alias("c_nationkey"), F.lit(9500.5).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
     rows.write.parquet(str(tmp_path / "customer.parquet"))
     assert_same(spark, str(tmp_path), queries.sketch_candidates, queries.oracle_sql()["sketch_candidates"])
+
+
+def test_keys_of_words_are_never_broadcast(spark):
+    """Small tables of words are joined by sorting as well: what is broadcast passes through the driver."""
+    words = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("word"), F.lit(5).cast("long").alias("n")).localCheckpoint()
+    near = spelling.forms(words.withColumn("word", F.col("word").substr(1, 9)))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
