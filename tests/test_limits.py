@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace import queries
 from millrace.llm import spelling
 from millrace.operators import corpus
+from millrace.plans import gate
 from oracle import assert_same
 
 
@@ -37,3 +38,27 @@ def test_keys_of_words_are_never_broadcast(spark):
     words = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("word"), F.lit(5).cast("long").alias("n")).localCheckpoint()
     near = spelling.forms(words.withColumn("word", F.col("word").substr(1, 9)))
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_text_of_each_shape_is_parsed(spark, monkeypatch):
+    """Verdicts by shape are those of each text; texts that differ in plain values are parsed once."""
+    forms = ["SELECT {k} AS a, '{k}; --' AS b", "SELECT ({k} FROM nation", "SELECT {k}; SELECT '{k}'", "SELECT a FROM t WHERE b % {k} = 0 AND c = 'n {k}'"]
+    odd = ["SELECT 40000S", "SELECT 400S", "SELECT CAST(1 AS decimal(50, 2))", "SELECT CAST(1 AS decimal(10, 2))", "SELECT DATE '2020-01-01'", "SELECT DATE 'x'", "SELECT INTERVAL -5 DAY", "SELECT a LIKE 'b' ESCAPE 'cd'"]
+    texts = [f.replace("{k}", str(k)) for f in forms for k in range(1, 40)] + odd
+    assert len({gate.shape(t) for t in texts}) == len(forms) + len(odd)
+
+    def alone(sql):
+        parts = gate.statements(sql)
+        if len(parts) > 1:
+            return "multiple_sql_statements"
+        try:
+            gate.parse(spark, parts[0])
+        except Exception:
+            return "invalid_sql"
+
+    want, parsed, parse = {t: alone(t) for t in texts}, [], gate.parse
+    assert {want["SELECT 40000S"], want["SELECT DATE 'x'"]} == {"invalid_sql"}
+    monkeypatch.setattr(gate, "parse", lambda s, sql: parsed.append(sql) or parse(s, sql))
+    got = corpus.parse_verdicts(spark.createDataFrame([(t,) for t in texts], "sql string"), "sql").collect()
+    assert {r["sql"]: r["verdict"] for r in got} == want and len(got) == len(texts)
+    assert len(parsed) == len(forms) + len(odd) - 1
