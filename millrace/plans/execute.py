@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -82,9 +83,9 @@ class Work:
 
 
 def run(
-    spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int = 5_000, args: dict | None = None, max_bytes: int | None = None, budget: Budget | None = None
+    spark: SparkSession, sql: str, allowed: Iterable[str], max_rows: int = 100, timeout_ms: int | None = 5_000, args: dict | None = None, max_bytes: int | None = None, budget: Budget | None = None
 ) -> Execution:
-    """Gate a query and run it over the tables ``allowed``: at most ``max_rows`` rows, cancelled after ``timeout_ms``.
+    """Gate a query and run it over the tables ``allowed``: at most ``max_rows`` rows, cancelled after ``timeout_ms`` (None: never).
 
     ``truncated`` is exact: one row more than asked for is fetched.  Results of
     EXPLAIN are capped as well.  ``max_bytes`` keeps a plan whose scans are estimated to
@@ -93,7 +94,7 @@ def run(
     """
     if not 1 <= max_rows <= 1000:
         raise ValueError("max_rows must be in 1..1000")
-    if not 100 <= timeout_ms <= 30_000:
+    if timeout_ms is not None and not 100 <= timeout_ms <= 30_000:
         raise ValueError("timeout_ms must be in 100..30000")
     verdict = gate.check(spark, sql)
     if not verdict.allowed:
@@ -103,12 +104,12 @@ def run(
     if outside := gate.out_of_scope(spark, text, allowed):
         return Execution(True, False, error=f"out_of_scope: {', '.join(outside)}", relations=used, normalized_sql=text)
     tag, sc = f"millrace-{uuid.uuid4().hex}", spark.sparkContext
-    done, deadline, stopped = threading.Event(), time.monotonic() + timeout_ms / 1000, []
+    done, deadline, stopped = threading.Event(), math.inf if timeout_ms is None else time.monotonic() + timeout_ms / 1000, []
 
     def watch() -> None:
         # again and again: at the deadline the query may still be planned, its jobs not yet begun
         work = Work(spark, tag) if budget else None
-        while not done.wait(0.1 if work else max(0.2, deadline - time.monotonic())):
+        while not done.wait(0.1 if work else max(0.2, min(60.0, deadline - time.monotonic()))):
             if work and not stopped:
                 work.look()
                 if reason := work.beyond(budget):

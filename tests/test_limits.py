@@ -6,12 +6,13 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
 from millrace.llm import spelling
 from millrace.operators import corpus
-from millrace.plans import gate
+from millrace.plans import execute, gate
 from oracle import assert_same
 
 
@@ -62,3 +63,11 @@ def test_one_text_of_each_shape_is_parsed(spark, monkeypatch):
     got = corpus.parse_verdicts(spark.createDataFrame([(t,) for t in texts], "sql string"), "sql").collect()
     assert {r["sql"]: r["verdict"] for r in got} == want and len(got) == len(texts)
     assert len(parsed) == len(forms) + len(odd) - 1
+
+
+def test_runs_without_a_deadline(spark):
+    """A query that may take as long as it takes gives all its rows; deadlines that are set keep their bounds."""
+    found = execute.run(spark, "SELECT count(*) AS n FROM range(0, 1000)", ["range"], timeout_ms=None)
+    assert found.executed and found.rows == ((1000,),)
+    with pytest.raises(ValueError):
+        execute.run(spark, "SELECT 1 AS a", [], timeout_ms=30_001)
