@@ -52,8 +52,8 @@ def _adder(dtype: str):
     return tidy(run)
 
 
-def add_up(chunks: DataFrame, dtype: str, size: int, chunk: int = CHUNK) -> np.ndarray:
-    """Exact sum of all (chunk, counts) rows of integers, in two levels.
+def summed(chunks: DataFrame, dtype: str) -> DataFrame:
+    """(chunk, counts): exact sums of all (chunk, counts) rows of integers, in two levels, as int64.
 
     Every task of the corpus sends a row a chunk.  They are summed in as many
     groups as there are tasks over FAN_IN first, so no task of the last level
@@ -65,9 +65,13 @@ def add_up(chunks: DataFrame, dtype: str, size: int, chunk: int = CHUNK) -> np.n
         dealt = wide.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition("chunk", "part")
         first = dealt.sortWithinPartitions("part", "chunk").select("chunk", "counts").mapInArrow(_adder(dtype), "chunk int, counts binary")
         wide, dtype = first, "int64"
-    summed = wide.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_adder(dtype), "chunk int, counts binary")
+    return wide.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_adder(dtype), "chunk int, counts binary")
+
+
+def add_up(chunks: DataFrame, dtype: str, size: int, chunk: int = CHUNK) -> np.ndarray:
+    """The sums of summed() in one array."""
     out = np.zeros(size, np.int64)
-    for r in summed.collect():  # ``size`` numbers in all
+    for r in summed(chunks, dtype).collect():  # ``size`` numbers in all
         part = np.frombuffer(bytes(r["counts"]), np.int64)
         out[r["chunk"] * chunk : r["chunk"] * chunk + len(part)] = part
     return out

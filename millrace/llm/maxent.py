@@ -325,22 +325,37 @@ def _tallied(model: Model, codes: np.ndarray, bounds: np.ndarray, expected: np.n
         observed += np.bincount((where * WAYS + ways[:, None, :]).ravel(), minlength=rows * WAYS)
 
 
+def _ratios(sums: DataFrame) -> DataFrame:
+    """(chunk, ratios): of chunks that hold as many expected counts, in parts of SCALE, as observed ones after them, the logarithm of what was observed over what was expected."""
+
+    def run(batches):
+        for batch in batches:
+            both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([np.log((observed + SMOOTH) / (expected / SCALE + SMOOTH)).tobytes() for expected, observed in both], pa.binary())], ["chunk", "ratios"])
+
+    return sums.mapInArrow(tidy(run), "chunk int, ratios binary")
+
+
 def _step(model: Model, shard: DataFrame, step: float = STEP) -> np.ndarray:
-    """Weights after one round over a shard."""
+    """Weights after one round over a shard; the tasks that sum the counts make them one ratio a weight, which is all the driver gets."""
     shared = shard.sparkSession.sparkContext.broadcast(model)
     rows = len(model.weights)
+    half = min(CHUNK // 2, rows * WAYS)
 
     def run(batches):
         expected, observed = np.zeros((WAYS, rows), np.int64), np.zeros(rows * WAYS, np.int64)
         for batch in batches:
             for _, codes, bounds in _texts(batch):
                 _tallied(shared.value, codes, bounds, expected, observed)
-        yield _sketch.batch_of(_sketch.chunk_rows(np.concatenate([expected.T.ravel(), observed]), CHUNK))
-
-    both = _sketch.add_up(shard.select("codes").mapInArrow(tidy(run), "chunk int, counts binary"), "int64", 2 * rows * WAYS, CHUNK)
-    expected, observed = both[: rows * WAYS].reshape(rows, WAYS) / SCALE, both[rows * WAYS :].reshape(rows, WAYS)
-    shared.unpersist()
-    return np.clip(model.weights + step * np.log((observed + SMOOTH) / (expected + SMOOTH)), -MOST, MOST).astype(np.float32)
+        both = np.stack([expected.T.reshape(-1, half), observed.reshape(-1, half)], axis=1)
+        yield _sketch.batch_of(_sketch.chunk_rows(both.ravel(), 2 * half))
+
+    weights = model.weights.flatten()
+    for r in _ratios(_sketch.summed(shard.select("codes").mapInArrow(tidy(run), "chunk int, counts binary"), "int64")).collect():
+        part = weights[r["chunk"] * half : (r["chunk"] + 1) * half]
+        part[:] = np.clip(part + step * np.frombuffer(r["ratios"], np.float64), -MOST, MOST)
+    shared.destroy()
+    return weights.reshape(rows, WAYS)
 
 
 def _scored(table: DataFrame, model: Model) -> DataFrame:

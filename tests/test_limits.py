@@ -6,11 +6,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
-from millrace.llm import spelling
+from millrace.llm import maxent, spelling
 from millrace.operators import corpus
 from millrace.plans import execute, gate
 from millrace.sources import catalog
@@ -92,3 +93,12 @@ def test_many_texts_of_few_shapes(spark, sf_dir, tmp_path, monkeypatch, capfd):
     assert "JVM stacktrace" not in capfd.readouterr().err
     catalog.register_held(spark, sf_dir, ["nation"], most=24)
     assert "LocalRelation" not in spark.table("nation")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_driver_gets_one_number_a_weight(spark, monkeypatch):
+    """A round of the language model brings the driver one ratio a weight, not both sums, and the weights they give."""
+    expected, observed = np.arange(8) * maxent.SCALE, np.arange(8)[::-1]
+    rows = [(0, bytearray(np.r_[expected, observed].astype(np.int64).tobytes()))]
+    got = maxent._ratios(spark.createDataFrame(rows, "chunk int, counts binary")).collect()
+    assert len(got) == 1 and len(got[0]["ratios"]) == 8 * len(expected)
+    assert np.array_equal(np.frombuffer(got[0]["ratios"], np.float64), np.log((observed + maxent.SMOOTH) / (expected / maxent.SCALE + maxent.SMOOTH)))
