@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._session import cut, tidy
 
 EDGES = "a long, b long"
+PER_TASK = 1 << 17  # edges that a task takes of a cut: a round over few edges is not dealt to as many tasks and files as a shuffle has
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -43,21 +44,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each step sends every node to the smallest neighbour of a node, so a path of
     n nodes takes O(log n) rounds and hubs only ever hand on one value.  Lineage
-    is cut after each round.
+    is cut after each round.  A round's edges are in one task for every PER_TASK of
+    them, so few edges do not make as many files as a shuffle has partitions.
     """
     now = cut(_flat(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(tidy(_thin), EDGES)))
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now, _tasks(state)), _tasks(state)))
         before, state = state, _state(now)
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     labels = now.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return labels.unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    return labels.unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("component"))).coalesce(_tasks(state)).groupBy("id").agg(F.min("component").alias("component"))
 
 
 def merged(known: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,13 +84,18 @@ def _flat(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _tasks(state: tuple) -> int:
+    return max(1, -(-state[0] // PER_TASK))
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Edges (a, b), a < b, from every larger neighbour of a node to the least node around it; some may come twice."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).coalesce(tasks)
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+    edges = edges.coalesce(tasks)
     low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    return _flat(edges.join(low, "b").select(F.col("a").alias("b"), F.col("m").alias("a")).unionByName(low.select("b", F.col("m").alias("a"))))
+    return _flat(edges.join(low, "b").select(F.col("a").alias("b"), F.col("m").alias("a")).unionByName(low.select("b", F.col("m").alias("a"))).coalesce(tasks))

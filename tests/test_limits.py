@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import queries
-from millrace.llm import maxent, spelling
+from millrace.llm import _graph, maxent, spelling
 from millrace.operators import corpus
 from millrace.plans import execute, gate
 from millrace.sources import catalog
@@ -102,3 +102,19 @@ def test_driver_gets_one_number_a_weight(spark, monkeypatch):
     got = maxent._ratios(spark.createDataFrame(rows, "chunk int, counts binary")).collect()
     assert len(got) == 1 and len(got[0]["ratios"]) == 8 * len(expected)
     assert np.array_equal(np.frombuffer(got[0]["ratios"], np.float64), np.log((observed + maxent.SMOOTH) / (expected / maxent.SCALE + maxent.SMOOTH)))
+
+
+def test_rounds_over_few_edges_are_not_dealt_out(spark, monkeypatch):
+    """A round over few edges leaves them in one task, whatever the number of shuffle partitions; more edges take more tasks, with the same components."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "a long, b long")
+    monkeypatch.setitem(vars(_graph), "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or df.localCheckpoint())
+    want = {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (_graph.PER_TASK, 7):
+            parts = []
+            monkeypatch.setattr(_graph, "PER_TASK", most)
+            assert {r["id"]: r["component"] for r in _graph.components(edges).collect()} == want
+            assert max(parts[1:]) == 1 or most == 7
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
