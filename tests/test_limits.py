@@ -1,6 +1,7 @@
 """Results that hold beyond the sizes of the test tables."""
 
 import hashlib
+import re
 import sys
 from pathlib import Path
 
@@ -118,3 +119,24 @@ def test_rounds_over_few_edges_are_not_dealt_out(spark, monkeypatch):
             assert max(parts[1:]) == 1 or most == 7
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["join_inner_on_chain", "heavy_eight_relations"])
+def test_lines_of_a_task_do_not_grow_with_the_table(spark, sf_dir, monkeypatch, name):
+    """Lines are sorted and grouped a bounded number a task, however few partitions a shuffle has, with the results of the SQL; small tables are read as ever."""
+    query = queries.queries()[name]
+    query(spark, sf_dir)
+    assert "Repartition" not in spark.table("lineitem")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(catalog, "PER_TASK", 300, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert_same(spark, sf_dir, query, queries.oracle_sql()[name])
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = spark.table("lineitem")
+    tasks = -(-lines.count() // 300)
+    assert tasks > 4 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for key in ("l_orderkey", "o_orderkey"):
+        assert re.search(rf"hashpartitioning\({key}#\d+L, {tasks}\)", plan)
+    assert max(r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()) < 3 * 300
