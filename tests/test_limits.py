@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import queries
+from millrace import more_queries, queries
 from millrace.llm import _graph, maxent, spelling
 from millrace.operators import corpus
 from millrace.plans import execute, gate
@@ -76,6 +76,25 @@ def test_runs_without_a_deadline(spark):
         execute.run(spark, "SELECT 1 AS a", [], timeout_ms=30_001)
 
 
+def test_specifications_broadcast_no_table_of_unknown_size(spark, sf_dir, tmp_path, monkeypatch):
+    """NOT IN over columns without nulls is a join that can be sorted, others keep their meaning; tables are broadcast by counted sizes, in a session of the specifications' own."""
+    sessions, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(execute, "run", lambda s, *a, **k: sessions.append(s) or execute.Execution(True, True))
+    more_queries.spec_answers(spark, sf_dir)
+    own, text = sessions[0], "SELECT count(*) AS total FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')"
+    assert int(own.conf.get("spark.sql.autoBroadcastJoinThreshold")) == catalog.PACKED and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before and own.conf.get("spark.sql.session.timeZone") == "UTC"
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = own.sql(text)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+    catalog.register(spark, sf_dir, ["orders", "lineitem"])
+    assert own.sql(text).collect() == spark.sql(text).collect()
+    spark.createDataFrame([(1,), (2,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1,), (None,)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    catalog.register_known(own, str(tmp_path), more_queries.SPEC_KEYS)
+    assert own.sql("SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)").count() == 0
+
+
 def test_many_texts_of_few_shapes(spark, sf_dir, tmp_path, monkeypatch, capfd):
     """Texts of one shape share the gate's parse and the name that is not there, and over a held table need no job; each says what it says alone."""
     catalog.register_held(spark, sf_dir, ["nation"])
