@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace import more_queries, queries
 from millrace.llm import _graph, maxent, spelling
 from millrace.operators import corpus
-from millrace.plans import execute, gate
+from millrace.plans import analyze, execute, gate
 from millrace.sources import catalog
 from oracle import assert_same
 
@@ -115,6 +116,42 @@ def test_many_texts_of_few_shapes(spark, sf_dir, tmp_path, monkeypatch, capfd):
     assert "LocalRelation" not in spark.table("nation")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_errors_before_a_value_is_read_are_met_once(spark, sf_dir, monkeypatch):
+    """Texts that fail before they read their value run once, and say what each says alone; others, whose value decides, all run."""
+    catalog.register_held(spark, sf_dir, ["nation"])
+    alike = ["SELECT n_name FROM nation WHERE n_nationkey / (n_nationkey - n_nationkey) > {k}", "SELECT n_name, n_regionkey FROM nation\nWHERE (n_nationkey + 2147483647) * 2 <= {k}"]
+    decides = [
+        "SELECT n_name FROM nation WHERE n_nationkey / (n_nationkey - 3) > {k}",
+        "SELECT n_name FROM nation WHERE n_nationkey / (n_nationkey - {k}) > 1",
+        "SELECT n_name FROM nation WHERE n_nationkey / 0 > 1 AND 2 > {k}",
+        "SELECT n_name FROM nation WHERE CASE WHEN n_nationkey / 0 > 1 THEN 1 ELSE 2 END > {k}",
+        "SELECT n_name FROM nation WHERE 1 = 0 AND n_nationkey / 0 > {k}",
+        "SELECT n_nationkey / 0 AS a FROM nation WHERE n_nationkey > {k}",
+    ]
+    texts = [f.replace("{k}", str(k)) for f in alike + decides for k in (0, 1, 2, 5, 999)]
+    want = [execute.run(spark, t, ["nation"]) for t in texts]
+    assert {w.error and w.error.split(" ")[0] for w in want} == {None, "DIVIDE_BY_ZERO", "ARITHMETIC_OVERFLOW"}
+    judge, ran, capped = execute.Judge(spark, ["nation"]), [], execute.capped
+    monkeypatch.setattr(execute, "capped", lambda df, n: ran.append(n) or capped(df, n))
+    assert [execute.run(spark, t, ["nation"], judge=judge) for t in texts] == want
+    assert sum(v is not None for v in judge.before_value.values()) == len(alike) + 1  # that of "(n_nationkey - 0) >", which is one text's
+    assert ran.count(101) == len(alike) + 5 * len(decides)
+
+
+def test_threads_do_not_share_local_properties(spark):
+    """What one thread's query leaves in Spark's local properties is not seen by another's, where it made a query fail now and then."""
+    sc = spark.sparkContext
+
+    def ran(text: str) -> tuple:
+        sc.setLocalProperty("millrace.text", text)
+        time.sleep(0.05)
+        return (sc.getLocalProperty("millrace.text"),)
+
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(24)], "sql string")
+    got = analyze.with_analysis(texts, "sql", ran, "seen string", threads=8).collect()
+    assert len(got) == 24 and all(r["seen"] == r["sql"] for r in got)
+
+
 def test_driver_gets_one_number_a_weight(spark, monkeypatch):
     """A round of the language model brings the driver one ratio a weight, not both sums, and the weights they give."""
     expected, observed = np.arange(8) * maxent.SCALE, np.arange(8)[::-1]
